@@ -12,9 +12,17 @@ from .common import table
 from .decontaminate import find_contamination
 from .exact_dedup import exact_duplicates
 from .mixing import mix_sources, taken_words
+from .substring_dedup import remove_repeats
+from .token_counts import token_counts
 from .url_filter import filter_urls
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -27,6 +35,11 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"), keep="max")
 
@@ -41,7 +54,14 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op5_benchmark_decontamination, op7_exact_dedup, op9_url_filters, op10_mixing)
+    every = (
+        op4_token_counts,
+        op5_benchmark_decontamination,
+        op6_substring_dedup,
+        op7_exact_dedup,
+        op9_url_filters,
+        op10_mixing,
+    )
     return {f.__name__: f for f in every}
 
 

@@ -21,6 +21,20 @@ SELECT d.doc_id, cast(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN hit_words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+OP6 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, p, array_to_string(w[p:p + 12], ' ') AS words
+        FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS p FROM d WHERE len(w) >= 13)),
+late AS (SELECT doc_id, p FROM (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY words) AS first FROM win) WHERE first < doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 13)) AS q FROM late),
+n AS (SELECT doc_id, count(*) AS n_removed, list(q) AS qs FROM gone GROUP BY doc_id)
+SELECT d.doc_id, cast(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed,
+       sha256(coalesce(CASE WHEN n_removed IS NULL THEN array_to_string(w, ' ') ELSE
+           (SELECT string_agg(u.x, ' ' ORDER BY u.q) FROM (SELECT unnest(w) AS x, unnest(range(1, len(w) + 1)) AS q) AS u
+            WHERE NOT list_contains(qs, u.q)) END, '')) AS kept_sha256
+FROM d LEFT JOIN n USING (doc_id)
+"""
+
 OP7 = """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
        doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
@@ -62,6 +76,7 @@ FROM judged JOIN low USING (host)
 
 ORACLE_SQL = {
     "op5_benchmark_decontamination": OP5,
+    "op6_substring_dedup": OP6,
     "op7_exact_dedup": OP7,
     "op9_url_filters": OP9,
 }
