@@ -12,11 +12,18 @@ from .common import table
 from .decontaminate import find_contamination
 from .exact_dedup import exact_duplicates
 from .mixing import mix_sources, taken_words
+from .quality import fit_quality, score_quality
 from .substring_dedup import remove_repeats
 from .token_counts import token_counts
+from .toxicity import fit_toxicity, score_toxicity
 from .url_filter import filter_urls
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -44,6 +51,13 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"), keep="max")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 3
+    scored = score_toxicity(docs, fit_toxicity(docs, labels.where(fold != 1)))
+    return scored.select("doc_id", (fold == 1).alias("held_out"), "score", "predicted")
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -55,10 +69,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
+        op1_quality_classifier,
         op4_token_counts,
         op5_benchmark_decontamination,
         op6_substring_dedup,
         op7_exact_dedup,
+        op8_toxicity,
         op9_url_filters,
         op10_mixing,
     )
