@@ -11,7 +11,9 @@ from . import sql
 from .common import table
 from .decontaminate import find_contamination
 from .exact_dedup import exact_duplicates
+from .line_dedup import remove_repeated_lines
 from .mixing import mix_sources, taken_words
+from .near_duplicates import near_duplicates
 from .quality import fit_quality, score_quality
 from .substring_dedup import remove_repeats
 from .token_counts import token_counts
@@ -24,6 +26,16 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeated_lines(table(spark, sf_dir, "documents"))
+    kept = F.sha2(F.coalesce("text", F.lit("")), 256)
+    return found.select("doc_id", "n_lines", "n_removed", kept.alias("kept_sha256"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -70,6 +82,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_quality_classifier,
+        op2_jaccard_join,
+        op3_line_dedup,
         op4_token_counts,
         op5_benchmark_decontamination,
         op6_substring_dedup,

@@ -3,6 +3,19 @@
 _WORDS = r"""list_filter(regexp_split_to_array(translate(coalesce(text, ''),
     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"""
 
+OP3 = """
+WITH lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                      generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS p FROM documents),
+runs AS (SELECT doc_id, p, line, lead(line) OVER (PARTITION BY doc_id ORDER BY p) AS line2 FROM lines),
+late AS (SELECT doc_id, p FROM (
+    SELECT doc_id, p, row_number() OVER (PARTITION BY line, line2 ORDER BY doc_id, p) AS nth FROM runs WHERE line2 IS NOT NULL)
+    WHERE nth > 1),
+gone AS (SELECT DISTINCT doc_id, unnest([p, p + 1]) AS p FROM late)
+SELECT l.doc_id, count(*) AS n_lines, count(g.p) AS n_removed,
+       sha256(coalesce(string_agg(CASE WHEN g.p IS NULL THEN line END, chr(10) ORDER BY l.p), '')) AS kept_sha256
+FROM lines AS l LEFT JOIN gone AS g ON l.doc_id = g.doc_id AND l.p = g.p GROUP BY l.doc_id
+"""
+
 OP5 = rf"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 b AS (SELECT cast(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark),
@@ -75,6 +88,7 @@ FROM judged JOIN low USING (host)
 """
 
 ORACLE_SQL = {
+    "op3_line_dedup": OP3,
     "op5_benchmark_decontamination": OP5,
     "op6_substring_dedup": OP6,
     "op7_exact_dedup": OP7,
