@@ -71,6 +71,12 @@ def split_words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SP
     start = np.flatnonzero(begins)
     ends = inside[:n] & (~inside[1:] | np.append(begins[1:], False))
     end = np.flatnonzero(ends) + 1
+    return spans(data, offsets, start, end)
+
+
+def spans(data: np.ndarray, offsets: np.ndarray, start: np.ndarray, end: np.ndarray) -> Words:
+    """Words given by where they start and end, in order."""
+    n = len(data)
     up, down = _powers(max(1 << 20, 1 << int(n).bit_length()))
     sums = np.zeros(n + 1, U64)
     np.cumsum((data.astype(U64) + U64(1)) * up[:n], out=sums[1:])

@@ -3,32 +3,38 @@
 A pre-token of the piece model is a run of spaces with what follows up to the next space. No piece
 of the model has a space after another character, so merges never cross pre-tokens, and the tokens
 of a text are those of its pre-tokens. The text itself gets a space in front, as the model adds.
+A pre-token is named by its text less the first space.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Callable, Iterator
+from uuid import uuid4
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, shared_folder
+from .textblocks import Words, blocks, spans, text_bytes
 
-_PRE_TOKEN = re.compile(" +[^ ]*")
-#: Distinct pre-tokens that a task holds before it passes their counts on.
-HELD = 400_000
 
-
-def pre_tokens(text: str) -> list[str]:
-    """The pre-tokens of a text; joined, they give the text with a space in front."""
-    if not text:
-        return []
-    if text[-1] != " " and "  " not in text and text[0] != " ":
-        return text.split(" ")
-    return [t[1:] for t in _PRE_TOKEN.findall(" " + text)]
+def pre_tokens(data: np.ndarray, offsets: np.ndarray) -> Words:
+    """Pre-tokens of the texts ``data[offsets[i]:offsets[i + 1]]``."""
+    space = data == 0x20
+    new = space.copy()
+    new[1:] &= ~space[:-1]
+    begins = offsets[:-1][offsets[1:] > offsets[:-1]]
+    new[begins] = False
+    cuts = np.flatnonzero(new)
+    start = np.sort(np.concatenate((begins, cuts + 1)))
+    end = np.sort(np.concatenate((cuts, offsets[1:][offsets[1:] > offsets[:-1]])))
+    words = spans(data, offsets, start, end)
+    # a pre-token that is one last space starts where the next text does: count by the ends instead
+    words.first = np.searchsorted(end, offsets, "right") if len(end) else np.zeros(len(offsets), np.int64)
+    return words
 
 
 def check_model(model_path: str) -> None:
@@ -42,21 +48,14 @@ def check_model(model_path: str) -> None:
 
 
 def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: Counter[str] = Counter()
-
-    def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["token", "n"]
-        )
-
+    """Distinct pre-tokens of a few blocks at a time, with how often they occur."""
     for batch in batches:
-        for text in batch.column(0):
-            held.update(pre_tokens(text.as_py() or ""))
-            if len(held) > HELD:
-                yield out()
-                held.clear()
-    if held:
-        yield out()
+        for _, data, offsets in blocks(batch.column(0), 8 << 20):
+            words = pre_tokens(data, offsets)
+            _, at, n = np.unique(words.hashes(), return_index=True, return_counts=True)
+            raw = data.tobytes()
+            tokens = [raw[a:b] for a, b in zip(words.start[at].tolist(), words.end[at].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())], names=["token", "n"])
 
 
 def _piece_counter(model_path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -66,9 +65,13 @@ def _piece_counter(model_path: str) -> Callable[[Iterator[pa.RecordBatch]], Iter
         sp = sentencepiece.SentencePieceProcessor(model_file=model_path)
         for batch in batches:
             tokens = batch.column(0).to_pylist()
+            # an empty name is a lone space, which the model would drop without a text
             pieces = [len(ids) if t else 1 for t, ids in zip(tokens, sp.encode(tokens, num_threads=1), strict=True)]
+            data, offsets = text_bytes(batch.column(0))
+            hashes = spans(data, offsets, offsets[:-1], offsets[1:]).hashes().view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(pieces, pa.int64())], names=["token", "n", "pieces"]
+                [batch.column(0), batch.column(1), pa.array(pieces, pa.int64()), pa.array(hashes, pa.int64())],
+                names=["token", "n", "pieces", "hash"],
             )
 
     return count
@@ -78,24 +81,29 @@ def _document_counter(head) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     tail_type = pa.list_(pa.struct([("token", pa.string()), ("n", pa.int64())]))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = head.value
+        known, pieces = head.value
         for batch in batches:
             sizes, sums, tails = [], [], []
-            for text in batch.column(1):
-                text = text.as_py() or ""
-                total, tail = 0, []
-                for token, n in Counter(pre_tokens(text)).items():
-                    pieces = known.get(token)
-                    if pieces is None:
-                        tail.append({"token": token, "n": n})
-                    else:
-                        total += n * pieces
-                sizes.append(len(text) if text.isascii() else len(text.encode()))
-                sums.append(total)
-                tails.append(tail)
+            for _, data, offsets in blocks(batch.column(1)):
+                words = pre_tokens(data, offsets)
+                n_texts = len(offsets) - 1
+                hashes, at, of = np.unique(words.hashes(), return_index=True, return_inverse=True)
+                place = np.minimum(np.searchsorted(known, hashes), max(0, len(known) - 1))
+                found = known[place] == hashes if len(known) else np.zeros(len(hashes), bool)
+                # frequencies: how often each text has each pre-token
+                pairs, times = np.unique(words.texts() * max(1, len(hashes)) + of, return_counts=True)
+                text, token = np.divmod(pairs, max(1, len(hashes)))
+                worth = np.where(found, pieces[place] if len(known) else 0, 0)
+                sums.append(np.bincount(text, times * worth[token], n_texts).astype(np.int64))
+                sizes.append(np.diff(offsets))
+                rare: list[list[dict]] = [[] for _ in range(n_texts)]
+                for i in np.flatnonzero(~found[token]):
+                    k = at[token[i]]
+                    rare[text[i]].append({"token": data[words.start[k] : words.end[k]].tobytes().decode(), "n": int(times[i])})
+                tails += rare
+            whole = [pa.array(np.concatenate(x) if x else [], pa.int64()) for x in (sizes, sums)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), *(pa.array(x, pa.int64()) for x in (sizes, sums)), pa.array(tails, tail_type)],
-                names=["doc_id", "text_hash", "n_bytes", "head", "tail"],
+                [batch.column(0), batch.column(2), *whole, pa.array(tails, tail_type)], names=["doc_id", "text_hash", "n_bytes", "head", "tail"]
             )
 
     return count
@@ -105,7 +113,7 @@ def token_counts(
     docs: DataFrame,
     model_path: str,
     limit: int = 4096,
-    head_size: int = 100_000,
+    head_size: int = 4_000_000,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -113,36 +121,46 @@ def token_counts(
 
     Distinct pre-tokens are gathered with their corpus frequency, merged in each task first, and
     each is encoded once. Documents then meet the counts by their own pre-token frequencies: the
-    ``head_size`` most frequent pre-tokens, bounded whatever the corpus, are sent to every task,
-    and all others are joined by shuffle. Token ids are never kept. A null text is the empty one,
-    with no tokens. Rows that repeat an id and a text return a row each. Other columns are ignored.
+    most frequent pre-tokens, ``head_size`` at most (16 bytes each, whatever the corpus), are sent to every task as
+    sorted hashes; all others are joined by shuffle on their text. Hashes that two pre-tokens share
+    are left to the join too, so counts are exact. Token ids are never kept. A null text is the
+    empty one, with no tokens. Rows that repeat an id and a text return a row each. Other columns
+    are ignored.
     """
+    spark = docs.sparkSession
     check_model(model_path)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    vocabulary = (
-        texts.select("text").mapInArrow(_distinct, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    )
-    pieces = checkpoint(vocabulary.mapInArrow(_piece_counter(model_path), "token string, n long, pieces long"))
-    most = pieces.orderBy(F.desc("n"), "token").limit(head_size)
-    head = {r["token"]: r["pieces"] for r in most.select("token", "pieces").toLocalIterator()}
-    sent = docs.sparkSession.sparkContext.broadcast(head)
+    vocabulary = texts.select("text").mapInArrow(_distinct, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    path = f"{shared_folder(spark)}/pieces-{uuid4().hex}"
+    vocabulary.mapInArrow(_piece_counter(model_path), "token string, n long, pieces long, hash long").write.parquet(path)
+    pieces = spark.read.parquet(path)
+    sizes = pieces.groupBy(F.least("n", F.lit(1000)).alias("n")).agg(F.count(F.lit(1)).alias("tokens")).collect()
+    least, held = 1001, 0
+    for r in sorted(sizes, key=lambda r: -r["n"]):
+        if held + r["tokens"] > head_size:
+            break
+        least, held = r["n"], held + r["tokens"]
+    head = pieces.where(F.col("n") >= least)
+    alone = head.groupBy("hash").agg(F.max("pieces").alias("pieces"), F.count(F.lit(1)).alias("tokens"))
+    sent = alone.where("tokens = 1").select("hash", "pieces").toArrow()
+    hashes, counts = sent["hash"].to_numpy().view(np.uint64), sent["pieces"].to_numpy()
+    order = np.argsort(hashes)
     counted = texts.withColumn("text_hash", F.xxhash64("text")).mapInArrow(
-        _document_counter(sent),
+        _document_counter(spark.sparkContext.broadcast((hashes[order], counts[order]))),
         "doc_id long, text_hash long, n_bytes long, head long, tail array<struct<token: string, n: long>>",
     )
-    key = ["doc_id", "text_hash", "n_bytes", "head"]
-    rows = counted.select(*key, F.posexplode_outer("tail").alias("nth", "t")).select(
-        *key, "nth", "t.token", F.col("t.n").alias("times")
-    )
-    summed = (
-        rows.join(pieces.select("token", "pieces"), "token", "left")
+    key = ["doc_id", "text_hash"]
+    # one checkpoint feeds both sides: what is rare, and the rows it is added to
+    counted = checkpoint(counted)
+    rare = counted.where("size(tail) > 0").dropDuplicates(key).select(*key, F.explode("tail").alias("t"))
+    rest = (
+        rare.select(*key, F.col("t.token").alias("token"), F.col("t.n").alias("times"))
+        .join(pieces.select("token", "pieces"), "token")
         .groupBy(*key)
-        .agg(
-            F.sum(F.coalesce(F.col("times") * F.col("pieces"), F.lit(0))).alias("rest"),
-            F.count_if(F.coalesce(F.col("nth"), F.lit(0)) == 0).alias("copies"),
-        )
-        .withColumn("rest", F.expr("rest div copies"))
-        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+        .agg(F.sum(F.col("times") * F.col("pieces")).alias("rest"))
+        .withColumnsRenamed({"doc_id": "of_id", "text_hash": "of_hash"})
     )
+    same = F.col("doc_id").eqNullSafe(F.col("of_id")) & F.col("text_hash").eqNullSafe(F.col("of_hash"))
+    summed = counted.select(*key, "n_bytes", "head").join(rest, same, "left").withColumn("rest", F.coalesce("rest", F.lit(0)))
     n_tokens = F.col("head") + F.col("rest")
     return summed.select("doc_id", "n_bytes", n_tokens.alias("n_tokens"), (n_tokens > limit).alias("over_limit"))

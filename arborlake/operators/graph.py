@@ -37,27 +37,28 @@ def density_clusters(points: DataFrame, radius: float, least: int, id_col: str =
     """Density clusters inside each group of ``keys``: id, ``keys``, ``core``, ``cluster``.
 
     A point with ``least`` points within ``radius``, itself included, is a core point. Core points
-    within the radius of each other form a cluster, named by its smallest id; other points join
-    the smallest adjacent cluster, or none.
+    within the radius of each other form a cluster, named by its smallest core id; other points
+    join the smallest adjacent cluster, or none.
+
+    Core points of one small cell are always within the radius, so clusters are components of
+    cells, of which there are far fewer than pairs of points.
     """
     slim = points.select(id_col, *keys, *axes)
     near = checkpoint(neighbour_join(slim, slim, radius, axes, keys).select(*keys, F.col(id_col).alias("a"), F.col(f"n_{id_col}").alias("b")))
-    cores = checkpoint(near.groupBy(*keys, "a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select(*keys, F.col("a").alias("node")))
-    core_key = [*keys, "node"]
-    among = near.join(cores.withColumnRenamed("node", "a"), [*keys, "a"], "left_semi").join(cores.withColumnRenamed("node", "b"), [*keys, "b"], "left_semi")
-    if keys:
-        tag = F.struct(*keys, "node")
-        named = components(cores.select(tag.alias("node")), among.select(F.struct(*keys, F.col("a").alias("node")).alias("a"), F.struct(*keys, F.col("b").alias("node")).alias("b")))
-        labels = named.select("node.*", F.col("root.node").alias("root"))
-    else:
-        labels = components(cores, among)
-    border = (
-        near.join(labels.withColumnRenamed("node", "b"), [*keys, "b"])
-        .groupBy(*keys, "a")
-        .agg(F.min("root").alias("cluster"))
-        .withColumnRenamed("a", id_col)
-    )
-    core = labels.select(*keys, F.col("node").alias(id_col), "root")
+    counts = near.groupBy(*keys, "a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    cell = radius / len(axes) ** 0.5 * (1 - 1e-9)
+    cells = [F.floor(F.col(a) / cell).alias(f"__{a}") for a in axes]
+    cores = slim.join(counts.select(*keys, F.col("a").alias(id_col)), [*keys, id_col]).select(*keys, F.col(id_col).alias("a"), *cells)
+    names = cores.groupBy(*keys, *[f"__{a}" for a in axes]).agg(F.min("a").alias("cell"))
+    tagged = checkpoint(cores.join(names, [*keys, *[f"__{a}" for a in axes]]).select(*keys, "a", "cell"))
+    node = F.struct(*keys, "cell")
+    ends = near.join(tagged, [*keys, "a"]).withColumnRenamed("cell", "from").join(tagged.select(*keys, F.col("a").alias("b"), "cell"), [*keys, "b"])
+    edges = ends.where(F.col("from") < F.col("cell")).select(F.struct(*keys, F.col("from").alias("cell")).alias("a"), node.alias("b")).distinct()
+    named = components(tagged.select(node.alias("node")).distinct(), edges)
+    roots = named.select("node.*", F.col("root.cell").alias("root"))
+    labels = checkpoint(tagged.join(roots, [*keys, "cell"]).select(*keys, F.col("a").alias("b"), "root"))
+    border = near.join(labels, [*keys, "b"]).groupBy(*keys, "a").agg(F.min("root").alias("cluster")).withColumnRenamed("a", id_col)
+    core = labels.select(*keys, F.col("b").alias(id_col), "root")
     return (
         slim.select(id_col, *keys)
         .join(border, [*keys, id_col], "left")

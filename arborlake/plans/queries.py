@@ -88,7 +88,7 @@ def scanner_cell(spark, sf):
     CELLS.format(v="1e0")
     + """, m AS (SELECT ix, iy, cast(min(zi) AS DOUBLE) / 1e3 AS v FROM k GROUP BY ALL),
  e AS (SELECT min(ix) AS ox, max(ix) AS nx, min(iy) AS oy, max(iy) AS ny FROM m),
- f AS (SELECT pid, z, greatest(ox, least(nx, (x - x0) / 1e0)) AS fx, greatest(oy, least(ny, (y - y0) / 1e0)) AS fy, nx, ny FROM k, e),
+ f AS (SELECT pid, z, greatest(ox, least(nx, (x - x0) / 1e0)) AS fx, greatest(oy, least(ny, (y - y0) / 1e0)) AS fy, nx, ny FROM k, e, o),
  b AS (SELECT *, cast(least(floor(fx), nx - 1) AS BIGINT) AS cx0, cast(least(floor(fy), ny - 1) AS BIGINT) AS cy0 FROM f),
  w AS (SELECT pid, z, dx, dy, cx0 + dx AS ix, cy0 + dy AS iy, (CASE dx WHEN 1 THEN fx - cx0 ELSE 1 - (fx - cx0) END) * (CASE dy WHEN 1 THEN fy - cy0 ELSE 1 - (fy - cy0) END) AS w
        FROM b, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS d(dx, dy)),
@@ -425,7 +425,7 @@ CROWN = C + f""", s AS {fx.STEMS_SQL}, q AS (SELECT c.*, sqrt((c.x - s.x) * (c.x
  w AS (SELECT tree_id, CASE WHEN count(*) >= 30 THEN 2 * quantile_cont(rad, 95e-2) END AS crown_diameter_m FROM q LEFT JOIN base USING (tree_id) WHERE base.crown_base_m IS NULL OR h >= base.crown_base_m GROUP BY tree_id)"""
 
 
-@query(CROWN + f" SELECT s.tree_id, base.crown_base_m, round(crown_diameter_m, 6) AS crown_diameter_m FROM s LEFT JOIN base USING (tree_id) LEFT JOIN w USING (tree_id)")
+@query(CROWN + f" SELECT s.tree_id, base.crown_base_m, round(w.crown_diameter_m, 6) AS crown_diameter_m FROM s LEFT JOIN base USING (tree_id) LEFT JOIN w USING (tree_id)")
 def crown_base_diameter(spark, sf):
     points = fx.cloud(spark, sf).where("role <> 'ground'")
     at = fx.stems(spark, sf).selectExpr("tree_id", "x as sx", "y as sy", "dbh_cm")
@@ -570,7 +570,7 @@ HULL = FULL + """, u AS (SELECT * FROM t WHERE quality <> 'poor'), p AS (SELECT
    WHERE NOT EXISTS (SELECT 1 FROM p c WHERE ((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) < 0
      OR ((b.x - a.x) * (c.y - a.y) = (b.y - a.y) * (c.x - a.x) AND (c.x - a.x) * (c.x - b.x) + (c.y - a.y) * (c.y - b.y) > 0)))),
  hull AS (SELECT sum(ax * b_y - bx * ay) / 2 AS area, sum(sqrt((ax - bx) * (ax - bx) + (ay - b_y) * (ay - b_y))) AS around FROM e),
- ha AS (SELECT (area + around * (SELECT median(crown_diameter_m) / 4 FROM t) + pi() * (SELECT median(crown_diameter_m) / 4 FROM t) * (SELECT median(crown_diameter_m) / 4 FROM t)) / 1e4 AS stand_area_ha FROM hull)"""
+ ha AS (SELECT CASE WHEN area = 0 THEN (SELECT (max(x) - min(x)) * (max(y) - min(y)) / 1e4 FROM p) ELSE (area + around * (SELECT median(crown_diameter_m) / 4 FROM t) + pi() * (SELECT median(crown_diameter_m) / 4 FROM t) * (SELECT median(crown_diameter_m) / 4 FROM t)) / 1e4 END AS stand_area_ha FROM hull)"""
 
 
 @query(HULL + " SELECT round(stand_area_ha, 6) AS stand_area_ha FROM ha")
