@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .textblocks import blocks, split_words
 
@@ -247,12 +248,13 @@ def score_quality(docs: DataFrame, model: CoTrained, threshold: float = 0.5, col
 
     A row is kept when its combined probability of being good reaches ``threshold``. Null texts are
     empty ones; null or missing languages and sources are values of their own. Repeated rows stay.
+    ``columns`` must not have the names of the four added ones; pack clashing ones in a struct.
     """
     columns = ["doc_id"] if columns is None else columns
     sent = docs.sparkSession.sparkContext.broadcast(model)
     views = docs.select(
         _string(docs, "text").alias("__text"), _string(docs, "lang").alias("__lang"), _string(docs, "source").alias("__source"), *columns
     )
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema)
-    scored = views.mapInArrow(_scorer(sent), f"{schema}, content_score double, meta_score double, score double")
-    return scored.withColumn("keep", F.col("score") >= threshold)
+    scores = [T.StructField(name, T.DoubleType()) for name in ("content_score", "meta_score", "score")]
+    schema = T.StructType([*docs.select(*columns).schema.fields, *scores])
+    return views.mapInArrow(_scorer(sent), schema).withColumn("keep", F.col("score") >= threshold)

@@ -22,7 +22,9 @@ from arborlake.llm.quality import fit_quality, score_quality
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject."""
     model = fit_quality(docs, table(spark, sf_dir, "labels"))
-    return score_quality(docs, model, columns=docs.columns).where("keep").select(*docs.columns)
+    # whole rows in a struct: columns of theirs may be named like the scores
+    packed = docs.select(F.struct(*docs.columns).alias("row"), *[c for c in ("text", "lang", "source") if c in docs.columns])
+    return score_quality(packed, model, columns=["row"]).where("keep").select("row.*")
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
