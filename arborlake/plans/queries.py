@@ -769,23 +769,23 @@ def json_rows(spark, sf):
 
 @query()
 def cloth_ground(spark, sf):
-    return terrain.ground_points(fx.cloud(spark, sf).where("tree_id < 100").select("pid", "x", "y", "z"), CFG)
+    return terrain.ground_points(fx.cloud(spark, sf).select("pid", "x", "y", "z"), CFG)
 
 
 @query()
 def terrain_model(spark, sf):
-    points = fx.cloud(spark, sf).where("tree_id < 100").select("pid", "x", "y", "z")
+    points = fx.cloud(spark, sf).select("pid", "x", "y", "z")
     return terrain.build_terrain(terrain.ground_points(points, CFG), points, CFG)
 
 
 @query()
 def stem_detection(spark, sf):
-    points = fx.cloud(spark, sf).where("tree_id < 100 and role = 'stem'").select("pid", "x", "y", "z", "h")
+    points = fx.cloud(spark, sf).where("role = 'stem'").select("pid", "x", "y", "z", "h")
     return stems.detect_stems(points, CFG)[0]
 
 
 @query()
 def tree_segmentation(spark, sf):
-    points = fx.cloud(spark, sf).where("tree_id < 20 and role <> 'ground'").select("pid", "tree_id", "x", "y", "z", "h")
+    points = fx.cloud(spark, sf).where("role <> 'ground'").select("pid", "tree_id", "x", "y", "z", "h")
     seeds = points.where("h between 0.6 and 2.6").select("pid", "x", "y", "z", F.col("tree_id").cast("int").alias("tree_id"))
     return growth.segment_trees(points.drop("tree_id"), seeds, CFG).select("pid", "tree_id")
