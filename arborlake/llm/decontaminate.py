@@ -157,8 +157,9 @@ def _spans_by_shuffle(
     hashed = _hashed(words).select("doc_id", F.posexplode(each).alias("nth", "prints"))
     length_of = F.get(F.array(*[F.lit(n) for n in lengths]), F.col("nth"))
     distinct = hashed.select("doc_id", length_of.alias("length"), F.explode(F.array_distinct("prints")).alias("print"))
-    touched = distinct.join(prints, ["length", "print"], "left_semi").select("doc_id").distinct()
-    near = _document_prints(words.join(touched, "doc_id", "left_semi"), lengths, gram).where("p >= 0 and print is not null")
+    touched = distinct.join(prints, ["length", "print"], "left_semi").select(F.col("doc_id").alias("of_doc")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("of_doc"))
+    near = _document_prints(words.join(touched, same, "left_semi"), lengths, gram).where("p >= 0 and print is not null")
     texts = near.select("doc_id", "p", "length", _window_text("p", F.col("length")).alias("win"))
     hits = texts.join(known.select("win", "set_id"), "win").select(
         "doc_id", "p", "length", "set_id", F.lit(None).cast("int").alias("n_words")

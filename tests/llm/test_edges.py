@@ -92,6 +92,13 @@ def test_contamination(spark, docs, most):
         assert own[7].n_hit == 2 and own[2].n_words == own[3].n_words == 0
 
 
+@pytest.mark.parametrize("most", [500_000, 0])
+def test_contamination_without_an_id(spark, most):
+    docs = spark.createDataFrame([(None, PASSAGE + " end"), (1, "clean words")], "doc_id long, text string")
+    own = by_id(find_contamination(docs, spark.createDataFrame(BENCH, "item_id string, text string"), broadcast_rows=most))
+    assert own[None].n_hit == 20 and own[None].items == ["i1"] and own[1].n_hit == 0
+
+
 def test_contamination_without_a_benchmark(spark, docs):
     bench = spark.createDataFrame([], "item_id string, text string")
     assert find_contamination(docs, bench).where("n_hit > 0").count() == 0
