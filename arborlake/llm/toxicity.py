@@ -62,15 +62,16 @@ def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return totals[first[1:]] - totals[first[:-1]]
 
 
-def _telling(first: np.ndarray, terms: np.ndarray, labels: np.ndarray, least: float, least_z: float) -> np.ndarray:
-    """Terms that are frequent enough, and more so in one class than chance explains."""
+def _trust(first: np.ndarray, terms: np.ndarray, labels: np.ndarray, full_z: float) -> np.ndarray:
+    """How far each term's own weight may move: 1 where its shares in the two classes differ by
+    ``full_z`` standard errors, smoothly less where chance explains the difference."""
     n, n1 = len(labels), int(labels.sum())
     both = np.bincount(terms, minlength=1 << BITS)
     toxic = np.bincount(terms, np.repeat(labels, np.diff(first)), 1 << BITS)
-    share = both / max(1, n)
-    error = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / max(1, n1) + 1 / max(1, n - n1)))
-    z = np.abs(toxic / max(1, n1) - (both - toxic) / max(1, n - n1)) / error
-    return np.flatnonzero((both >= least) & (z >= least_z))
+    share = both / n
+    error = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n1 + 1 / (n - n1)))
+    z = np.abs(toxic / n1 - (both - toxic) / (n - n1)) / error
+    return np.minimum(1, z / full_z) ** 4
 
 
 def fit_machine(
@@ -78,23 +79,23 @@ def fit_machine(
     terms: np.ndarray,
     labels: np.ndarray,
     n_factors: int = 4,
-    epochs: int = 10,
+    epochs: int = 20,
     batch: int = 256,
     rate: float = 0.15,
     decay: float = 0.1,
     least_texts: float = 5e-4,
-    least_z: float = 4.5,
+    full_z: float = 4.5,
     seed: int = 8,
 ) -> Machine:
     """Fit by minibatches with per-weight rates; rows of the rarer class weigh more.
 
-    Only terms of at least a share ``least_texts`` of the sample, three texts at least, whose share
-    differs between the classes by ``least_z`` standard errors, have weights; others would only
-    learn single texts by heart.
+    All terms of at least a share ``least_texts`` of the sample, three texts at least, have weights
+    and factors. Those that tell little alone have smaller steps for their linear weight, so that
+    texts aren't learned by heart, but the same steps for their factors.
     """
     rng = np.random.default_rng(seed)
-    known = _telling(first, terms, labels, max(3, least_texts * len(labels)), least_z)
-    place = np.full(1 << BITS, -1)
+    known = np.flatnonzero(np.bincount(terms, minlength=1 << BITS) >= max(3, least_texts * len(labels)))
+    place = np.full(1 << BITS, -1, np.int32)
     place[known] = np.arange(len(known))
     linear, factors = np.zeros(1 << BITS, np.float32), np.zeros((n_factors, 1 << BITS), np.float32)
     share = float(np.mean(labels)) if len(labels) else 0.0
@@ -102,12 +103,13 @@ def fit_machine(
         return Machine(float(np.log((share * len(labels) + 0.5) / ((1 - share) * len(labels) + 0.5))), linear, factors)
     at = place[terms]
     keep = at >= 0
-    starts = np.concatenate(([0], np.cumsum(keep)))[first]
+    starts = np.concatenate((np.zeros(1, np.int32), np.cumsum(keep, dtype=np.int32)))[first]
     at = at[keep]
     weight = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share)) ** 0.5
     m, bias, bias_g = len(known), 0.0, 1e-8
     w, v = np.zeros(m), rng.normal(0, 0.02, (n_factors, m))
-    w_g, v_g = np.full(m, 1e-8), np.full((n_factors, m), 1e-2)
+    w_g, v_g = np.full(m, 1e-8), np.full((n_factors, m), 1e-1)
+    trust = _trust(first, terms, labels, full_z)[known]
     for _ in range(epochs):
         order = rng.permutation(len(labels))
         for b in range(0, len(order), batch):
@@ -126,7 +128,7 @@ def fit_machine(
             seen = np.unique(i)
             g = np.bincount(i, e, m)[seen] + decay * w[seen] / n
             w_g[seen] += g * g
-            w[seen] -= rate * g / np.sqrt(w_g[seen])
+            w[seen] -= rate * trust[seen] * g / np.sqrt(w_g[seen])
             for f in range(n_factors):
                 g = np.bincount(i, e * (s[f][row] - vi[f]), m)[seen] + decay * v[f][seen] / n
                 v_g[f][seen] += g * g

@@ -7,6 +7,7 @@ from zlib import crc32
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import sentencepiece
 import public_tokenizers
@@ -17,6 +18,7 @@ from arborlake.llm import queries, sql
 from arborlake.llm.common import table
 from arborlake.llm.mixing import split_quotas
 from arborlake.llm.quality import fit_quality, score_quality
+from arborlake.llm.toxicity import fit_machine, hashed_terms
 
 from ..conftest import SF
 
@@ -105,6 +107,18 @@ def test_op8_on_held_out_labels(spark):
     assert auc(held["score"], held["toxic"]) > 0.8
 
 
+def test_op8_learns_pairs_of_terms_that_tell_nothing_alone():
+    """Toxic is who has both of two neutral terms or neither."""
+    rng = np.random.default_rng(1)
+    has = rng.random((1600, 2)) < 0.5
+    words = [[f"filler{k}" for k in rng.integers(0, 200, 8)] for _ in has]
+    texts = [" ".join(w + ["group"] * int(a) + ["insult"] * int(b)) for w, (a, b) in zip(words, has)]
+    y = (has[:, 0] == has[:, 1]).astype(int)
+    (first, terms), (new_first, new_terms) = (next(hashed_terms(pa.array(t))) for t in (texts[:1200], texts[1200:]))
+    machine = fit_machine(first, terms, y[:1200])
+    assert auc(machine.score(new_first, new_terms), y[1200:]) > 0.95
+
+
 def test_op10_meets_targets_and_reruns_agree(spark):
     found = queries.op10_mixing(spark, SF).toPandas().sort_values("doc_id", ignore_index=True)
     again = queries.op10_mixing(spark, SF).toPandas().sort_values("doc_id", ignore_index=True)
