@@ -3,7 +3,8 @@
 Two views of a page are classified apart: its text content (which kinds of characters follow each
 other, repeated words) and its metadata (language, source, and layout such as lines and lengths).
 In each round, each view's classifier labels pool documents that it is sure of, and these
-pseudo-labels join the other view's training rows. The views are calibrated on held-back labels
+pseudo-labels join the other view's training rows. The pool is every document outside the labelled
+sample; it stays in Spark. The views are calibrated on held-back labels
 and combined to score all documents.
 """
 
@@ -19,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import checkpoint
 from .textblocks import blocks, split_words
 
 #: Kinds of bytes: letter, capital, digit, space, line end, punctuation, other sign.
@@ -109,6 +111,7 @@ class CoTrained:
     meta: Logistic | None
     calibrations: tuple[tuple[float, float], ...] = ()
     prior: float = 0.0
+    n_pool: int = 0
 
     def score(self, content: np.ndarray, meta: np.ndarray) -> np.ndarray:
         """Calibrated probabilities that a document is good: content, meta, both."""
@@ -129,52 +132,139 @@ def _platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(slope, 0.0), float(fit.bias - fit.weights[0] * fit.mean[0] / fit.scale[0])
 
 
+@dataclass
+class Rule:
+    """What a view labelled in a round, for the other view's training: documents of a logit from ``good`` up and to ``bad`` down."""
+
+    view: int
+    model: Logistic
+    good: float
+    bad: float
+
+
+def pseudo_labels(views: tuple[np.ndarray, np.ndarray], rules: list[Rule]) -> list[np.ndarray]:
+    """Labels that the rules give documents for the training of each view; NaN for none. The first rule holds."""
+    found = [np.full(len(views[0]), np.nan) for _ in views]
+    for rule in rules:
+        z, mine = rule.model.logit(views[rule.view]), found[1 - rule.view]
+        free = np.isnan(mine)
+        mine[free & (z >= rule.good)] = 1.0
+        mine[free & (z <= rule.bad)] = 0.0
+    return found
+
+
+def _statistics(x: np.ndarray, y: np.ndarray, weight: np.ndarray | float, model: Logistic) -> np.ndarray:
+    """Gradient of the log-loss, then the matrix of a quadratic that touches it here and is nowhere below (Jaakkola, Jordan), so that no step overshoots."""
+    z = np.column_stack(((x - model.mean) / model.scale, np.ones(len(x))))
+    t = np.clip(z @ np.append(model.weights, model.bias), -30, 30)
+    p = 1 / (1 + np.exp(-t))
+    curve = np.where(np.abs(t) < 1e-3, 0.25, np.tanh(t / 2) / (2 * np.where(np.abs(t) < 1e-3, 1.0, t)))
+    h = (z * (weight * curve)[:, None]).T @ z
+    return np.concatenate((z.T @ (weight * (p - y)), h.ravel()))
+
+
+def _summed(pool: DataFrame, per_block: Callable[[tuple[np.ndarray, np.ndarray]], np.ndarray]) -> np.ndarray | float:
+    """Sum over the pool, added up in each task first."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            x = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.float32).reshape(-1, CONTENT + META).astype(np.float64)
+            found = per_block((x[:, :CONTENT], x[:, CONTENT:]))
+            total = found if total is None else total + found
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["total"])
+
+    totals = pool.select("views").mapInArrow(add, "total binary").toArrow()["total"].to_pylist()
+    return sum((np.frombuffer(t, np.float64) for t in totals), np.float64(0))
+
+
+def _cut(counts: np.ndarray, most: int, edges: np.ndarray) -> float:
+    """The least confident logit of the ``most`` surest documents; those in the same narrow bin as the last count too."""
+    from_top = np.cumsum(counts[::-1])
+    if not from_top[-1]:
+        return np.inf
+    return float(edges[len(counts) - 1 - min(int(np.searchsorted(from_top, most)), len(counts) - 1)])
+
+
 def co_train(
     views: tuple[np.ndarray, np.ndarray],
     y: np.ndarray,
-    pool: tuple[np.ndarray, np.ndarray],
+    pool: DataFrame,
     rounds: int = 4,
     sure: float = 0.97,
     share: float = 0.1,
     held_back: float = 0.25,
     pseudo_weight: float = 0.3,
+    steps: int = 4,
+    ridge: float = 1.0,
 ) -> CoTrained:
-    """Fit on labelled ``views`` and an unlabelled ``pool``.
+    """Fit on labelled ``views`` and an unlabelled ``pool`` of any size (``views``, packed), which stays in Spark.
 
-    In each round a view may label up to ``share`` of the pool, those it is ``sure`` of, in the
-    classes' proportions. ``held_back`` of the labelled rows, the last ones, only calibrate.
+    In each round a view may label about ``share`` of the pool, those it is ``sure`` of, in the
+    classes' proportions. Confidence is counted in bins and the fits' statistics are summed in each
+    task, so only sums come to the driver. ``held_back`` of the labelled rows, the last ones, only calibrate.
     """
-    if len(y) < 8 or y.min() == y.max():
-        return CoTrained(None, None)
     cut = max(4, int(len(y) * (1 - held_back)))
-    if y[:cut].min() == y[:cut].max():
-        return CoTrained(None, None)
-    train = [[v[:cut]] for v in views]
-    labels, weights = [[y[:cut]], [y[:cut]]], [[np.ones(cut)], [np.ones(cut)]]
-    free = [np.ones(len(pool[0]), bool), np.ones(len(pool[0]), bool)]
     good = float(y[:cut].mean())
-    models: list[Logistic] = []
+    x = [v[:cut] for v in views]
+
+    def moments(block: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        return np.concatenate([[len(block[0])], *[m for v in block for m in (v.sum(0), (v * v).sum(0))]])
+
+    all_rows = _summed(pool, moments)
+    n_pool = int(all_rows[0]) if np.ndim(all_rows) else 0
+    n, *parts = np.split(all_rows + moments(tuple(x)), np.cumsum([1, CONTENT, CONTENT, META]))
+    models = []
+    for total, squares in (parts[:2], parts[2:]):
+        mean = total / n
+        models.append(Logistic(mean, np.sqrt(np.maximum(squares / n - mean**2, 0)) + 1e-6, np.zeros(len(mean)), 0.0))
+    least = float(np.log(sure / (1 - sure)))
+    edges = np.linspace(least, 30, 4001)
+    rules: list[Rule] = []
+    sizes = [(v.shape[1] + 1) * (v.shape[1] + 2) for v in views]
     for turn in range(rounds + 1):
-        models = [fit_logistic(*(np.concatenate(p[k]) for p in (train, labels, weights))) for k in (0, 1)]
-        if turn == rounds or not len(pool[0]):
+        for _ in range(steps if rules else 25):
+            now, known = list(models), list(rules)
+
+            def newton(block: tuple[np.ndarray, np.ndarray], now=now, known=known) -> np.ndarray:
+                sums = []
+                for v, label, model in zip(block, pseudo_labels(block, known), now, strict=True):
+                    told = ~np.isnan(label)
+                    sums.append(_statistics(v[told], label[told], pseudo_weight, model))
+                return np.concatenate(sums)
+
+            own = np.concatenate([_statistics(v, y[:cut], np.ones(cut), m) for v, m in zip(x, now, strict=True)])
+            stats = np.split(own + (_summed(pool, newton) if rules else 0), [sizes[0]])
+            moved = 0.0
+            for k, m in enumerate(now):
+                d = len(m.weights) + 1
+                penalty, w = np.full(d, ridge), np.append(m.weights, m.bias)
+                penalty[-1] = 1e-3
+                step = np.linalg.solve(stats[k][d:].reshape(d, d) + np.diag(penalty), stats[k][:d] + penalty * w)
+                models[k] = Logistic(m.mean, m.scale, (w - step)[:-1], float((w - step)[-1]))
+                moved = max(moved, float(np.abs(step).max()))
+            if moved < 1e-3:
+                break
+        if turn == rounds or not n_pool:
             break
+        now, known = list(models), list(rules)
+
+        def confidence(block: tuple[np.ndarray, np.ndarray], now=now, known=known) -> np.ndarray:
+            free = [np.isnan(label) for label in pseudo_labels(block, known)]
+            z = [m.logit(v)[free[1 - k]] for k, (m, v) in enumerate(zip(now, block, strict=True))]
+            return np.concatenate([np.histogram(s * zk, edges)[0] for zk in z for s in (1, -1)]).astype(np.float64)
+
+        counts = np.split(_summed(pool, confidence), 4)
         for k in (0, 1):
-            other = 1 - k
-            p = 1 / (1 + np.exp(-models[k].logit(pool[k])))
-            for label, confident, part in ((1.0, p, good), (0.0, 1 - p, 1 - good)):
-                most = int(np.ceil(share * part * len(p)))
-                ranked = np.argsort(-confident, kind="stable")
-                picked = ranked[(confident[ranked] >= sure) & free[other][ranked]][:most]
-                free[other][picked] = False
-                train[other].append(pool[other][picked])
-                labels[other].append(np.full(len(picked), label))
-                weights[other].append(np.full(len(picked), pseudo_weight))
+            most = [int(np.ceil(share * part * n_pool)) for part in (good, 1 - good)]
+            rules.append(Rule(k, now[k], _cut(counts[2 * k], most[0], edges), -_cut(counts[2 * k + 1], most[1], edges)))
     back = slice(cut, None) if len(np.unique(y[cut:])) == 2 else slice(None)
     z = [m.logit(v[back]) for m, v in zip(models, views, strict=True)]
     calibrated = [_platt(zk, y[back]) for zk in z]
     prior = float(np.log(good / (1 - good)))
     both = sum(a * zk + b for (a, b), zk in zip(calibrated, z, strict=True)) - prior
-    return CoTrained(models[0], models[1], (*calibrated, _platt(both, y[back])), prior)
+    return CoTrained(models[0], models[1], (*calibrated, _platt(both, y[back])), prior, n_pool)
 
 
 def _with_views(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,12 +297,11 @@ def fit_quality(
     docs: DataFrame,
     labels: DataFrame,
     max_labelled: int = 10_000,
-    max_pool: int = 10_000,
     id_col: str = "doc_id",
     label_col: str = "quality",
 ) -> CoTrained:
-    """Fit on bounded samples, chosen by a hash of the id: ``max_labelled`` labelled documents and
-    ``max_pool`` others. Without enough labels of both kinds nothing is rejected later."""
+    """Fit on ``max_labelled`` labelled documents, chosen by a hash of the id, and on all other
+    documents as the unlabelled pool. Without enough labels of both kinds nothing is rejected later."""
     key = F.xxhash64(F.lit(1), "of_id")
     labelled = (
         labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
@@ -221,26 +310,25 @@ def fit_quality(
         .orderBy(key, "of_id")
         .limit(max_labelled)
     )
-    pool = (
-        docs.select(F.col(id_col).alias("of_id"), F.lit(None).cast("int").alias("label"))
-        .where("of_id is not null")
-        .orderBy(key, "of_id")
-        .limit(max_pool)
-    )
-    # ids of two bounded samples; a document may be in both
-    chosen = labelled.unionByName(pool).groupBy("of_id").agg(F.max("label").alias("label"))
     texts = docs.select(
         F.col(id_col).alias("doc_id"), _string(docs, "text").alias("text"), _string(docs, "lang").alias("lang"), _string(docs, "source").alias("source")
     )
-    rows = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("of_id")).select(F.col("doc_id").cast("long"), "text", "lang", "source", "label")
+    labelled = checkpoint(labelled)
+    same = F.col("doc_id") == F.col("of_id")
+    rows = texts.join(F.broadcast(labelled), same).select(F.col("doc_id").cast("long"), "text", "lang", "source", "label")
     found = rows.mapInArrow(_with_views, "doc_id long, label int, views binary").toArrow()
     x = np.frombuffer(b"".join(found["views"].to_pylist()), np.float32).reshape(-1, CONTENT + META).astype(np.float64)
     ids, y = found["doc_id"].to_numpy(), found["label"].to_pandas().to_numpy(dtype=np.float64)
     order = np.lexsort((*x.T[:3], ids, np.array([crc32(str(i).encode()) for i in ids])))
     x, y = x[order], y[order]
-    known = ~np.isnan(y)
-    content, meta = x[:, :CONTENT], x[:, CONTENT:]
-    return co_train((content[known], meta[known]), y[known], (content[~known], meta[~known]))
+    cut = max(4, int(len(y) * 0.75))
+    if len(y) < 8 or y.min() == y.max() or y[:cut].min() == y[:cut].max():
+        return CoTrained(None, None)
+    others = texts.join(F.broadcast(labelled), same, "left_anti").select(
+        F.col("doc_id").cast("long"), "text", "lang", "source", F.lit(None).cast("int").alias("label")
+    )
+    pool = checkpoint(others.mapInArrow(_with_views, "doc_id long, label int, views binary").select("views"))
+    return co_train((x[:, :CONTENT], x[:, CONTENT:]), y, pool)
 
 
 def score_quality(docs: DataFrame, model: CoTrained, threshold: float = 0.5, columns: list[str] | None = None) -> DataFrame:

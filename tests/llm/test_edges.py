@@ -55,6 +55,16 @@ def test_quality(spark, docs):
     assert score_quality(docs, model).where("keep").count() == docs.count()
 
 
+def test_quality_pool_is_every_document_outside_the_sample(spark):
+    """More documents than any fixed slice, all of them labelled."""
+    ids = spark.range(10_400).withColumnRenamed("id", "doc_id")
+    docs = ids.withColumn("text", F.when(F.col("doc_id") % 2 == 0, F.lit("A fine page of plain words.")).otherwise(F.lit("#### 000 !!! ###")))
+    model = fit_quality(docs, ids.withColumn("quality", (F.col("doc_id") % 2 == 0).cast("int")), max_labelled=10_000)
+    assert model.n_pool == 400
+    kept = score_quality(docs, model).where("keep")
+    assert kept.count() == kept.where("doc_id % 2 = 0").count() == 5_200
+
+
 def test_near_duplicates(docs):
     found = near_duplicates(docs)
     rows = found.collect()
