@@ -1,6 +1,10 @@
 """Each query with SQL must give what DuckDB gives; the others must give rows of a stable schema."""
 
 import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 import pandas as pd
@@ -54,3 +58,15 @@ def test_entry(spark):
 
 def test_registry_agrees():
     assert set(registry.oracle_sql()) <= set(registry.queries())
+
+
+def test_the_rest_stands_without_the_text_operators(tmp_path):
+    """In a copy without the text folders the registry imports and holds the other queries."""
+    root = Path(registry.__file__).parent
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    shutil.copy(root / "corpus_pipeline.py", tmp_path) if (root / "corpus_pipeline.py").exists() else None
+    shutil.copytree(root / "arborlake", tmp_path / "arborlake", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    code = "import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); print(sorted(q)); assert set(s) <= set(q)"
+    found = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
+    assert found.returncode == 0, found.stderr
+    assert eval(found.stdout) == sorted(QUERIES)
