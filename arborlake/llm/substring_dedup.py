@@ -69,9 +69,10 @@ class Candidates:
         np.add.at(near, hit + 1, -1)
         wanted = np.cumsum(near)[at] > 0
         self.at = at[wanted]
-        second = windows(hashes ^ U64(0xA5A5A5A5A5A5A5A5), words.first, window, salt=3)[0][wanted]
-        pairs = np.empty(len(self.at), [("main", U64), ("more", np.uint32)])
-        pairs["main"], pairs["more"] = h[wanted], (second >> U64(32)).astype(np.uint32)
+        # a second hash of the same words by other steps: 128 bits together
+        second = windows(words.hashes(3), words.first, window, salt=3)[0][wanted]
+        pairs = np.empty(len(self.at), [("main", U64), ("more", U64)])
+        pairs["main"], pairs["more"] = h[wanted], second
         order = np.lexsort((pairs["more"], pairs["main"]))
         new = np.ones(len(order), bool)
         new[1:] = pairs[order][1:] != pairs[order][:-1]
@@ -151,7 +152,7 @@ def _ask_windows(bits: int, window: int) -> Callable[[pa.Table, pa.Table], pa.Ta
 
 def _answer_windows(table: pa.Table) -> pa.Table:
     """Which windows another chunk has in a document with a smaller id."""
-    kinds = (("main", U64), ("more", np.uint32), ("owner", np.int64))
+    kinds = (("main", U64), ("more", U64), ("owner", np.int64))
     parts = {n: [np.frombuffer(b, t) for b in table[n].to_pylist()] for n, t in kinds}
     main, more, owner = (np.concatenate(parts[n]) for n, _ in kinds)
     order = np.lexsort((owner, more, main))
@@ -249,7 +250,8 @@ def remove_repeats(
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_chunks = max(1, math.ceil(total / CHUNK_BYTES))
     bits = max(1, math.ceil(math.log2(max(2, total / 14 / RANGE_HASHES))))
-    chunks = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(n_chunks)))
+    # rows of one id are told apart by their text: a hot id, or none, isn't one chunk
+    chunks = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_chunks)))
     by_chunk = chunks.groupBy("chunk")
     shared = (
         by_chunk.applyInArrow(_ask_anchors(bits, window), ASK).groupBy("hash_range").applyInArrow(_answer_anchors, ANSWER)

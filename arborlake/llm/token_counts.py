@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint, shared_folder
-from .textblocks import Words, blocks, spans, text_bytes
+from .textblocks import BLOCK_BYTES, Words, blocks, distinct_words, spans, text_bytes
 
 
 def pre_tokens(data: np.ndarray, offsets: np.ndarray) -> Words:
@@ -47,14 +47,35 @@ def check_model(model_path: str) -> None:
         raise ValueError(f"pre-tokens don't hold for {model_path}: {odd[:3]}")
 
 
+def _parts(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Blocks of texts (first row, bytes, offsets), where a text beyond a block is cut between pre-tokens.
+
+    A cut drops one space, as the start of a text does, so the parts have the pre-tokens of the whole.
+    """
+    for row, data, offsets in blocks(column):
+        a = 0
+        if len(data) > 2 * BLOCK_BYTES:
+            raw = data.tobytes()
+            while len(raw) - a > 2 * BLOCK_BYTES:
+                c = raw.find(b" ", a + BLOCK_BYTES)
+                while c > 0 and raw[c - 1] == 0x20:
+                    c = raw.find(b" ", c + 1)
+                if not 0 < c < len(raw) - 1:
+                    break
+                yield row, data[a:c], np.array([0, c - a])
+                a = c + 1
+        yield row, data[a:], (offsets if a == 0 else np.array([0, len(data) - a]))
+
+
 def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct pre-tokens of a few blocks at a time, with how often they occur."""
+    """Distinct pre-tokens of each part, with how often they occur."""
     for batch in batches:
-        for _, data, offsets in blocks(batch.column(0), 8 << 20):
+        for _, data, offsets in _parts(batch.column(0)):
             words = pre_tokens(data, offsets)
-            _, at, n = np.unique(words.hashes(), return_index=True, return_counts=True)
+            at, of = distinct_words(words)
             raw = data.tobytes()
             tokens = [raw[a:b] for a, b in zip(words.start[at].tolist(), words.end[at].tolist(), strict=True)]
+            n = np.bincount(of, minlength=len(at))
             yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())], names=["token", "n"])
 
 
@@ -83,25 +104,24 @@ def _document_counter(head) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, pieces = head.value
         for batch in batches:
-            sizes, sums, tails = [], [], []
-            for _, data, offsets in blocks(batch.column(1)):
+            _, every = text_bytes(batch.column(1))
+            sums = np.zeros(batch.num_rows, np.int64)
+            tails: list[list[dict]] = [[] for _ in range(batch.num_rows)]
+            for row, data, offsets in _parts(batch.column(1)):
                 words = pre_tokens(data, offsets)
                 n_texts = len(offsets) - 1
-                hashes, at, of = np.unique(words.hashes(), return_index=True, return_inverse=True)
+                at, of = distinct_words(words)
+                hashes = words.hashes()[at]
                 place = np.minimum(np.searchsorted(known, hashes), max(0, len(known) - 1))
                 found = known[place] == hashes if len(known) else np.zeros(len(hashes), bool)
                 # frequencies: how often each text has each pre-token
-                pairs, times = np.unique(words.texts() * max(1, len(hashes)) + of, return_counts=True)
-                text, token = np.divmod(pairs, max(1, len(hashes)))
+                pairs, times = np.unique(words.texts() * max(1, len(at)) + of, return_counts=True)
+                text, token = np.divmod(pairs, max(1, len(at)))
                 worth = np.where(found, pieces[place] if len(known) else 0, 0)
-                sums.append(np.bincount(text, times * worth[token], n_texts).astype(np.int64))
-                sizes.append(np.diff(offsets))
-                rare: list[list[dict]] = [[] for _ in range(n_texts)]
-                for i in np.flatnonzero(~found[token]):
-                    k = at[token[i]]
-                    rare[text[i]].append({"token": data[words.start[k] : words.end[k]].tobytes().decode(), "n": int(times[i])})
-                tails += rare
-            whole = [pa.array(np.concatenate(x) if x else [], pa.int64()) for x in (sizes, sums)]
+                sums[row : row + n_texts] += np.bincount(text, times * worth[token], n_texts).astype(np.int64)
+                for i in np.flatnonzero(~found[token]).tolist():
+                    tails[row + text[i]].append({"token": words.word(at[token[i]]).decode(), "n": int(times[i])})
+            whole = [pa.array(x, pa.int64()) for x in (np.diff(every), sums)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), *whole, pa.array(tails, tail_type)], names=["doc_id", "text_hash", "n_bytes", "head", "tail"]
             )
@@ -119,13 +139,14 @@ def token_counts(
 ) -> DataFrame:
     """One row per document: ``doc_id, n_bytes, n_tokens, over_limit``.
 
-    Distinct pre-tokens are gathered with their corpus frequency, merged in each task first, and
-    each is encoded once. Documents then meet the counts by their own pre-token frequencies: the
-    most frequent pre-tokens, ``head_size`` at most (16 bytes each, whatever the corpus), are sent to every task as
-    sorted hashes; all others are joined by shuffle on their text. Hashes that two pre-tokens share
-    are left to the join too, so counts are exact. Token ids are never kept. A null text is the
-    empty one, with no tokens. Rows that repeat an id and a text return a row each. Other columns
-    are ignored.
+    Distinct pre-tokens are gathered with their corpus frequency, merged in each task first by
+    their bytes, and each is encoded once. Documents then meet the counts by their own pre-token
+    frequencies: the most frequent pre-tokens, ``head_size`` at most (16 bytes each, whatever the
+    corpus), are sent to every task as sorted hashes; all others are joined by shuffle on their
+    text. A hash that two pre-tokens of the corpus share is left to the join too, so counts are
+    exact. Token ids are never kept. A text of many megabytes is worked on in parts of about one.
+    A null text is the empty one, with no tokens. Rows that repeat an id and a text return a row
+    each. Other columns are ignored.
     """
     spark = docs.sparkSession
     check_model(model_path)
@@ -140,9 +161,9 @@ def token_counts(
         if held + r["tokens"] > head_size:
             break
         least, held = r["n"], held + r["tokens"]
-    head = pieces.where(F.col("n") >= least)
-    alone = head.groupBy("hash").agg(F.max("pieces").alias("pieces"), F.count(F.lit(1)).alias("tokens"))
-    sent = alone.where("tokens = 1").select("hash", "pieces").toArrow()
+    # over all pre-tokens, so that a rare one can't pass for a frequent one of the same hash
+    alone = pieces.groupBy("hash").agg(F.max("pieces").alias("pieces"), F.max("n").alias("n"), F.count(F.lit(1)).alias("tokens"))
+    sent = alone.where((F.col("tokens") == 1) & (F.col("n") >= least)).select("hash", "pieces").toArrow()
     hashes, counts = sent["hash"].to_numpy().view(np.uint64), sent["pieces"].to_numpy()
     order = np.argsort(hashes)
     counted = texts.withColumn("text_hash", F.xxhash64("text")).mapInArrow(
