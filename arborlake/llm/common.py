@@ -35,6 +35,19 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def join_by_hot_key(rows: DataFrame, counted: DataFrame, keys: list[str], n: str, share: float = 1e-3) -> DataFrame:
+    """Join ``rows`` with ``counted``, which has one row per key and in ``n`` how many rows have it.
+
+    Keys of more than a ``share`` of all rows, fewer than one divided by that, are broadcast, so their rows
+    stay where they are; all others meet by shuffle. Both inputs are read twice and should be stored.
+    """
+    total = counted.agg(F.sum(n)).first()[0] or 0
+    hot = F.col(n) > F.lit(max(1.0, share * total))
+    often = F.broadcast(counted.where(hot))
+    seldom = rows.join(F.broadcast(counted.where(hot).select(*keys)), keys, "left_anti").join(counted.where(~hot), keys)
+    return rows.join(often, keys).unionByName(seldom)
+
+
 def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

@@ -5,24 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, join_by_hot_key
 
 
 def components(edges: DataFrame) -> DataFrame:
     """``node, root`` for each node of ``edges`` (``a``, ``b``); the root is the component's smallest node.
 
     Alternates large-star and small-star steps, which end in as many rounds as the logarithm of the
-    component's size. Neighbours are reduced to their minimum in each task first, and the join
-    with that minimum may be split where a node has many neighbours.
+    component's size. Neighbours are reduced to their minimum in each task first, and that of a node
+    with a thousandth of all edges or more is broadcast, so that a hub isn't one task's work.
     """
     edges = checkpoint(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        met = join_by_hot_key(both, least, ["a"], "n")
+        large = checkpoint(met.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        met = join_by_hot_key(large, low, ["a"], "n")
+        small = met.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         edges = checkpoint(small.where("a <> b").distinct())
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if now == before:

@@ -1,11 +1,18 @@
 """N-gram Jaccard join by a MinHash LSH forest, with exact verification.
 
 A document is its set of shingles, runs of five words. Documents of one set are a class, and one of
-them stands for it. Signatures of the representatives are cut into the trees of a forest; a tree is
-a prefix trie, and two representatives are candidates when they share a prefix in any tree. The
-prefix starts at the tree's full depth and is shortened until the forest finds pairs at the
-threshold with the target recall. Candidates that hang together are verified against each other on
-their whole sets.
+them stands for it. Signatures of the classes are cut into the branches of the forest's trees. A
+tree is a prefix trie: its branches are sorted, so that branches with a common prefix are
+neighbours, and a branch that shares no useful prefix with its neighbours leaves at once.
+
+The search starts at whole branches and shortens the prefix. What is found at a depth is verified on
+whole sets, and its similarities say how many links that depth misses: a link of similarity s is
+found with a known probability, so each link found stands for one divided by that. The prefix is
+shortened to the greatest depth whose estimated recall reaches the target, and measured again there.
+It needn't go below the depth at which even a forest of links at the bare threshold reaches it.
+
+Verification works in blocks of neighbours in a trie. Two blocks meet when they share a prefix; a
+block of a chain of neighbours doesn't meet the chain's other end.
 """
 
 from __future__ import annotations
@@ -17,22 +24,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, join_by_hot_key
 from .components import components
 from .textblocks import U64, blocks, mixed, split_words, windows
 
-TREES, DEPTH = 32, 8
+TREES, DEPTH = 32, 16
 SLOTS = TREES * DEPTH
-#: Sets of at most SMALL shingles get MinHash signatures, those of at least LARGE one hash in bins.
-#: Similar sets differ in size by the threshold at most, so that such pairs share a kind.
-SMALL, LARGE = 192, 96
+#: Texts that are signed at once, and bins of the similarities found.
+SIGNED, BINS = 2048, 20
 _NO_ID = (1 << 63) - 1
 
 
-def forest_depth(threshold: float, recall: float) -> int:
-    """Shorten the prefix until a pair at the threshold shares one in some tree with probability ``recall``."""
-    for depth in range(DEPTH, 0, -1):
-        if 1 - (1 - threshold**depth) ** TREES >= recall:
+def found_share(similarity: np.ndarray | float, depth: int) -> np.ndarray | float:
+    """The probability that two sets share a prefix of ``depth`` slots in some tree."""
+    return 1 - (1 - similarity**depth) ** TREES
+
+
+def forest_depth(similarity: np.ndarray, links: np.ndarray, recall: float) -> int:
+    """The longest prefix by which a share ``recall`` of ``links`` of these similarities is found."""
+    for depth in range(DEPTH, 1, -1):
+        if (links * found_share(similarity, depth)).sum() >= recall * links.sum():
             return depth
     return 1
 
@@ -60,69 +71,130 @@ def shingle_sets(column: pa.Array, size: int = 5) -> Iterator[tuple[np.ndarray,
         yield np.searchsorted(text, np.arange(len(count) + 1)), found
 
 
-def _minhash(first: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    out = np.empty((len(first) - 1, SLOTS), U64)
-    for j in range(SLOTS):
-        out[:, j] = np.minimum.reduceat(mixed(hashes ^ U64((j + 1) * 0x9E3779B97F4A7C15 % (1 << 64))), first[:-1])
-    return out
-
+def signatures(first: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """A byte for each of SLOTS slots of each set, none of which is empty.
 
-def _one_permutation(first: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """The least hash in each of SLOTS bins; an empty bin takes the next one's, marked by its distance."""
+    Fast similarity sketching (Dahlgaard, Knudsen, Thorup): in a round each element falls in a slot
+    by a new hash, and earlier rounds win; a slot that as many rounds as slots leave empty takes the least
+    element. Sets of any size are treated alike, and two sets agree in a slot with a probability of their
+    similarity.
+    """
     n = len(first) - 1
+    out = np.full(n * SLOTS, np.iinfo(U64).max, U64)
     text = np.repeat(np.arange(n), np.diff(first))
-    cell = text * SLOTS + (hashes >> U64(56)).astype(np.int64) * SLOTS // 256
-    least = np.flatnonzero(np.diff(cell, prepend=-1))
-    out, filled = np.zeros(n * SLOTS, U64), np.zeros(n * SLOTS, bool)
-    out[cell[least]], filled[cell[least]] = hashes[least], True
-    out, filled = np.tile(out.reshape(n, SLOTS), 2), np.tile(filled.reshape(n, SLOTS), 2)
-    place = np.where(filled, np.arange(2 * SLOTS), 2 * SLOTS)
-    place = np.minimum.accumulate(place[:, ::-1], axis=1)[:, ::-1][:, :SLOTS]
-    distance = (place - np.arange(SLOTS)).astype(U64)
-    return mixed(np.take_along_axis(out, place, 1) + distance * U64(0x632BE59BD9B4E019))
-
-
-def _prefixes(signature: np.ndarray, depth: int, kind: int) -> np.ndarray:
-    """One hash per tree: the first ``depth`` slots of each, with the tree's number."""
-    tries = signature.reshape(-1, TREES, DEPTH)
-    h = np.broadcast_to(mixed(np.arange(TREES, dtype=U64) + U64(1000 * kind)), tries.shape[:2]).copy()
-    for k in range(depth):
-        h = mixed(h * U64(0xD6E8FEB86659FD93) + tries[:, :, k])
-    return h.view(np.int64)
-
-
-def _sketcher(depth: int, size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    for turn in range(2 * SLOTS):
+        h = mixed(hashes ^ U64((turn + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
+        slot = (h & U64(SLOTS - 1)).astype(np.int64) if turn < SLOTS else turn - SLOTS
+        np.minimum.at(out, text * SLOTS + slot, (U64(turn) << U64(52)) | (h >> U64(12)))
+        if turn < 8 or turn % 16 == 0:
+            left = ~(out.reshape(n, SLOTS) != np.iinfo(U64).max).all(1)
+            if not left.all():
+                still = left[text]
+                text, hashes = text[still], hashes[still]
+                if not len(text):
+                    break
+    return mixed(out).reshape(n, SLOTS).astype(np.uint8)
+
+
+def _sketcher(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row = 0
-            for first, hashes in shingle_sets(batch.column(1), size):
+            for first, hashes in shingle_sets(batch.column(2), size):
                 n = np.diff(first)
-                keys: list[list[np.ndarray]] = [[] for _ in n]
-                for kind, fits, sign in ((1, (n > 0) & (n <= SMALL), _minhash), (2, n >= LARGE, _one_permutation)):
-                    rows = np.flatnonzero(fits)
+                signed = np.zeros((len(n), SLOTS), np.uint8)
+                for a in range(0, len(n), SIGNED):
+                    part = first[a : a + SIGNED + 1]
+                    rows = np.flatnonzero(np.diff(part))
                     if len(rows):
-                        own = np.concatenate([hashes[first[i] : first[i + 1]] for i in rows])
-                        found = _prefixes(sign(np.concatenate(([0], np.cumsum(n[rows]))), own), depth, kind)
-                        for i, k in zip(rows, found, strict=True):
-                            keys[i].append(k)
+                        signed[a + rows] = signatures(np.append(part[rows], part[-1]) - part[0], hashes[part[0] : part[-1]])
                 sums = []
                 for salt in (11, 12):
                     total = np.concatenate((np.zeros(1, U64), np.cumsum(mixed(hashes + U64(salt)), dtype=U64)))
                     sums.append((total[first[1:]] - total[first[:-1]]).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(row, len(n)),
+                        *(batch.column(i).slice(row, len(n)) for i in (0, 1)),
                         pa.array(n, pa.int32()),
                         *(pa.array(s, pa.int64()) for s in sums),
-                        pa.array([np.concatenate(k) if k else np.zeros(0, np.int64) for k in keys], pa.list_(pa.int64())),
+                        _binaries(signed),
                     ],
-                    names=["doc_id", "n", "set1", "set2", "keys"],
+                    names=["doc_id", "text_hash", "n", "set1", "set2", "signature"],
                 )
                 row += len(n)
 
     return sketch
 
 
+def _binaries(rows: np.ndarray) -> pa.Array:
+    """A column of binaries of one size."""
+    ends = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
+def _branches(batch: pa.RecordBatch | pa.Table) -> np.ndarray:
+    column = batch.column("branch")
+    column = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
+    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset] if len(column) else 0
+    return np.frombuffer(column.buffers()[2] or b"", np.uint8)[at : at + len(column) * DEPTH].reshape(-1, DEPTH)
+
+
+def _with_neighbours(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of sorted branches, those that share ``least`` slots with a neighbour, and ``shared``, how many they share.
+
+    The first and the last branch of a task may have neighbours in other tasks: these stay.
+    """
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, with_held = None, DEPTH
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
+            tree, branch = rows["tree"].to_numpy(), _branches(rows)
+            same = np.logical_and.accumulate((branch[1:] == branch[:-1]) & (tree[1:] == tree[:-1])[:, None], axis=1).sum(1)
+            before, after = np.concatenate(([with_held], same)), np.concatenate((same, [DEPTH]))
+            last = rows.num_rows - 1
+            shared = np.maximum(before, after)[:last]
+            found = rows.slice(0, last).append_column("shared", pa.array(shared, pa.int32())).filter(pa.array(shared >= least))
+            yield from found.combine_chunks().to_batches()
+            held, with_held = rows.slice(last).combine_chunks().to_batches()[0], int(before[last])
+        if held is not None:
+            yield from pa.Table.from_batches([held]).append_column("shared", pa.array([DEPTH], pa.int32())).to_batches()
+
+    return keep
+
+
+def _runs(depth: int, block: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of a task's sorted branches, the runs that share ``depth`` slots, cut in blocks: ``cls, node, size, block``.
+
+    A task holds its branches as arrays, 30 bytes each.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [b for b in batches if b.num_rows]
+        if not parts:
+            return
+        rows = pa.Table.from_batches(parts)
+        rows = rows.filter(pa.array(rows["shared"].to_numpy() >= depth)).combine_chunks()
+        if not rows.num_rows:
+            return
+        tree, cls, branch = rows["tree"].to_numpy(), rows["cls"].to_numpy(), _branches(rows)[:, :depth]
+        new = np.ones(len(cls), bool)
+        new[1:] = (branch[1:] != branch[:-1]).any(1) | (tree[1:] != tree[:-1])
+        starts = np.flatnonzero(new)
+        run, size = np.cumsum(new) - 1, np.diff(np.append(starts, len(cls)))
+        inside = np.arange(len(cls)) - starts[run]
+        begin = starts[run] + inside // block * block
+        node = mixed(tree.astype(U64) + U64(1))
+        for k in range(depth):
+            node = mixed(node * U64(0xD6E8FEB86659FD93) + branch[:, k])
+        columns = [cls, node.view(np.int64), size[run], cls[begin] * TREES + tree]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["cls", "node", "size", "block"])
+
+    return cut
+
+
 def _packer(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,12 +208,13 @@ def _packer(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
 
 def _verifier(threshold: float) -> Callable[[pa.Table], pa.Table]:
     def verify(cell: pa.Table) -> pa.Table:
-        """Links inside one block, or between two blocks, of one group of candidates."""
-        cell = cell.sort_by([("block", "ascending"), ("rep", "ascending")])
-        rep, copies, block = (cell[c].to_numpy() for c in ("rep", "copies", "block"))
+        """Links inside a block, or between two blocks: per class how many rows it links to and the least class
+        that links lead to here, and once how many links there are by similarity."""
+        cell = cell.sort_by([("block", "ascending"), ("cls", "ascending")])
+        cls, copies, block = (cell[c].to_numpy() for c in ("cls", "copies", "block"))
         sets = [np.frombuffer(b, U64) for b in cell["shingles"].to_pylist()]
         n = np.array([len(s) for s in sets])
-        m, two = len(rep), block[0] != block[-1]
+        m, two = len(cls), block[0] != block[-1]
         cut = int(np.searchsorted(block, block[-1])) if two else 0
         flat, owner = np.concatenate(sets), np.repeat(np.arange(m), n)
         _, symbol, df = np.unique(flat, return_inverse=True, return_counts=True)
@@ -150,7 +223,7 @@ def _verifier(threshold: float) -> Callable[[pa.Table], pa.Table]:
         by_symbol = np.argsort(symbol, kind="stable")
         posting, starts = owner[by_symbol], np.concatenate(([0], np.cumsum(np.bincount(symbol, minlength=len(df)))))
         place = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=m))))
-        links, root = np.zeros(m, np.int64), np.arange(m)
+        links, root, bins = np.zeros(m, np.int64), np.arange(m), np.zeros(BINS, np.int64)
 
         def find(i: int) -> int:
             while root[i] != i:
@@ -162,33 +235,57 @@ def _verifier(threshold: float) -> Callable[[pa.Table], pa.Table]:
             own = symbol[place[i] : place[i + 1]]
             shared = np.zeros(m, np.int64)
             sizes = starts[own + 1] - starts[own]
-            for part in np.split(np.arange(len(own)), np.searchsorted(np.cumsum(sizes), np.arange(1, sizes.sum() // 2_000_000 + 1) * 2_000_000)) if len(own) else []:
+            # two million postings at a time, however common the shingles are
+            cuts = np.searchsorted(np.cumsum(sizes), np.arange(1, int(sizes.sum()) // 2_000_000 + 1) * 2_000_000)
+            for part in np.split(np.arange(len(own)), cuts):
                 if len(part):
                     k = sizes[part]
                     at = np.arange(k.sum()) + np.repeat(starts[own[part]] - (np.cumsum(k) - k), k)
                     shared += np.bincount(posting[at], minlength=m)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                linked = shared / (n[i] + n - shared) >= threshold
+            similarity = shared / np.maximum(n[i] + n - shared, 1)
+            linked = similarity >= threshold
             linked[: max(cut, i + 1)] = False
             partners = np.flatnonzero(linked)
             links[i] += copies[partners].sum()
             links[partners] += copies[i]
+            place_of = ((similarity[partners] - threshold) / max(1 - threshold, 1e-9) * BINS).astype(np.int64)
+            bins += np.bincount(np.minimum(place_of, BINS - 1), minlength=BINS)
             for j in partners:
                 a, b = find(i), find(int(j))
                 root[max(a, b)] = min(a, b)
         roots = np.array([find(i) for i in range(m)])
         least = np.full(m, _NO_ID)
-        np.minimum.at(least, roots, rep)
-        return pa.table({"rep": pa.array(rep, pa.int64()), "links": pa.array(links, pa.int64()), "root": pa.array(least[roots], pa.int64())})
+        np.minimum.at(least, roots, cls)
+        linked = np.flatnonzero((links > 0) | (np.arange(m) == 0))
+        similar = [bins.tolist() if i == 0 else None for i in linked]
+        columns = {"cls": cls[linked], "links": links[linked], "root": least[roots][linked]}
+        return pa.table({**{k: pa.array(v, pa.int64()) for k, v in columns.items()}, "similar": pa.array(similar, pa.list_(pa.int64()))})
 
     return verify
 
 
+def _verified(tries: DataFrame, sets: DataFrame, depth: int, block: int, threshold: float) -> DataFrame:
+    """Links among classes that share ``depth`` slots in some tree: ``cls, links, root, similar``."""
+    runs = checkpoint(tries.mapInArrow(_runs(depth, block), "cls long, node long, size long, block long"))
+    # a class is verified in the block of its largest node; two blocks meet where classes of both share a node
+    home = runs.groupBy("cls").agg(F.max(F.struct("size", "node", "block"))["block"].alias("home"))
+    at = runs.select("cls", "node").join(home, "cls").select("node", F.col("home").alias("block")).distinct()
+    several = at.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node")
+    meeting = checkpoint(at.join(several, "node"))
+    i, j = meeting.withColumnRenamed("block", "i"), meeting.withColumnRenamed("block", "j")
+    pairs = checkpoint(i.join(j, "node").where("i < j").select("i", "j").distinct())
+    own = home.select(F.col("home").alias("i"), F.col("home").alias("j")).distinct()
+    cells = own.select("i", "j", F.col("i").alias("of")).unionByName(pairs.select("i", "j", F.explode(F.array("i", "j")).alias("of")))
+    held = sets.join(home, "cls").select("cls", "copies", "shingles", F.col("home").alias("block"))
+    dealt = held.join(cells, held["block"] == cells["of"]).select("i", "j", "cls", "copies", "block", "shingles")
+    return checkpoint(dealt.groupBy("i", "j").applyInArrow(_verifier(threshold), "cls long, links long, root long, similar array<long>"))
+
+
 def near_duplicates(
     docs: DataFrame,
     threshold: float = 0.8,
     shingle: int = 5,
-    recall: float = 0.995,
+    recall: float = 0.999,
     block: int = 512,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -198,52 +295,64 @@ def near_duplicates(
     ``n_links`` counts the other rows whose set of shingles has a Jaccard similarity of at least
     ``threshold``; ``class_id`` is the smallest id that links lead to, over any number of links;
     ``copies_of`` is the smallest id with the same set. Null and blank texts have no shingles and
-    no links; a null id counts as the largest. Rows that repeat an id and a text link to each
-    other. Other columns are ignored.
-
-    Copies are merged in each task before they are shuffled. Groups of candidates are verified in
-    blocks of about ``block`` representatives, one task for each two blocks of a group, which emits
-    counts and a forest of links, never the pairs.
+    no links; a null id counts as the largest. Rows that repeat an id or have none are rows of
+    their own: those of one set link to each other, and those of different texts are different classes. Other
+    columns are ignored. A share ``recall`` of the links, by estimate, is found at least; all found are exact,
+    on 64-bit hashes of the shingles.
+
+    Copies are merged in each task before they are shuffled. Classes are verified in blocks of
+    ``block`` at most, one task group for each two blocks that share a prefix, which emits counts
+    and a forest of links, never the pairs.
     """
-    depth = forest_depth(threshold, recall)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     sketches = checkpoint(
-        rows.mapInArrow(_sketcher(depth, shingle), "doc_id long, n int, set1 long, set2 long, keys array<long>")
+        rows.mapInArrow(_sketcher(shingle), "doc_id long, text_hash long, n int, set1 long, set2 long, signature binary")
     )
     classes = checkpoint(
         sketches.where("n > 0")
         .groupBy("set1", "set2", "n")
-        .agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("keys").alias("keys"))
-    )
-    entries = classes.select("rep", F.explode("keys").alias("key"))
-    nodes = entries.groupBy("key").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most")
-    near = components(entries.join(nodes, "key").select(F.col("rep").alias("a"), F.col("least").alias("b")))
-    near = checkpoint(near)
-    groups = near.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("n_blocks"))
-    members = near.join(groups, "root").join(classes.select("rep", "copies"), F.col("node") == F.col("rep")).select("root", "rep", "copies", "n_blocks")
-    texts = rows.join(members, rows["doc_id"] == members["rep"]).dropDuplicates(["rep"]).select("text", "root", "rep", "copies", "n_blocks")
-    sets = texts.mapInArrow(_packer(shingle), "root long, rep long, copies long, n_blocks int, shingles binary")
-    own = F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int")
-    cells = (
-        sets.withColumn("block", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-        .withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-        .select("root", "i", "j", "rep", "copies", "block", "shingles")
+        .agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("signature").alias("signature"))
+        .select("set1", "set2", "n", "rep.*", "copies", "signature", F.monotonically_increasing_id().alias("cls"))
     )
-    found = checkpoint(cells.groupBy("root", "i", "j").applyInArrow(_verifier(threshold), "rep long, links long, root long"))
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    roots = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    named = (
-        classes.select("set1", "set2", "n", "rep", "copies")
-        .join(links, "rep", "left")
-        .join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    )
-    joined = sketches.select("doc_id", "n", "set1", "set2").join(named, ["set1", "set2", "n"], "left")
-    known = F.col("doc_id") != _NO_ID
-    return joined.select(
-        F.when(known, F.col("doc_id")).alias("doc_id"),
-        F.when(F.coalesce("root", "rep", "doc_id") != _NO_ID, F.coalesce("root", "rep", "doc_id")).alias("class_id"),
-        F.coalesce(F.col("links") + F.col("copies") - 1, F.col("copies") - 1, F.lit(0)).alias("n_links"),
-        F.when(F.coalesce("rep", "doc_id") != _NO_ID, F.coalesce("rep", "doc_id")).alias("copies_of"),
+    edges = threshold + np.arange(BINS) * (1 - threshold) / BINS
+    least = forest_depth(edges[:1], np.ones(1), recall)
+    branch = F.substring("signature", F.col("tree") * DEPTH + 1, F.lit(DEPTH))
+    branches = classes.select("cls", "signature", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select("tree", branch.alias("branch"), "cls")
+    sorted_branches = branches.repartitionByRange("tree", "branch", "cls").sortWithinPartitions("tree", "branch", "cls")
+    tries = checkpoint(sorted_branches.mapInArrow(_with_neighbours(least), "tree int, branch binary, cls long, shared int"))
+    members = classes.join(tries.select("cls").distinct(), "cls", "left_semi").select("doc_id", "text_hash", "cls", "copies")
+    texts = rows.join(members, ["doc_id", "text_hash"]).dropDuplicates(["cls"]).select("text", "cls", "copies")
+    sets = checkpoint(texts.mapInArrow(_packer(shingle), "cls long, copies long, shingles binary"))
+    depth = DEPTH
+    while True:
+        found = _verified(tries, sets, depth, block, threshold)
+        counts = found.where("similar is not null").select(F.posexplode("similar").alias("bin", "n")).groupBy("bin").agg(F.sum("n").alias("n"))
+        similar = np.zeros(BINS)
+        for r in counts.collect():
+            similar[r["bin"]] = r["n"]
+        # each link found stands for those like it that this depth misses; one more at the threshold, for what none stands for
+        links = similar / found_share(edges, depth)
+        links[0] += 1
+        needed = max(least, forest_depth(edges, links, recall))
+        if needed >= depth:
+            break
+        depth = needed
+    linked = found.where("links > 0")
+    links = linked.groupBy("cls").agg(F.sum("links").alias("links"))
+    roots = components(linked.select(F.col("cls").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "cls")
+    first = roots.join(classes.select("cls", "doc_id"), "cls").groupBy("root").agg(F.min("doc_id").alias("class_id"))
+    linked_to = links.join(roots, "cls").join(first, "root").select("cls", "links", "class_id")
+    named = classes.select("set1", "set2", "n", F.col("doc_id").alias("copies_of"), "copies", "cls").join(linked_to, "cls", "left").drop("cls")
+    named = checkpoint(named)
+    with_sets = join_by_hot_key(sketches.where("n > 0").select("doc_id", "n", "set1", "set2"), named, ["set1", "set2", "n"], "copies")
+    known = [
+        "doc_id",
+        F.coalesce("class_id", "copies_of").alias("class_id"),
+        (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+        "copies_of",
         F.col("n").cast("long").alias("n_shingles"),
-    )
+    ]
+    blank = ["doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("copies_of"), F.lit(0).cast("long").alias("n_shingles")]
+    every = with_sets.select(*known).unionByName(sketches.where("n = 0").select(*blank))
+    return every.select(*[F.when(F.col(c) != _NO_ID, F.col(c)).alias(c) if c in ("doc_id", "class_id", "copies_of") else c for c in every.columns])
