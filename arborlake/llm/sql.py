@@ -3,14 +3,24 @@
 _WORDS = r"""list_filter(regexp_split_to_array(translate(coalesce(text, ''),
     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"""
 
-OP3 = """
-WITH lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+OP3 = r"""
+WITH RECURSIVE lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
                       generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS p FROM documents),
-runs AS (SELECT doc_id, p, line, lead(line) OVER (PARTITION BY doc_id ORDER BY p) AS line2 FROM lines),
-late AS (SELECT doc_id, p FROM (
-    SELECT doc_id, p, row_number() OVER (PARTITION BY line, line2 ORDER BY doc_id, p) AS nth FROM runs WHERE line2 IS NOT NULL)
-    WHERE nth > 1),
-gone AS (SELECT DISTINCT doc_id, unnest([p, p + 1]) AS p FROM late)
+runs AS (
+    SELECT doc_id, p, 1 AS n, md5(line) AS h, count(*) OVER (PARTITION BY line) AS places,
+           row_number() OVER (PARTITION BY line ORDER BY doc_id, p) AS nth FROM lines
+    UNION ALL
+    SELECT doc_id, p, n, h, count(*) OVER (PARTITION BY h), row_number() OVER (PARTITION BY h ORDER BY doc_id, p)
+    FROM (SELECT r.doc_id, r.p, r.n + 1 AS n, md5(r.h || l.line) AS h
+          FROM runs AS r JOIN lines AS l ON l.doc_id = r.doc_id AND l.p = r.p + r.n WHERE r.places > 1)),
+late AS (SELECT doc_id, p, max(p + n) AS until FROM runs WHERE nth > 1 GROUP BY doc_id, p),
+parted AS (SELECT *, CASE WHEN p < max(until) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+                     THEN 0 ELSE 1 END AS begins FROM late),
+numbered AS (SELECT *, sum(begins) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM parted),
+maximal AS (SELECT doc_id, min(p) AS first, max(until) AS until FROM numbered GROUP BY doc_id, run),
+gone AS (SELECT doc_id, unnest(range(first, until)) AS p FROM (
+    SELECT m.doc_id, first, until, sum(len(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) AS words
+    FROM maximal AS m JOIN lines AS l ON l.doc_id = m.doc_id AND l.p >= m.first AND l.p < m.until GROUP BY ALL) WHERE words >= 5)
 SELECT l.doc_id, count(*) AS n_lines, count(g.p) AS n_removed,
        sha256(coalesce(string_agg(CASE WHEN g.p IS NULL THEN line END, chr(10) ORDER BY l.p), '')) AS kept_sha256
 FROM lines AS l LEFT JOIN gone AS g ON l.doc_id = g.doc_id AND l.p = g.p GROUP BY l.doc_id
