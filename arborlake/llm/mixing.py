@@ -157,7 +157,7 @@ def _streams(sized: DataFrame, seed: int) -> DataFrame:
     placed = keyed.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     same = placed["source"].eqNullSafe(parts["part_source"]) & (placed["part"] == parts["of_part"])
     return placed.join(parts, same).select(
-        "doc_id", "source", "size", (F.col("part_start") + F.col("inside")).alias("first_word")
+        "row", "doc_id", "source", "size", (F.col("part_start") + F.col("inside")).alias("first_word")
     )
 
 
@@ -168,30 +168,35 @@ def mix_sources(
     depth: int = 4,
     block_words: int = 512,
     least_blocks: int = 1024,
+    most_sources: int = 100_000,
     seed: int = 20,
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
 ) -> DataFrame:
-    """One row per input row: ``doc_id, source, size, source_size, target, pieces``.
+    """One row per input row: ``row, doc_id, source, size, source_size, target, pieces``.
 
     ``pieces`` lists the parts of the document that the mix takes: ``block``, ``pass`` (0 up, when
     a source is read more than once), ``shard``, ``slot`` (the order inside the shard), and
     ``first_word`` and ``n_words`` inside the document. A source's pieces together differ from its
     target by at most half a block, and a source has ``least_blocks`` blocks at least, or one per
     word. A null or blank text has size 0 and no pieces; a null source is a source. Repeated rows
-    are documents of their own. Reruns give the same rows.
+    are documents of their own, told apart by ``row``, which numbers the rows of one run. Reruns give the same
+    rows but for that number. A node of the tree holds a count for each source, so more
+    sources than ``most_sources`` are refused.
     """
     sized = checkpoint(
         docs.select(
+            F.monotonically_increasing_id().alias("row"),
             F.col(id_col).alias("doc_id"),
             F.col(source_col).alias("source"),
             space_word_count(text_or_empty(text_col)).alias("size"),
         )
     )
-    targets = source_targets(
-        sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most
-    )
+    totals = checkpoint(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
+    if (n := totals.count()) > most_sources:
+        raise ValueError(f"{n} sources, where {most_sources} at most can be mixed")
+    targets = source_targets(totals, weights, most)
     size = F.col("source_size")
     blocks = F.least(size, F.greatest(F.lit(least_blocks), F.ceil(size / F.lit(block_words)))).cast("long")
     sources = targets.withColumn("n_blocks", blocks).withColumn(
@@ -238,7 +243,8 @@ def mix_sources(
     def drawn(block: Column) -> Column:
         turn = F.pmod(block * F.col("multiplier") + seed, F.col("n_blocks"))
         piece_first, piece_end = F.greatest(first, start_of(block)), F.least(end, start_of(block + 1))
-        wanted = F.filter(passes, lambda e: e * F.col("n_blocks") + turn < F.col("quota"))
+        # the shards' shares, from the splitting tree, end where the source's quota does
+        wanted = F.filter(passes, lambda e: e * F.col("n_blocks") + turn < F.element_at("bounds", -1))
 
         def piece(e: Column) -> Column:
             draw = e * F.col("n_blocks") + turn
@@ -256,7 +262,7 @@ def mix_sources(
     pieces = F.when(
         F.col("size") > 0, F.flatten(F.transform(F.sequence(block_of(first), block_of(end - 1)), drawn))
     ).otherwise(F.array().cast("array<struct<block:bigint,pass:bigint,shard:int,slot:bigint,first_word:bigint,n_words:bigint>>"))
-    return joined.select("doc_id", "source", "size", "source_size", "target", pieces.alias("pieces"))
+    return joined.select("row", "doc_id", "source", "size", "source_size", "target", pieces.alias("pieces"))
 
 
 def taken_words(pieces: str = "pieces") -> Column:
@@ -264,6 +270,26 @@ def taken_words(pieces: str = "pieces") -> Column:
 
 
 def shard_order(mixed: DataFrame) -> DataFrame:
-    """The mix as rows: one per piece, in ranges of (shard, slot), so that a shard may have many files; ``shard, slot, doc_id, ...``."""
-    rows = mixed.select("doc_id", "source", F.explode("pieces").alias("p")).select("doc_id", "source", "p.*")
-    return rows.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot", "doc_id", "first_word")
+    """The mix as rows, one per piece, in ranges of (shard, slot), so that a shard may have many files.
+
+    ``shard, slot, place, row, doc_id, ...``; ``place`` numbers the pieces in the order they are read: by
+    shard, and inside a shard in the order of the local shuffle. Numbers of a later range are larger.
+    """
+    rows = mixed.select("row", "doc_id", "source", F.explode("pieces").alias("p")).select("row", "doc_id", "source", "p.*")
+    in_order = rows.repartitionByRange("shard", "slot", "row").sortWithinPartitions("shard", "slot", "row", "first_word")
+    return in_order.withColumn("place", F.monotonically_increasing_id())
+
+
+def drawn_words(mixed: DataFrame) -> DataFrame:
+    """What the shards take of each document, from their ordered pieces: a row per input row, with its columns but ``pieces``,
+    and ``taken`` (words), ``n_pieces``, ``shards`` (in order) and ``first_place``."""
+    mixed = checkpoint(mixed)
+    taken = shard_order(mixed).groupBy("row").agg(
+        F.sum("n_words").alias("taken"),
+        F.count(F.lit(1)).alias("n_pieces"),
+        F.sort_array(F.collect_set("shard")).alias("shards"),
+        F.min("place").alias("first_place"),
+    )
+    none = {"taken": F.lit(0).cast("long"), "n_pieces": F.lit(0).cast("long"), "shards": F.array().cast("array<int>")}
+    joined = mixed.drop("pieces").join(taken, "row", "left")
+    return joined.withColumns({name: F.coalesce(name, value) for name, value in none.items()})

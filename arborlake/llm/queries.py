@@ -12,7 +12,7 @@ from .common import table
 from .decontaminate import find_contamination
 from .exact_dedup import exact_duplicates
 from .line_dedup import remove_repeated_lines
-from .mixing import mix_sources, taken_words
+from .mixing import drawn_words, mix_sources
 from .near_duplicates import near_duplicates
 from .quality import fit_quality, score_quality
 from .substring_dedup import remove_repeats
@@ -75,8 +75,8 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mix_sources(table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "size", "source_size", "target", taken_words().alias("taken"))
+    drawn = drawn_words(mix_sources(table(spark, sf_dir, "documents")))
+    return drawn.select("doc_id", "size", "source_size", "target", "taken", "n_pieces", "shards")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
