@@ -69,3 +69,10 @@ def space_word_count(text: Column) -> Column:
 def unit_hash(*cols: Column) -> Column:
     """A number in [0, 1) that depends on the columns alone."""
     return F.pmod(F.xxhash64(*cols), F.lit(1 << 53)) / F.lit(float(1 << 53))
+
+
+def one_text_per_id(rows: DataFrame) -> DataFrame:
+    """Of rows that share ``doc_id``, the one whose ``text`` has the least hash; rows are merged in each task first."""
+    rest = [c for c in rows.columns if c != "doc_id"]
+    best = rows.groupBy("doc_id").agg(F.min_by(F.struct(*rest), F.xxhash64("text")).alias("best"))
+    return best.select("doc_id", "best.*")

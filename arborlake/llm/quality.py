@@ -1,11 +1,11 @@
 """Quality classifier by co-training.
 
-Two views of a page are classified apart: its text content (which kinds of characters follow each
-other, repeated words) and its metadata (language, source, and layout such as lines and lengths).
-In each round, each view's classifier labels pool documents that it is sure of, and these
-pseudo-labels join the other view's training rows. The pool is every document outside the labelled
-sample; it stays in Spark. The views are calibrated on held-back labels
-and combined to score all documents.
+Two views of a page are classified apart: its text content (its words, hashed to buckets, repeated
+words, and which kinds of characters follow each other) and its metadata (language, source, and
+layout such as lines and lengths). In each round, each view's classifier labels pool documents that
+it is sure of, and these pseudo-labels join the other view's training rows. The pool is every
+document outside the labelled sample; it stays in Spark. The views are calibrated on held-back
+labels and combined to score all documents.
 """
 
 from __future__ import annotations
@@ -20,44 +20,59 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpoint
+from .common import checkpoint, one_text_per_id
 from .textblocks import blocks, split_words
 
 #: Kinds of bytes: letter, capital, digit, space, line end, punctuation, other sign.
-_KIND = np.full(256, 6, np.int64)
+_KIND = np.full(256, 6, np.uint8)
 _KIND[[*range(0x61, 0x7B), *range(0x80, 0x100)]] = 0
 _KIND[0x41:0x5B] = 1
 _KIND[0x30:0x3A] = 2
 _KIND[[0x20, 0x09]] = 3
 _KIND[[0x0A, 0x0D]] = 4
 _KIND[[ord(c) for c in ".,;:'\"-()?"]] = 5
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 0x20
 KINDS = 7
+#: Buckets that words are hashed to, A-Z lower-cased.
+TERMS = 128
 LANGS, SOURCES = 16, 32
-CONTENT, META = KINDS * KINDS + 2, LANGS + SOURCES + 5
+CONTENT, META = KINDS * KINDS + 2 + TERMS, LANGS + SOURCES + 5
 
 
 def _shares(part: np.ndarray, whole: np.ndarray) -> np.ndarray:
     return part / np.maximum(whole, 1)
 
 
+def _by_text(codes: np.ndarray, first: np.ndarray, size: int) -> np.ndarray:
+    """How often each text has each code below ``size``."""
+    return np.stack([np.bincount(codes[a:b], minlength=size) for a, b in zip(first[:-1], first[1:], strict=True)])
+
+
 def page_views(text: pa.Array, lang: list[str | None], source: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Features of the two views, ``content`` and ``meta``, for each block of texts."""
     for row, data, offsets in blocks(text):
         n = len(offsets) - 1
         sizes = np.diff(offsets)
-        doc = np.repeat(np.arange(n), sizes)
         kind = _KIND[data]
-        pair = kind[:-1] * KINDS + kind[1:]
-        inside = doc[:-1] == doc[1:]
-        pairs = np.bincount((doc[:-1] * KINDS * KINDS + pair)[inside], minlength=n * KINDS * KINDS).reshape(n, -1)
-        words = split_words(data, offsets)
+        follows = np.zeros(len(data), np.uint8)
+        follows[:-1] = kind[:-1] * KINDS + kind[1:]
+        pairs = _by_text(follows, offsets, KINDS * KINDS)
+        # a text's last byte is followed by none of its own
+        ends = np.flatnonzero(sizes)
+        np.subtract.at(pairs, (ends, follows[offsets[1:][ends] - 1]), 1)
+        words = split_words(_LOWER[data], offsets)
         n_words, of = np.diff(words.first), words.texts()
         hashes = words.hashes()
         again = (hashes[1:] == hashes[:-1]) & (of[1:] == of[:-1])
         repeats = np.bincount(of[1:][again], minlength=n)
-        keys = np.unique(np.stack((of.astype(np.uint64), hashes)), axis=1)[0] if len(of) else of
-        distinct = np.bincount(keys.astype(np.int64), minlength=n)
-        content = np.column_stack((np.sqrt(_shares(pairs, sizes[:, None])), _shares(repeats, n_words), _shares(distinct, n_words)))
+        # the text above 40 bits of the hash: sorted, equal words of a text are neighbours
+        keys = np.unique((of.astype(np.uint64) << np.uint64(40)) | (hashes >> np.uint64(24)))
+        distinct = np.bincount((keys >> np.uint64(40)).astype(np.int64), minlength=n)
+        terms = _by_text((hashes % np.uint64(TERMS)).astype(np.uint8), words.first, TERMS)
+        content = np.column_stack(
+            (np.sqrt(_shares(pairs, sizes[:, None])), _shares(repeats, n_words), _shares(distinct, n_words), np.sqrt(_shares(terms, n_words[:, None])))
+        )
         line_ends = np.concatenate(([0], np.cumsum(data == 0x0A)))
         lines = 1 + line_ends[offsets[1:]] - line_ends[offsets[:-1]]
         meta = np.zeros((n, META))
@@ -155,12 +170,13 @@ def pseudo_labels(views: tuple[np.ndarray, np.ndarray], rules: list[Rule]) -> li
 
 def _statistics(x: np.ndarray, y: np.ndarray, weight: np.ndarray | float, model: Logistic) -> np.ndarray:
     """Gradient of the log-loss, then the matrix of a quadratic that touches it here and is nowhere below (Jaakkola, Jordan), so that no step overshoots."""
-    z = np.column_stack(((x - model.mean) / model.scale, np.ones(len(x))))
+    z = np.column_stack(((x - model.mean) / model.scale, np.ones(len(x)))).astype(np.float32)
     t = np.clip(z @ np.append(model.weights, model.bias), -30, 30)
     p = 1 / (1 + np.exp(-t))
     curve = np.where(np.abs(t) < 1e-3, 0.25, np.tanh(t / 2) / (2 * np.where(np.abs(t) < 1e-3, 1.0, t)))
-    h = (z * (weight * curve)[:, None]).T @ z
-    return np.concatenate((z.T @ (weight * (p - y)), h.ravel()))
+    # single precision for the quadratic, which only shapes the steps; the gradient in full
+    h = (z * (weight * curve).astype(np.float32)[:, None]).T @ z
+    return np.concatenate((z.T @ (weight * (p - y)), h.ravel().astype(np.float64)))
 
 
 def _summed(pool: DataFrame, per_block: Callable[[tuple[np.ndarray, np.ndarray]], np.ndarray]) -> np.ndarray | float:
@@ -169,7 +185,7 @@ def _summed(pool: DataFrame, per_block: Callable[[tuple[np.ndarray, np.ndarray]]
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
-            x = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.float32).reshape(-1, CONTENT + META).astype(np.float64)
+            x = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.float32).reshape(-1, CONTENT + META)
             found = per_block((x[:, :CONTENT], x[:, CONTENT:]))
             total = found if total is None else total + found
         if total is not None:
@@ -210,7 +226,7 @@ def co_train(
     x = [v[:cut] for v in views]
 
     def moments(block: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-        return np.concatenate([[len(block[0])], *[m for v in block for m in (v.sum(0), (v * v).sum(0))]])
+        return np.concatenate([[len(block[0])], *[m for v in block for m in (v.sum(0, dtype=np.float64), (v * v).sum(0, dtype=np.float64))]])
 
     all_rows = _summed(pool, moments)
     n_pool = int(all_rows[0]) if np.ndim(all_rows) else 0
@@ -301,7 +317,8 @@ def fit_quality(
     label_col: str = "quality",
 ) -> CoTrained:
     """Fit on ``max_labelled`` labelled documents, chosen by a hash of the id, and on all other
-    documents as the unlabelled pool. Without enough labels of both kinds nothing is rejected later."""
+    documents as the unlabelled pool. Without enough labels of both kinds nothing is rejected later.
+    An id with several texts is fitted by one of them, so the driver holds ``max_labelled`` feature rows at most."""
     key = F.xxhash64(F.lit(1), "of_id")
     labelled = (
         labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
@@ -315,7 +332,7 @@ def fit_quality(
     )
     labelled = checkpoint(labelled)
     same = F.col("doc_id") == F.col("of_id")
-    rows = texts.join(F.broadcast(labelled), same).select(F.col("doc_id").cast("long"), "text", "lang", "source", "label")
+    rows = one_text_per_id(texts.join(F.broadcast(labelled), same).select(F.col("doc_id").cast("long"), "text", "lang", "source", "label"))
     found = rows.mapInArrow(_with_views, "doc_id long, label int, views binary").toArrow()
     x = np.frombuffer(b"".join(found["views"].to_pylist()), np.float32).reshape(-1, CONTENT + META).astype(np.float64)
     ids, y = found["doc_id"].to_numpy(), found["label"].to_pandas().to_numpy(dtype=np.float64)

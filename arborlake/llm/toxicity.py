@@ -14,8 +14,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import checkpoint, one_text_per_id
 from .textblocks import U64, blocks, split_words
 
 BITS = 18
@@ -160,11 +162,16 @@ def fit_toxicity(
     docs: DataFrame,
     labels: DataFrame,
     max_labelled: int = 20_000,
+    max_mb: int = 256,
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "toxic",
 ) -> Machine:
-    """Fit on the labelled rows, or on ``max_labelled`` of them, chosen by a hash of the id."""
+    """Fit on the labelled rows, or on ``max_labelled`` of them, chosen by a hash of the id.
+
+    An id with several texts is fitted by one of them. Should the terms of the chosen texts fill more than
+    ``max_mb`` on the driver, which fits, the sample ends there.
+    """
     chosen = (
         labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
         .groupBy(F.col(id_col).alias("of_id"))
@@ -174,8 +181,12 @@ def fit_toxicity(
     )
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     # at most max_labelled rows of two numbers: small enough for each task
-    rows = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("of_id")).select(F.col("doc_id").cast("long"), "text", "label")
-    sample = rows.mapInArrow(_featurized, "doc_id long, label int, terms binary").toArrow().sort_by([("doc_id", "ascending"), ("terms", "ascending")])
+    rows = one_text_per_id(texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("of_id")).select(F.col("doc_id").cast("long"), "text", "label"))
+    featured = checkpoint(rows.mapInArrow(_featurized, "doc_id long, label int, terms binary"))
+    # at most max_labelled rows, so one task may order them
+    so_far = F.sum(F.octet_length("terms")).over(W.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(W.unboundedPreceding, 0))
+    within = featured.select("doc_id", so_far.alias("bytes")).where(F.col("bytes") <= max_mb << 20).select("doc_id")
+    sample = featured.join(F.broadcast(within), "doc_id").toArrow().sort_by([("doc_id", "ascending"), ("terms", "ascending")])
     packed = sample["terms"].to_pylist()
     first = np.concatenate(([0], np.cumsum([len(p) // 4 for p in packed], dtype=np.int64)))
     return fit_machine(first, np.frombuffer(b"".join(packed), np.int32), sample["label"].to_numpy())
