@@ -11,8 +11,8 @@ found with a known probability, so each link found stands for one divided by tha
 shortened to the greatest depth whose estimated recall reaches the target, and measured again there.
 It needn't go below the depth at which even a forest of links at the bare threshold reaches it.
 
-Verification works in blocks of neighbours in a trie. Two blocks meet when they share a prefix; a
-block of a chain of neighbours doesn't meet the chain's other end.
+Verification works in blocks of classes that share a prefix. Two blocks meet when classes of both share
+one, so the two ends of a chain of neighbours don't meet.
 """
 
 from __future__ import annotations
@@ -165,36 +165,6 @@ def _with_neighbours(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterato
     return keep
 
 
-def _runs(depth: int, block: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Of a task's sorted branches, the runs that share ``depth`` slots, cut in blocks: ``cls, node, size, block``.
-
-    A task holds its branches as arrays, 30 bytes each.
-    """
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [b for b in batches if b.num_rows]
-        if not parts:
-            return
-        rows = pa.Table.from_batches(parts)
-        rows = rows.filter(pa.array(rows["shared"].to_numpy() >= depth)).combine_chunks()
-        if not rows.num_rows:
-            return
-        tree, cls, branch = rows["tree"].to_numpy(), rows["cls"].to_numpy(), _branches(rows)[:, :depth]
-        new = np.ones(len(cls), bool)
-        new[1:] = (branch[1:] != branch[:-1]).any(1) | (tree[1:] != tree[:-1])
-        starts = np.flatnonzero(new)
-        run, size = np.cumsum(new) - 1, np.diff(np.append(starts, len(cls)))
-        inside = np.arange(len(cls)) - starts[run]
-        begin = starts[run] + inside // block * block
-        node = mixed(tree.astype(U64) + U64(1))
-        for k in range(depth):
-            node = mixed(node * U64(0xD6E8FEB86659FD93) + branch[:, k])
-        columns = [cls, node.view(np.int64), size[run], cls[begin] * TREES + tree]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["cls", "node", "size", "block"])
-
-    return cut
-
-
 def _packer(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -266,12 +236,19 @@ def _verifier(threshold: float) -> Callable[[pa.Table], pa.Table]:
 
 def _verified(tries: DataFrame, sets: DataFrame, depth: int, block: int, threshold: float) -> DataFrame:
     """Links among classes that share ``depth`` slots in some tree: ``cls, links, root, similar``."""
-    runs = checkpoint(tries.mapInArrow(_runs(depth, block), "cls long, node long, size long, block long"))
-    # a class is verified in the block of its largest node; two blocks meet where classes of both share a node
-    home = runs.groupBy("cls").agg(F.max(F.struct("size", "node", "block"))["block"].alias("home"))
-    at = runs.select("cls", "node").join(home, "cls").select("node", F.col("home").alias("block")).distinct()
-    several = at.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node")
-    meeting = checkpoint(at.join(several, "node"))
+    node = F.xxhash64("tree", F.substring("branch", 1, depth))
+    at = checkpoint(tries.where(F.col("shared") >= depth).select("cls", node.alias("node")))
+    nodes = checkpoint(at.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    at = checkpoint(join_by_hot_key(at, nodes, ["node"], "n"))
+    # a class is at home in the largest of its nodes, and a home is cut in as few blocks as hold its classes
+    home = checkpoint(at.groupBy("cls").agg(F.max(F.struct("n", "node"))["node"].alias("home")))
+    homes = checkpoint(home.groupBy("home").agg(F.count(F.lit(1)).alias("members")))
+    cut = F.pmod(F.xxhash64("cls"), F.ceil(F.col("members") / F.lit(block)).cast("int"))
+    home = checkpoint(join_by_hot_key(home, homes, ["home"], "members").select("cls", F.xxhash64("home", cut).alias("home")))
+    # two blocks meet where classes of both share a node
+    met = at.select("cls", "node").join(home, "cls").select("node", F.col("home").alias("block")).distinct()
+    several = met.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node")
+    meeting = checkpoint(met.join(several, "node"))
     i, j = meeting.withColumnRenamed("block", "i"), meeting.withColumnRenamed("block", "j")
     pairs = checkpoint(i.join(j, "node").where("i < j").select("i", "j").distinct())
     own = home.select(F.col("home").alias("i"), F.col("home").alias("j")).distinct()
@@ -290,12 +267,13 @@ def near_duplicates(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """One row per input row: ``doc_id, class_id, n_links, copies_of, n_shingles``.
+    """One row per input row: ``doc_id, class_id, n_links, copies_of, n_shingles, text_hash, kept``.
 
     ``n_links`` counts the other rows whose set of shingles has a Jaccard similarity of at least
     ``threshold``; ``class_id`` is the smallest id that links lead to, over any number of links;
-    ``copies_of`` is the smallest id with the same set. Null and blank texts have no shingles and
-    no links; a null id counts as the largest. Rows that repeat an id or have none are rows of
+    ``copies_of`` is the smallest id with the same set. ``kept`` marks the row that stands for all that links
+    lead to, with the smallest id, then ``text_hash``, which is ``xxhash64`` of the text; rows of one id and text
+    share the mark. Null and blank texts have no shingles and no links, and are kept; a null id counts as the largest. Rows that repeat an id or have none are rows of
     their own: those of one set link to each other, and those of different texts are different classes. Other
     columns are ignored. A share ``recall`` of the links, by estimate, is found at least; all found are exact,
     on 64-bit hashes of the shingles.
@@ -341,18 +319,23 @@ def near_duplicates(
     linked = found.where("links > 0")
     links = linked.groupBy("cls").agg(F.sum("links").alias("links"))
     roots = components(linked.select(F.col("cls").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "cls")
-    first = roots.join(classes.select("cls", "doc_id"), "cls").groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    linked_to = links.join(roots, "cls").join(first, "root").select("cls", "links", "class_id")
-    named = classes.select("set1", "set2", "n", F.col("doc_id").alias("copies_of"), "copies", "cls").join(linked_to, "cls", "left").drop("cls")
+    rep = F.struct("doc_id", "text_hash")
+    first = roots.join(classes.select("cls", rep.alias("rep")), "cls").groupBy("root").agg(F.min("rep").alias("first"))
+    linked_to = links.join(roots, "cls").join(first, "root").select("cls", "links", "first")
+    own = classes.select("set1", "set2", "n", F.col("doc_id").alias("copies_of"), rep.alias("rep"), "copies", "cls")
+    named = own.join(linked_to, "cls", "left").withColumn("first", F.coalesce("first", "rep")).drop("cls", "rep")
     named = checkpoint(named)
-    with_sets = join_by_hot_key(sketches.where("n > 0").select("doc_id", "n", "set1", "set2"), named, ["set1", "set2", "n"], "copies")
+    with_sets = join_by_hot_key(sketches.where("n > 0").select("doc_id", "text_hash", "n", "set1", "set2"), named, ["set1", "set2", "n"], "copies")
     known = [
         "doc_id",
-        F.coalesce("class_id", "copies_of").alias("class_id"),
+        F.col("first.doc_id").alias("class_id"),
         (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
         "copies_of",
         F.col("n").cast("long").alias("n_shingles"),
+        "text_hash",
+        (rep == F.col("first")).alias("kept"),
     ]
-    blank = ["doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("copies_of"), F.lit(0).cast("long").alias("n_shingles")]
+    blank = ["doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("copies_of")]
+    blank += [F.lit(0).cast("long").alias("n_shingles"), "text_hash", F.lit(True).alias("kept")]
     every = with_sets.select(*known).unionByName(sketches.where("n = 0").select(*blank))
     return every.select(*[F.when(F.col(c) != _NO_ID, F.col(c)).alias(c) if c in ("doc_id", "class_id", "copies_of") else c for c in every.columns])
