@@ -11,10 +11,10 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborlake.llm.common import shared_folder, table
+from arborlake.llm.common import checkpoint, shared_folder, table
 from arborlake.llm.decontaminate import find_contamination
 from arborlake.llm.line_dedup import remove_repeated_lines
-from arborlake.llm.mixing import mix_sources, taken_words
+from arborlake.llm.mixing import drawn_words, mix_sources
 from arborlake.llm.near_duplicates import near_duplicates
 from arborlake.llm.quality import fit_quality, score_quality
 
@@ -38,10 +38,15 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates."""
-    found = near_duplicates(docs).select(F.col("doc_id").alias("__id"), F.col("class_id").alias("__class"))
-    first = found.where("__id <=> __class").select("__id").distinct()
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select(*docs.columns)
+    """The document with the smallest id of each group of near duplicates; of rows that repeat an id and a text, one."""
+    kept = near_duplicates(docs).where("kept").groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
+    kept = checkpoint(kept.agg(F.count(F.lit(1)).alias("__rows")))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__hash"))
+    left = docs.join(kept.where("__rows = 1"), same, "left_semi").select(*docs.columns)
+    if kept.where("__rows > 1").isEmpty():
+        return left
+    repeated = docs.join(kept.where("__rows > 1"), same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.unionByName(repeated.select(*docs.columns))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +57,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """How many words of each document the mix takes."""
-    return mix_sources(docs).select("doc_id", "source", "size", "source_size", "target", taken_words().alias("taken"))
+    return drawn_words(mix_sources(docs)).select("doc_id", "source", "size", "source_size", "target", "taken", "n_pieces", "shards")
 
 
 STAGES = [
