@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,9 +31,14 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """Cut the lineage: a table written to the shared folder and read again.
+
+    Unlike ``DataFrame.checkpoint``, which keeps the estimate of the plan before it, a table has the size of its
+    files. In loops of joins such estimates multiply from round to round until the planner is busy with them alone.
+    """
+    path = f"{shared_folder(df.sparkSession)}/{uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def join_by_hot_key(rows: DataFrame, counted: DataFrame, keys: list[str], n: str, share: float = 1e-3) -> DataFrame:
