@@ -16,9 +16,12 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from arborlake.llm import queries, sql
 from arborlake.llm.common import table
-from arborlake.llm.mixing import split_quotas
+from arborlake.llm.line_dedup import remove_repeated_lines
+from arborlake.llm.mixing import drawn_words, mix_sources, shard_order, split_quotas
+from arborlake.llm.near_duplicates import BINS, DEPTH, TREES, forest_depth, found_share, near_duplicates, signatures
 from arborlake.llm.quality import fit_quality, score_quality
-from arborlake.llm.toxicity import fit_machine, hashed_terms
+from arborlake.llm.textblocks import mixed
+from arborlake.llm.toxicity import Machine, fit_machine, hashed_terms
 
 from ..conftest import SF
 
@@ -87,6 +90,118 @@ def test_op2_against_all_pairs(spark, docs):
     assert found == brute_classes(dict(zip(docs.doc_id, docs.text)))
 
 
+def brute_lines(texts: dict[int, str], min_words: int) -> dict[int, str]:
+    """Each text without the maximal runs that also start at an earlier place, from all pairs of places."""
+    lines = {i: (t or "").split("\n") for i, t in texts.items()}
+    places = [(i, p) for i in sorted(lines) for p in range(len(lines[i]))]
+
+    def common(a, b):
+        x, y = lines[a[0]][a[1] :], lines[b[0]][b[1] :]
+        n = 0
+        while n < min(len(x), len(y)) and x[n] == y[n]:
+            n += 1
+        return n
+
+    kept = {i: list(x) for i, x in lines.items()}
+    runs: dict[int, list[list[int]]] = {i: [] for i in lines}
+    for k, place in enumerate(places):
+        longest = max((common(place, q) for q in places[:k]), default=0)
+        if longest:
+            own = runs[place[0]]
+            if own and place[1] < own[-1][1]:
+                own[-1][1] = max(own[-1][1], place[1] + longest)
+            else:
+                own.append([place[1], place[1] + longest])
+    for i, own in runs.items():
+        for a, b in reversed(own):
+            if len(" ".join(lines[i][a:b]).split()) >= min_words:
+                del kept[i][a:b]
+    return {i: "\n".join(x) for i, x in kept.items()}
+
+
+@pytest.mark.parametrize("seed,min_words", [(1, 0), (2, 3), (3, 5)])
+def test_op3_against_all_pairs_of_places(spark, seed, min_words):
+    rng = np.random.default_rng(seed)
+    pool = ["", "a", "b b", "c c c", "d e f g h i"]
+    texts = {i: "\n".join(pool[k] for k in rng.choice(5, rng.integers(1, 14), p=[0.1, 0.3, 0.3, 0.2, 0.1])) for i in range(9)}
+    texts |= {9: texts[0], 10: "x\n" + texts[1] + "\ny"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: r.text for r in remove_repeated_lines(docs, min_words).collect()} == brute_lines(texts, min_words)
+
+
+@pytest.mark.parametrize("n", [5, 9, 90, 400, 3000])
+def test_op2_signatures_agree_as_often_as_sets(n):
+    """At every size of a set, slots agree with the similarity, and prefixes are shared as the formula says."""
+    rng = np.random.default_rng(n)
+    both = round(n * 1.6 / 1.8)
+    sets = [mixed(rng.integers(0, 1 << 63, 2 * n - both, dtype=np.uint64)) for _ in range(200)]
+    first, similarity = np.arange(201) * n, both / (2 * n - both)
+    a, b = (signatures(first, np.concatenate(x)) for x in ([s[:n] for s in sets], [s[n - both :] for s in sets]))
+    assert abs((a == b).mean() - similarity) < 0.02
+    for depth in (8, 16):
+        shared = (a == b).reshape(200, TREES, DEPTH)[:, :, :depth].all(2).any(1).mean()
+        assert abs(shared - found_share(similarity, depth)) < 0.12
+
+
+def test_op2_depth_shortens_with_the_links():
+    edges = 0.8 + np.arange(BINS) * 0.01
+    alike, at_the_threshold = np.zeros(BINS), np.zeros(BINS)
+    alike[-1] = at_the_threshold[0] = 1000
+    assert forest_depth(edges, alike, 0.999) == DEPTH and forest_depth(edges, at_the_threshold, 0.999) == 7
+
+
+def test_op2_recall_against_brute_force(spark):
+    """Queries of ids divisible by 20 against all rows, one size up; small and large sets alike."""
+    folder = SF.replace("sf0.001", "sf0.01")
+    texts = pd.read_parquet(f"{folder}/documents.parquet").set_index("doc_id")["text"].to_dict()
+    found = {r.doc_id: (r.n_links, r.n_shingles) for r in near_duplicates(table(spark, folder, "documents")).collect()}
+    sets = {i: set(zip(*(w[k:] for k in range(5)))) if len(w := (t or "").split()) >= 5 else {tuple(w)} - {()} for i, t in texts.items()}
+    want, got = {True: 0, False: 0}, {True: 0, False: 0}
+    for i in (i for i in sets if i % 20 == 0 and sets[i]):
+        links = sum(len(sets[i] & s) >= 0.8 * len(sets[i] | s) for j, s in sets.items() if j != i and s)
+        assert found[i][0] <= links
+        want[found[i][1] > 100] += links
+        got[found[i][1] > 100] += found[i][0]
+    assert all(got[k] >= 0.9 * want[k] for k in want)
+
+
+def test_op8_pairs_against_a_double_loop():
+    rng = np.random.default_rng(4)
+    first, terms = np.array([0, 3, 3, 8]), rng.integers(0, 1 << 18, 8)
+    linear, factors = rng.normal(0, 1, 1 << 18), rng.normal(0, 1, (3, 1 << 18))
+    found = Machine(0.2, linear, factors).score(first, terms)
+    for i, (a, b) in enumerate(zip(first[:-1], first[1:])):
+        own = terms[a:b]
+        z = 0.2 + sum(linear[t] for t in own) + sum(factors[:, own[j]] @ factors[:, own[k]] for j in range(len(own)) for k in range(j))
+        assert np.isclose(found[i], 1 / (1 + np.exp(-z)))
+
+
+def test_op10_rebuilt_plainly(spark):
+    """Each source's stream cut in blocks, its quota drawn block by block, and the shards' shares."""
+    mixed = mix_sources(table(spark, SF, "documents"))
+    pieces = shard_order(mixed).toPandas()
+    docs = mixed.drop("pieces").toPandas()
+    assert not pieces.duplicated(["source", "block", "pass", "row", "first_word"]).any()
+    assert pieces["place"].is_monotonic_increasing and (pieces.sort_values("place")["shard"].diff().dropna() >= 0).all()
+    blocks = pieces.groupby(["source", "block", "pass"], dropna=False).agg(n=("n_words", "sum"), shards=("shard", "nunique"), shard=("shard", "first"))
+    assert (blocks["shards"] == 1).all()
+    for source, own in docs.groupby("source", dropna=False):
+        size, target = own["size"].sum(), own["target"].iloc[0]
+        assert own["source_size"].iloc[0] == size
+        drawn = blocks.reset_index()
+        drawn = drawn[drawn["source"].isna() if pd.isna(source) else drawn["source"] == source]
+        n_blocks = min(size, max(1024, -(-size // 512)))
+        assert len(drawn) == round(target * n_blocks / size)
+        wide, narrow = size % n_blocks, size // n_blocks
+        assert (drawn["n"] == narrow + (drawn["block"] < wide)).all()
+        # earlier passes are whole before a block is drawn again
+        assert (drawn.groupby("block")["pass"].max() <= len(drawn) // n_blocks).all()
+    shares = blocks.groupby("shard").size()
+    assert shares.max() - shares.min() <= 5
+    taken = pieces.groupby("row")["n_words"].sum()
+    assert drawn_words(mixed).toPandas().set_index("row")["taken"].sort_index().equals(docs.set_index("row")["size"].sort_index().mul(0).add(taken, fill_value=0).astype("int64").rename("taken"))
+
+
 def test_op4_against_the_library(spark, docs):
     sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     found = {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in queries.op4_token_counts(spark, SF).collect()}

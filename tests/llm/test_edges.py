@@ -8,7 +8,7 @@ import corpus_pipeline
 from arborlake.llm.decontaminate import find_contamination
 from arborlake.llm.exact_dedup import exact_duplicates
 from arborlake.llm.line_dedup import remove_repeated_lines
-from arborlake.llm.mixing import mix_sources, taken_words
+from arborlake.llm.mixing import drawn_words, mix_sources, shard_order, taken_words
 from arborlake.llm.near_duplicates import near_duplicates
 from arborlake.llm.quality import fit_quality, score_quality
 from arborlake.llm.substring_dedup import remove_repeats
@@ -74,14 +74,28 @@ def test_near_duplicates(docs):
         # 16 shingles in ids 1 and 1, the same and one more in the row without id, and three more in id 6
         assert own[1].n_links == 3 and own[None].class_id == own[6].class_id == 1 and own[None].n_links == own[6].n_links == 3
         assert own[2].n_links == own[3].n_links == own[4].n_links == 0 and own[5].class_id == 5
+        assert own[1].kept and own[5].kept and not own[None].kept and not own[6].kept
+
+
+def test_rows_of_one_id_keep_their_links(spark):
+    """Different texts under one id, or under none, are classes of their own."""
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    for i in (None, 3):
+        docs = spark.createDataFrame([(1, a), (2, b), (i, a + " more"), (i, b + " more")], "doc_id long, text string")
+        rows = near_duplicates(docs).collect()
+        assert sorted(r.class_id for r in rows) == [1, 1, 2, 2] and all(r.n_links == 1 for r in rows)
 
 
 def test_line_dedup(docs):
     found = remove_repeated_lines(docs)
     assert found.count() == docs.count()
     if (own := by_id(found)):
-        assert own[7].text == "q" and own[7].n_removed == 2 and own[6].n_removed == 0
+        # the passage is one long line; two short lines together hold too few words
+        assert own[6].text == "x\ny\nz" and own[6].n_removed == 1 and own[7].n_removed == 0 and own[1].n_removed == 0
         assert own[2].text is None and own[2].n_lines == 1 and own[7].h == "clash"
+    short = by_id(remove_repeated_lines(docs, min_words=2))
+    if short:
+        assert short[7].text == "q" and short[7].n_removed == 2
 
 
 def test_token_counts(docs):
@@ -133,6 +147,33 @@ def test_exact(docs, keep, best, collide):
         assert own[5].kept and own[5].group_size == 1
 
 
+@pytest.fixture
+def fitted_on(spark):
+    """Documents and labels enough to fit on, of both kinds."""
+    rows = [(100 + i, "you group insult words" if i % 2 else "a calm page about trees", "en", "a", 9) for i in range(200)]
+    labels = [(100 + i, 1 - i % 2, i % 2) for i in range(200)]
+    return spark.createDataFrame(fill(rows), SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+
+def test_fitted_models_on_odd_rows(docs, fitted_on):
+    known, labels = fitted_on
+    toxic, quality = fit_toxicity(known, labels), fit_quality(known.unionByName(docs), labels)
+    assert toxic.linear.any() and quality.content is not None
+    for rows in (docs, known):
+        scores = score_toxicity(rows, toxic).collect()
+        assert len(scores) == rows.count() and all(0 <= r.score <= 1 for r in scores)
+        kept = score_quality(rows, quality).collect()
+        assert len(kept) == rows.count() and all(0 <= r.score <= 1 for r in kept)
+    assert {r.predicted for r in score_toxicity(known, toxic).collect() if r.doc_id % 2} == {1}
+
+
+def test_toxicity_sample_is_bounded(docs, fitted_on):
+    known, labels = fitted_on
+    many = known.unionByName(known).unionByName(docs)
+    assert (fit_toxicity(many, labels).linear == fit_toxicity(known, labels).linear).all()
+    assert not fit_toxicity(known, labels, max_mb=0).linear.any()
+
+
 def test_toxicity(spark, docs):
     scored = score_toxicity(docs, fit_toxicity(docs, labels_of(spark)))
     assert scored.where("score between 0 and 1").count() == docs.count()
@@ -150,8 +191,10 @@ def test_urls(spark):
 
 
 def test_mixing(docs):
-    found = mix_sources(docs).withColumn("taken", taken_words())
-    assert found.count() == docs.count()
+    mixed = mix_sources(docs)
+    found = mixed.withColumn("taken", taken_words())
+    assert found.count() == drawn_words(mixed).count() == docs.count()
+    assert shard_order(mixed).where("n_words <= 0").count() == 0
     assert found.where("taken > 3 * size").count() == 0
     assert found.where("size = 0 and taken > 0").count() == 0
 
