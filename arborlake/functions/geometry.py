@@ -40,6 +40,33 @@ def symmetric_eigenvalues(xx: Column, yy: Column, zz: Column, xy: Column, xz: Co
     return [big, 3 * q - big - low, low]
 
 
+def main_direction(xx: Column, yy: Column, zz: Column, xy: Column, xz: Column, yz: Column) -> Column:
+    """Unit vector (a struct of x, y, z) of a symmetric 3 x 3 matrix's largest eigenvalue, upright where all directions are alike.
+
+    Rows of the matrix less that eigenvalue are orthogonal to the vector, so it is the cross product of two of
+    them: the longest of the three, since two rows may be in line.
+    """
+    big = symmetric_eigenvalues(xx, yy, zz, xy, xz, yz)[0]
+    rows = F.array(*[F.array(*r) for r in ((xx - big, xy, xz), (xy, yy - big, yz), (xz, yz, zz - big))])
+
+    def longest(r: Column) -> Column:
+        def of(i: int, j: int) -> Column:
+            x, y, z = (r[i][a] * r[j][b] - r[i][b] * r[j][a] for a, b in ((1, 2), (2, 0), (0, 1)))
+            return F.struct(F.sqrt(x * x + y * y + z * z).alias("long"), x.alias("x"), y.alias("y"), z.alias("z"))
+
+        return F.array_max(F.array(of(0, 1), of(0, 2), of(1, 2)))
+
+    best = F.transform(F.array(rows), longest)
+    upright = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(1.0).alias("z"))
+
+    def unit(v: Column) -> Column:
+        # two nearly equal large eigenvalues leave no direction to tell
+        flat = v["long"].isNull() | F.isnan(v["long"]) | (v["long"] <= 1e-12 * big * big)
+        return F.when(flat, upright).otherwise(F.struct(*[(v[a] / v["long"]).alias(a) for a in "xyz"]))
+
+    return F.get(F.transform(best, unit), F.lit(0))
+
+
 def angle_bin(dx: Column, dy: Column, bins: int = 36) -> Column:
     """The bin of the direction (dx, dy) among equal bins around the circle."""
     turn = (F.atan2(dy, dx) + math.pi) / (2 * math.pi)

@@ -11,10 +11,13 @@ def hull_2d(p: np.ndarray) -> np.ndarray:
     if len(p) < 3:
         return p
 
+    def turn(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> float:
+        return float((b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0]))
+
     def chain(points: np.ndarray) -> list[np.ndarray]:
         out: list[np.ndarray] = []
         for q in points:
-            while len(out) > 1 and np.cross(out[-1] - out[-2], q - out[-2]).item() <= 0:
+            while len(out) > 1 and turn(out[-2], out[-1], q) <= 0:
                 out.pop()
             out.append(q)
         return out[:-1]
@@ -31,17 +34,19 @@ def polygon(corners: np.ndarray) -> tuple[float, float]:
     return area, float(np.hypot(*(nxt - corners).T).sum())
 
 
-def hull_volume(p: np.ndarray) -> float | None:
-    """Volume of the convex hull in space, or null for points in a plane: faces are added point by point."""
-    p = np.unique(np.asarray(p, float), axis=0)
+def hull_faces(p: np.ndarray) -> np.ndarray | None:
+    """Triangles of the convex hull in space, as rows of three indices of ``p``; None for points in a plane.
+
+    Starts from a wide tetrahedron and adds the point furthest outside until none is outside, so it takes
+    a step for each corner, not for each point.
+    """
     if len(p) < 4:
         return None
     size = float(np.ptp(p, axis=0).max())
     eps = 1e-10 * max(size, 1e-9)
     a = int(p[:, 0].argmin())
     b = int(((p - p[a]) ** 2).sum(1).argmax())
-    line = np.cross(p - p[a], p[b] - p[a])
-    c = int((line**2).sum(1).argmax())
+    c = int((np.cross(p - p[a], p[b] - p[a]) ** 2).sum(1).argmax())
     normal = np.cross(p[b] - p[a], p[c] - p[a])
     high = (p - p[a]) @ normal
     d = int(np.abs(high).argmax())
@@ -49,24 +54,46 @@ def hull_volume(p: np.ndarray) -> float | None:
         return None
     middle = p[[a, b, c, d]].mean(0)
 
-    def face(i: int, j: int, k: int) -> tuple[tuple[int, int, int], np.ndarray, float]:
-        n = np.cross(p[j] - p[i], p[k] - p[i])
-        n = n / max(np.linalg.norm(n), 1e-300)
-        if n @ (middle - p[i]) > 0:
-            i, j, n = j, i, -n
-        return (i, j, k), n, float(n @ p[i])
-
-    faces = [face(a, b, c), face(a, b, d), face(a, c, d), face(b, c, d)]
-    for i in np.argsort(-((p - middle) ** 2).sum(1)):
-        normals = np.array([f[1] for f in faces])
-        seen = normals @ p[i] - np.array([f[2] for f in faces]) > eps
-        if not seen.any():
-            continue
-        edges: dict[tuple[int, int], int] = {}
-        for f, s in zip(faces, seen, strict=True):
-            if s:
-                for u, v in zip(f[0], f[0][1:] + f[0][:1], strict=True):
-                    edges[min(u, v), max(u, v)] = edges.get((min(u, v), max(u, v)), 0) + 1
-        faces = [f for f, s in zip(faces, seen, strict=True) if not s]
-        faces += [face(u, v, int(i)) for (u, v), n in edges.items() if n == 1]
-    return float(sum(abs(np.linalg.det(p[list(f[0])] - middle)) for f in faces) / 6)
+    def outward(faces: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Faces turned so that their normals point away from the middle, the normals and their heights."""
+        n = np.cross(p[faces[:, 1]] - p[faces[:, 0]], p[faces[:, 2]] - p[faces[:, 0]])
+        n /= np.maximum(np.linalg.norm(n, axis=1), 1e-300)[:, None]
+        inward = ((middle - p[faces[:, 0]]) * n).sum(1) > 0
+        faces = np.where(inward[:, None], faces[:, ::-1], faces)
+        n = np.where(inward[:, None], -n, n)
+        return faces, n, (n * p[faces[:, 0]]).sum(1)
+
+    faces, normals, heights = outward(np.array([(a, b, c), (a, b, d), (a, c, d), (b, c, d)]))
+    left = np.arange(len(p))
+    while len(left):
+        above = p[left] @ normals.T - heights
+        furthest = above.max(1)
+        left, above, furthest = left[furthest > eps], above[furthest > eps], furthest[furthest > eps]
+        if not len(left):
+            break
+        k = int(furthest.argmax())
+        seen = above[k] > eps
+        # edges of seen faces that no other seen face shares are the rim
+        edges = np.sort(np.vstack([faces[seen][:, [i, (i + 1) % 3]] for i in range(3)]), axis=1)
+        rim, times = np.unique(edges, axis=0, return_counts=True)
+        rim = rim[times == 1]
+        more = outward(np.column_stack((rim, np.full(len(rim), left[k]))))
+        faces, normals, heights = (np.concatenate((old[~seen], new)) for old, new in zip((faces, normals, heights), more, strict=True))
+        left = np.delete(left, k)
+    return faces
+
+
+def hull_volume(p: np.ndarray) -> float | None:
+    """Volume of the convex hull in space, or None for points in a plane."""
+    p = np.unique(np.asarray(p, float), axis=0)
+    faces = hull_faces(p)
+    if faces is None:
+        return None
+    return float(np.abs(np.linalg.det(p[faces] - p[faces[0, 0]])).sum() / 6)
+
+
+def hull_corners(p: np.ndarray) -> np.ndarray:
+    """The points that are corners of the hull in space; all distinct ones where they lie in a plane."""
+    p = np.unique(np.asarray(p, float), axis=0)
+    faces = hull_faces(p)
+    return p if faces is None else p[np.unique(faces)]

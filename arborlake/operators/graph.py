@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import heapq
+import math
 from collections.abc import Sequence
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -80,30 +85,82 @@ def growth_graph(nodes: DataFrame, k: int, longest: float, z_weight: float, id_c
     return directed.unionByName(back).groupBy("a", "b").agg(F.max("w").alias("w"))
 
 
-def geodesic_labels(edges: DataFrame, seeds: DataFrame, rounds: int = 10_000) -> DataFrame:
+def _spread_inside(edges: pa.Table, state: pa.Table) -> pa.Table:
+    """Shortest paths inside one part, from what changed in it: settled nodes, and offers to nodes of other parts."""
+    own: dict[int, tuple[float, int]] = {}
+    changed: dict[int, None] = {}
+    queue: list[tuple[float, int, int]] = []
+    for node, label, dist, fresh in zip(*(state[c].to_pylist() for c in ("node", "label", "dist", "fresh")), strict=True):
+        if (dist, label) < own.get(node, (math.inf, 0)):
+            own[node] = (dist, label)
+        if fresh:
+            queue.append((dist, label, node))
+            changed[node] = None
+    heapq.heapify(queue)
+    edges = edges.sort_by("a")
+    a, b, w, part, to = (edges[c].to_numpy() for c in ("a", "b", "w", "part", "to"))
+    inside = (part == to).tolist()
+    starts = {n: i for i, n in zip(np.flatnonzero(np.diff(a, prepend=a[:1] - 1)).tolist(), np.unique(a).tolist(), strict=True)} if len(a) else {}
+    ends, b, w, to = np.searchsorted(a, a, "right").tolist(), b.tolist(), w.tolist(), to.tolist()
+    offers: dict[int, tuple[float, int, int]] = {}
+    while queue:
+        dist, label, node = heapq.heappop(queue)
+        if (dist, label) > own[node] or node not in starts:
+            continue
+        first = starts[node]
+        for i in range(first, ends[first]):
+            offer = (dist + w[i], label)
+            if not inside[i]:
+                if b[i] not in offers or offer < offers[b[i]][:2]:
+                    offers[b[i]] = (*offer, to[i])
+            elif offer < own.get(b[i], (math.inf, 0)):
+                own[b[i]] = offer
+                changed[b[i]] = None
+                heapq.heappush(queue, (*offer, b[i]))
+    here = state["part"][0].as_py() if state.num_rows else 0
+    rows = [(here, n, *own[n], False) for n in changed] + [(o[2], n, o[0], o[1], True) for n, o in offers.items()]
+    columns = list(zip(*rows, strict=True)) or [[]] * 5
+    kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.bool_())
+    return pa.table({c: pa.array(v, t) for c, v, t in zip(("part", "node", "dist", "label", "sent"), columns, kinds, strict=True)})
+
+
+def geodesic_labels(edges: DataFrame, seeds: DataFrame, parts: DataFrame | None = None) -> DataFrame:
     """Label each node with the seed nearest along edges: ``node, label, dist``; ties by label.
 
-    ``seeds`` has ``node, label``. Only nodes whose distance fell in the last round send offers in
-    the next, so the work of a round is that of its frontier. A node never reached has no row.
+    ``seeds`` has ``node, label``. ``parts`` deals the nodes (``node, part``), best by where they are: paths are
+    followed to their ends inside a part in one task, and offers cross to other parts between rounds,
+    until none is better. Only parts with new offers work, and a round writes what it changed. Without
+    ``parts`` nodes are dealt by hash. A node never reached has no row.
     """
-    best = checkpoint(seeds.groupBy("node").agg(F.min("label").alias("label")).withColumn("dist", F.lit(0.0)))
-    edges = checkpoint(edges.select("a", "b", "w"))
-    frontier = best
-    for _ in range(rounds):
-        offers = (
-            frontier.join(edges, F.col("node") == F.col("a"))
-            .select(F.col("b").alias("to"), F.struct((F.col("dist") + F.col("w")).alias("dist"), "label").alias("offer"))
-            .groupBy("to")
-            .agg(F.min("offer").alias("offer"))
+    ends = edges.select(F.col("a").cast("long"), F.col("b").cast("long"), F.col("w").cast("double"))
+    if parts is None:
+        nodes = ends.select(F.col("a").alias("node")).unionByName(ends.select(F.col("b").alias("node"))).unionByName(seeds.select("node"))
+        parts = nodes.distinct().withColumn("part", F.pmod(F.xxhash64("node"), F.lit(64)))
+    parts = checkpoint(parts.select(F.col("node").cast("long"), F.col("part").cast("long")))
+    of_a, of_b = (parts.select(F.col("node").alias(n), F.col("part").alias(p)) for n, p in (("a", "part"), ("b", "to")))
+    held = checkpoint(ends.join(of_a, "a").join(of_b, "b").select("part", "a", "b", "w", "to"))
+    first = seeds.groupBy("node").agg(F.min("label").cast("long").alias("label"))
+    inbox = checkpoint(first.join(parts, "node").select("part", F.col("node").cast("long").alias("node"), "label", F.lit(0.0).alias("dist")))
+    settled: list[DataFrame] = []
+
+    def best(rows: list[DataFrame], name: str) -> DataFrame:
+        every = reduce(DataFrame.unionByName, rows)
+        return every.groupBy("part", "node").agg(F.min(F.struct("dist", "label")).alias(name))
+
+    while not inbox.isEmpty():
+        active = inbox.select(F.col("part").alias("at")).distinct()
+        state = inbox.withColumn("fresh", F.lit(True))
+        if settled:
+            before = best([s.join(active, F.col("part") == F.col("at"), "left_semi") for s in settled], "own")
+            state = state.unionByName(before.select("part", "node", "own.label", "own.dist", F.lit(False).alias("fresh")))
+        working = held.join(active, F.col("part") == F.col("at"), "left_semi").groupBy("part")
+        found = checkpoint(
+            working.cogroup(state.groupBy("part")).applyInArrow(_spread_inside, "part long, node long, dist double, label long, sent boolean")
         )
-        own = best.select(F.col("node").alias("at"), F.struct("dist", "label").alias("own"))
-        better = checkpoint(
-            offers.join(own, F.col("to") == F.col("at"), "left")
-            .where("own is null or offer < own")
-            .select(F.col("to").alias("node"), F.col("offer.label").alias("label"), F.col("offer.dist").alias("dist"))
-        )
-        if better.isEmpty():
-            break
-        best = checkpoint(best.join(better, "node", "left_anti").unionByName(better))
-        frontier = better
-    return best
+        settled.append(found.where("not sent").select("part", "node", "dist", "label"))
+        offers = found.where("sent").groupBy("part", "node").agg(F.min(F.struct("dist", "label")).alias("offer"))
+        better = offers.join(best(settled, "own"), ["part", "node"], "left").where("own is null or offer < own")
+        inbox = checkpoint(better.select("part", "node", "offer.label", "offer.dist"))
+    if not settled:
+        return inbox.select("node", "label", "dist")
+    return best(settled, "own").select("node", "own.label", "own.dist")

@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..plans.lineage import checkpoint
+
+#: Shares of the radius that neighbours are looked for in, one after the other.
+_WIDENING = (0.125, 0.25, 0.5, 1)
+
 
 def _bucket(axis: str, cell: float, prefix: str = "") -> Column:
     return F.floor(F.col(prefix + axis) / F.lit(float(cell))).cast("long")
@@ -46,13 +52,26 @@ def close_pairs(df: DataFrame, radius: float, id_col: str, axes: Sequence[str] =
 def nearest_k(df: DataFrame, k: int, radius: float, id_col: str, axes: Sequence[str] = ("x", "y", "z")) -> DataFrame:
     """Up to ``k`` nearest other rows within ``radius`` of each row: ``src, dst, dist``; ties by id.
 
-    Cutting at the radius first gives the same rows as ranking first, since both use one distance.
+    The search starts with a fraction of the radius. A row that has ``k`` others within it has its
+    nearest ones; only the rest look further, so that dense places don't meet in all their pairs.
     """
-    slim = df.select(id_col, *axes)
-    pairs = neighbour_join(slim, slim, radius, axes).where(F.col(id_col) != F.col(f"n_{id_col}"))
+    slim = checkpoint(df.select(id_col, *axes))
     nearest = W.partitionBy(id_col).orderBy("dist", f"n_{id_col}")
-    ranked = pairs.withColumn("__r", F.row_number().over(nearest)).where(F.col("__r") <= k)
-    return ranked.select(F.col(id_col).alias("src"), F.col(f"n_{id_col}").alias("dst"), "dist")
+    left, found = slim, []
+    for share in _WIDENING:
+        pairs = neighbour_join(left, slim, radius * share, axes).where(F.col(id_col) != F.col(f"n_{id_col}"))
+        ranked = pairs.withColumn("__r", F.row_number().over(nearest)).where(F.col("__r") <= k).select(id_col, f"n_{id_col}", "dist", "__r")
+        if share == 1:
+            found.append(ranked)
+            break
+        ranked = checkpoint(ranked)
+        full = ranked.where(F.col("__r") == k).select(id_col)
+        found.append(ranked.join(full, id_col, "left_semi"))
+        left = checkpoint(left.join(full, id_col, "left_anti"))
+        if left.isEmpty():
+            break
+    every = reduce(DataFrame.unionByName, found)
+    return every.select(F.col(id_col).alias("src"), F.col(f"n_{id_col}").alias("dst"), "dist")
 
 
 def nearest_one(

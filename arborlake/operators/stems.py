@@ -12,8 +12,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import SurveyConfig
-from ..functions.geometry import angle_bin
-from ..kernels.circle import ransac
+from ..functions.geometry import angle_bin, main_direction
+from ..kernels.circle import arc_share, best_circle
 from ..plans.lineage import checkpoint
 from .graph import components, density_clusters
 from .grid import layers, thin
@@ -51,17 +51,21 @@ def _circle_kernel(keys: Sequence[str], tol: float, tries: int, least_r: float,
         key = [group[k][0].as_py() for k in keys]
         p = np.column_stack([group[c].to_numpy().astype(float) for c in ("x", "y")])
         top = most_r if most_r is not None else group["most_r"][0].as_py()
-        found = ransac(p, tol, tries, least_r, top, crc32(repr((seed, *key)).encode()))
-        names = [*keys, "cx", "cy", "r", "rmse", "n", "inlier_frac", "arc", "members"]
-        if found is None:
-            return pa.table({n: pa.array([], group.schema.field(n).type) for n in keys} | {n: pa.array([], t) for n, t in zip(names[len(keys) :], (*[pa.float64()] * 4, pa.int32(), pa.float64(), pa.float64(), pa.list_(pa.int64())))})
-        members = group["pid"].to_numpy()[found["inside"]]
-        values = [[found[n]] for n in ("cx", "cy", "r", "rmse")]
-        return pa.table(
-            {n: pa.array([k], group.schema.field(n).type) for n, k in zip(keys, key)}
-            | {n: pa.array(v, pa.float64()) for n, v in zip(("cx", "cy", "r", "rmse"), values)}
-            | {"n": pa.array([found["n"]], pa.int32()), "inlier_frac": pa.array([found["inlier_frac"]], pa.float64()), "arc": pa.array([found["arc"]], pa.float64()), "members": pa.array([members], pa.list_(pa.int64()))}
-        )
+        found = best_circle(p, tol, tries, least_r, top, crc32(repr((seed, *key)).encode()))
+        rows = {k: group[k].slice(0, 0 if found is None else 1) for k in keys}
+        inside = np.zeros(len(p), bool) if found is None else found.inside
+        one = [] if found is None else [found]
+        values = {
+            "cx": ([c.x for c in one], pa.float64()),
+            "cy": ([c.y for c in one], pa.float64()),
+            "r": ([c.r for c in one], pa.float64()),
+            "rmse": ([c.rmse for c in one], pa.float64()),
+            "n": ([int(inside.sum()) for _ in one], pa.int32()),
+            "inlier_frac": ([float(inside.mean()) for _ in one], pa.float64()),
+            "arc": ([arc_share(p[inside], c.x, c.y) for c in one], pa.float64()),
+            "members": ([group["pid"].to_numpy()[inside] for _ in one], pa.list_(pa.int64())),
+        }
+        return pa.table(rows | {name: pa.array(v, kind) for name, (v, kind) in values.items()})
 
     return fit
 
@@ -144,26 +148,18 @@ def stack_table(chain: DataFrame, cfg: SurveyConfig) -> DataFrame:
     """One row per stack, accepted or not: ``stack, n_layers, x, y, stack_diameter, stack_rmse, stack_arc,
     axis_x, axis_y, axis_z, mid_x, mid_y, mid_z, reason`` (``ok, short, tilted, size``).
 
-    The axis is the first principal direction of the centres, by power iteration on their covariance.
+    The axis is the first principal direction of the centres, upward.
     """
-    sums = chain.groupBy("stack").agg(
+    moments = chain.groupBy("stack").agg(
         F.count(F.lit(1)).alias("n_layers"),
         F.avg("rmse").alias("stack_rmse"),
         F.avg("arc").alias("stack_arc"),
         *[F.avg(c).alias(f"mid_{a}") for a, c in zip("xyz", ("cx", "cy", "h"))],
         *[F.covar_pop(a, b).alias(f"c_{a}_{b}") for a, b in (("cx", "cx"), ("cy", "cy"), ("h", "h"), ("cx", "cy"), ("cx", "h"), ("cy", "h"))],
     )
-    v: list[Column] = [F.lit(1e-3), F.lit(1e-3), F.lit(1.0)]
-    frame = sums
-    for i in range(12):
-        m = [["c_cx_cx", "c_cx_cy", "c_cx_h"], ["c_cx_cy", "c_cy_cy", "c_cy_h"], ["c_cx_h", "c_cy_h", "c_h_h"]]
-        w = [sum((F.col(m[a][b]) * v[b] for b in (1, 2)), F.col(m[a][0]) * v[0]) for a in range(3)]
-        frame = frame.withColumns({f"w{a}": w[a] for a in range(3)})
-        n = F.sqrt(F.col("w0") * F.col("w0") + F.col("w1") * F.col("w1") + F.col("w2") * F.col("w2"))
-        frame = frame.withColumns({f"v{a}": F.when(n > 0, F.col(f"w{a}") / n).otherwise(F.lit(1.0 if a == 2 else 0.0)) for a in range(3)})
-        v = [F.col(f"v{a}") for a in range(3)]
-    up = F.when(F.col("v2") < 0, -1.0).otherwise(1.0)
-    frame = frame.withColumns({f"axis_{a}": F.col(f"v{i}") * up for i, a in enumerate("xyz")})
+    axis = main_direction(*[F.col(f"c_{n}") for n in ("cx_cx", "cy_cy", "h_h", "cx_cy", "cx_h", "cy_h")])
+    up = F.when(F.col("axis.z") < 0, -1.0).otherwise(1.0)
+    frame = moments.withColumn("axis", axis).withColumns({f"axis_{a}": F.col(f"axis.{a}") * up for a in "xyz"})
     at = interpolate_along(chain, "stack", cfg.dbh_height, ["r", "cx", "cy"])
     joined = frame.join(at, "stack").withColumn("stack_diameter", 2 * F.col("r"))
     reason = (

@@ -101,16 +101,21 @@ def without_spikes(cells: DataFrame, cfg: SurveyConfig) -> DataFrame:
     return cells
 
 
-def largest_part(cells: DataFrame) -> DataFrame:
-    """The cells (``ix, iy``) of the largest part that side-by-side neighbours connect, ties to the smallest cell."""
+def cell_parts(cells: DataFrame) -> DataFrame:
+    """``ix, iy, part``: the parts that side-by-side neighbours connect, each named by its least cell."""
     node = F.col("ix") * (1 << 31) + F.col("iy")
     keyed = cells.select("ix", "iy", node.alias("node"))
     right = keyed.select(F.col("node").alias("a"), ((F.col("ix") + 1) * (1 << 31) + F.col("iy")).alias("b"))
     up = keyed.select(F.col("node").alias("a"), (node + 1).alias("b"))
     edges = right.unionByName(up).join(keyed.select(F.col("node").alias("b")), "b", "left_semi")
-    parts = components(keyed.select("node"), edges.select("a", "b"))
-    most = parts.groupBy("root").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "root").limit(1).select("root")
-    return keyed.join(parts.join(F.broadcast(most), "root", "left_semi"), "node").select("ix", "iy")
+    return keyed.join(components(keyed.select("node"), edges.select("a", "b")), "node").select("ix", "iy", F.col("root").alias("part"))
+
+
+def largest_part(cells: DataFrame) -> DataFrame:
+    """The cells (``ix, iy``) of the largest part, of equal ones that with the smallest cell."""
+    parts = cell_parts(cells)
+    most = parts.groupBy("part").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "part").limit(1).select("part")
+    return parts.join(F.broadcast(most), "part", "left_semi").select("ix", "iy")
 
 
 def build_terrain(ground: DataFrame, cloud: DataFrame, cfg: SurveyConfig) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..config import SurveyConfig
 from ..functions.geometry import lean_degrees, perpendicular_basis
-from ..kernels.hull import hull_2d, hull_volume, polygon
+from ..kernels.hull import hull_2d, hull_corners, hull_volume, polygon
 from .stems import ransac_circles
 
 
@@ -110,6 +110,10 @@ def crown_width(points: DataFrame, trees: DataFrame) -> DataFrame:
     return trees.select("tree_id").join(found, "tree_id", "left")
 
 
+#: Points of a tree in a batch beyond which only their hull's corners are shuffled.
+_MANY = 500
+
+
 def _hull_kernel(key: str) -> Callable[[pa.Table], pa.Table]:
     def measure(group: pa.Table) -> pa.Table:
         p = np.column_stack([group[c].to_numpy() for c in "xyz"])
@@ -121,16 +125,32 @@ def _hull_kernel(key: str) -> Callable[[pa.Table], pa.Table]:
     return measure
 
 
+def _corners_of_many(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a tree with many points in a batch, the hull's corners; other points pass."""
+    for batch in batches:
+        codes = batch.column("tree_id").dictionary_encode()
+        tree = codes.indices.to_numpy(zero_copy_only=False)
+        many = np.flatnonzero(np.bincount(tree, minlength=1) > _MANY)
+        yield batch.filter(pa.array(~np.isin(tree, many)))
+        p = np.column_stack([batch.column(c).to_numpy() for c in "xyz"])
+        for t in many:
+            corners = hull_corners(p[tree == t])
+            key = pa.array([codes.dictionary[int(t)].as_py()] * len(corners), batch.schema.field("tree_id").type)
+            yield pa.RecordBatch.from_arrays([key, *(pa.array(corners[:, k], pa.float64()) for k in range(3))], schema=batch.schema)
+
+
 def crown_hulls(points: DataFrame, trees: DataFrame) -> DataFrame:
     """``tree_id, crown_area_m2, crown_volume_m3``: convex hulls of 30 crown points at least; null for flat ones.
 
-    One Arrow group per tree.
+    Each task first reduces a tree's many points to their own hull's corners, so that the group of a
+    tree, which ends in one task, holds corners.
     """
     base = trees.select("tree_id", "crown_base_m")
     crown = points.join(base, "tree_id").where(F.col("crown_base_m").isNull() | (F.col("h") >= F.col("crown_base_m"))).select("tree_id", "x", "y", "z")
     full = crown.groupBy("tree_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 30")
     kind = dict(points.dtypes)["tree_id"]
-    found = crown.join(full, "tree_id", "left_semi").groupBy("tree_id").applyInArrow(_hull_kernel("tree_id"), f"tree_id {kind}, crown_area_m2 double, crown_volume_m3 double")
+    corners = crown.join(full, "tree_id", "left_semi").mapInArrow(_corners_of_many, f"tree_id {kind}, x double, y double, z double")
+    found = corners.groupBy("tree_id").applyInArrow(_hull_kernel("tree_id"), f"tree_id {kind}, crown_area_m2 double, crown_volume_m3 double")
     return trees.select("tree_id").join(found, "tree_id", "left")
 
 

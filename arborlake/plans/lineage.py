@@ -3,13 +3,21 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Write a frame to the session's checkpoint folder; a folder of our own is set only where it has none."""
+    """Write a frame to the session's checkpoint folder and read it again.
+
+    A written table has the size of its files, where ``DataFrame.checkpoint`` keeps the estimate of the plan
+    before it: these multiply in loops of joins until the planner is busy with them alone. A folder of
+    our own is set only where the session has none.
+    """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
+    path = f"{sc.getCheckpointDir()}/{uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

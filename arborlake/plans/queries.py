@@ -93,14 +93,15 @@ def scanner_cell(spark, sf):
  w AS (SELECT pid, z, dx, dy, cx0 + dx AS ix, cy0 + dy AS iy, (CASE dx WHEN 1 THEN fx - cx0 ELSE 1 - (fx - cx0) END) * (CASE dy WHEN 1 THEN fy - cy0 ELSE 1 - (fy - cy0) END) AS w
        FROM b, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS d(dx, dy)),
  j AS (SELECT pid, z, CASE WHEN w = 0 THEN 0 ELSE w * v END AS p FROM w LEFT JOIN m USING (ix, iy))
- SELECT pid, CASE WHEN count(p) = 4 THEN round(z - sum(p), 6) END AS h FROM j GROUP BY pid, z"""
+ SELECT pid, CASE WHEN count(p) = 4 THEN cast(round((z - sum(p)) * 1e9) AS BIGINT) / 1e9 END AS h FROM j GROUP BY pid, z"""
 )
 def raster_bilinear_height(spark, sf):
+    """Millimetres times thousandths of a cell are whole billionths of a metre, in which both engines agree."""
     points = fx.cloud(spark, sf).select("pid", "x", "y", "z")
     cells = grid.cell_surface(points, 1.0, "min").withColumnRenamed("v", "low")
     origin = points.agg(F.min("x").alias("gx"), F.min("y").alias("gy"))
     on = grid.bilinear(points.join(F.broadcast(origin)), cells, 1.0, ["low"], F.col("gx"), F.col("gy"))
-    return on.select("pid", F.round(F.col("z") - F.col("low"), 6).alias("h"))
+    return on.select("pid", (F.round((F.col("z") - F.col("low")) * 1e9).cast("long") / F.lit(1e9)).alias("h"))
 
 
 @query(
@@ -137,20 +138,22 @@ def raster_despike_once(spark, sf):
 
 
 @query(
-    CELLS.format(v="4e0")
-    + """, m AS (SELECT DISTINCT ix, iy, ix * 1000000 + iy AS n FROM k WHERE (ix * 7 + iy * 3) % 5 <> 0), 
- e AS (SELECT a.n AS a, b.n AS b FROM m a JOIN m b ON abs(a.ix - b.ix) + abs(a.iy - b.iy) = 1)
- , reach AS (WITH RECURSIVE r(a, b) AS (SELECT n, n FROM m UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) SELECT a AS node, min(b) AS root FROM r GROUP BY a)
- SELECT node, root FROM reach"""
+    CELLS.format(v="1e0")
+    + """, m AS (SELECT DISTINCT ix, iy, ix * 1000000 + iy AS n FROM k WHERE role = 'crown'),
+ e AS (SELECT a.n AS a, b.n AS b FROM m a JOIN m b ON a.ix = b.ix AND abs(a.iy - b.iy) = 1 UNION ALL SELECT a.n, b.n FROM m a JOIN m b ON a.iy = b.iy AND abs(a.ix - b.ix) = 1),
+ reach AS (WITH RECURSIVE r(a, root) USING KEY (a) AS (SELECT n, n FROM m UNION
+   (SELECT e.b, min(r.root) FROM r JOIN e ON r.a = e.a JOIN recurring.r AS old ON old.a = e.b GROUP BY e.b HAVING min(r.root) < min(old.root))) SELECT * FROM r),
+ parts AS (SELECT root, count(*) AS n FROM reach GROUP BY root)
+ SELECT ix, iy, root AS part, (root = (SELECT arg_max(root, (n, -root)) FROM parts)) AS largest FROM reach JOIN m ON m.n = reach.a"""
 )
 def raster_components(spark, sf):
-    cells = grid.with_cells(fx.cloud(spark, sf), 4.0).select("ix", "iy").distinct().where("(ix * 7 + iy * 3) % 5 <> 0")
-    node = F.col("ix") * 1000000 + F.col("iy")
-    keyed = cells.select(node.alias("node"))
-    right = keyed.select(F.col("node").alias("a"), (F.col("node") + 1000000).alias("b"))
-    up = keyed.select(F.col("node").alias("a"), (F.col("node") + 1).alias("b"))
-    edges = right.unionByName(up).join(keyed.select(F.col("node").alias("b")), "b", "left_semi")
-    return graph.components(keyed, edges.select("a", "b"))
+    """Parts of the cells that crowns cover, and the largest of them."""
+    points = fx.cloud(spark, sf)
+    cells = graph.checkpoint(grid.with_cells(points, 1.0).where("role = 'crown'").select("ix", "iy").distinct())
+    parts = terrain.cell_parts(cells).select("ix", "iy", "part")
+    largest = terrain.largest_part(cells).withColumn("largest", F.lit(True))
+    named = parts.join(largest, ["ix", "iy"], "left").withColumn("largest", F.coalesce("largest", F.lit(False)))
+    return named.withColumn("part", F.floor(F.col("part") / (1 << 31)) * 1000000 + F.pmod("part", F.lit(1 << 31)))
 
 
 LAYERS = C + """, l AS (SELECT c.*, cast(i AS INT) AS layer FROM c, range(0, 10) AS t(i) WHERE role = 'stem' AND h >= 6e-1 + i * 2e-1 AND h < 6e-1 + i * 2e-1 + 2e-1)"""
@@ -286,33 +289,43 @@ def seed_merge(spark, sf):
 
 # neighbours and graphs --------------------------------------------------------------------------
 
-FEW = C + ", p AS (SELECT pid, tree_id, x, y, z, h, cast(floor(hi / 1000) AS INT) AS band FROM c WHERE role = 'stem' AND tree_id < 8)"
+STEM = C + ", p AS (SELECT pid, tree_id, x, y, z, h, cast(floor(hi / 1000) AS INT) AS band FROM c WHERE role = 'stem')"
+#: Pairs of rows within a distance, by way of cells of that size, so that the SQL reads the whole cloud too.
+PAIRS = """, d3 AS (SELECT dx, dy, dz FROM (VALUES (-1), (0), (1)) AS a(dx), (VALUES (-1), (0), (1)) AS b(dy), (VALUES (-1), (0), (1)) AS c(dz)),
+ {name}_l AS (SELECT {left_columns}, x, y, z, floor(x / {r}) + dx AS bx, floor(y / {r}) + dy AS b_y, floor(z / {r}) + dz AS bz FROM {left}, d3),
+ {name}_r AS (SELECT {right_columns}, x, y, z, floor(x / {r}) AS bx, floor(y / {r}) AS b_y, floor(z / {r}) AS bz FROM {right}),
+ {name} AS (SELECT * FROM (SELECT {out}, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) AS dist
+   FROM {name}_l AS a JOIN {name}_r AS b ON a.bx = b.bx AND a.b_y = b.b_y AND a.bz = b.bz) WHERE dist <= {r})"""
 
 
-def _few(spark, sf) -> DataFrame:
-    return fx.cloud(spark, sf).where("role = 'stem' and tree_id < 8").select("pid", "tree_id", "x", "y", "z", "h", F.floor(F.col("hi") / 1000).cast("int").alias("band"))
+def _stem_returns(spark, sf) -> DataFrame:
+    return fx.cloud(spark, sf).where("role = 'stem'").select("pid", "tree_id", "x", "y", "z", "h", F.floor(F.col("hi") / 1000).cast("int").alias("band"))
 
 
 @query(
-    FEW
-    + """, near AS (SELECT a.band, a.pid AS a, b.pid AS b FROM p a JOIN p b ON a.band = b.band AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 2e-2),
+    STEM
+    + """, d2 AS (SELECT dx, dy FROM (VALUES (-1), (0), (1)) AS a(dx), (VALUES (-1), (0), (1)) AS b(dy)),
+ l AS (SELECT band, pid, x, y, floor(x / 2e-2) + dx AS bx, floor(y / 2e-2) + dy AS b_y FROM p, d2),
+ r AS (SELECT band, pid, x, y, floor(x / 2e-2) AS bx, floor(y / 2e-2) AS b_y FROM p),
+ near AS (SELECT a.band, a.pid AS a, b.pid AS b FROM l AS a JOIN r AS b ON a.band = b.band AND a.bx = b.bx AND a.b_y = b.b_y WHERE sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 2e-2),
  core AS (SELECT band, a FROM near GROUP BY ALL HAVING count(*) >= 12),
  e AS (SELECT a, b FROM near WHERE a IN (SELECT a FROM core) AND b IN (SELECT a FROM core)),
- g AS (WITH RECURSIVE r(a, root) AS (SELECT a, a FROM core UNION SELECT e.b, r.root FROM r JOIN e ON r.a = e.a AND r.root < e.b) SELECT a, min(root) AS root FROM r GROUP BY a)
+ g AS (WITH RECURSIVE q(a, root) USING KEY (a) AS (SELECT a, a FROM core UNION
+   (SELECT e.b, min(q.root) FROM q JOIN e ON q.a = e.a JOIN recurring.q AS old ON old.a = e.b GROUP BY e.b HAVING min(q.root) < min(old.root))) SELECT * FROM q)
  SELECT p.pid, p.band, (min(own.root) IS NOT NULL) AS core, coalesce(min(own.root), min(g.root)) AS cluster
  FROM p LEFT JOIN near ON near.a = p.pid LEFT JOIN g ON g.a = near.b LEFT JOIN g AS own ON own.a = p.pid GROUP BY p.pid, p.band"""
 )
 def dbscan_layer(spark, sf):
-    return graph.density_clusters(_few(spark, sf), 0.02, 12, keys=["band"])
+    return graph.density_clusters(_stem_returns(spark, sf), 0.02, 12, keys=["band"])
 
 
-KNN = FEW + """, near AS (SELECT a.pid AS src, b.pid AS dst, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) AS dist FROM p a JOIN p b ON a.pid <> b.pid),
- knn AS (SELECT * FROM near WHERE dist <= 4e-1 QUALIFY row_number() OVER (PARTITION BY src ORDER BY dist, dst) <= 10)"""
+KNN = STEM + PAIRS.format(name="near", left="p", right="p", left_columns="pid", right_columns="pid", out="a.pid AS src, b.pid AS dst", r="4e-1") + """,
+ knn AS (SELECT * FROM near WHERE src <> dst QUALIFY row_number() OVER (PARTITION BY src ORDER BY dist, dst) <= 10)"""
 
 
 @query(KNN + " SELECT src, dst, round(dist, 6) AS dist FROM knn")
 def knn_edges(spark, sf):
-    return rounded(neighbours.nearest_k(_few(spark, sf), 10, 0.4, "pid"))
+    return rounded(neighbours.nearest_k(_stem_returns(spark, sf), 10, 0.4, "pid"))
 
 
 EDGES = KNN + """, d AS (SELECT src AS a, dst AS b, sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) + ((p.z - q.z) * 35e-2) * ((p.z - q.z) * 35e-2)) AS w
@@ -321,14 +334,14 @@ EDGES = KNN + """, d AS (SELECT src AS a, dst AS b, sqrt((p.x - q.x) * (p.x - q.
 
 @query(EDGES + " SELECT a, b, round(w, 6) AS w FROM e")
 def weighted_symmetric_edges(spark, sf):
-    return rounded(graph.growth_graph(_few(spark, sf), 10, 0.4, 0.35))
+    return rounded(graph.growth_graph(_stem_returns(spark, sf), 10, 0.4, 0.35))
 
 
-SEEDS = FEW + """, v AS (SELECT *, floor(x / 15e-2) AS vx, floor(y / 15e-2) AS vy, floor(z / 15e-2) AS vz FROM p),
+SEEDS = STEM + """, v AS (SELECT *, floor(x / 15e-2) AS vx, floor(y / 15e-2) AS vy, floor(z / 15e-2) AS vz FROM p),
  nodes AS (SELECT min(pid) AS nid, arg_min(x, pid) AS x, arg_min(y, pid) AS y, arg_min(z, pid) AS z FROM v GROUP BY vx, vy, vz),
- sp AS (SELECT pid, tree_id, x, y, z FROM p WHERE h < 14e-1),
- d AS (SELECT pid, tree_id, nid, sqrt((sp.x - n.x) * (sp.x - n.x) + (sp.y - n.y) * (sp.y - n.y) + (sp.z - n.z) * (sp.z - n.z)) AS dist FROM sp JOIN nodes n ON abs(sp.x - n.x) < 1),
- one AS (SELECT tree_id, nid FROM d WHERE dist <= 26e-2 QUALIFY row_number() OVER (PARTITION BY pid ORDER BY dist, nid) = 1)"""
+ sp AS (SELECT pid, tree_id, x, y, z FROM p WHERE h < 14e-1)""" + PAIRS.format(
+    name="near", left="sp", right="nodes", left_columns="pid, tree_id", right_columns="nid", out="pid, tree_id, nid", r="26e-2"
+) + """, one AS (SELECT tree_id, nid FROM near QUALIFY row_number() OVER (PARTITION BY pid ORDER BY dist, nid) = 1)"""
 
 
 def _nodes(points: DataFrame) -> DataFrame:
@@ -338,42 +351,49 @@ def _nodes(points: DataFrame) -> DataFrame:
 
 @query(SEEDS + " SELECT nid AS node, min(tree_id) AS label FROM one GROUP BY nid")
 def seed_nodes(spark, sf):
-    few = _few(spark, sf)
-    return growth.seed_nodes(_nodes(few), few.where("h < 1.4").select("pid", "x", "y", "z", "tree_id"), 0.26)
+    points = _stem_returns(spark, sf)
+    return growth.seed_nodes(_nodes(points), points.where("h < 1.4").select("pid", "x", "y", "z", "tree_id"), 0.26)
 
 
 @query(
-    FEW
-    + """, lab AS (SELECT pid AS nid, tree_id, x, y, z FROM p WHERE pid % 5 = 0),
- d AS (SELECT p.pid, nid, lab.tree_id, sqrt((p.x - lab.x) * (p.x - lab.x) + (p.y - lab.y) * (p.y - lab.y) + (p.z - lab.z) * (p.z - lab.z)) AS dist FROM p JOIN lab ON abs(p.x - lab.x) < 1),
- one AS (SELECT pid, nid, tree_id FROM d WHERE dist <= 45e-2 QUALIFY row_number() OVER (PARTITION BY pid ORDER BY dist, nid) = 1)
+    STEM
+    + ", lab AS (SELECT pid AS nid, tree_id, x, y, z FROM p WHERE h BETWEEN 1e0 AND 12e-1)"
+    + PAIRS.format(name="near", left="p", right="lab", left_columns="pid", right_columns="nid, tree_id", out="pid, nid, tree_id", r="45e-2")
+    + """, one AS (SELECT pid, nid, tree_id FROM near QUALIFY row_number() OVER (PARTITION BY pid ORDER BY dist, nid) = 1)
  SELECT p.pid, one.nid, one.tree_id FROM p LEFT JOIN one USING (pid)"""
 )
 def label_backprojection(spark, sf):
-    few = _few(spark, sf).select("pid", "x", "y", "z", "tree_id")
-    labelled = few.where("pid % 5 = 0").withColumnRenamed("pid", "nid")
-    return neighbours.nearest_one(few.drop("tree_id"), labelled, 0.45, "pid", "nid", carry=["tree_id"]).select("pid", "nid", "tree_id")
+    """Labels of a slice of each stem, carried to all stem returns within reach."""
+    points = _stem_returns(spark, sf).select("pid", "x", "y", "z", "h", "tree_id")
+    labelled = points.where("h between 1 and 1.2").withColumnRenamed("pid", "nid").drop("h")
+    return neighbours.nearest_one(points.drop("tree_id", "h"), labelled, 0.45, "pid", "nid", carry=["tree_id"]).select("pid", "nid", "tree_id")
 
 
 @query(
     C
-    + """, p AS (SELECT pid, tree_id, xi, yi, hi FROM c WHERE role = 'stem' AND tree_id < 4 AND pid % 3 = 0),
- e AS (SELECT a.pid AS a, b.pid AS b, abs(a.xi - b.xi) + abs(a.yi - b.yi) + abs(a.hi - b.hi) AS w FROM p a JOIN p b ON a.pid <> b.pid AND abs(a.xi - b.xi) <= 60 AND abs(a.yi - b.yi) <= 60 AND abs(a.hi - b.hi) <= 60),
- seeds AS (SELECT pid AS node, tree_id AS label FROM p WHERE hi < 900 AND pid % 4 = 1),
- reach AS (WITH RECURSIVE r(node, label, dist) USING KEY (node, label) AS (SELECT node, label, 0::BIGINT FROM seeds
-   UNION (SELECT e.b, r.label, min(r.dist + e.w)::BIGINT FROM r JOIN e ON r.node = e.a LEFT JOIN recurring.r AS old ON old.node = e.b AND old.label = r.label
-          GROUP BY e.b, r.label HAVING min(r.dist + e.w) < coalesce(min(old.dist), 9e15))) SELECT * FROM r)
+    + """, p AS (SELECT pid, tree_id, xi, yi, hi FROM c WHERE role = 'stem'),
+ d3 AS (SELECT dx, dy, dz FROM (VALUES (-1), (0), (1)) AS a(dx), (VALUES (-1), (0), (1)) AS b(dy), (VALUES (-1), (0), (1)) AS c(dz)),
+ l AS (SELECT p.*, floor(xi / 6e1) + dx AS bx, floor(yi / 6e1) + dy AS b_y, floor(hi / 6e1) + dz AS bz FROM p, d3),
+ r AS (SELECT p.*, floor(xi / 6e1) AS bx, floor(yi / 6e1) AS b_y, floor(hi / 6e1) AS bz FROM p),
+ e AS (SELECT a.pid AS a, b.pid AS b, abs(a.xi - b.xi) + abs(a.yi - b.yi) + abs(a.hi - b.hi) AS w FROM l AS a JOIN r AS b ON a.bx = b.bx AND a.b_y = b.b_y AND a.bz = b.bz
+       WHERE a.pid <> b.pid AND abs(a.xi - b.xi) <= 60 AND abs(a.yi - b.yi) <= 60 AND abs(a.hi - b.hi) <= 60),
+ seeds AS (SELECT pid AS node, tree_id AS label FROM p WHERE hi < 800),
+ reach AS (WITH RECURSIVE q(node, label, dist) USING KEY (node, label) AS (SELECT node, label, 0::BIGINT FROM seeds
+   UNION (SELECT e.b, q.label, min(q.dist + e.w)::BIGINT FROM q JOIN e ON q.node = e.a LEFT JOIN recurring.q AS old ON old.node = e.b AND old.label = q.label
+          GROUP BY e.b, q.label HAVING min(q.dist + e.w) < coalesce(min(old.dist), 9e15))) SELECT * FROM q)
  SELECT node, arg_min(label, (dist, label)) AS label, min(dist) / 1e0 AS dist FROM reach GROUP BY node"""
 )
 def geodesic_labels(spark, sf):
     """Whole millimetres along axes, so that both engines add the same distances."""
-    p = fx.cloud(spark, sf).where("role = 'stem' and tree_id < 4 and pid % 3 = 0").selectExpr("pid", "tree_id", "cast(xi as double) x", "cast(yi as double) y", "cast(hi as double) z", "hi")
+    p = fx.cloud(spark, sf).where("role = 'stem'").selectExpr("pid", "tree_id", "cast(xi as double) x", "cast(yi as double) y", "cast(hi as double) z", "hi")
     pairs = neighbours.neighbour_join(p, p, 104.0, ("x", "y", "z")).where("pid <> n_pid")
     away = [F.abs(F.col(a) - F.col(f"n_{a}")) for a in "xyz"]
     near = pairs.where((away[0] <= 60) & (away[1] <= 60) & (away[2] <= 60))
     edges = near.select(F.col("pid").alias("a"), F.col("n_pid").alias("b"), (away[0] + away[1] + away[2]).alias("w"))
-    seeds = p.where("hi < 900 and pid % 4 = 1").select(F.col("pid").alias("node"), F.col("tree_id").alias("label"))
-    return graph.geodesic_labels(edges, seeds).select("node", "label", "dist")
+    seeds = p.where("hi < 800").select(F.col("pid").alias("node"), F.col("tree_id").alias("label"))
+    # strips that end inside the stems, so that labels cross from strip to strip
+    strips = p.select(F.col("pid").alias("node"), F.floor(F.col("x") / 500).alias("part"))
+    return graph.geodesic_labels(edges, seeds, strips).select("node", "label", "dist")
 
 
 # trees --------------------------------------------------------------------------------------------
@@ -435,15 +455,15 @@ def crown_base_diameter(spark, sf):
 
 @query(
     C
-    + """, p AS (SELECT DISTINCT tree_id, xi, yi FROM c WHERE role = 'crown' AND tree_id < 20 AND tree_id IN (SELECT tree_id FROM c WHERE role = 'crown' GROUP BY tree_id HAVING count(*) >= 30)),
+    + """, p AS (SELECT DISTINCT tree_id, xi, yi FROM c WHERE role = 'crown' AND tree_id IN (SELECT tree_id FROM c WHERE role = 'crown' GROUP BY tree_id HAVING count(*) >= 30)),
  e AS (SELECT a.tree_id, a.xi AS ax, a.yi AS ay, b.xi AS bx, b.yi AS b_y FROM p a JOIN p b ON a.tree_id = b.tree_id AND (a.xi, a.yi) <> (b.xi, b.yi)
    WHERE NOT EXISTS (SELECT 1 FROM p c WHERE c.tree_id = a.tree_id AND ((b.xi - a.xi) * (c.yi - a.yi) - (b.yi - a.yi) * (c.xi - a.xi) < 0
      OR ((b.xi - a.xi) * (c.yi - a.yi) = (b.yi - a.yi) * (c.xi - a.xi) AND ((c.xi - a.xi) * (c.xi - b.xi) + (c.yi - a.yi) * (c.yi - b.yi) > 0)))))
  SELECT tree_id, round(sum(ax * b_y - bx * ay) / 2e0 / 1e6, 4) AS crown_area_m2 FROM e GROUP BY tree_id"""
 )
 def crown_hull_area(spark, sf):
-    points = fx.cloud(spark, sf).where("role = 'crown' and tree_id < 20")
-    base = fx.stems(spark, sf).where("tree_id < 20").selectExpr("tree_id", "cast(null as double) as crown_base_m")
+    points = fx.cloud(spark, sf).where("role = 'crown'")
+    base = fx.stems(spark, sf).selectExpr("tree_id", "cast(null as double) as crown_base_m")
     return rounded(trees.crown_hulls(points, base).where("crown_area_m2 is not null").select("tree_id", "crown_area_m2"), 4)
 
 
@@ -721,24 +741,24 @@ def cross_section_band(spark, sf):
     return views.cross_section(fx.cloud(spark, sf), 4.0, 2.0).select("pid", "x", "z")
 
 
-@query(S + " SELECT s.tree_id, s.dbh_cm, g.structural_group AS grp FROM s LEFT JOIN (SELECT tree_id, structural_group FROM s WHERE tree_id % 3 = 0) AS g USING (tree_id)")
+@query(S + " SELECT s.tree_id, s.dbh_cm, g.structural_group AS grp FROM s LEFT JOIN (SELECT tree_id, structural_group FROM s WHERE structural_group IS NOT NULL) AS g USING (tree_id)")
 def left_join_groups(spark, sf):
     every = fx.stems(spark, sf)
-    groups = every.where("tree_id % 3 = 0").select("tree_id", F.col("structural_group").alias("grp"))
+    groups = every.where("structural_group is not null").select("tree_id", F.col("structural_group").alias("grp"))
     return every.select("tree_id", "dbh_cm").join(groups, "tree_id", "left")
 
 
-@query(S + " SELECT s.tree_id, s.height_m, n_name AS species FROM s JOIN (SELECT s_suppkey AS tree_id, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 2 = 0) USING (tree_id)")
+@query(S + " SELECT s.tree_id, s.height_m, n_name AS species FROM s JOIN (SELECT s_suppkey AS tree_id, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal > 0) USING (tree_id)")
 def feature_label_inner(spark, sf):
     supplier, nation = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("supplier", "nation"))
-    labels = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).where("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("tree_id"), F.col("n_name").alias("species"))
+    labels = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).where("s_acctbal > 0").select(F.col("s_suppkey").alias("tree_id"), F.col("n_name").alias("species"))
     return fx.stems(spark, sf).select("tree_id", "height_m").join(labels, "tree_id")
 
 
-@query(FEW + " SELECT pid, min(tree_id) AS tree_id FROM (SELECT pid, tree_id FROM p WHERE h < 2 UNION ALL SELECT pid, tree_id + 1 FROM p WHERE h > 1) GROUP BY pid")
+@query(STEM + " SELECT pid, min(tree_id) AS tree_id FROM (SELECT pid, tree_id FROM p WHERE h < 2 UNION ALL SELECT pid, tree_id + 1 FROM p WHERE h > 1) GROUP BY pid")
 def union_seed_nodes(spark, sf):
-    few = _few(spark, sf)
-    parts = few.where("h < 2").select("pid", "tree_id").unionByName(few.where("h > 1").select("pid", (F.col("tree_id") + 1).alias("tree_id")))
+    points = _stem_returns(spark, sf)
+    parts = points.where("h < 2").select("pid", "tree_id").unionByName(points.where("h > 1").select("pid", (F.col("tree_id") + 1).alias("tree_id")))
     return parts.groupBy("pid").agg(F.min("tree_id").alias("tree_id"))
 
 

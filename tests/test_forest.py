@@ -43,7 +43,8 @@ def test_thinning_is_idempotent_and_the_filter_monotone(spark):
 
 
 def test_stems_of_cylinders(spark):
-    rows = np.vstack([trunk(0, 0, 0.10, seed=1), trunk(3, 1, 0.15, seed=2, lean=0.1), trunk(6, 2, 0.07, seed=3)])
+    # dense enough that eight of a layer's thinned points lie within 0.10 m all around the widest stem
+    rows = np.vstack([trunk(0, 0, 0.10, 4000, seed=1), trunk(3, 1, 0.15, 4000, seed=2, lean=0.1), trunk(6, 2, 0.07, 4000, seed=3)])
     rng = np.random.default_rng(9)
     clutter = np.column_stack((rng.uniform(-2, 8, (400, 2)), rng.uniform(0.3, 4, 400)))
     xyz = np.vstack((rows, clutter))

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from arborlake.kernels.assignment import best_matching
-from arborlake.kernels.circle import arc_share, ransac, robust_fit, through_three
+from arborlake.kernels.circle import arc_share, best_circle, robust_fit, through_three, votes
 from arborlake.kernels.hull import hull_2d, hull_volume, polygon
 from arborlake.kernels.raster import drop_cloth, moving_median, nearest_known, smooth
 
@@ -20,15 +20,23 @@ def test_circle_from_noise(r, arc):
     a = rng.uniform(0, 2 * np.pi * arc, 150)
     p = np.column_stack((1 + r * np.cos(a), 2 + r * np.sin(a))) + rng.normal(0, 0.002, (150, 2))
     p = np.vstack((p, rng.uniform(0, 3, (30, 2))))
-    fit = ransac(p, 0.02, 300, 0.02, 0.75, seed=1)
-    assert abs(fit["r"] - r) < 0.005
-    assert abs(fit["cx"] - 1) < 0.01 and abs(fit["cy"] - 2) < 0.01
-    assert abs(fit["arc"] - arc) < 0.15
+    fit = best_circle(p, 0.02, 300, 0.02, 0.75, seed=1)
+    assert abs(fit.r - r) < 0.005
+    assert abs(fit.x - 1) < 0.01 and abs(fit.y - 2) < 0.01
+    assert abs(arc_share(p[fit.inside], fit.x, fit.y) - arc) < 0.15
 
 
 def test_circle_needs_points():
-    assert ransac(np.zeros((7, 2)), 0.02, 10, 0.02, 1, 0) is None
-    assert ransac(np.column_stack((np.arange(20.0), np.zeros(20))), 0.02, 50, 0.02, 1, 0) is None
+    assert best_circle(np.zeros((7, 2)), 0.02, 10, 0.02, 1, 0) is None
+    assert best_circle(np.column_stack((np.arange(20.0), np.zeros(20))), 0.02, 50, 0.02, 1, 0) is None
+
+
+def test_votes_in_slices(monkeypatch):
+    rng = np.random.default_rng(5)
+    p, circles = rng.uniform(-1, 1, (500, 2)), rng.uniform(0, 1, (7, 3))
+    whole = [(np.abs(np.hypot(p[:, 0] - x, p[:, 1] - y) - r) < 0.05).sum() for x, y, r in circles]
+    monkeypatch.setattr("arborlake.kernels.circle._DISTANCES", 70)
+    assert votes(p, circles, 0.05).tolist() == whole
 
 
 def test_three_points_and_refinement():
@@ -49,7 +57,8 @@ def test_hull_holds_all_points(n, seed):
     if len(c) >= 3:
         nxt = np.roll(c, -1, axis=0)
         for q in p:
-            assert (np.cross(nxt - c, q - c) >= -1e-9).all()
+            side, to = nxt - c, q - c
+            assert (side[:, 0] * to[:, 1] - side[:, 1] * to[:, 0] >= -1e-9).all()
         assert polygon(c)[0] > 0
 
 
