@@ -176,6 +176,32 @@ def _packer(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
     return pack
 
 
+def _telling_symbols(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """What tells the sets of a cell apart, as pairs of a ``symbol`` and its ``owner``, in order of owner.
+
+    A shingle that some sets have is a symbol of these. One that more than half have is a symbol of the sets
+    that lack it, so that near copies have few symbols: ``lack`` counts these per set, and ``n_most`` is their number.
+    """
+    m = len(sets)
+    owner = np.repeat(np.arange(m), [len(s) for s in sets])
+    _, symbol, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    most = 2 * df > m
+    by_symbol = np.argsort(symbol, kind="stable")
+    held, starts = owner[by_symbol], np.concatenate(([0], np.cumsum(df)))
+    lacking_symbol, lacking_owner = [], []
+    for s in np.flatnonzero(most):
+        without = np.ones(m, bool)
+        without[held[starts[s] : starts[s + 1]]] = False
+        lacking_owner.append(np.flatnonzero(without))
+        lacking_symbol.append(np.full(len(lacking_owner[-1]), s))
+    some = (df[symbol] > 1) & ~most[symbol]
+    none = [np.zeros(0, np.int64)]
+    lacks = np.concatenate(lacking_owner + none)
+    symbol, owner = np.concatenate([symbol[some], *lacking_symbol, *none]), np.concatenate((owner[some], lacks))
+    order = np.argsort(owner, kind="stable")
+    return symbol[order].astype(np.int64), owner[order], np.bincount(lacks, minlength=m), int(most.sum())
+
+
 def _verifier(threshold: float) -> Callable[[pa.Table], pa.Table]:
     def verify(cell: pa.Table) -> pa.Table:
         """Links inside a block, or between two blocks: per class how many rows it links to and the least class
@@ -186,49 +212,41 @@ def _verifier(threshold: float) -> Callable[[pa.Table], pa.Table]:
         n = np.array([len(s) for s in sets])
         m, two = len(cls), block[0] != block[-1]
         cut = int(np.searchsorted(block, block[-1])) if two else 0
-        flat, owner = np.concatenate(sets), np.repeat(np.arange(m), n)
-        _, symbol, df = np.unique(flat, return_inverse=True, return_counts=True)
-        common = df[symbol] > 1
-        symbol, owner = symbol[common], owner[common]
+        symbol, owner, lack, n_most = _telling_symbols(sets)
         by_symbol = np.argsort(symbol, kind="stable")
-        posting, starts = owner[by_symbol], np.concatenate(([0], np.cumsum(np.bincount(symbol, minlength=len(df)))))
+        posting, starts = owner[by_symbol], np.concatenate(([0], np.cumsum(np.bincount(symbol, minlength=int(symbol.max(initial=-1)) + 1))))
         place = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=m))))
-        links, root, bins = np.zeros(m, np.int64), np.arange(m), np.zeros(BINS, np.int64)
-
-        def find(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
+        links, label, bins = np.zeros(m, np.int64), np.arange(m), np.zeros(BINS, np.int64)
         for i in range(cut if two else m):
             own = symbol[place[i] : place[i + 1]]
-            shared = np.zeros(m, np.int64)
+            # symbols of most sets are shared unless one of the two lacks them
+            shared = n_most - lack[i] - lack
             sizes = starts[own + 1] - starts[own]
-            # two million postings at a time, however common the shingles are
+            # two million postings at a time, however common the symbols are
             cuts = np.searchsorted(np.cumsum(sizes), np.arange(1, int(sizes.sum()) // 2_000_000 + 1) * 2_000_000)
             for part in np.split(np.arange(len(own)), cuts):
                 if len(part):
                     k = sizes[part]
                     at = np.arange(k.sum()) + np.repeat(starts[own[part]] - (np.cumsum(k) - k), k)
-                    shared += np.bincount(posting[at], minlength=m)
+                    shared = shared + np.bincount(posting[at], minlength=m)
             similarity = shared / np.maximum(n[i] + n - shared, 1)
             linked = similarity >= threshold
             linked[: max(cut, i + 1)] = False
             partners = np.flatnonzero(linked)
+            if not len(partners):
+                continue
             links[i] += copies[partners].sum()
             links[partners] += copies[i]
             place_of = ((similarity[partners] - threshold) / max(1 - threshold, 1e-9) * BINS).astype(np.int64)
             bins += np.bincount(np.minimum(place_of, BINS - 1), minlength=BINS)
-            for j in partners:
-                a, b = find(i), find(int(j))
-                root[max(a, b)] = min(a, b)
-        roots = np.array([find(i) for i in range(m)])
+            met = np.unique(np.append(label[partners], label[i]))
+            if len(met) > 1:
+                label[np.isin(label, met)] = met[0]
         least = np.full(m, _NO_ID)
-        np.minimum.at(least, roots, cls)
+        np.minimum.at(least, label, cls)
         linked = np.flatnonzero((links > 0) | (np.arange(m) == 0))
         similar = [bins.tolist() if i == 0 else None for i in linked]
-        columns = {"cls": cls[linked], "links": links[linked], "root": least[roots][linked]}
+        columns = {"cls": cls[linked], "links": links[linked], "root": least[label][linked]}
         return pa.table({**{k: pa.array(v, pa.int64()) for k, v in columns.items()}, "similar": pa.array(similar, pa.list_(pa.int64()))})
 
     return verify
@@ -263,7 +281,7 @@ def near_duplicates(
     threshold: float = 0.8,
     shingle: int = 5,
     recall: float = 0.999,
-    block: int = 512,
+    block: int = 2048,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:

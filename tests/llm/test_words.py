@@ -8,7 +8,7 @@ import public_tokenizers
 import sentencepiece
 
 from arborlake.llm import token_counts as counts
-from arborlake.llm.near_duplicates import near_duplicates
+from arborlake.llm.near_duplicates import _verifier, near_duplicates
 from arborlake.llm.substring_dedup import remove_repeats
 from arborlake.llm.textblocks import blocks, distinct_words, split_words
 
@@ -72,3 +72,23 @@ def test_shingles_of_pattern_words(spark):
     docs = spark.createDataFrame([(0, f"{A} p q r s t"), (1, f"{B} p q r s t"), (2, f"{B} p q r s t")], "doc_id long, text string")
     found = {r.doc_id: (r.class_id, r.n_links) for r in near_duplicates(docs).collect()}
     assert found == {0: (0, 0), 1: (1, 1), 2: (1, 1)}
+
+
+def test_cells_against_all_pairs():
+    """Links, roots and counts by similarity of a cell, where most shingles are in most sets."""
+    rng = np.random.default_rng(1)
+    base, m = rng.integers(0, 1 << 63, 60, dtype=np.uint64), 50
+    sets = [np.unique(np.append(base[rng.random(60) > 0.15 * rng.random()], rng.integers(0, 1 << 63, rng.integers(0, 9), dtype=np.uint64))) for _ in range(m)]
+    copies = rng.integers(1, 4, m)
+    for block in (np.zeros(m, int), np.arange(m) % 2):
+        cell = {"cls": np.arange(m), "copies": copies, "block": block, "shingles": [s.tobytes() for s in sets]}
+        links, root, pairs = np.zeros(m, int), np.arange(m), 0
+        for i in range(m):
+            for j in range(i):
+                a, b = set(sets[i].tolist()), set(sets[j].tolist())
+                if (block[i] != block[j] or not block.any()) and len(a & b) >= 0.8 * len(a | b):
+                    pairs, links[i], links[j] = pairs + 1, links[i] + copies[j], links[j] + copies[i]
+                    root[(root == root[i]) | (root == root[j])] = min(root[i], root[j])
+        found = _verifier(0.8)(pa.table(cell)).to_pylist()
+        assert pairs > 100 and sum(sum(r["similar"]) for r in found if r["similar"]) == pairs
+        assert {r["cls"]: (r["links"], r["root"]) for r in found if r["links"]} == {i: (links[i], root[i]) for i in range(m) if links[i]}
