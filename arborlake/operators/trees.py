@@ -27,23 +27,39 @@ def heights(points: DataFrame, percentile: float = 99.5, least: int = 20) -> Dat
     )
 
 
+def across_axis(rows: DataFrame) -> DataFrame:
+    """Add ``u, v``: where ``x, y, z`` lies in the plane across the row's axis (``axis_x/y/z``) through ``mid_x/y/z``."""
+    e1, e2 = perpendicular_basis(*(F.col(f"axis_{a}") for a in "xyz"))
+    away = [F.col(a) - F.col(f"mid_{a}") for a in "xyz"]
+    return rows.withColumns({n: away[0] * e[0] + away[1] * e[1] + away[2] * e[2] for n, e in (("u", e1), ("v", e2))})
+
+
 def slice_plane(points: DataFrame, axes: DataFrame, heights_at: tuple[float, ...], thick: float) -> DataFrame:
     """Points of the slices around given heights, projected across each tree's axis: adds ``pos, at, u, v``.
 
     ``axes`` has ``tree_id``, ``axis_x/y/z`` and the axis's origin ``mid_x/y/z``. Each point is
     tested against all heights in one pass.
     """
-    e1, e2 = perpendicular_basis(*(F.col(f"axis_{a}") for a in "xyz"))
-    planes = axes.select("*", *[c.alias(f"__e{k}{a}") for k, e in ((1, e1), (2, e2)) for a, c in zip("xyz", e)])
     every = F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(float(h)).alias("at")) for i, h in enumerate(heights_at)])
     near = F.filter(every, lambda s: F.abs(F.col("h") - s["at"]) <= thick / 2)
-    sliced = points.withColumn("__s", F.explode(near)).join(planes, "tree_id")
+    sliced = points.withColumn("__s", F.explode(near)).withColumns({"pos": F.col("__s.pos"), "at": F.col("__s.at")}).drop("__s")
+    return across_axis(sliced.join(axes, "tree_id"))
 
-    def along(k: int) -> Column:
-        return sum(((F.col(a) - F.col(f"mid_{a}")) * F.col(f"__e{k}{a}") for a in "yz"), (F.col("x") - F.col("mid_x")) * F.col(f"__e{k}x"))
 
-    placed = sliced.withColumns({"u": along(1), "v": along(2), "pos": F.col("__s.pos"), "at": F.col("__s.at")})
-    return placed.drop("__s", *[f"__e{k}{a}" for k in (1, 2) for a in "xyz"])
+def search_radius(stack_diameter: Column) -> Column:
+    """How far from the axis a stem's points are looked for."""
+    return F.greatest(F.lit(0.25), 2.5 * stack_diameter)
+
+
+def diameter_slices(points: DataFrame, axes: DataFrame, height: float = 1.3, thick: float = 0.12) -> DataFrame:
+    """The points that each tree's diameter was looked for in: ``tree_id, pid, u, v, near``.
+
+    ``axes`` has ``dbh_height_used``, null for the usual ``height``, and ``stack_diameter``; ``near`` tells the points
+    inside the search radius from those outside.
+    """
+    at = F.coalesce("dbh_height_used", F.lit(height))
+    sliced = points.select("tree_id", "pid", "x", "y", "z", "h").join(axes, "tree_id").where(F.abs(F.col("h") - at) <= thick / 2)
+    return across_axis(sliced).select("tree_id", "pid", "u", "v", (F.hypot("u", "v") < search_radius(F.col("stack_diameter"))).alias("near"))
 
 
 def breast_height_diameters(points: DataFrame, seeds: DataFrame, cfg: SurveyConfig) -> DataFrame:
@@ -53,7 +69,7 @@ def breast_height_diameters(points: DataFrame, seeds: DataFrame, cfg: SurveyConf
     fine circle have the diameter of their stack. All heights are fitted side by side, one group
     per tree and height; the first in order is then taken.
     """
-    reach = F.greatest(F.lit(0.25), 2.5 * F.col("stack_diameter"))
+    reach = search_radius(F.col("stack_diameter"))
     axis = seeds.select("tree_id", "stack_diameter", *[f"{n}_{a}" for n in ("axis", "mid") for a in "xyz"])
     sliced = slice_plane(points.select("tree_id", "pid", "x", "y", "z", "h"), axis, cfg.dbh_fallback_heights, cfg.dbh_slice_thickness)
     by_slice = F.count(F.lit(1)).over(W.partitionBy("tree_id", "pos"))

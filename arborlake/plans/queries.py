@@ -784,6 +784,57 @@ def json_rows(spark, sf):
     return tables.json_rows(fx.stems(spark, sf).select("tree_id", "dbh_source", "n_layers"))
 
 
+@query(FULL + " SELECT tree_id, x, y, round(greatest(5e0, least(45e0, dbh_cm)) * 55e-2, 6) AS marker, cast(structural_group AS VARCHAR) AS colour FROM t WHERE structural_group IS NOT NULL")
+def stem_map(spark, sf):
+    return rounded(views.stem_map(_measured(spark, sf), "structural_group"))
+
+
+@query(
+    C
+    + f""", s AS {fx.STEMS_SQL}, n AS (SELECT c.pid, c.tree_id, c.x - s.x AS dx, c.y - s.y AS dy, c.z - 2e0 AS dz, greatest(25e-2, 25e-1 * dbh_cm / 1e2) AS lim
+ FROM c JOIN s USING (tree_id) WHERE c.role = 'stem' AND abs(c.h - CASE WHEN n_layers > 7 THEN 15e-1 ELSE 13e-1 END) <= 6e-2 + 1e-9),
+ uv AS (SELECT pid, tree_id, -dy AS u, 8e-1 * dx - 6e-1 * dz AS v, lim FROM n)
+ SELECT pid, tree_id, round(u, 6) AS u, round(v, 6) AS v, sqrt(u * u + v * v) < lim AS near FROM uv"""
+)
+def diameter_slices(spark, sf):
+    """The slices that diameters come from, at a height of their own where a tree has one."""
+    used = fx.stems(spark, sf).selectExpr("tree_id", "case when n_layers > 7 then 15e-1 end as dbh_height_used")
+    points = fx.cloud(spark, sf).where("role = 'stem'")
+    return rounded(trees.diameter_slices(points, _axes(spark, sf).join(used, "tree_id"), 1.3, 0.12 + 2e-9))
+
+
+@query(
+    CELLS.format(v="1e0")
+    + """, m AS (SELECT ix, iy, min(z) AS v FROM k GROUP BY ALL), ends AS (SELECT min(x) AS x0, min(y) AS y0, max(x) AS x1 FROM c),
+ e AS (SELECT min(ix) AS ox, max(ix) AS nx, min(iy) AS oy, max(iy) AS ny FROM m),
+ line AS (SELECT cast(i AS INT) AS nth, x0 + i * (x1 - x0) / 399e0 AS x, x0, y0 FROM ends, range(0, 400) AS t(i)),
+ f AS (SELECT nth, x, greatest(ox, least(nx, (x - x0) / 1e0)) AS fx, greatest(oy, least(ny, (2e0 - y0) / 1e0)) AS fy, nx, ny FROM line, e),
+ b AS (SELECT *, cast(least(floor(fx), nx - 1) AS BIGINT) AS cx0, cast(least(floor(fy), ny - 1) AS BIGINT) AS cy0 FROM f),
+ w AS (SELECT nth, x, cx0 + dx AS ix, cy0 + dy AS iy, (CASE dx WHEN 1 THEN fx - cx0 ELSE 1 - (fx - cx0) END) * (CASE dy WHEN 1 THEN fy - cy0 ELSE 1 - (fy - cy0) END) AS w
+       FROM b, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS d(dx, dy)),
+ j AS (SELECT nth, x, CASE WHEN w = 0 THEN 0 ELSE w * v END AS p FROM w LEFT JOIN m USING (ix, iy))
+ SELECT nth, round(x, 6) AS x, CASE WHEN count(p) = 4 THEN round(sum(p), 6) END AS ground FROM j GROUP BY nth, x"""
+)
+def ground_section(spark, sf):
+    """The lowest surface along a line, in 400 samples."""
+    points = fx.cloud(spark, sf)
+    cells = grid.cell_surface(points, 1.0, "min").select("ix", "iy", F.col("v").alias("dtm"), F.lit(1.0).alias("valid"))
+    ends = points.agg(F.min("x").alias("x_low"), F.max("x").alias("x_high"), F.min("x").alias("x0"), F.min("y").alias("y0"))
+    return rounded(views.ground_section(cells, 2.0, ends, 1.0))
+
+
+@query(
+    FULL
+    + """, ends AS (SELECT min(dbh_cm) AS d0, max(dbh_cm) AS d1, min(height_m) AS h0, max(height_m) AS h1 FROM t)
+ SELECT field, quality, bin, count(*) AS n FROM (
+ SELECT 'dbh_cm' AS field, NULL AS quality, least(29, cast(floor(coalesce((dbh_cm - d0) / nullif(d1 - d0, 0), 0) * 30) AS BIGINT)) AS bin FROM t, ends WHERE dbh_cm IS NOT NULL
+ UNION ALL SELECT 'height_m', NULL, least(29, cast(floor(coalesce((height_m - h0) / nullif(h1 - h0, 0), 0) * 30) AS BIGINT)) FROM t, ends WHERE height_m IS NOT NULL
+ UNION ALL SELECT 'dbh_arc', quality, least(24, cast(floor(dbh_arc * 25) AS BIGINT)) FROM t WHERE dbh_arc IS NOT NULL) GROUP BY ALL"""
+)
+def inventory_histograms(spark, sf):
+    return views.inventory_histograms(_measured(spark, sf))
+
+
 # terrain and the whole inventory ----------------------------------------------------------------------
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from arborlake.config import SurveyConfig, from_values
 from arborlake.operators import descriptors, graph, grid, neighbours, stems, terrain, trees, validate, views
-from arborlake.plans import fixtures, inventory
+from arborlake.plans import evaluate, fixtures, inventory
 from arborlake.sources import las, tables
 from arborlake.streaming.counts import streaming_voxel_counts
 
@@ -142,6 +142,22 @@ def test_matching_prefers_the_whole(spark):
     assert got == {(1, 7), (2, 8)}
 
 
+def test_agreement_with_a_survey(spark, tmp_path):
+    found = spark.createDataFrame([(4, 0.0, 0.0, 20.0, "good"), (5, 5.0, 0.0, 30.0, "good"), (6, 9.0, 0.0, 12.0, "poor")], "tree_id int, x double, y double, dbh_cm double, quality string")
+    (tmp_path / "s.csv").write_text("E,N,d\n0.5,0,21\n5,1,28\n30,0,9\n")
+    survey = tables.tree_list(spark, str(tmp_path / "s.csv"), evaluate.column_names('{"E": "x", "N": "y", "d": "dbh_cm", "": "z"}'))
+    result = evaluate.agreement(found, survey, 2.0, ["good"])
+    stats, errors = result.detection.first(), result.errors.first()
+    assert (stats.tp, stats.fp, stats.fn) == (2, 0, 1) and (errors.field, errors.n, errors.bias) == ("dbh_cm", 2, 0.5)
+    evaluate.write_agreement(result, str(tmp_path / "out"))
+    back = spark.read.csv(str(tmp_path / "out" / "matched_trees.csv"), header=True, inferSchema=True)
+    assert {(r.tree_id_pred, r.dbh_cm_ref) for r in back.collect()} == {(4, 21), (5, 28)}
+
+
+def test_sample_sizes_are_held_in_bounds():
+    assert [views.sample_size(n) for n in (-3, 5_000, 60_000, 10**9)] == [5_000, 5_000, 60_000, 500_000]
+
+
 def test_las_round_trip(spark, tmp_path):
     las.register(spark)
     rows = [(0, 1.234, -5.5, 100.001, 3, 1.5), (1, 2.0, 3.0, 4.0, 4294967295, None), (2, -7.25, 0.001, 0.0, 0, 0.25)]
