@@ -11,6 +11,7 @@ from typing import Any
 class SurveyConfig:
     """Every setting that operators take; each is a literal in the plans built from it."""
 
+    # Names and defaults are the published parameters of the method, which results depend on.
     # input and output
     las_path: str = "Forest.las"
     out_dir: str = "outputs"
@@ -59,7 +60,6 @@ class SurveyConfig:
     min_tree_height: float = 2.0
     # other
     random_seed: int = 42
-    n_jobs: int = -1
     # terrain details
     dtm_smooth_sigma: float = 1.0
     dtm_max_fill_dist: float = 3.0

@@ -86,7 +86,7 @@ def group_profile(trees: DataFrame) -> DataFrame:
     return grouped.agg(F.count(F.lit(1)).alias("n"), *[F.round(F.median(c), 2).alias(c) for c in names])
 
 
-def structural_groups(features: DataFrame, trees: DataFrame, k: int = 4, seed: int = 42, restarts: int = 5, keep: float = 0.95) -> DataFrame:
+def structural_groups(features: DataFrame, trees: DataFrame, k: int = 4, seed: int = 42, restarts: int = 20, keep: float = 0.95) -> DataFrame:
     """``tree_id, structural_group`` of the trees that aren't poor, by k-means on the main components.
 
     Missing descriptors take the median. Groups are numbered by median height, so that numbers
@@ -108,7 +108,8 @@ def structural_groups(features: DataFrame, trees: DataFrame, k: int = 4, seed: i
     ready = found.transform(scaled).select("tree_id", "height_m", array_to_vector(main).alias("features")).persist()
     models = [KMeans(k=k, seed=seed + i, maxIter=50).fit(ready) for i in range(restarts)]
     best = min(models, key=lambda m: m.summary.trainingCost)
-    labelled = best.transform(ready).select("tree_id", "height_m", "prediction")
+    labelled = checkpoint(best.transform(ready).select("tree_id", "height_m", "prediction"))
+    ready.unpersist()
     order = labelled.groupBy("prediction").agg(F.median("height_m").alias("m")).orderBy("m", "prediction").collect()
     number = F.create_map(*[F.lit(x) for i, r in enumerate(order) for x in (r["prediction"], i)])
     return trees.select("tree_id").join(labelled.select("tree_id", number[F.col("prediction")].alias("structural_group")), "tree_id", "left")

@@ -178,6 +178,7 @@ def derived_columns(trees: DataFrame) -> DataFrame:
 
 def quality(min_height: float = 2.0) -> Column:
     """``good``, ``fair`` or ``poor``; null measures make a tree poor."""
+    # The thresholds of the two classes.
     ratio = F.col("dbh_vs_stack")
     common = (F.col("dbh_source") == "axis_fit") & (F.col("height_m") >= min_height)
     good = common & (F.col("dbh_arc") >= 0.60) & (F.col("dbh_rmse_cm") <= 2.0) & (F.col("n_stem_layers") >= 6) & ratio.between(1 / 1.6, 1.6)

@@ -459,12 +459,14 @@ def crown_base_diameter(spark, sf):
  e AS (SELECT a.tree_id, a.xi AS ax, a.yi AS ay, b.xi AS bx, b.yi AS b_y FROM p a JOIN p b ON a.tree_id = b.tree_id AND (a.xi, a.yi) <> (b.xi, b.yi)
    WHERE NOT EXISTS (SELECT 1 FROM p c WHERE c.tree_id = a.tree_id AND ((b.xi - a.xi) * (c.yi - a.yi) - (b.yi - a.yi) * (c.xi - a.xi) < 0
      OR ((b.xi - a.xi) * (c.yi - a.yi) = (b.yi - a.yi) * (c.xi - a.xi) AND ((c.xi - a.xi) * (c.xi - b.xi) + (c.yi - a.yi) * (c.yi - b.yi) > 0)))))
- SELECT tree_id, round(sum(ax * b_y - bx * ay) / 2e0 / 1e6, 4) AS crown_area_m2 FROM e GROUP BY tree_id"""
+ SELECT tree_id, cast(sum(ax * b_y - bx * ay) AS BIGINT) / 2e6 AS crown_area_m2 FROM e GROUP BY tree_id"""
 )
 def crown_hull_area(spark, sf):
     points = fx.cloud(spark, sf).where("role = 'crown'")
     base = fx.stems(spark, sf).selectExpr("tree_id", "cast(null as double) as crown_base_m")
-    return rounded(trees.crown_hulls(points, base).where("crown_area_m2 is not null").select("tree_id", "crown_area_m2"), 4)
+    # twice the area is whole square millimetres
+    area = F.round(F.col("crown_area_m2") * 2e6).cast("long") / F.lit(2e6)
+    return trees.crown_hulls(points, base).where("crown_area_m2 is not null").select("tree_id", area.alias("crown_area_m2"))
 
 
 @query()
