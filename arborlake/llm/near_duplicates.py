@@ -258,8 +258,17 @@ def _verified(tries: DataFrame, sets: DataFrame, depth: int, block: int, thresho
     at = checkpoint(tries.where(F.col("shared") >= depth).select("cls", node.alias("node")))
     nodes = checkpoint(at.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     at = checkpoint(join_by_hot_key(at, nodes, ["node"], "n"))
-    # a class is at home in the largest of its nodes, and a home is cut in as few blocks as hold its classes
+    # a class is at home in the largest of its nodes
     home = checkpoint(at.groupBy("cls").agg(F.max(F.struct("n", "node"))["node"].alias("home")))
+    homes = home.groupBy("home").agg(F.count(F.lit(1)).alias("members"))
+    # homes that share a node join the largest of them, one step only: the scattered near copies of a text
+    # become one group, and a chain of neighbours doesn't
+    shared = checkpoint(at.select("cls", "node").join(home, "cls").select("node", "home").distinct().join(homes, "home"))
+    largest = shared.groupBy("node").agg(F.max(F.struct("members", "home")).alias("top"), F.count(F.lit(1)).alias("n"))
+    joined = join_by_hot_key(shared.select("node", "home"), checkpoint(largest), ["node"], "n")
+    hooks = joined.groupBy("home").agg(F.max("top")["home"].alias("group"))
+    home = checkpoint(home.join(hooks, "home").select("cls", F.col("group").alias("home")))
+    # and a group is cut in as few blocks as hold its classes
     homes = checkpoint(home.groupBy("home").agg(F.count(F.lit(1)).alias("members")))
     cut = F.pmod(F.xxhash64("cls"), F.ceil(F.col("members") / F.lit(block)).cast("int"))
     home = checkpoint(join_by_hot_key(home, homes, ["home"], "members").select("cls", F.xxhash64("home", cut).alias("home")))
