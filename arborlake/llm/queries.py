@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,7 @@ from .substring_dedup import remove_repeats
 from .token_counts import token_counts
 from .toxicity import fit_toxicity, score_toxicity
 from .url_filter import filter_urls
+from .vector_codes import compress_vectors, with_label_errors
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,6 +81,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", "size", "source_size", "target", "taken", "n_pieces", "shards")
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = compress_vectors(table(spark, sf_dir, "embeddings"))
+    digest = hashlib.sha256(",".join(map(str, found.books.reshape(-1).tolist())).encode()).hexdigest()
+    return with_label_errors(found.rows).select("vec_id", "code", "error", "label_error", F.lit(digest).alias("codebooks_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_quality_classifier,
@@ -91,6 +99,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_toxicity,
         op9_url_filters,
         op10_mixing,
+        op12_vector_codes,
     )
     return {f.__name__: f for f in every}
 

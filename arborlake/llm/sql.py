@@ -97,10 +97,41 @@ SELECT page_id, host, path, rule, coalesce(told, CASE WHEN low > 0.5 THEN 'block
 FROM judged JOIN low USING (host)
 """
 
+_ASSIGN = """
+a{r} AS MATERIALIZED (SELECT vec_id, part, x, arg_min(entry, d * 16 + entry) AS entry, min(d) AS d
+    FROM (SELECT vec_id, v.part, v.x, entry, list_sum(list_transform(list_zip(v.x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d
+          FROM v JOIN b{r} USING (part)) GROUP BY ALL)"""
+_UPDATE = """
+b{s} AS MATERIALIZED (SELECT part, entry, coalesce(mean, c) AS c FROM b{r} LEFT JOIN (
+    SELECT part, entry, list(cast(t // n - CASE WHEN t % n < 0 THEN 1 ELSE 0 END AS BIGINT) ORDER BY k) AS mean
+    FROM (SELECT part, entry, k, sum(y) AS t, count(*) AS n
+          FROM (SELECT part, entry, unnest(x) AS y, unnest(range(len(x))) AS k FROM a{r}) GROUP BY part, entry, k)
+    GROUP BY part, entry) USING (part, entry))"""
+
+OP12 = (
+    """
+WITH kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: cast(floor(4096 * cast(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+width AS (SELECT max(len(x)) // 8 AS w FROM kept),
+v AS MATERIALIZED (SELECT vec_id, part, x[1 + part * w:(part + 1) * w] AS x FROM kept, width, range(8) AS parts(part)),
+b0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x AS c
+    FROM v WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT 16)),"""
+    + ",".join(_ASSIGN.format(r=r) + "," + _UPDATE.format(r=r, s=r + 1) for r in range(6))
+    + ","
+    + _ASSIGN.format(r=6)
+    + """,
+coded AS (SELECT vec_id, string_agg(printf('%02x', cast(entry AS INTEGER)), '' ORDER BY part) AS code, cast(sum(d) AS BIGINT) AS error FROM a6 GROUP BY vec_id),
+book AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b6)
+SELECT vec_id, code, error, cast(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM kept JOIN coded USING (vec_id), book
+"""
+)
+
 ORACLE_SQL = {
     "op3_line_dedup": OP3,
     "op5_benchmark_decontamination": OP5,
     "op6_substring_dedup": OP6,
     "op7_exact_dedup": OP7,
     "op9_url_filters": OP9,
+    "op12_vector_codes": OP12,
 }
