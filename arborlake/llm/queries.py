@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import sql
-from .common import table
+from .common import checkpoint, table
+from .conversation_trie import ends_digest, prefix_trie, share_openings, turn_digests
 from .decontaminate import find_contamination
 from .exact_dedup import exact_duplicates
 from .line_dedup import remove_repeated_lines
@@ -87,6 +88,12 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_label_errors(found.rows).select("vec_id", "code", "error", "label_error", F.lit(digest).alias("codebooks_sha256"))
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = checkpoint(turn_digests(table(spark, sf_dir, "conversations")))
+    nodes = ends_digest(prefix_trie(share_openings(turns)))
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_quality_classifier,
@@ -100,6 +107,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_url_filters,
         op10_mixing,
         op12_vector_codes,
+        op13_conversation_trie,
     )
     return {f.__name__: f for f in every}
 

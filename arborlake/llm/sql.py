@@ -127,6 +127,34 @@ FROM kept JOIN coded USING (vec_id), book
 """
 )
 
+_CRC32 = """xor(4294967295, list_reduce(list_concat([4294967295], list_transform(string_split(cast(conv_id AS VARCHAR), ''),
+    lambda s: cast(ascii(s) AS BIGINT))), lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))))"""
+
+OP13 = f"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+    FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 100 AS first, {_CRC32} % 6 AS h FROM t WHERE pos = 1),
+r AS (SELECT c.conv_id, t.pos, role, text FROM c JOIN t ON t.conv_id = c.first AND t.pos <= h
+    UNION ALL SELECT t.conv_id, t.pos, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND t.pos > h),
+seq AS (SELECT conv_id, list(sha256(strlen(role) || ':' || role || text) ORDER BY pos) AS path, list(length(text) ORDER BY pos) AS points
+    FROM r GROUP BY conv_id
+    UNION ALL SELECT conv_id, [], [] FROM c WHERE conv_id NOT IN (SELECT conv_id FROM r)),
+prefixes AS (SELECT conv_id, array_to_string(path[1:d], '') AS p, d, points[d] AS n_points, d = len(path) AS ends
+    FROM (SELECT *, unnest(range(0, len(path) + 1)) AS d FROM seq)),
+node AS MATERIALIZED (SELECT p, d, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(n_points) AS n_points,
+    sha256(coalesce(string_agg(cast(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+    FROM prefixes GROUP BY p, d),
+kids AS (SELECT p[1:64 * (d - 1)] AS p, count(*) AS n_children FROM node WHERE d > 0 GROUP BY ALL),
+told AS (SELECT node.*, coalesce(n_children, 0) AS n_children, coalesce((n_convs - 1) * n_points, 0) AS saved FROM node LEFT JOIN kids USING (p)),
+below AS (SELECT p[1:64 * a] AS p, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum(saved) AS saved_tokens
+    FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM told) GROUP BY ALL)
+SELECT told.conv_id, told.d AS depth, parent.conv_id AS parent_conv_id, told.n_convs, n_children,
+    cast(n_leaves AS BIGINT) AS n_leaves, cast(saved_tokens AS BIGINT) AS saved_tokens, told.ends_sha256
+FROM told JOIN below USING (p) LEFT JOIN node AS parent ON told.d > 0 AND parent.p = told.p[1:64 * (told.d - 1)]
+"""
+
 ORACLE_SQL = {
     "op3_line_dedup": OP3,
     "op5_benchmark_decontamination": OP5,
@@ -134,4 +162,5 @@ ORACLE_SQL = {
     "op7_exact_dedup": OP7,
     "op9_url_filters": OP9,
     "op12_vector_codes": OP12,
+    "op13_conversation_trie": OP13,
 }
