@@ -48,12 +48,14 @@ def forest_depth(similarity: np.ndarray, links: np.ndarray, recall: float) -> in
     return 1
 
 
-def shingle_sets(column: pa.Array, size: int = 5) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def shingle_sets(column: pa.Array, size: int = 5, fold: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each block of texts, their distinct shingle hashes in order: ``first`` (per text), ``hashes``.
 
-    A text of fewer words than a shingle, but not none, is one shingle.
+    A text of fewer words than a shingle, but not none, is one shingle. ``fold`` takes A-Z as a-z.
     """
     for _, data, offsets in blocks(column):
+        if fold:
+            data = np.where((data >= 0x41) & (data <= 0x5A), data | 0x20, data)
         words = split_words(data, offsets)
         hashes = words.hashes()
         found, at = windows(hashes, words.first, size, salt=5)

@@ -17,6 +17,7 @@ from .line_dedup import remove_repeated_lines
 from .mixing import drawn_words, mix_sources
 from .near_duplicates import near_duplicates
 from .quality import fit_quality, score_quality
+from .sketch_duplicates import sketch_duplicates
 from .substring_dedup import remove_repeats
 from .token_counts import token_counts
 from .toxicity import fit_toxicity, score_toxicity
@@ -82,6 +83,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", "size", "source_size", "target", "taken", "n_pieces", "shards")
 
 
+def op11_sketch_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = compress_vectors(table(spark, sf_dir, "embeddings"))
     digest = hashlib.sha256(",".join(map(str, found.books.reshape(-1).tolist())).encode()).hexdigest()
@@ -106,6 +111,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_toxicity,
         op9_url_filters,
         op10_mixing,
+        op11_sketch_duplicates,
         op12_vector_codes,
         op13_conversation_trie,
     )

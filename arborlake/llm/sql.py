@@ -97,6 +97,25 @@ SELECT page_id, host, path, rule, coalesce(told, CASE WHEN low > 0.5 THEN 'block
 FROM judged JOIN low USING (host)
 """
 
+OP11 = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[p:p + 4], ' ') AS g
+    FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS p FROM d WHERE len(w) > 0)),
+sets AS MATERIALIZED (SELECT doc_id, n, min(doc_id) OVER (PARTITION BY k) AS rep
+    FROM (SELECT doc_id, count(*) AS n, sha256(string_agg(g, chr(10) ORDER BY g)) AS k FROM s GROUP BY doc_id)),
+r AS MATERIALIZED (SELECT doc_id, g, n FROM s JOIN sets USING (doc_id) WHERE doc_id = rep),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS m, b.n AS n, count(*) AS c FROM r AS a JOIN r AS b USING (g)
+    WHERE a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY ALL),
+links AS MATERIALIZED (SELECT a, b FROM pairs WHERE 100 * c >= 85 * (m + n - c)),
+ways AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(a, b) AS (SELECT DISTINCT a, a FROM ways UNION SELECT reach.a, ways.b FROM reach JOIN ways ON ways.a = reach.b),
+named AS (SELECT a AS rep, min(b) AS component_id FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, rep, d.doc_id) AS component_id,
+       d.doc_id = coalesce(component_id, rep, d.doc_id) AS kept
+FROM d LEFT JOIN sets USING (doc_id) LEFT JOIN named USING (rep)
+"""
+
 _ASSIGN = """
 a{r} AS MATERIALIZED (SELECT vec_id, part, x, arg_min(entry, d * 16 + entry) AS entry, min(d) AS d
     FROM (SELECT vec_id, v.part, v.x, entry, list_sum(list_transform(list_zip(v.x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d
@@ -161,6 +180,7 @@ ORACLE_SQL = {
     "op6_substring_dedup": OP6,
     "op7_exact_dedup": OP7,
     "op9_url_filters": OP9,
+    "op11_sketch_duplicates": OP11,
     "op12_vector_codes": OP12,
     "op13_conversation_trie": OP13,
 }
