@@ -66,11 +66,12 @@ WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
 _STRENGTH = """
-  coalesce(least(200.0, greatest(1.0, 1.0 / greatest((spread - noise * (k - 1)) / nullif(noise * (n - nn / n - (k - 1)), 0), 1e-9) - 1)), 200.0)
+  coalesce(greatest(1.0, least(1.0 / greatest((spread - noise * (k - 1)) / nullif(noise * (n - nn / n - (k - 1)), 0), 1e-9) - 1, k - 1, 200.0)), 1.0)
   FROM (SELECT p * (1 - p) AS noise, s - n * p * p AS spread, n, nn, k
         FROM (SELECT sum(bad) / sum(n) AS p, sum(bad * bad / n) AS s, cast(sum(n) AS DOUBLE) AS n,
                      cast(sum(n * n) AS DOUBLE) AS nn, cast(count(*) AS DOUBLE) AS k FROM {level} WHERE n > 0))
 """
+_POSTERIOR = "(bad + k * m) / (n + k) AS r, r * (1 - r) / (n + k + 1) + k * k / ((n + k) * (n + k)) * v AS s"
 
 OP9 = rf"""
 WITH cut AS (SELECT page_id, CASE WHEN url LIKE '%://%' THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
@@ -82,17 +83,20 @@ rules(rh, rp, rv) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'blo
 fits AS (SELECT page_id, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(rv, length(rh || rp)) AS told
     FROM parsed JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY page_id),
 judged AS (SELECT parsed.*, rule, told FROM parsed LEFT JOIN fits USING (page_id)),
-h AS (SELECT host, array_to_string(string_split(host, '.')[-2:], '.') AS domain,
-    string_split(host, '.')[-1] AS suffix, cast(count(told) AS DOUBLE) AS n,
-    cast(count(*) FILTER (WHERE told = 'block') AS DOUBLE) AS bad FROM judged GROUP BY host),
+h AS (SELECT host, array_to_string(string_split(host, '.')[(CASE WHEN two THEN -3 ELSE -2 END):], '.') AS domain,
+    array_to_string(string_split(host, '.')[(CASE WHEN two THEN -2 ELSE -1 END):], '.') AS suffix, cast(count(told) AS DOUBLE) AS n,
+    cast(count(*) FILTER (WHERE told = 'block') AS DOUBLE) AS bad
+    FROM (SELECT *, regexp_matches(host, '(^|\.)(ac|co|com|edu|gov|net|org)\.[a-z][a-z]$') AS two FROM judged) GROUP BY host, two),
 d AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY ALL),
 s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM d GROUP BY ALL),
-kh AS (SELECT {_STRENGTH.format(level="h")}), kd AS (SELECT {_STRENGTH.format(level="d")}), ks AS (SELECT {_STRENGTH.format(level="s")}),
-root AS (SELECT (sum(bad) + 0.5) / (sum(n) + 1.0) AS m FROM s),
-ms AS (SELECT suffix, (bad + ks.k * root.m) / (n + ks.k) AS m FROM s, ks AS ks(k), root),
-md AS (SELECT domain, (bad + kd.k * ms.m) / (n + kd.k) AS m FROM d JOIN ms USING (suffix), kd AS kd(k)),
-post AS (SELECT host, bad + kh.k * md.m AS a, n - bad + kh.k * (1 - md.m) AS b FROM h JOIN md USING (domain), kh AS kh(k)),
-low AS (SELECT host, greatest(0.0, a / (a + b) - 1.64 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))) AS low FROM post)
+kh(k) AS (SELECT {_STRENGTH.format(level="h")}), kd(k) AS (SELECT {_STRENGTH.format(level="d")}), ks(k) AS (SELECT {_STRENGTH.format(level="s")}),
+ed AS (SELECT domain, suffix, sum(n * (k + 1) / (n + k)) AS n, sum(bad * (k + 1) / (n + k)) AS bad FROM h, kh GROUP BY ALL),
+es AS (SELECT suffix, sum(n * (k + 1) / (n + k)) AS n, sum(bad * (k + 1) / (n + k)) AS bad FROM ed, kd GROUP BY ALL),
+root AS (SELECT (sum(bad * (k + 1) / (n + k)) + 1) / (sum(n * (k + 1) / (n + k)) + 2) AS m,
+    m * (1 - m) / (sum(n * (k + 1) / (n + k)) + 3) AS v FROM es, ks),
+ms AS (SELECT suffix, r AS m, s AS v FROM (SELECT suffix, {_POSTERIOR} FROM es, ks, root)),
+md AS (SELECT domain, r AS m, s AS v FROM (SELECT domain, {_POSTERIOR} FROM ed JOIN ms USING (suffix), kd)),
+low AS (SELECT host, greatest(0.0, r - 1.64 * sqrt(s)) AS low FROM (SELECT host, {_POSTERIOR} FROM h JOIN md USING (domain), kh))
 SELECT page_id, host, path, rule, coalesce(told, CASE WHEN low > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
 FROM judged JOIN low USING (host)
 """

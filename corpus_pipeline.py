@@ -50,9 +50,13 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that repeat no window of the benchmark."""
-    hits = find_contamination(docs, table(spark, sf_dir, "benchmark")).where("n_hit > 0").select(F.col("doc_id").alias("__id"))
-    return docs.join(hits, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti").select(*docs.columns)
+    """Documents that repeat no window of the benchmark. Each row is judged by its own text, also where ids repeat or are null."""
+    # id and 128 bits of the text: rows that share them are the same document
+    text = F.col("text").cast("string")
+    row = F.struct("doc_id", F.xxhash64(text), F.xxhash64(F.lit("row"), text))
+    found = find_contamination(docs.select(row.alias("row"), text.alias("text")), table(spark, sf_dir, "benchmark"), id_col="row")
+    hits = found.where("n_hit > 0").select(F.col("doc_id").alias("__row"))
+    return docs.join(hits, row == F.col("__row"), "left_anti").select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -206,3 +206,14 @@ def test_pipeline_stages(spark, docs, tmp_path):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns, name
     assert corpus_pipeline.run(spark, str(tmp_path)).count() <= docs.count()
+
+
+def test_pipeline_decontaminates_rows_not_ids(spark, tmp_path):
+    """Rows that share an id, or have none, are judged by their own texts."""
+    spark.createDataFrame([("i1", PASSAGE)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    clean = "nothing of the kind stands in this text at all"
+    rows = [(None, PASSAGE), (None, clean), (7, "so " + PASSAGE), (7, clean), (8, "fine"), (None, None), (9, "")]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.without_benchmark(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(None, clean), (7, clean), (8, "fine"), (None, None), (9, "")], key=str)

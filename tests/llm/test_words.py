@@ -1,5 +1,6 @@
 """Words that a hash of powers can't part, in every operator that compares words."""
 
+import random
 import re
 
 import numpy as np
@@ -92,3 +93,17 @@ def test_cells_against_all_pairs():
         found = _verifier(0.8)(pa.table(cell)).to_pylist()
         assert pairs > 100 and sum(sum(r["similar"]) for r in found if r["similar"]) == pairs
         assert {r["cls"]: (r["links"], r["root"]) for r in found if r["links"]} == {i: (links[i], root[i]) for i in range(m) if links[i]}
+
+
+def test_token_counts_of_any_signs(spark):
+    """Spaces, the sign that the model writes for them, control signs and special strings, against the library."""
+    import sentencepiece
+
+    rng = random.Random(3)
+    signs = [" ", "  ", "▁", "▁▁", " ▁", "\n", "\r", "\t", "\x01", "a", "cpu", "ok", "é", "ｶﾞ", "✓", "\u00a0", "\u3000", "<s>", "</s>", "<unk>", "<0x0A>", "▀", "😀", "23", "\u200b"]
+    texts = ["cpu ▁  ok", "'▁   x'", " ▁ \n\r\n", "▁", "▁ ", " ▁"]
+    texts += ["".join(rng.choice(signs) for _ in range(rng.randrange(14))) for _ in range(20_000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: (r.n_bytes, r.n_tokens) for r in counts.token_counts(docs, MODEL, head_size=500).collect()}
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    assert found == {i: (len(t.encode()), n) for i, (t, n) in enumerate(zip(texts, map(len, sp.encode(texts)), strict=True))}
