@@ -12,8 +12,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..kernels import near
 from ..plans.lineage import checkpoint
-from .neighbours import nearest_k, neighbour_join
+from .neighbours import nearest_k
+from .tiles import coordinates, cut_tiles, dealt
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -38,6 +40,31 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return roots
 
 
+#: Links between clusters of different tiles that the driver joins itself; beyond, they are joined in rounds.
+_FEW_LINKS = 200_000
+
+
+def _joined(links: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``keys, cluster, whole``: the least name of each cluster that is linked to others (``keys, a, b``)."""
+    n = links.count()
+    if n > _FEW_LINKS:
+        ends = [F.struct(*keys, F.col(c).alias("name")).alias(c) for c in ("a", "b")]
+        edges = checkpoint(links.select(*ends))
+        nodes = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
+        return components(nodes, edges).select(*[f"node.{k}" for k in keys], F.col("node.name").alias("cluster"), F.col("root.name").alias("whole"))
+    table = links.toArrow()
+    group = near.codes(table, keys)
+    names, at = np.unique(np.column_stack([np.tile(group, 2), np.concatenate([table["a"].to_numpy(), table["b"].to_numpy()])]), axis=0, return_inverse=True)
+    at = at.reshape(-1)
+    root = near.components(len(names), at[:n], at[n:])
+    # names are sorted inside each group, so the first node of a component has its least name
+    _, rows = np.unique(at, return_index=True)
+    told = table.select(list(keys)).take(pa.array(rows % max(1, n)))
+    told = told.append_column("cluster", pa.array(names[:, 1])).append_column("whole", pa.array(names[root, 1]))
+    shape = [*(f"`{k}` {links.schema[k].dataType.simpleString()}" for k in keys), "cluster long", "whole long"]
+    return links.sparkSession.createDataFrame(told, schema=", ".join(shape))
+
+
 def density_clusters(points: DataFrame, radius: float, least: int, id_col: str = "pid", keys: Sequence[str] = (), axes: Sequence[str] = ("x", "y")) -> DataFrame:
     """Density clusters inside each group of ``keys``: id, ``keys``, ``core``, ``cluster``.
 
@@ -45,42 +72,52 @@ def density_clusters(points: DataFrame, radius: float, least: int, id_col: str =
     within the radius of each other form a cluster, named by its smallest core id; other points
     join the smallest adjacent cluster, or none.
 
-    Core points of one small cell are always within the radius, so clusters are components of
-    cells, of which there are far fewer than pairs of points.
+    Points are dealt to tiles of about equal counts with halos of two radii, in which a tile's core points and those
+    near it are told exactly. Clusters are found tile by tile; core points that two tiles know link their clusters there.
     """
-    slim = points.select(id_col, *keys, *axes)
-    near = checkpoint(neighbour_join(slim, slim, radius, axes, keys).select(*keys, F.col(id_col).alias("a"), F.col(f"n_{id_col}").alias("b")))
-    counts = near.groupBy(*keys, "a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    cell = radius / len(axes) ** 0.5 * (1 - 1e-9)
-    cells = [F.floor(F.col(a) / cell).alias(f"__{a}") for a in axes]
-    cores = slim.join(counts.select(*keys, F.col("a").alias(id_col)), [*keys, id_col]).select(*keys, F.col(id_col).alias("a"), *cells)
-    names = cores.groupBy(*keys, *[f"__{a}" for a in axes]).agg(F.min("a").alias("cell"))
-    tagged = checkpoint(cores.join(names, [*keys, *[f"__{a}" for a in axes]]).select(*keys, "a", "cell"))
-    node = F.struct(*keys, "cell")
-    ends = near.join(tagged, [*keys, "a"]).withColumnRenamed("cell", "from").join(tagged.select(*keys, F.col("a").alias("b"), "cell"), [*keys, "b"])
-    edges = ends.where(F.col("from") < F.col("cell")).select(F.struct(*keys, F.col("from").alias("cell")).alias("a"), node.alias("b")).distinct()
-    named = components(tagged.select(node.alias("node")).distinct(), edges)
-    roots = named.select("node.*", F.col("root.cell").alias("root"))
-    labels = checkpoint(tagged.join(roots, [*keys, "cell"]).select(*keys, F.col("a").alias("b"), "root"))
-    border = near.join(labels, [*keys, "b"]).groupBy(*keys, "a").agg(F.min("root").alias("cluster")).withColumnRenamed("a", id_col)
-    core = labels.select(*keys, F.col("b").alias(id_col), "root")
-    return (
-        slim.select(id_col, *keys)
-        .join(border, [*keys, id_col], "left")
-        .join(core, [*keys, id_col], "left")
-        .select(id_col, *keys, F.col("root").isNotNull().alias("core"), F.coalesce("root", "cluster").alias("cluster"))
-    )
+    slim = checkpoint(points.select(F.col(id_col).cast("long").alias("__id"), *keys, *axes))
+    halo = 2 * radius * (1 + 1e-6)
+    tiles = cut_tiles(slim, axes, 2 * radius)
+    kinds = [slim.schema[k].dataType.simpleString() for k in keys]
+
+    def cluster(tile: pa.Table) -> pa.Table:
+        at, ids, own = coordinates(tile, axes), tile["__id"].to_numpy(), tile["own"].to_numpy()
+        group = near.codes(tile, keys)
+        core = near.density_counts(at, group, radius, np.arange(len(at))) >= least
+        name, touching, touched = near.density_clusters(at, group, ids, core, radius, np.flatnonzero(own))
+        named = np.full(len(at), -1)
+        named[core] = name
+        many = np.bincount(touching, minlength=len(at)) > 1
+        alone = np.flatnonzero(own & ~core & (np.bincount(touching, minlength=len(at)) == 0))
+        inside, _, _ = tiles.place(at, halo)
+        shared = np.flatnonzero(core & (np.bincount(inside, minlength=len(at)) > 1))
+        # own points with their cluster, one row for each cluster they touch, and the core points that other tiles know too
+        rows = np.concatenate((np.flatnonzero(own & core), touching, alone, shared))
+        clusters = np.concatenate((named[own & core], touched, np.full(len(alone), -1), named[shared]))
+        links = np.arange(len(rows)) >= len(rows) - len(shared)
+        out = tile.select(["__id", *keys]).take(pa.array(rows))
+        out = out.append_column("core", pa.array(core[rows])).append_column("cluster", pa.array(clusters, mask=clusters < 0))
+        return out.append_column("many", pa.array(many[rows])).append_column("shared", pa.array(links))
+
+    shape = ", ".join(["__id long", *(f"`{k}` {t}" for k, t in zip(keys, kinds, strict=True)), "core boolean, cluster long, many boolean, shared boolean"])
+    found = checkpoint(dealt(slim, tiles, halo).groupBy("tile").applyInArrow(cluster, shape))
+    own = found.where("not shared").select("__id", *keys, "core", "cluster", "many")
+    if tiles.count > 1:
+        known = found.where("shared").groupBy("__id", *keys).agg(F.collect_set("cluster").alias("names"))
+        links = known.where("size(names) > 1").select(*keys, F.explode("names").alias("a"), F.array_min("names").alias("b"))
+        whole = _joined(checkpoint(links.where("a <> b").distinct()), keys)
+        same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys] + [F.col("cluster") == F.col("__cluster")]
+        whole = whole.withColumnsRenamed({c: f"__{c}" for c in (*keys, "cluster")})
+        own = own.join(whole, same, "left").withColumn("cluster", F.coalesce("whole", "cluster")).select("__id", *keys, "core", "cluster", "many")
+    several = own.where("many").groupBy("__id", *keys).agg(F.first("core").alias("core"), F.min("cluster").alias("cluster"))
+    every = own.where("not many").drop("many").unionByName(several)
+    return every.withColumnRenamed("__id", id_col)
 
 
 def growth_graph(nodes: DataFrame, k: int, longest: float, z_weight: float, id_col: str = "pid") -> DataFrame:
     """Symmetric edges ``a, b, w`` between near nodes, vertical distance counting less."""
-    near = nearest_k(nodes, k, longest, id_col)
-    at = nodes.select(id_col, "x", "y", "z")
-    ends = near.join(at.withColumnsRenamed({id_col: "src", "x": "ax", "y": "ay", "z": "az"}), "src").join(
-        at.withColumnsRenamed({id_col: "dst", "x": "bx", "y": "by", "z": "bz"}), "dst"
-    )
-    dx, dy, dz = F.col("ax") - F.col("bx"), F.col("ay") - F.col("by"), (F.col("az") - F.col("bz")) * z_weight
-    directed = ends.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.sqrt(dx * dx + dy * dy + dz * dz).alias("w"))
+    found = checkpoint(nearest_k(nodes, k, longest, id_col, scale=(1.0, 1.0, z_weight)))
+    directed = found.select(F.col("src").alias("a"), F.col("dst").alias("b"), "w")
     back = directed.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")
     return directed.unionByName(back).groupBy("a", "b").agg(F.max("w").alias("w"))
 

@@ -1,19 +1,18 @@
-"""Spatial joins as equi-joins on grid buckets with a distance check."""
+"""Spatial joins: pairs by equi-joins on grid buckets, nearest neighbours by tiles that follow the points."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..kernels import near
 from ..plans.lineage import checkpoint
-
-#: Shares of the radius that neighbours are looked for in, one after the other.
-_WIDENING = (0.125, 0.25, 0.5, 1)
+from .tiles import coordinates, cut_tiles, dealt
 
 
 def _bucket(axis: str, cell: float, prefix: str = "") -> Column:
@@ -49,36 +48,60 @@ def close_pairs(df: DataFrame, radius: float, id_col: str, axes: Sequence[str] =
     return pairs.where(F.col(id_col) < F.col(f"n_{id_col}")).select(F.col(id_col).alias("a"), F.col(f"n_{id_col}").alias("b"), "dist")
 
 
-def nearest_k(df: DataFrame, k: int, radius: float, id_col: str, axes: Sequence[str] = ("x", "y", "z")) -> DataFrame:
+def _halo(radius: float) -> float:
+    """A little more than the radius, so that rounding leaves no neighbour outside."""
+    return radius * (1 + 1e-6)
+
+
+def nearest_k(
+    df: DataFrame, k: int, radius: float, id_col: str, axes: Sequence[str] = ("x", "y", "z"), scale: Sequence[float] | None = None
+) -> DataFrame:
     """Up to ``k`` nearest other rows within ``radius`` of each row: ``src, dst, dist``; ties by id.
 
-    The search starts with a fraction of the radius. A row that has ``k`` others within it has its
-    nearest ones; only the rest look further, so that dense places don't meet in all their pairs.
+    With ``scale``, a factor for each axis, ``w`` is the distance on axes so scaled. Points are dealt to tiles of about
+    equal counts, each with a halo of the radius, and searched there by sorted cells.
     """
-    slim = checkpoint(df.select(id_col, *axes))
-    nearest = W.partitionBy(id_col).orderBy("dist", f"n_{id_col}")
-    left, found = slim, []
-    for share in _WIDENING:
-        pairs = neighbour_join(left, slim, radius * share, axes).where(F.col(id_col) != F.col(f"n_{id_col}"))
-        ranked = pairs.withColumn("__r", F.row_number().over(nearest)).where(F.col("__r") <= k).select(id_col, f"n_{id_col}", "dist", "__r")
-        if share == 1:
-            found.append(ranked)
-            break
-        ranked = checkpoint(ranked)
-        full = ranked.where(F.col("__r") == k).select(id_col)
-        found.append(ranked.join(full, id_col, "left_semi"))
-        left = checkpoint(left.join(full, id_col, "left_anti"))
-        if left.isEmpty():
-            break
-    every = reduce(DataFrame.unionByName, found)
-    return every.select(F.col(id_col).alias("src"), F.col(f"n_{id_col}").alias("dst"), "dist")
+    slim = checkpoint(df.select(F.col(id_col).cast("long").alias("id"), *axes))
+    tiles = cut_tiles(slim, axes, radius)
+    factors = np.array(scale or [1.0] * len(axes))
+
+    def search(tile: pa.Table) -> pa.Table:
+        at, ids, own = coordinates(tile, axes), tile["id"].to_numpy(), tile["own"].to_numpy()
+        mine = np.flatnonzero(own)
+        i, j, dist = near.nearest(at[mine], ids[mine], at, ids, k, radius, same=True)
+        i = mine[i]
+        step = (at[i] - at[j]) * factors
+        return pa.table({"src": ids[i], "dst": ids[j], "dist": dist, "w": np.sqrt(sum(step[:, a] * step[:, a] for a in range(len(axes))))})
+
+    found = dealt(slim, tiles, _halo(radius)).groupBy("tile").applyInArrow(search, "src long, dst long, dist double, w double")
+    return found.select("src", "dst", "dist", *(["w"] if scale else []))
 
 
 def nearest_one(
     left: DataFrame, right: DataFrame, radius: float, left_id: str, right_id: str, carry: Sequence[str] = (), axes: Sequence[str] = ("x", "y", "z")
 ) -> DataFrame:
-    """For each left row the nearest right row within ``radius``, ties by id; null where there is none."""
-    pairs = neighbour_join(left.select(left_id, *axes), right.select(right_id, *carry, *axes), radius, axes, prefix="n_")
-    best = F.min_by(F.struct(*[F.col(f"n_{c}").alias(c) for c in (right_id, *carry)], "dist"), F.struct("dist", f"n_{right_id}"))
-    found = pairs.groupBy(left_id).agg(best.alias("__n")).select(left_id, "__n.*")
-    return left.join(found, left_id, "left")
+    """``left`` with the nearest right row within ``radius``: ``right_id``, ``carry`` and ``dist``, ties by id; null where there is none.
+
+    Both sides are dealt to the same tiles, the right one with a halo of the radius.
+    """
+    others = checkpoint(right.select(F.col(right_id).cast("long").alias("__id"), *[F.col(c).alias(f"__{c}") for c in carry], *[F.col(a).cast("double").alias(a) for a in axes]))
+    left = checkpoint(left)
+    spots = left.select(*[F.col(a).cast("double").alias(a) for a in axes]).unionByName(others.select(*axes))
+    tiles = cut_tiles(spots, axes, radius)
+    kinds = {f.name: f.dataType.simpleString() for f in others.schema.fields}
+    shape = [f"`{f.name}` {f.dataType.simpleString()}" for f in left.schema.fields]
+    shape += [f"`{right_id}` long", *[f"`{c}` {kinds[f'__{c}']}" for c in carry], "dist double"]
+
+    def search(tile: pa.Table, beside: pa.Table) -> pa.Table:
+        rows = tile.drop_columns(["tile", "own"])
+        ids = beside["__id"].to_numpy()
+        i, j, dist = near.nearest(coordinates(tile, axes), np.zeros(tile.num_rows, np.int64), coordinates(beside, axes), ids, 1, radius, same=False)
+        at, far = np.full(tile.num_rows, -1), np.full(tile.num_rows, np.nan)
+        at[i], far[i] = j, dist
+        taken = beside.take(pa.array(at, mask=at < 0))
+        for name, column in ((right_id, "__id"), *((c, f"__{c}") for c in carry)):
+            rows = rows.append_column(name, taken[column])
+        return rows.append_column("dist", pa.array(far, mask=at < 0))
+
+    sides = dealt(left, tiles).groupBy("tile").cogroup(dealt(others, tiles, _halo(radius)).groupBy("tile"))
+    return sides.applyInArrow(search, ", ".join(shape))

@@ -289,7 +289,7 @@ def seed_merge(spark, sf):
 
 # neighbours and graphs --------------------------------------------------------------------------
 
-STEM = C + ", p AS (SELECT pid, tree_id, x, y, z, h, cast(floor(hi / 1000) AS INT) AS band FROM c WHERE role = 'stem')"
+PLANTS = C + ", p AS (SELECT pid, tree_id, x, y, z, h, cast(floor(hi / 1000) AS INT) AS band FROM c WHERE role <> 'ground')"
 #: Pairs of rows within a distance, by way of cells of that size, so that the SQL reads the whole cloud too.
 PAIRS = """, d3 AS (SELECT dx, dy, dz FROM (VALUES (-1), (0), (1)) AS a(dx), (VALUES (-1), (0), (1)) AS b(dy), (VALUES (-1), (0), (1)) AS c(dz)),
  {name}_l AS (SELECT {left_columns}, x, y, z, floor(x / {r}) + dx AS bx, floor(y / {r}) + dy AS b_y, floor(z / {r}) + dz AS bz FROM {left}, d3),
@@ -298,12 +298,12 @@ PAIRS = """, d3 AS (SELECT dx, dy, dz FROM (VALUES (-1), (0), (1)) AS a(dx), (VA
    FROM {name}_l AS a JOIN {name}_r AS b ON a.bx = b.bx AND a.b_y = b.b_y AND a.bz = b.bz) WHERE dist <= {r})"""
 
 
-def _stem_returns(spark, sf) -> DataFrame:
-    return fx.cloud(spark, sf).where("role = 'stem'").select("pid", "tree_id", "x", "y", "z", "h", F.floor(F.col("hi") / 1000).cast("int").alias("band"))
+def _vegetation(spark, sf) -> DataFrame:
+    return fx.cloud(spark, sf).where("role <> 'ground'").select("pid", "tree_id", "x", "y", "z", "h", F.floor(F.col("hi") / 1000).cast("int").alias("band"))
 
 
 @query(
-    STEM
+    PLANTS
     + """, d2 AS (SELECT dx, dy FROM (VALUES (-1), (0), (1)) AS a(dx), (VALUES (-1), (0), (1)) AS b(dy)),
  l AS (SELECT band, pid, x, y, floor(x / 2e-2) + dx AS bx, floor(y / 2e-2) + dy AS b_y FROM p, d2),
  r AS (SELECT band, pid, x, y, floor(x / 2e-2) AS bx, floor(y / 2e-2) AS b_y FROM p),
@@ -316,16 +316,16 @@ def _stem_returns(spark, sf) -> DataFrame:
  FROM p LEFT JOIN near ON near.a = p.pid LEFT JOIN g ON g.a = near.b LEFT JOIN g AS own ON own.a = p.pid GROUP BY p.pid, p.band"""
 )
 def dbscan_layer(spark, sf):
-    return graph.density_clusters(_stem_returns(spark, sf), 0.02, 12, keys=["band"])
+    return graph.density_clusters(_vegetation(spark, sf), 0.02, 12, keys=["band"])
 
 
-KNN = STEM + PAIRS.format(name="near", left="p", right="p", left_columns="pid", right_columns="pid", out="a.pid AS src, b.pid AS dst", r="4e-1") + """,
+KNN = PLANTS + PAIRS.format(name="near", left="p", right="p", left_columns="pid", right_columns="pid", out="a.pid AS src, b.pid AS dst", r="4e-1") + """,
  knn AS (SELECT * FROM near WHERE src <> dst QUALIFY row_number() OVER (PARTITION BY src ORDER BY dist, dst) <= 10)"""
 
 
 @query(KNN + " SELECT src, dst, round(dist, 6) AS dist FROM knn")
 def knn_edges(spark, sf):
-    return rounded(neighbours.nearest_k(_stem_returns(spark, sf), 10, 0.4, "pid"))
+    return rounded(neighbours.nearest_k(_vegetation(spark, sf), 10, 0.4, "pid"))
 
 
 EDGES = KNN + """, d AS (SELECT src AS a, dst AS b, sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) + ((p.z - q.z) * 35e-2) * ((p.z - q.z) * 35e-2)) AS w
@@ -334,10 +334,10 @@ EDGES = KNN + """, d AS (SELECT src AS a, dst AS b, sqrt((p.x - q.x) * (p.x - q.
 
 @query(EDGES + " SELECT a, b, round(w, 6) AS w FROM e")
 def weighted_symmetric_edges(spark, sf):
-    return rounded(graph.growth_graph(_stem_returns(spark, sf), 10, 0.4, 0.35))
+    return rounded(graph.growth_graph(_vegetation(spark, sf), 10, 0.4, 0.35))
 
 
-SEEDS = STEM + """, v AS (SELECT *, floor(x / 15e-2) AS vx, floor(y / 15e-2) AS vy, floor(z / 15e-2) AS vz FROM p),
+SEEDS = PLANTS + """, v AS (SELECT *, floor(x / 15e-2) AS vx, floor(y / 15e-2) AS vy, floor(z / 15e-2) AS vz FROM p),
  nodes AS (SELECT min(pid) AS nid, arg_min(x, pid) AS x, arg_min(y, pid) AS y, arg_min(z, pid) AS z FROM v GROUP BY vx, vy, vz),
  sp AS (SELECT pid, tree_id, x, y, z FROM p WHERE h < 14e-1)""" + PAIRS.format(
     name="near", left="sp", right="nodes", left_columns="pid, tree_id", right_columns="nid", out="pid, tree_id, nid", r="26e-2"
@@ -351,27 +351,27 @@ def _nodes(points: DataFrame) -> DataFrame:
 
 @query(SEEDS + " SELECT nid AS node, min(tree_id) AS label FROM one GROUP BY nid")
 def seed_nodes(spark, sf):
-    points = _stem_returns(spark, sf)
+    points = _vegetation(spark, sf)
     return growth.seed_nodes(_nodes(points), points.where("h < 1.4").select("pid", "x", "y", "z", "tree_id"), 0.26)
 
 
 @query(
-    STEM
+    PLANTS
     + ", lab AS (SELECT pid AS nid, tree_id, x, y, z FROM p WHERE h BETWEEN 1e0 AND 12e-1)"
     + PAIRS.format(name="near", left="p", right="lab", left_columns="pid", right_columns="nid, tree_id", out="pid, nid, tree_id", r="45e-2")
     + """, one AS (SELECT pid, nid, tree_id FROM near QUALIFY row_number() OVER (PARTITION BY pid ORDER BY dist, nid) = 1)
  SELECT p.pid, one.nid, one.tree_id FROM p LEFT JOIN one USING (pid)"""
 )
 def label_backprojection(spark, sf):
-    """Labels of a slice of each stem, carried to all stem returns within reach."""
-    points = _stem_returns(spark, sf).select("pid", "x", "y", "z", "h", "tree_id")
+    """Labels of a slice of each stem, carried to all plants within reach."""
+    points = _vegetation(spark, sf).select("pid", "x", "y", "z", "h", "tree_id")
     labelled = points.where("h between 1 and 1.2").withColumnRenamed("pid", "nid").drop("h")
     return neighbours.nearest_one(points.drop("tree_id", "h"), labelled, 0.45, "pid", "nid", carry=["tree_id"]).select("pid", "nid", "tree_id")
 
 
 @query(
     C
-    + """, p AS (SELECT pid, tree_id, xi, yi, hi FROM c WHERE role = 'stem'),
+    + """, p AS (SELECT pid, tree_id, xi, yi, hi FROM c WHERE role <> 'ground'),
  d3 AS (SELECT dx, dy, dz FROM (VALUES (-1), (0), (1)) AS a(dx), (VALUES (-1), (0), (1)) AS b(dy), (VALUES (-1), (0), (1)) AS c(dz)),
  l AS (SELECT p.*, floor(xi / 6e1) + dx AS bx, floor(yi / 6e1) + dy AS b_y, floor(hi / 6e1) + dz AS bz FROM p, d3),
  r AS (SELECT p.*, floor(xi / 6e1) AS bx, floor(yi / 6e1) AS b_y, floor(hi / 6e1) AS bz FROM p),
@@ -385,7 +385,7 @@ def label_backprojection(spark, sf):
 )
 def geodesic_labels(spark, sf):
     """Whole millimetres along axes, so that both engines add the same distances."""
-    p = fx.cloud(spark, sf).where("role = 'stem'").selectExpr("pid", "tree_id", "cast(xi as double) x", "cast(yi as double) y", "cast(hi as double) z", "hi")
+    p = fx.cloud(spark, sf).where("role <> 'ground'").selectExpr("pid", "tree_id", "cast(xi as double) x", "cast(yi as double) y", "cast(hi as double) z", "hi")
     pairs = neighbours.neighbour_join(p, p, 104.0, ("x", "y", "z")).where("pid <> n_pid")
     away = [F.abs(F.col(a) - F.col(f"n_{a}")) for a in "xyz"]
     near = pairs.where((away[0] <= 60) & (away[1] <= 60) & (away[2] <= 60))
@@ -757,9 +757,9 @@ def feature_label_inner(spark, sf):
     return fx.stems(spark, sf).select("tree_id", "height_m").join(labels, "tree_id")
 
 
-@query(STEM + " SELECT pid, min(tree_id) AS tree_id FROM (SELECT pid, tree_id FROM p WHERE h < 2 UNION ALL SELECT pid, tree_id + 1 FROM p WHERE h > 1) GROUP BY pid")
+@query(PLANTS + " SELECT pid, min(tree_id) AS tree_id FROM (SELECT pid, tree_id FROM p WHERE h < 2 UNION ALL SELECT pid, tree_id + 1 FROM p WHERE h > 1) GROUP BY pid")
 def union_seed_nodes(spark, sf):
-    points = _stem_returns(spark, sf)
+    points = _vegetation(spark, sf)
     parts = points.where("h < 2").select("pid", "tree_id").unionByName(points.where("h > 1").select("pid", (F.col("tree_id") + 1).alias("tree_id")))
     return parts.groupBy("pid").agg(F.min("tree_id").alias("tree_id"))
 
@@ -853,8 +853,7 @@ def terrain_model(spark, sf):
 
 @query()
 def stem_detection(spark, sf):
-    points = fx.cloud(spark, sf).where("role = 'stem'").select("pid", "x", "y", "z", "h")
-    return stems.detect_stems(points, CFG)[0]
+    return stems.detect_stems(fx.cloud(spark, sf).select("pid", "x", "y", "z", "h"), CFG)[0]
 
 
 @query()

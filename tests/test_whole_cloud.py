@@ -8,7 +8,7 @@ from arborlake.plans import queries as q
 
 from .conftest import SF
 
-ROLES = {"cloth_ground": "true", "terrain_model": "true", "stem_detection": "role = 'stem'", "tree_segmentation": "role <> 'ground'"}
+ROLES = {"cloth_ground": "true", "terrain_model": "true", "stem_detection": "true", "tree_segmentation": "role <> 'ground'"}
 
 
 @pytest.mark.parametrize("name", sorted(ROLES))
