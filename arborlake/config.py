@@ -72,9 +72,10 @@ class SurveyConfig:
     # stem details
     link_radius_slope: float = 0.35
     merge_distance: float = 0.30
-    # tile of grid kernels, in cells, and the margin each tile sees of its neighbours
-    tile_cells: int = 256
-    tile_margin: int = 48
+    # tile of grid kernels, in cells, and the margin each tile sees of its neighbours where a step has no reach of its own;
+    # results don't depend on these
+    tile_cells: int = 512
+    tile_margin: int = 96
 
     def dump(self) -> dict[str, Any]:
         return asdict(self)
@@ -82,7 +83,7 @@ class SurveyConfig:
     def terrain_key(self, *identity: object) -> str:
         """A short key of the input's identity and of all settings that change the terrain."""
         names = ("noise_voxel", "noise_min_pts", "ground_voxel", "dtm_res")
-        own = [n for n in self.dump() if n in names or n.startswith(("csf_", "dtm_", "tile_"))]
+        own = [n for n in self.dump() if n in names or n.startswith(("csf_", "dtm_"))]
         parts = [*map(str, identity), *(f"{n}={getattr(self, n)}" for n in sorted(own))]
         return sha1("|".join(parts).encode()).hexdigest()[:16]
 

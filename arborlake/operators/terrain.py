@@ -1,79 +1,71 @@
 """Terrain: ground points by a falling cloth, a height raster, and heights above it.
 
 Rasters are tables of cells. Steps that need a neighbourhood run on tiles: each tile gets its own
-cells and a margin of its neighbours', in one Arrow group, and returns its own. Steps with a reach
-below the margin are exact; the cloth, whose springs reach further but weakly, is approximate at
-seams to the extent that the margin's outer edge matters.
+cells and a margin of its neighbours', in one Arrow group, and returns its own. Gaps are filled by a distance
+transform over the whole raster, and no step reaches beyond its margin, so tiles don't show in any result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import SurveyConfig
-from ..kernels.raster import drop_cloth, moving_median, nearest_known, smooth
-from ..plans.lineage import checkpoint
+from ..kernels.raster import fall, moving_median, smooth
+from ..plans.lineage import checkpoint, forget, stored
 from .graph import components
 from .grid import bilinear, cell_surface, moving_mean, thin
+from .raster import frame_of, nearest_fill, on_tiles
 
 
-def on_tiles(cells: DataFrame, frame: tuple[int, int, int, int], tile: int, margin: int, kernel: Callable[[np.ndarray], dict[str, np.ndarray]], outputs: tuple[str, ...]) -> DataFrame:
-    """Run a kernel on tiles of a raster (``ix, iy, v``) inside ``frame`` (least and last ix, least and last iy).
+def cloth_surface(cloud: DataFrame, cfg: SurveyConfig) -> DataFrame:
+    """``ix, iy, cloth``: rest height of a cloth dropped on the cloud turned upside down; the grid starts two cells early.
 
-    The kernel takes a tile with its margin, NaN where there is no cell, and returns arrays of that
-    shape. The result has all cells of the tile that lie in the frame.
+    A turn of the cloth reaches ``csf_rigidness`` cells, so tiles take as many turns at once as their margin allows, and
+    then see each other's state: the result is that of the whole raster in one piece. The cloth rests after the first turn
+    in which no node of any tile moves more than the tolerance.
     """
-    x0, x1, y0, y1 = frame
-    reach = F.array(*[F.lit(d) for d in (-1, 0, 1)])
-    own = {a: F.floor((F.col(f"i{a}") - F.lit(o)) / tile) for a, o in (("x", x0), ("y", y0))}
-    spread = cells.select("ix", "iy", "v", F.explode(reach).alias("dx")).select("*", F.explode(reach).alias("dy"))
-    spread = spread.withColumns({"tx": own["x"] + F.col("dx"), "ty": own["y"] + F.col("dy")})
-    inside = (
-        F.col("ix").between(x0 + F.col("tx") * tile - margin, x0 + F.col("tx") * tile + tile + margin - 1)
-        & F.col("iy").between(y0 + F.col("ty") * tile - margin, y0 + F.col("ty") * tile + tile + margin - 1)
-        & F.col("tx").between(0, (x1 - x0) // tile)
-        & F.col("ty").between(0, (y1 - y0) // tile)
-    )
-
-    def run(group: pa.Table) -> pa.Table:
-        tx, ty = group["tx"][0].as_py(), group["ty"][0].as_py()
-        left, low = max(x0, x0 + tx * tile - margin), max(y0, y0 + ty * tile - margin)
-        right, high = min(x1, x0 + (tx + 1) * tile + margin - 1), min(y1, y0 + (ty + 1) * tile + margin - 1)
-        grid = np.full((right - left + 1, high - low + 1), np.nan)
-        grid[group["ix"].to_numpy() - left, group["iy"].to_numpy() - low] = group["v"].to_numpy()
-        found = kernel(grid)
-        ix = np.arange(x0 + tx * tile, min(x1, x0 + (tx + 1) * tile - 1) + 1)
-        iy = np.arange(y0 + ty * tile, min(y1, y0 + (ty + 1) * tile - 1) + 1)
-        part = np.ix_(ix - left, iy - low)
-        at = np.meshgrid(ix, iy, indexing="ij")
-        flat = {n: found[n][part].ravel() for n in outputs}
-        return pa.table({"ix": at[0].ravel(), "iy": at[1].ravel(), **{n: pa.array(v, pa.float64(), from_pandas=True) for n, v in flat.items()}})
-
-    columns = ", ".join(f"{n} double" for n in outputs)
-    return spread.where(inside).select("tx", "ty", "ix", "iy", "v").groupBy("tx", "ty").applyInArrow(run, f"ix long, iy long, {columns}")
-
-
-def _frame(cells: DataFrame, pad: int = 0) -> tuple[int, int, int, int]:
-    r = cells.agg(F.min("ix"), F.max("ix"), F.min("iy"), F.max("iy")).first()
-    return (r[0] - pad, r[1] + pad, r[2] - pad, r[3] + pad)
-
-
-def cloth_surface(cloud: DataFrame, cfg: SurveyConfig) -> DataFrame:
-    """``ix, iy, cloth``: rest height of a cloth dropped on the cloud turned upside down; the grid starts two cells early."""
+    spark = cloud.sparkSession
     turned = cloud.withColumn("z", -F.col("z"))
     cells = checkpoint(cell_surface(turned, cfg.csf_cloth_res, "max", margin=2 * cfg.csf_cloth_res))
-    top = (cells.agg(F.max("v")).first()[0] or 0.0) + 1.0
-
-    def kernel(grid: np.ndarray) -> dict[str, np.ndarray]:
-        surface = nearest_known(grid)[0]
-        return {"cloth": drop_cloth(surface, top, cfg.csf_rigidness, cfg.csf_time_step, cfg.csf_iterations, cfg.csf_tol, cfg.csf_min_iterations)}
-
-    return on_tiles(cells, _frame(cells, 2), cfg.tile_cells, cfg.tile_margin, kernel, ("cloth",))
+    frame = frame_of(cells, 2)
+    if frame is None:
+        return spark.createDataFrame([], "ix long, iy long, cloth double")
+    top = cells.agg(F.max("v")).first()[0] + 1.0
+    state, path = stored(nearest_fill(cells, frame).select("ix", "iy", "v", F.lit(top).alias("cloth"), F.lit(top).alias("last"), F.lit(1.0).alias("loose")))
+    fields = ("v", "cloth", "last", "loose")
+    one_tile = max(frame[1] - frame[0], frame[3] - frame[2]) < cfg.tile_cells
+    most = cfg.csf_iterations if one_tile else max(1, cfg.tile_margin // max(1, cfg.csf_rigidness))
+
+    def turns(n: int, from_turn: int) -> DataFrame:
+        def kernel(grids: dict[str, np.ndarray], own: tuple[slice, slice]) -> dict[str, np.ndarray]:
+            moved, after = [], (grids["cloth"], grids["last"], grids["loose"] > 0)
+            for after in fall(grids["v"], *after, n, cfg.csf_rigidness, cfg.csf_time_step):
+                moved.append(np.abs(after[0] - after[1])[own].max())
+                # a raster in one piece rests as soon as it does
+                if one_tile and from_turn + len(moved) - 1 > cfg.csf_min_iterations and moved[-1] < cfg.csf_tol:
+                    break
+            return {"v": grids["v"], "cloth": after[0], "last": after[1], "loose": after[2], "told": np.array(moved)}
+
+        return on_tiles(state, frame, cfg.tile_cells, cfg.tile_margin, kernel, fields, fields)
+
+    turn = 0
+    while turn < cfg.csf_iterations:
+        n = min(most, cfg.csf_iterations - turn)
+        after, after_path = stored(turns(n, turn))
+        told = after.where("told is not null").select(F.posexplode("told").alias("nth", "moved")).groupBy("nth").agg(F.max("moved").alias("moved"))
+        resting = [r["nth"] for r in told.collect() if turn + r["nth"] > cfg.csf_min_iterations and r["moved"] < cfg.csf_tol]
+        if resting and min(resting) + 1 < n and not one_tile:
+            # the cloth came to rest inside these turns: only so many are taken
+            forget(spark, after_path)
+            after, after_path = stored(turns(min(resting) + 1, turn))
+        state = after.select("ix", "iy", *fields)
+        forget(spark, path)
+        path, turn = after_path, turn + n
+        if resting:
+            break
+    return state.select("ix", "iy", "cloth")
 
 
 def ground_points(cloud: DataFrame, cfg: SurveyConfig) -> DataFrame:
@@ -88,14 +80,17 @@ def without_spikes(cells: DataFrame, cfg: SurveyConfig) -> DataFrame:
     """Drop cells far above the median around them, once or twice."""
     window = max(3, round(cfg.dtm_despike_window / cfg.dtm_res) | 1)
 
-    def kernel(grid: np.ndarray) -> dict[str, np.ndarray]:
-        filled = nearest_known(grid)[0]
+    def kernel(grids: dict[str, np.ndarray], own: tuple[slice, slice]) -> dict[str, np.ndarray]:
+        seen = np.where(grids["seen"] > 0, grids["v"], np.nan)
         with np.errstate(invalid="ignore"):
-            return {"v": np.where(grid > moving_median(filled, window) + cfg.dtm_despike, np.nan, grid)}
+            return {"v": np.where(seen > moving_median(grids["v"], window) + cfg.dtm_despike, np.nan, seen)}
 
     for _ in range(cfg.dtm_despike_passes):
-        before = cells.count()
-        cells = checkpoint(on_tiles(cells, _frame(cells), cfg.tile_cells, cfg.tile_margin, kernel, ("v",)).where("v is not null"))
+        before, frame = cells.count(), frame_of(cells)
+        if frame is None:
+            break
+        filled = checkpoint(nearest_fill(cells, frame).select("ix", "iy", "v", F.col("seen").cast("double").alias("seen")))
+        cells = checkpoint(on_tiles(filled, frame, cfg.tile_cells, window // 2, kernel, ("v", "seen"), ("v",)).where("v is not null").select("ix", "iy", "v"))
         if cells.count() == before:
             break
     return cells
@@ -130,15 +125,19 @@ def build_terrain(ground: DataFrame, cloud: DataFrame, cfg: SurveyConfig) -> Dat
 
     seen = checkpoint(ground.join(F.broadcast(low)).groupBy(ix.alias("ix"), iy.alias("iy")).agg(upper_median(F.col("z")).alias("v")))
     r = cloud.agg(F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
+    if r[0] is None:
+        return cloud.sparkSession.createDataFrame([], "ix long, iy long, dtm double, valid double")
     frame = (0, int(np.ceil(r[0] / cfg.dtm_res)) + 2, 0, int(np.ceil(r[1] / cfg.dtm_res)) + 2)
     kept = without_spikes(seen, cfg)
 
-    def kernel(grid: np.ndarray) -> dict[str, np.ndarray]:
-        filled, far = nearest_known(grid)
+    def kernel(grids: dict[str, np.ndarray], own: tuple[slice, slice]) -> dict[str, np.ndarray]:
+        filled = grids["v"]
         flat = smooth(np.nan_to_num(filled), cfg.dtm_smooth_sigma) if cfg.dtm_smooth_sigma > 0 else filled
-        return {"dtm": np.where(np.isnan(filled), np.nan, flat), "far": far * cfg.dtm_res, "seen": (~np.isnan(grid)).astype(float)}
+        return {"dtm": np.where(np.isnan(filled), np.nan, flat), "far": grids["far"] * cfg.dtm_res, "seen": grids["seen"]}
 
-    table = checkpoint(on_tiles(kept, frame, cfg.tile_cells, cfg.tile_margin, kernel, ("dtm", "far", "seen")))
+    filled = checkpoint(nearest_fill(kept, frame).withColumn("seen", F.col("seen").cast("double")))
+    reach = int(4 * cfg.dtm_smooth_sigma + 0.5)
+    table = checkpoint(on_tiles(filled, frame, cfg.tile_cells, reach, kernel, ("v", "far", "seen"), ("dtm", "far", "seen")).drop("told"))
     window = max(3, round(2 * cfg.dtm_max_fill_dist / cfg.dtm_res) | 1)
     dense = moving_mean(table, "seen", window).where(F.col("mean") >= cfg.dtm_min_obs_density)
     near = table.where(F.col("far") <= cfg.dtm_max_fill_dist).join(dense, ["ix", "iy"], "left_semi").select("ix", "iy")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import SurveyConfig
 from ..functions.geometry import lean_degrees
-from ..operators import descriptors, graph, grid, growth, neighbours, species, stand, stems, terrain, trees, validate, views
+from ..operators import descriptors, graph, grid, growth, neighbours, raster, species, stand, stems, terrain, trees, validate, views
 from ..sources import tables
 from . import fixtures as fx
 
@@ -837,6 +837,22 @@ def inventory_histograms(spark, sf):
     return views.inventory_histograms(_measured(spark, sf))
 
 
+@query(
+    C
+    + """, m AS MATERIALIZED (SELECT cast(floor(xi / 5e2) AS BIGINT) AS ix, cast(floor(yi / 5e2) AS BIGINT) AS iy, min(zi) / 1e3 AS v FROM c WHERE role = 'stem' GROUP BY ALL),
+ e AS (SELECT min(ix) - 9 AS x0, max(ix) + 9 AS x1, min(iy) - 9 AS y0, max(iy) + 9 AS y1 FROM m),
+ g AS (SELECT ix, unnest(range(y0, y1 + 1)) AS iy FROM (SELECT unnest(range(x0, x1 + 1)) AS ix, y0, y1 FROM e)),
+ d AS (SELECT g.ix, g.iy, v, (m.ix - g.ix) * (m.ix - g.ix) + (m.iy - g.iy) * (m.iy - g.iy) AS far, abs(m.iy - g.iy) AS dy, m.iy AS ky, m.ix AS kx FROM g, m)
+ SELECT ix, iy, arg_min(v, (far, dy, ky, kx)) AS v, round(sqrt(min(far)), 6) AS far, min(far) = 0 AS seen FROM d GROUP BY ix, iy"""
+)
+def raster_nearest_fill(spark, sf):
+    """Each cell's nearest cell with a stem return, and how far it is."""
+    places = [F.floor(F.col(f"{a}i") / 500).cast("long").alias(f"i{a}") for a in "xy"]
+    cells = fx.cloud(spark, sf).where("role = 'stem'").groupBy(*places).agg((F.min("zi") / 1e3).alias("v"))
+    cells = graph.checkpoint(cells)
+    return rounded(raster.nearest_fill(cells, raster.frame_of(cells, 9)), keep=("v",))
+
+
 # terrain and the whole inventory ----------------------------------------------------------------------
 
 
