@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, join_by_hot_key
+from .common import checkpoint, forget, join_by_hot_key, stored
 from .components import components
 from .near_duplicates import shingle_sets
 from .textblocks import U64, mixed
@@ -106,39 +106,78 @@ def _binaries(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(rows))])
 
 
+def _sketches(first: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Registers of sets of which some may be empty, so many at once; those of an empty set are zeros."""
+    n = len(first) - 1
+    registers = np.zeros((n, REGISTERS), np.uint16)
+    for a in range(0, n, SIGNED):
+        part = first[a : a + SIGNED + 1]
+        rows = np.flatnonzero(np.diff(part))
+        if len(rows):
+            registers[a + rows] = set_sketches(np.append(part[rows], part[-1]) - part[0], hashes[part[0] : part[-1]])
+    return registers
+
+
 def _sketcher(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Each text's set as 128 bits and its sketch as a key for each band."""
+
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row = 0
             for first, hashes in shingle_sets(batch.column("text"), size, fold=True):
                 n = np.diff(first)
-                registers = np.zeros((len(n), REGISTERS), np.uint16)
-                for a in range(0, len(n), SIGNED):
-                    part = first[a : a + SIGNED + 1]
-                    rows = np.flatnonzero(np.diff(part))
-                    if len(rows):
-                        registers[a + rows] = set_sketches(np.append(part[rows], part[-1]) - part[0], hashes[part[0] : part[-1]])
+                bands = np.full((len(n), REGISTERS // BAND), 0, U64) + np.arange(REGISTERS // BAND, dtype=U64)
+                for eight in _sketches(first, hashes).reshape(len(n), -1, BAND).astype(U64).transpose(2, 0, 1):
+                    bands = mixed(bands * U64(0xD6E8FEB86659FD93) + eight)
                 sums = []
                 for salt in (21, 22):
                     total = np.concatenate((np.zeros(1, U64), np.cumsum(mixed(hashes + U64(salt)), dtype=U64)))
                     sums.append((total[first[1:]] - total[first[:-1]]).view(np.int64))
                 columns = [batch.column(c).slice(row, len(n)) for c in ("doc_id", "text_hash")]
-                columns += [pa.array(n, pa.int64()), *(pa.array(s, pa.int64()) for s in sums), _binaries(registers)]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "n", "set1", "set2", "registers"])
+                ends = np.arange(len(n) + 1, dtype=np.int32) * bands.shape[1]
+                listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(bands.reshape(-1).view(np.int64)))
+                columns += [pa.array(n, pa.int64()), *(pa.array(s, pa.int64()) for s in sums), listed]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "n", "set1", "set2", "bands"])
                 row += len(n)
 
     return sketch
 
 
-def _packer(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _packer(size: int, wanted: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Registers and shingles of the texts whose bit is set in ``wanted``."""
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [h[a:b].tobytes() for first, h in shingle_sets(batch.column("text"), size, fold=True) for a, b in zip(first[:-1], first[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("cls"), batch.column("registers"), pa.array(sets, pa.binary())], names=["cls", "registers", "shingles"])
+            bit = batch.column("bit").to_numpy()
+            batch = batch.filter(pa.array((wanted[bit >> 6] >> (bit & 63).astype(U64)) & U64(1) == U64(1)))
+            row = 0
+            for first, hashes in shingle_sets(batch.column("text"), size, fold=True):
+                n = len(first) - 1
+                sets = [hashes[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
+                columns = [batch.column(c).slice(row, n) for c in ("doc_id", "text_hash")]
+                yield pa.RecordBatch.from_arrays([*columns, _binaries(_sketches(first, hashes)), pa.array(sets, pa.binary())], names=["doc_id", "text_hash", "registers", "shingles"])
+                row += n
 
     return pack
 
 
+def _packed(rows: DataFrame, members: DataFrame, shingle: int) -> DataFrame:
+    """``cls, registers, shingles`` of the ``members``, whose texts are looked up by id and hash.
+
+    A bit for each member, of at most 2 ** 27 bits in all, goes to every task, so that few of the other texts are packed
+    and shuffled; the join decides.
+    """
+    n_bits = 1 << min(27, max(12, (32 * members.count()).bit_length()))
+    bit = F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(n_bits))
+    word, place = F.shiftright(bit, 6), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id, text_hash), {n_bits}L) % 64 as int))")
+    words = members.groupBy(word.alias("word")).agg(F.bit_or(place).alias("bits")).toArrow()
+    wanted = np.zeros(n_bits // 64, U64)
+    wanted[words["word"].to_numpy()] = words["bits"].to_numpy().view(U64)
+    texts = rows.select("doc_id", "text_hash", bit.alias("bit"), "text")
+    packed = texts.mapInArrow(_packer(shingle, wanted), "doc_id long, text_hash long, registers binary, shingles binary")
+    return checkpoint(packed.join(members, ["doc_id", "text_hash"]).dropDuplicates(["cls"]).select("cls", "registers", "shingles"))
+
+
 def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """Whether the sets, sorted, have ``percent`` in common."""
     if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
@@ -239,22 +278,20 @@ def sketch_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, marg
     """
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    sketches = checkpoint(rows.mapInArrow(_sketcher(shingle), "doc_id long, text_hash long, n long, set1 long, set2 long, registers binary"))
+    sketches, path = stored(rows.mapInArrow(_sketcher(shingle), "doc_id long, text_hash long, n long, set1 long, set2 long, bands array<long>"))
     classes = checkpoint(
         sketches.where("n > 0")
         .groupBy("set1", "set2", "n")
-        .agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("registers").alias("registers"))
-        .select("set1", "set2", "n", "rep", "copies", "registers", F.monotonically_increasing_id().alias("cls"))
+        .agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
+        .select("set1", "set2", "n", "rep", "copies", "bands", F.monotonically_increasing_id().alias("cls"))
     )
-    size = 2 * BAND
-    bands = F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // BAND - 1)), lambda b: F.xxhash64(b, F.substring("registers", b * size + 1, F.lit(size))))
-    placed = classes.select("cls", (F.col("n") + 64).alias("weight"), F.posexplode(bands).alias("band", "node"))
+    sketches = checkpoint(sketches.drop("bands", "text_hash"))
+    forget(docs.sparkSession, path)
+    placed = classes.select("cls", (F.col("n") + 64).alias("weight"), F.posexplode("bands").alias("band", "node"))
     nodes = checkpoint(placed.groupBy("node").agg(F.count(F.lit(1)).alias("rows"), F.min("cls").alias("leader")).where("rows > 1"))
     at = checkpoint(join_by_hot_key(placed, nodes, ["node"], "rows"))
-
-    members = classes.join(at.select("cls").distinct(), "cls", "left_semi").select("rep.doc_id", "rep.text_hash", "cls", "registers")
-    texts = rows.join(members, ["doc_id", "text_hash"]).dropDuplicates(["cls"]).select("cls", "registers", "text")
-    sets = checkpoint(texts.mapInArrow(_packer(shingle), "cls long, registers binary, shingles binary"))
+    members = checkpoint(classes.select("rep.*", "cls").join(at.select("cls").distinct(), "cls", "left_semi"))
+    sets = _packed(rows, members, shingle)
 
     # every member of a bucket meets its leader
     met = checkpoint(at.where("cls <> leader").select("leader", "cls", "weight").distinct())
