@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..plans.lineage import checkpoint
+
 AXES = ("x", "y", "z")
 
 
@@ -58,16 +60,39 @@ def with_cells(cloud: DataFrame, size: float, margin: float = 0.0) -> DataFrame:
     return cloud.join(F.broadcast(origin)).withColumns({"ix": ix, "iy": iy}).drop("__x", "__y")
 
 
-def upper_median(value: Column) -> Column:
-    """The middle value, and of two middle values the larger one; a cell's values meet in one row."""
-    values = F.array_sort(F.collect_list(value))
-    return F.element_at(values, F.floor(F.size(values) / 2).cast("int") + 1)
+def upper_medians(rows: DataFrame, keys: Sequence[str], value: str, bins: int = 1 << 16) -> DataFrame:
+    """``keys, v``: the middle value of each group, and of two middle values the larger one; nulls don't count.
+
+    An exact selection in two steps, neither of which holds a group together. Counts in equal bins over the whole range
+    of values, summed in each task first, tell which bin holds the middle and which of its values it is. Then the values of
+    that bin alone are counted. ``rows`` is read three times and should be stored or cheap to read.
+    """
+    keys = list(keys)
+    known = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
+    ends = known.agg(F.min("__v").alias("__low"), F.max("__v").alias("__high"))
+    share = F.coalesce(F.try_divide(F.col("__v") - F.col("__low"), F.col("__high") - F.col("__low")), F.lit(0.0))
+    binned = known.join(F.broadcast(ends)).select(*keys, "__v", F.least(F.floor(share * bins), F.lit(bins - 1)).alias("__bin"))
+    counts = binned.groupBy(*keys, "__bin").agg(F.count(F.lit(1)).alias("__n"))
+    group = W.partitionBy(*keys)
+    upto = group.orderBy("__bin").rowsBetween(W.unboundedPreceding, 0)
+    ranked = counts.select(*keys, "__bin", "__n", F.sum("__n").over(upto).alias("__upto"), F.floor(F.sum("__n").over(group) / 2).alias("__rank"))
+    # the place of the middle among the values of its bin, from 0
+    before = F.col("__upto") - F.col("__n")
+    middle = ranked.where((before <= F.col("__rank")) & (F.col("__rank") < F.col("__upto"))).select(*keys, "__bin", (F.col("__rank") - before).alias("__nth"))
+    values = binned.groupBy(*keys, "__bin", "__v").agg(F.count(F.lit(1)).alias("__n"))
+    same = [F.col(k).eqNullSafe(F.col(f"__of_{k}")) for k in keys] + [F.col("__bin") == F.col("__in")]
+    inside = values.join(middle.select(*[F.col(k).alias(f"__of_{k}") for k in keys], F.col("__bin").alias("__in"), "__nth"), same)
+    upto = W.partitionBy(*keys).orderBy("__v").rowsBetween(W.unboundedPreceding, 0)
+    summed = inside.select(*keys, "__v", "__nth", F.sum("__n").over(upto).alias("__upto"))
+    return summed.where(F.col("__upto") > F.col("__nth")).groupBy(*keys).agg(F.min("__v").alias("v"))
 
 
 def cell_surface(cloud: DataFrame, size: float, mode: str = "min", margin: float = 0.0) -> DataFrame:
     """``ix, iy, v``: the lowest, highest or upper-median z of each cell."""
-    pick = {"min": F.min, "max": F.max, "median": upper_median}[mode]
-    return with_cells(cloud, size, margin).groupBy("ix", "iy").agg(pick(F.col("z")).alias("v"))
+    placed = with_cells(cloud, size, margin)
+    if mode == "median":
+        return upper_medians(checkpoint(placed.select("ix", "iy", "z")), ["ix", "iy"], "z")
+    return placed.groupBy("ix", "iy").agg({"min": F.min, "max": F.max}[mode](F.col("z")).alias("v"))
 
 
 def densest_cell(cloud: DataFrame, size: float = 2.0) -> DataFrame:

@@ -15,7 +15,7 @@ from ..config import SurveyConfig
 from ..kernels.raster import fall, moving_median, smooth
 from ..plans.lineage import checkpoint, forget, stored
 from .graph import components
-from .grid import bilinear, cell_surface, moving_mean, thin
+from .grid import bilinear, cell_surface, moving_mean, thin, upper_medians
 from .raster import frame_of, nearest_fill, on_tiles
 
 
@@ -121,9 +121,8 @@ def build_terrain(ground: DataFrame, cloud: DataFrame, cfg: SurveyConfig) -> Dat
     """
     low = cloud.agg(F.min("x").alias("__lx"), F.min("y").alias("__ly"))
     ix, iy = (F.floor((F.col(a) - F.col(f"__l{a}") + cfg.dtm_res) / cfg.dtm_res) for a in "xy")
-    from .grid import upper_median
-
-    seen = checkpoint(ground.join(F.broadcast(low)).groupBy(ix.alias("ix"), iy.alias("iy")).agg(upper_median(F.col("z")).alias("v")))
+    placed = checkpoint(ground.join(F.broadcast(low)).select(ix.alias("ix"), iy.alias("iy"), "z"))
+    seen = checkpoint(upper_medians(placed, ["ix", "iy"], "z"))
     r = cloud.agg(F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
     if r[0] is None:
         return cloud.sparkSession.createDataFrame([], "ix long, iy long, dtm double, valid double")
