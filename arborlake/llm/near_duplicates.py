@@ -11,8 +11,9 @@ found with a known probability, so each link found stands for one divided by tha
 shortened to the greatest depth whose estimated recall reaches the target, and measured again there.
 It needn't go below the depth at which even a forest of links at the bare threshold reaches it.
 
-Verification works in blocks of classes that share a prefix. Two blocks meet when classes of both share
-one, so the two ends of a chain of neighbours don't meet.
+Verification works in cells, the classes that share a prefix in some tree. Prefixes that the same classes share
+are one cell, so a pair of near copies, alike in most trees, meets once, and a class is sent to as many cells as there are
+trees at most, however many near copies it has. Two classes are compared in the first tree in which they share the prefix.
 """
 
 from __future__ import annotations
@@ -204,16 +205,18 @@ def _telling_symbols(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np
     return symbol[order].astype(np.int64), owner[order], np.bincount(lacks, minlength=m), int(most.sum())
 
 
-def _verifier(threshold: float) -> Callable[[pa.Table], pa.Table]:
+def _verifier(threshold: float, depth: int) -> Callable[[pa.Table], pa.Table]:
     def verify(cell: pa.Table) -> pa.Table:
-        """Links inside a block, or between two blocks: per class how many rows it links to and the least class
+        """Links inside a block of a cell (``i`` = ``j``), or between two: per class how many rows it links to and the least class
         that links lead to here, and once how many links there are by similarity."""
         cell = cell.sort_by([("block", "ascending"), ("cls", "ascending")])
         cls, copies, block = (cell[c].to_numpy() for c in ("cls", "copies", "block"))
         sets = [np.frombuffer(b, U64) for b in cell["shingles"].to_pylist()]
+        prefix = np.array([np.frombuffer(b, np.uint8) for b in cell["signature"].to_pylist()]).reshape(-1, TREES, DEPTH)[:, :, :depth]
         n = np.array([len(s) for s in sets])
-        m, two = len(cls), block[0] != block[-1]
-        cut = int(np.searchsorted(block, block[-1])) if two else 0
+        tree, i, j = (cell[c][0].as_py() for c in ("tree", "i", "j"))
+        m, two = len(cls), i != j
+        cut = int(np.searchsorted(block, j)) if two else 0
         symbol, owner, lack, n_most = _telling_symbols(sets)
         by_symbol = np.argsort(symbol, kind="stable")
         posting, starts = owner[by_symbol], np.concatenate(([0], np.cumsum(np.bincount(symbol, minlength=int(symbol.max(initial=-1)) + 1))))
@@ -235,6 +238,8 @@ def _verifier(threshold: float) -> Callable[[pa.Table], pa.Table]:
             linked = similarity >= threshold
             linked[: max(cut, i + 1)] = False
             partners = np.flatnonzero(linked)
+            # each pair counts in the first tree that has it
+            partners = partners[(prefix[partners] == prefix[i]).all(2).argmax(1) == tree]
             if not len(partners):
                 continue
             links[i] += copies[partners].sum()
@@ -257,34 +262,21 @@ def _verifier(threshold: float) -> Callable[[pa.Table], pa.Table]:
 def _verified(tries: DataFrame, sets: DataFrame, depth: int, block: int, threshold: float) -> DataFrame:
     """Links among classes that share ``depth`` slots in some tree: ``cls, links, root, similar``."""
     node = F.xxhash64("tree", F.substring("branch", 1, depth))
-    at = checkpoint(tries.where(F.col("shared") >= depth).select("cls", node.alias("node")))
-    nodes = checkpoint(at.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    at = checkpoint(join_by_hot_key(at, nodes, ["node"], "n"))
-    # a class is at home in the largest of its nodes
-    home = checkpoint(at.groupBy("cls").agg(F.max(F.struct("n", "node"))["node"].alias("home")))
-    homes = home.groupBy("home").agg(F.count(F.lit(1)).alias("members"))
-    # homes that share a node join the largest of them, one step only: the scattered near copies of a text
-    # become one group, and a chain of neighbours doesn't
-    shared = checkpoint(at.select("cls", "node").join(home, "cls").select("node", "home").distinct().join(homes, "home"))
-    largest = shared.groupBy("node").agg(F.max(F.struct("members", "home")).alias("top"), F.count(F.lit(1)).alias("n"))
-    joined = join_by_hot_key(shared.select("node", "home"), checkpoint(largest), ["node"], "n")
-    hooks = joined.groupBy("home").agg(F.max("top")["home"].alias("group"))
-    home = checkpoint(home.join(hooks, "home").select("cls", F.col("group").alias("home")))
-    # and a group is cut in as few blocks as hold its classes
-    homes = checkpoint(home.groupBy("home").agg(F.count(F.lit(1)).alias("members")))
-    cut = F.pmod(F.xxhash64("cls"), F.ceil(F.col("members") / F.lit(block)).cast("int"))
-    home = checkpoint(join_by_hot_key(home, homes, ["home"], "members").select("cls", F.xxhash64("home", cut).alias("home")))
-    # two blocks meet where classes of both share a node
-    met = at.select("cls", "node").join(home, "cls").select("node", F.col("home").alias("block")).distinct()
-    several = met.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node")
-    meeting = checkpoint(met.join(several, "node"))
-    i, j = meeting.withColumnRenamed("block", "i"), meeting.withColumnRenamed("block", "j")
-    pairs = checkpoint(i.join(j, "node").where("i < j").select("i", "j").distinct())
-    own = home.select(F.col("home").alias("i"), F.col("home").alias("j")).distinct()
-    cells = own.select("i", "j", F.col("i").alias("of")).unionByName(pairs.select("i", "j", F.explode(F.array("i", "j")).alias("of")))
-    held = sets.join(home, "cls").select("cls", "copies", "shingles", F.col("home").alias("block"))
-    dealt = held.join(cells, held["block"] == cells["of"]).select("i", "j", "cls", "copies", "block", "shingles")
-    return checkpoint(dealt.groupBy("i", "j").applyInArrow(_verifier(threshold), "cls long, links long, root long, similar array<long>"))
+    at = checkpoint(tries.where(F.col("shared") >= depth).select("cls", "tree", node.alias("node")))
+    who = [F.bit_xor(F.xxhash64("cls", F.lit(salt))).alias(f"who{salt}") for salt in (1, 2)]
+    nodes = at.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("tree").alias("tree"), *who).where("n > 1")
+    # nodes of the same classes are one cell, named by the first tree
+    cells = nodes.groupBy("n", "who1", "who2").agg(F.min(F.struct("tree", "node"))["node"].alias("node"))
+    cells = checkpoint(cells.select("node", "n"))
+    held = join_by_hot_key(at, cells, ["node"], "n")
+    # a cell of many classes is cut in blocks, and each two of these meet
+    blocks = F.ceil(F.col("n") / F.lit(block)).cast("int")
+    held = held.select("node", "tree", "cls", blocks.alias("blocks"), F.pmod(F.xxhash64("cls"), blocks).cast("int").alias("block"))
+    met = held.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("node", "tree", "cls", "block", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"))
+    dealt = met.join(sets, "cls").select("node", "tree", "i", "j", "cls", "copies", "block", "signature", "shingles")
+    found = dealt.groupBy("node", "i", "j").applyInArrow(_verifier(threshold, depth), "cls long, links long, root long, similar array<long>")
+    return checkpoint(found)
 
 
 def near_duplicates(
@@ -307,9 +299,8 @@ def near_duplicates(
     columns are ignored. A share ``recall`` of the links, by estimate, is found at least; all found are exact,
     on 64-bit hashes of the shingles.
 
-    Copies are merged in each task before they are shuffled. Classes are verified in blocks of
-    ``block`` at most, one task group for each two blocks that share a prefix, which emits counts
-    and a forest of links, never the pairs.
+    Copies are merged in each task before they are shuffled. Classes are verified in blocks of some
+    ``block``, one task group for each two blocks of a cell, which emits counts and a forest of links, never the pairs.
     """
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
@@ -328,9 +319,9 @@ def near_duplicates(
     branches = classes.select("cls", "signature", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select("tree", branch.alias("branch"), "cls")
     sorted_branches = branches.repartitionByRange("tree", "branch", "cls").sortWithinPartitions("tree", "branch", "cls")
     tries = checkpoint(sorted_branches.mapInArrow(_with_neighbours(least), "tree int, branch binary, cls long, shared int"))
-    members = classes.join(tries.select("cls").distinct(), "cls", "left_semi").select("doc_id", "text_hash", "cls", "copies")
-    texts = rows.join(members, ["doc_id", "text_hash"]).dropDuplicates(["cls"]).select("text", "cls", "copies")
-    sets = checkpoint(texts.mapInArrow(_packer(shingle), "cls long, copies long, shingles binary"))
+    members = classes.join(tries.select("cls").distinct(), "cls", "left_semi").select("doc_id", "text_hash", "cls", "copies", "signature")
+    texts = rows.join(members, ["doc_id", "text_hash"]).dropDuplicates(["cls"]).select("text", "cls", "copies", "signature")
+    sets = checkpoint(texts.mapInArrow(_packer(shingle), "cls long, copies long, signature binary, shingles binary"))
     depth = DEPTH
     while True:
         found = _verified(tries, sets, depth, block, threshold)

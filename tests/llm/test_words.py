@@ -9,7 +9,7 @@ import public_tokenizers
 import sentencepiece
 
 from arborlake.llm import token_counts as counts
-from arborlake.llm.near_duplicates import _verifier, near_duplicates
+from arborlake.llm.near_duplicates import DEPTH, TREES, _verifier, near_duplicates
 from arborlake.llm.substring_dedup import remove_repeats
 from arborlake.llm.textblocks import blocks, distinct_words, split_words
 
@@ -82,15 +82,21 @@ def test_cells_against_all_pairs():
     sets = [np.unique(np.append(base[rng.random(60) > 0.15 * rng.random()], rng.integers(0, 1 << 63, rng.integers(0, 9), dtype=np.uint64))) for _ in range(m)]
     copies = rng.integers(1, 4, m)
     for block in (np.zeros(m, int), np.arange(m) % 2):
-        cell = {"cls": np.arange(m), "copies": copies, "block": block, "shingles": [s.tobytes() for s in sets]}
+        # some pairs share an earlier tree than this cell's, and count there
+        signed = rng.integers(0, 2, (m, TREES, DEPTH), dtype=np.uint8)
+        signed[:, 0] = (np.arange(m) % 9)[:, None]
+        signed[:, 3] = 7
+        first = (signed[:, None] == signed[None]).all(3).argmax(2)
+        cell = {"cls": np.arange(m), "copies": copies, "block": block, "shingles": [s.tobytes() for s in sets], "signature": [s.tobytes() for s in signed]}
+        cell |= {"tree": np.full(m, 3), "i": np.zeros(m, int), "j": np.full(m, block.max())}
         links, root, pairs = np.zeros(m, int), np.arange(m), 0
         for i in range(m):
             for j in range(i):
                 a, b = set(sets[i].tolist()), set(sets[j].tolist())
-                if (block[i] != block[j] or not block.any()) and len(a & b) >= 0.8 * len(a | b):
+                if (block[i] != block[j] or not block.any()) and first[i, j] == 3 and len(a & b) >= 0.8 * len(a | b):
                     pairs, links[i], links[j] = pairs + 1, links[i] + copies[j], links[j] + copies[i]
                     root[(root == root[i]) | (root == root[j])] = min(root[i], root[j])
-        found = _verifier(0.8)(pa.table(cell)).to_pylist()
+        found = _verifier(0.8, DEPTH)(pa.table(cell)).to_pylist()
         assert pairs > 100 and sum(sum(r["similar"]) for r in found if r["similar"]) == pairs
         assert {r["cls"]: (r["links"], r["root"]) for r in found if r["links"]} == {i: (links[i], root[i]) for i in range(m) if links[i]}
 
