@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-from zlib import crc32
+from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import SurveyConfig
 from ..functions.geometry import angle_bin, main_direction
-from ..kernels.circle import arc_share, best_circle
 from ..plans.lineage import checkpoint
+from .circles import circle_members, ransac_circles
 from .graph import components, density_clusters
 from .grid import layers, thin
 from .neighbours import close_pairs, neighbour_join
@@ -45,61 +42,20 @@ def arc_coverage(points: DataFrame, keys: Sequence[str], dx: Column, dy: Column,
     return points.groupBy(*keys).agg((F.count_distinct(angle_bin(dx, dy, bins)) / F.lit(float(bins))).alias("arc"))
 
 
-def _circle_kernel(keys: Sequence[str], tol: float, tries: int, least_r: float, most_r: float | None, seed: int) -> Callable[[pa.Table], pa.Table]:
-    def fit(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("pid", "ascending")])
-        key = [group[k][0].as_py() for k in keys]
-        p = np.column_stack([group[c].to_numpy().astype(float) for c in ("x", "y")])
-        top = most_r if most_r is not None else group["most_r"][0].as_py()
-        found = best_circle(p, tol, tries, least_r, top, crc32(repr((seed, *key)).encode()))
-        rows = {k: group[k].slice(0, 0 if found is None else 1) for k in keys}
-        inside = np.zeros(len(p), bool) if found is None else found.inside
-        one = [] if found is None else [found]
-        values = {
-            "cx": ([c.x for c in one], pa.float64()),
-            "cy": ([c.y for c in one], pa.float64()),
-            "r": ([c.r for c in one], pa.float64()),
-            "rmse": ([c.rmse for c in one], pa.float64()),
-            "n": ([int(inside.sum()) for _ in one], pa.int32()),
-            "inlier_frac": ([float(inside.mean()) for _ in one], pa.float64()),
-            "arc": ([arc_share(p[inside], c.x, c.y) for c in one], pa.float64()),
-            "members": ([group["pid"].to_numpy()[inside] for _ in one], pa.list_(pa.int64())),
-        }
-        return pa.table(rows | {name: pa.array(v, kind) for name, (v, kind) in values.items()})
-
-    return fit
-
-
-def ransac_circles(points: DataFrame, keys: Sequence[str], cfg: SurveyConfig, most_r: float | None = None) -> DataFrame:
-    """Robust circle per group of points (``pid, x, y``, and ``most_r`` unless given); groups without one have no row.
-
-    A group is one stem's points in one layer; each has random numbers of its own, seeded by its
-    keys, so that results don't depend on the order or the place of the groups.
-    """
-    types = dict(points.dtypes)
-    schema = ", ".join(f"{k} {types[k]}" for k in keys)
-    kernel = _circle_kernel(keys, cfg.ransac_tol, cfg.ransac_iters, cfg.stem_min_diameter / 2, most_r, cfg.random_seed)
-    columns = ["pid", "x", "y", *([] if most_r is not None else ["most_r"]), *keys]
-    return points.select(*columns).groupBy(*keys).applyInArrow(
-        kernel, f"{schema}, cx double, cy double, r double, rmse double, n int, inlier_frac double, arc double, members array<long>"
-    )
-
-
-def layer_circles(cloud: DataFrame, cfg: SurveyConfig) -> DataFrame:
-    """Circles of the dense clusters of each layer: ``circle_id, layer, h, cx, cy, r, rmse, arc, members``."""
+def layer_circles(cloud: DataFrame, cfg: SurveyConfig) -> tuple[DataFrame, DataFrame]:
+    """Circles of the dense clusters of each layer, ``circle_id, layer, h, cx, cy, r, rmse, arc``, and their points, ``circle_id, pid``."""
     sliced = layers(cloud, cfg.stem_slice_lo, cfg.stem_slice_hi, cfg.stem_layer_thick, cfg.stem_layer_step)
     keyed = sliced.select("pid", "x", "y", "z", "layer", "layer_mid")
     thinned = _thin_layers(keyed, cfg.stem_voxel * 2)
     clusters = density_clusters(thinned, cfg.stem_dbscan_eps, cfg.stem_dbscan_min_pts, keys=["layer"]).where("cluster is not null")
     grouped = thinned.join(clusters.select("pid", "layer", "cluster"), ["pid", "layer"])
     full = grouped.groupBy("layer", "cluster").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= cfg.stem_dbscan_min_pts)
-    fits = ransac_circles(grouped.join(full, ["layer", "cluster"], "left_semi"), ["layer", "layer_mid", "cluster"], cfg, cfg.stem_max_diameter / 2)
+    ready = checkpoint(grouped.join(full, ["layer", "cluster"], "left_semi"))
+    fits = ransac_circles(ready, ["layer", "layer_mid", "cluster"], cfg, cfg.stem_max_diameter / 2)
     fine = fits.where((F.col("rmse") <= cfg.stem_max_rmse) & (F.col("inlier_frac") >= cfg.ransac_min_inlier_frac))
-    return checkpoint(
-        fine.select(
-            (F.col("cluster") * 1000 + F.col("layer")).alias("circle_id"), "layer", F.col("layer_mid").alias("h"), "cx", "cy", "r", "rmse", "arc", "members"
-        )
-    )
+    named = checkpoint(fine.withColumn("circle_id", F.col("cluster") * 1000 + F.col("layer")))
+    circles = named.select("circle_id", "layer", F.col("layer_mid").alias("h"), "cx", "cy", "r", "rmse", "arc")
+    return circles, circle_members(ready, named, ["layer", "cluster"], cfg.ransac_tol)
 
 
 def _thin_layers(points: DataFrame, size: float) -> DataFrame:
@@ -185,12 +141,12 @@ def merge_close(seeds: DataFrame, radius: float, id_col: str = "stack") -> DataF
     return keyed.join(best, "root").drop("root")
 
 
-def detect_stems(cloud: DataFrame, cfg: SurveyConfig) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Stems of a cloud (``pid, x, y, z, h``): seeds, their chains, and all stacks with reasons.
+def detect_stems(cloud: DataFrame, cfg: SurveyConfig) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Stems of a cloud (``pid, x, y, z, h``): seeds, their chains, all stacks with reasons, and the points of the stems, ``tree_id, pid``.
 
     Seeds are numbered by position, so that numbers don't depend on partitions.
     """
-    circles = layer_circles(cloud, cfg)
+    circles, members = layer_circles(cloud, cfg)
     stacks = components(circles.select(F.col("circle_id").alias("node")), link_circles(circles, cfg))
     chain = checkpoint(chains(circles, stacks))
     table = checkpoint(stack_table(chain, cfg))
@@ -198,4 +154,5 @@ def detect_stems(cloud: DataFrame, cfg: SurveyConfig) -> tuple[DataFrame, DataFr
     kept = merged.where("stack = merged_into").drop("merged_into", "reason")
     seeds = checkpoint(kept.withColumn("tree_id", (F.row_number().over(W.orderBy("x", "y", "stack")) - 1).cast("int")))
     into = merged.select("stack", F.col("merged_into")).join(seeds.select(F.col("stack").alias("merged_into"), "tree_id"), "merged_into")
-    return seeds, chain.join(into.select("stack", "tree_id", "merged_into"), "stack"), table
+    linked = checkpoint(chain.join(into.select("stack", "tree_id", "merged_into"), "stack"))
+    return seeds, linked, table, members.join(linked.select("circle_id", "tree_id"), "circle_id").select("tree_id", "pid").distinct()

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..config import SurveyConfig
 from ..functions.geometry import lean_degrees, perpendicular_basis
 from ..kernels.hull import hull_2d, hull_corners, hull_volume, polygon
-from .stems import ransac_circles
+from .circles import ransac_circles
 
 
 def heights(points: DataFrame, percentile: float = 99.5, least: int = 20) -> DataFrame:

@@ -42,10 +42,10 @@ def run(spark: SparkSession, cloud: DataFrame, cfg: SurveyConfig | None = None,
     points = checkpoint(grid.remove_isolated(cloud.select("pid", "x", "y", "z"), cfg.noise_voxel, cfg.noise_min_pts))
     ground = cached_terrain(spark, points, cfg, cache, identity, force)
     high = checkpoint(terrain.with_heights(points, ground, cfg))
-    seeds, chain, _ = stems.detect_stems(high.where("h is not null"), cfg)
+    seeds, _, _, members = stems.detect_stems(high.where("h is not null"), cfg)
     if seeds.isEmpty():
         raise ValueError("no stems found: check stem heights, diameters and point density")
-    own = chain.select("tree_id", F.explode("members").alias("pid")).groupBy("pid").agg(F.min("tree_id").alias("tree_id"))
+    own = members.groupBy("pid").agg(F.min("tree_id").alias("tree_id"))
     labelled = checkpoint(growth.segment_trees(high, high.join(own, "pid"), cfg))
     table = trees.measure_trees(labelled.where("tree_id is not null"), seeds, cfg)
     scanner = grid.densest_cell(points).select(F.col("x").alias("__sx"), F.col("y").alias("__sy"))

@@ -50,13 +50,12 @@ def test_stems_of_cylinders(spark):
     xyz = np.vstack((rows, clutter))
     cloud = frame(spark, ["pid", "x", "y", "z"], {"pid": np.arange(len(xyz)), "x": xyz[:, 0], "y": xyz[:, 1], "z": xyz[:, 2]}).withColumn("h", F.col("z"))
     cfg = SurveyConfig(stem_dbscan_min_pts=8, stem_dbscan_eps=0.10)
-    seeds, chain, stacks = stems.detect_stems(cloud, cfg)
+    seeds, _, stacks, own = stems.detect_stems(cloud, cfg)
     found = sorted((r.x, r.stack_diameter, r.axis_z) for r in seeds.collect())
     assert len(found) == 3
     for (x, d, az), (cx, r, lean) in zip(found, ((0, 0.10, 0), (3.13, 0.15, 0.1), (6, 0.07, 0))):
         assert abs(x - cx) < 0.02 and abs(d - 2 * r) < 0.012
         assert abs(math.degrees(math.acos(min(1, abs(az)))) - math.degrees(math.atan(lean))) < 1.5
-    own = chain.select("tree_id", F.explode("members").alias("pid")).distinct()
     points = cloud.join(own, "pid")
     table = trees.breast_height_diameters(cloud.join(own.select("pid", "tree_id"), "pid"), seeds, cfg)
     assert points.count() > 500
