@@ -2,44 +2,67 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import RandomForestClassifier
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
+from functools import reduce
+
+from pyspark import inheritable_thread_target
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.lineage import checkpoint
 from .views import stratified_folds
 
 
-def species_model(features: DataFrame, labels: DataFrame, n_trees: int = 500, folds: int = 5, seed: int = 42):
+#: Fixed value: the deepest trees that Spark grows; in the method trees grow until their leaves can't be cut.
+DEEPEST = 30
+
+
+@dataclass
+class SpeciesModel:
+    """Out-of-fold predictions (``tree_id, species, predicted, fold``), importances (``rank, name, weight``) and the forest fitted on all."""
+
+    predicted: DataFrame
+    importance: DataFrame
+    model: RandomForestClassificationModel
+
+
+def species_model(features: DataFrame, labels: DataFrame, n_trees: int = 500, folds: int = 5, seed: int = 42) -> SpeciesModel:
     """Fit on ``features`` (``tree_id``, descriptors) and ``labels`` (``tree_id, species``).
 
-    Returns out-of-fold predictions (``tree_id, species, predicted, fold``), importances (list of
-    name and weight, heaviest first) and the model fitted on all. Missing values take the median;
-    species weigh alike.
+    Missing values take the median; species weigh alike. The folds and the whole are fitted side by side on one stored
+    table, since each fit alone has long stretches of small jobs. Importances come heaviest first, equal ones by name.
     """
+    spark = features.sparkSession
     names = [c for c in features.columns if c != "tree_id"]
-    joined = features.join(labels.select("tree_id", "species").where("species is not null"), "tree_id")
+    joined = checkpoint(features.join(labels.select("tree_id", "species").where("species is not null"), "tree_id"))
     medians = joined.agg(*[F.coalesce(F.median(c), F.lit(0.0)).alias(c) for c in names]).first().asDict()
     weights = joined.groupBy("species").agg((1.0 / F.count(F.lit(1))).alias("weight"))
     ready = joined.na.fill(medians).join(F.broadcast(weights), "species")
     ready = VectorAssembler(inputCols=names, outputCol="features").transform(ready)
     index = StringIndexer(inputCol="species", outputCol="label", stringOrderType="alphabetAsc").fit(ready)
-    dealt = stratified_folds(index.transform(ready), "label", [F.xxhash64(F.lit(seed), "tree_id"), "tree_id"], folds).persist()
-    forest = RandomForestClassifier(numTrees=n_trees, minInstancesPerNode=2, maxDepth=12, weightCol="weight", seed=seed)
+    dealt = stratified_folds(index.transform(ready), "label", [F.xxhash64(F.lit(seed), "tree_id"), "tree_id"], folds)
+    dealt = checkpoint(dealt.select("tree_id", "species", "label", "weight", "fold", "features"))
+    forest = RandomForestClassifier(numTrees=n_trees, minInstancesPerNode=2, maxDepth=DEEPEST, maxMemoryInMB=1024, weightCol="weight", seed=seed)
+    used = [r["fold"] for r in dealt.select("fold").distinct().orderBy("fold").collect()]
+    parts = [None, *(used if len(used) > 1 else [])]
+
+    def fit(k: int | None) -> RandomForestClassificationModel:
+        return forest.fit(dealt if k is None else dealt.where(F.col("fold") != k))
+
+    with ThreadPoolExecutor(len(parts)) as pool:
+        models = dict(zip(parts, pool.map(inheritable_thread_target(spark)(fit), parts), strict=True))
     names_of = F.array(*[F.lit(x) for x in index.labels])
-    parts = []
-    for k in range(folds):
-        rest = dealt.where(F.col("fold") != k)
-        if rest.isEmpty():
-            continue
-        told = forest.fit(rest).transform(dealt.where(F.col("fold") == k))
-        parts.append(told.select("tree_id", "species", F.get(names_of, F.col("prediction").cast("int")).alias("predicted"), "fold"))
-    predicted = parts[0]
-    for part in parts[1:]:
-        predicted = predicted.unionByName(part)
-    model = forest.fit(dealt)
-    importance = sorted(zip(names, model.featureImportances.toArray().tolist()), key=lambda x: (-x[1], x[0]))
-    return predicted, importance, model
+    told = [
+        models[k].transform(dealt.where(F.col("fold") == k)).select("tree_id", "species", F.get(names_of, F.col("prediction").cast("int")).alias("predicted"), "fold")
+        for k in parts[1:]
+    ]
+    predicted = reduce(DataFrame.unionByName, told) if told else dealt.select("tree_id", "species", F.lit(None).cast("string").alias("predicted"), "fold").limit(0)
+    heaviest = sorted(zip(names, models[None].featureImportances.toArray().tolist(), strict=True), key=lambda x: (-x[1], x[0]))
+    importance = spark.createDataFrame([(i + 1, n, w) for i, (n, w) in enumerate(heaviest)], "rank int, name string, weight double")
+    return SpeciesModel(predicted, importance, models[None])
 
 
 def confusion(predicted: DataFrame) -> DataFrame:
@@ -47,8 +70,11 @@ def confusion(predicted: DataFrame) -> DataFrame:
 
 
 def class_report(predicted: DataFrame) -> DataFrame:
-    """Precision, recall and support per species."""
-    hit = F.count_if(F.col("species") == F.col("predicted"))
-    recall = predicted.groupBy("species").agg(F.count(F.lit(1)).alias("support"), (hit / F.count(F.lit(1))).alias("recall"))
-    precision = predicted.groupBy(F.col("predicted").alias("species")).agg((hit / F.count(F.lit(1))).alias("precision"))
-    return recall.join(precision, "species", "left")
+    """``species, precision, recall, f1, support`` of every species that occurs or is predicted; shares of nothing are 0."""
+    hit = F.count_if(F.col("species").eqNullSafe(F.col("predicted"))).alias("hits")
+    real = predicted.groupBy("species").agg(F.count(F.lit(1)).alias("support"), hit)
+    told = predicted.groupBy(F.col("predicted").alias("species")).agg(F.count(F.lit(1)).alias("told"))
+    both = real.join(told, "species", "full").na.fill(0, ["support", "hits", "told"])
+    precision, recall = (F.coalesce(F.try_divide("hits", n), F.lit(0.0)) for n in ("told", "support"))
+    f1 = F.coalesce(F.try_divide(2 * F.col("hits"), F.col("told") + F.col("support")), F.lit(0.0))
+    return both.select("species", precision.alias("precision"), recall.alias("recall"), f1.alias("f1"), "support")

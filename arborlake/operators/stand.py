@@ -6,14 +6,14 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..kernels.hull import hull_2d, polygon
 from ..plans.lineage import checkpoint
+from .kmeans import best_centres, nearest_centre
 
 
 def _corners(batches):
@@ -87,7 +87,7 @@ def group_profile(trees: DataFrame) -> DataFrame:
 
 
 def structural_groups(features: DataFrame, trees: DataFrame, k: int = 4, seed: int = 42, restarts: int = 20, keep: float = 0.95) -> DataFrame:
-    """``tree_id, structural_group`` of the trees that aren't poor, by k-means on the main components.
+    """``tree_id, structural_group`` of the trees that aren't poor, by k-means on the main components, the best of ``restarts`` starts.
 
     Missing descriptors take the median. Groups are numbered by median height, so that numbers
     mean the same in each run. Fewer trees than groups give nulls.
@@ -105,11 +105,9 @@ def structural_groups(features: DataFrame, trees: DataFrame, k: int = 4, seed: i
     explained = np.cumsum(found.explainedVariance.toArray())
     n = int(np.searchsorted(explained, keep) + 1)
     main = F.slice(vector_to_array("all"), 1, min(n, len(names)))
-    ready = found.transform(scaled).select("tree_id", "height_m", array_to_vector(main).alias("features")).persist()
-    models = [KMeans(k=k, seed=seed + i, maxIter=50).fit(ready) for i in range(restarts)]
-    best = min(models, key=lambda m: m.summary.trainingCost)
-    labelled = checkpoint(best.transform(ready).select("tree_id", "height_m", "prediction"))
-    ready.unpersist()
+    ready = checkpoint(found.transform(scaled).select(F.col("tree_id").cast("long").alias("id"), "tree_id", "height_m", main.alias("features")))
+    centres, _ = best_centres(ready.select("id", "features"), k, restarts, seed)
+    labelled = checkpoint(nearest_centre(ready, centres).select("tree_id", "height_m", "prediction"))
     order = labelled.groupBy("prediction").agg(F.median("height_m").alias("m")).orderBy("m", "prediction").collect()
     number = F.create_map(*[F.lit(x) for i, r in enumerate(order) for x in (r["prediction"], i)])
     return trees.select("tree_id").join(labelled.select("tree_id", number[F.col("prediction")].alias("structural_group")), "tree_id", "left")

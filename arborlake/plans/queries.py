@@ -631,17 +631,38 @@ def group_profile(spark, sf):
 
 @query()
 def structural_groups(spark, sf):
-    features = tree_feature_table(spark, sf).where("height_m is not null")
-    every = _measured(spark, sf).withColumn("quality", F.lit("good"))
-    return stand.structural_groups(features, every.select("tree_id", "quality"))
+    every = _measured(spark, sf)
+    return stand.structural_groups(tree_feature_table(spark, sf), every.select("tree_id", "quality"))
+
+
+def _species(spark, sf) -> species.SpeciesModel:
+    labels = fx.stems(spark, sf).select("tree_id", F.concat(F.lit("s"), F.floor(F.col("dbh_cm") / 4).cast("string")).alias("species"))
+    return species.species_model(tree_feature_table(spark, sf), labels)
 
 
 @query()
 def species_model(spark, sf):
-    features = descriptors.crown_ratios(_measured(spark, sf))
-    labels = fx.stems(spark, sf).select("tree_id", F.concat(F.lit("s"), F.floor(F.col("dbh_cm") / 4).cast("string")).alias("species"))
-    predicted, _, _ = species.species_model(features, labels, n_trees=20, folds=3)
-    return predicted
+    return _species(spark, sf).predicted
+
+
+@query()
+def species_importance(spark, sf):
+    """The fifteen descriptors that tell species best."""
+    return _species(spark, sf).importance.where("rank <= 15")
+
+
+@query(
+    S
+    + """, p AS (SELECT concat('s', cast(floor(dbh_cm / 4) AS BIGINT)) AS species, concat('s', cast(floor((dbh_cm + tree_id % 3) / 4) AS BIGINT)) AS predicted FROM s),
+ r AS (SELECT species, count(*) AS support, count(*) FILTER (WHERE species = predicted) AS hits FROM p GROUP BY species),
+ t AS (SELECT predicted AS species, count(*) AS told FROM p GROUP BY predicted)
+ SELECT species, round(coalesce(hits / nullif(told, 0), 0), 6) AS precision, round(coalesce(hits / nullif(support, 0), 0), 6) AS recall,
+        round(coalesce(2 * hits / nullif(coalesce(told, 0) + coalesce(support, 0), 0), 0), 6) AS f1, coalesce(support, 0) AS support FROM r FULL JOIN t USING (species)"""
+)
+def species_report(spark, sf):
+    """Precision, recall and f1 of species told from diameters that are off by up to two centimetres."""
+    named = fx.stems(spark, sf).selectExpr("concat('s', floor(dbh_cm / 4)) as species", "concat('s', floor((dbh_cm + tree_id % 3) / 4)) as predicted")
+    return rounded(species.class_report(named))
 
 
 # validation -----------------------------------------------------------------------------------------
