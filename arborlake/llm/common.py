@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-from uuid import uuid4
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.lineage import checkpoint, forget, shared_folder, stored
+
+__all__ = ["checkpoint", "forget", "shared_folder", "stored"]
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 #: A run of these bytes parts two words.
@@ -20,44 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names, which all executors share.
-
-    A folder of our own is set only where the session names none and all tasks run in this process, as in tests;
-    on a cluster a missing name is an error, since each executor would write to its own disk.
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = sc.getConf().get("spark.checkpoint.dir")
-        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
-    return sc.getCheckpointDir()
-
-
-def stored(df: DataFrame) -> tuple[DataFrame, str]:
-    """A table written to the shared folder and read again, and its path, for ``forget``."""
-    path = f"{shared_folder(df.sparkSession)}/{uuid4().hex}.parquet"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
-
-
-def forget(spark: SparkSession, path: str | None) -> None:
-    """Remove a stored table that nothing will read again."""
-    if path is not None:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage: a table written to the shared folder and read again.
-
-    Unlike ``DataFrame.checkpoint``, which keeps the estimate of the plan before it, a table has the size of its
-    files. In loops of joins such estimates multiply from round to round until the planner is busy with them alone.
-    """
-    return stored(df)[0]
-
-
 def join_by_hot_key(rows: DataFrame, counted: DataFrame, keys: list[str], n: str, share: float = 1e-3) -> DataFrame:
     """Join ``rows`` with ``counted``, which has one row per key and in ``n`` how many rows have it.
 

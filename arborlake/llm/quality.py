@@ -16,6 +16,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,6 +38,8 @@ KINDS = 7
 #: Buckets that words are hashed to, A-Z lower-cased.
 TERMS = 128
 LANGS, SOURCES = 16, 32
+#: Pieces that a sum over all tasks is added up in, each by one task.
+CHUNKS = 16
 CONTENT, META = KINDS * KINDS + 2 + TERMS, LANGS + SOURCES + 5
 
 
@@ -179,8 +182,8 @@ def _statistics(x: np.ndarray, y: np.ndarray, weight: np.ndarray | float, model:
     return np.concatenate((z.T @ (weight * (p - y)), h.ravel().astype(np.float64)))
 
 
-def _summed(pool: DataFrame, per_block: Callable[[tuple[np.ndarray, np.ndarray]], np.ndarray]) -> np.ndarray | float:
-    """Sum over the pool, added up in each task first."""
+def _partial_sums(pool: DataFrame, per_block: Callable[[tuple[np.ndarray, np.ndarray]], np.ndarray]) -> DataFrame:
+    """``chunk, total``: the sum over the pool in CHUNKS pieces, each added up by one task from those of all tasks, in their order."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
@@ -189,10 +192,25 @@ def _summed(pool: DataFrame, per_block: Callable[[tuple[np.ndarray, np.ndarray]]
             found = per_block((x[:, :CONTENT], x[:, CONTENT:]))
             total = found if total is None else total + found
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["total"])
+            pieces = [c.tobytes() for c in np.array_split(total, CHUNKS)]
+            at = pa.array([TaskContext.get().partitionId()] * CHUNKS, pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), at, pa.array(pieces, pa.binary())], names=["chunk", "part", "total"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, piece in zip(batch.column("chunk").to_pylist(), batch.column("total").to_pylist(), strict=True):
+                totals[chunk] = totals.get(chunk, 0.0) + np.frombuffer(piece, np.float64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array([t.tobytes() for t in totals.values()], pa.binary())], names=["chunk", "total"])
 
-    totals = pool.select("views").mapInArrow(add, "total binary").toArrow()["total"].to_pylist()
-    return sum((np.frombuffer(t, np.float64) for t in totals), np.float64(0))
+    dealt = pool.select("views").mapInArrow(add, "chunk int, part int, total binary").repartition(CHUNKS, "chunk").sortWithinPartitions("chunk", "part")
+    return dealt.select("chunk", "total").mapInArrow(merge, "chunk int, total binary")
+
+
+def _summed(pool: DataFrame, per_block: Callable[[tuple[np.ndarray, np.ndarray]], np.ndarray]) -> np.ndarray | float:
+    """Sum over the pool, added up in Spark: the driver gets one sum, however many tasks there are."""
+    pieces = dict(zip(*_partial_sums(pool, per_block).toArrow().to_pydict().values(), strict=True))
+    return np.concatenate([np.frombuffer(pieces[k], np.float64) for k in sorted(pieces)]) if pieces else np.float64(0)
 
 
 def _cut(counts: np.ndarray, most: int, edges: np.ndarray) -> float:

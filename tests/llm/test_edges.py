@@ -1,10 +1,12 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing names."""
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from arborlake.llm import quality
 from arborlake.llm.decontaminate import find_contamination
 from arborlake.llm.exact_dedup import exact_duplicates
 from arborlake.llm.line_dedup import remove_repeated_lines
@@ -55,6 +57,18 @@ def test_quality(spark, docs):
     assert score_quality(docs, model).where("keep").count() == docs.count()
 
 
+def test_quality_sums_do_not_grow_with_tasks(spark):
+    """The driver gets as many bytes from 300 tasks as from 3, and the same sum."""
+    rows = np.random.default_rng(2).normal(size=(900, quality.CONTENT + quality.META)).astype(np.float32)
+    pool = spark.createDataFrame([(r.tobytes(),) for r in rows], "views binary")
+    per_block = lambda block: np.concatenate([v.sum(0, dtype=np.float64) for v in block])
+    for n in (3, 300):
+        parts = quality._partial_sums(pool.repartition(n), per_block).collect()
+        assert len(parts) == quality.CHUNKS and sum(len(p.total) for p in parts) == 8 * rows.shape[1]
+        assert np.allclose(quality._summed(pool.repartition(n), per_block), rows.sum(0, dtype=np.float64))
+    assert np.ndim(quality._summed(pool.limit(0), per_block)) == 0
+
+
 def test_quality_pool_is_every_document_outside_the_sample(spark):
     """More documents than any fixed slice, all of them labelled."""
     ids = spark.range(10_400).withColumnRenamed("id", "doc_id")
