@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..kernels import near
-from ..plans.lineage import checkpoint
+from ..plans.lineage import checkpoint, forget, stored
 from .neighbours import nearest_k
 from .tiles import coordinates, cut_tiles, dealt
 
@@ -161,24 +161,34 @@ def _spread_inside(edges: pa.Table, state: pa.Table) -> pa.Table:
     return pa.table({c: pa.array(v, t) for c, v, t in zip(("part", "node", "dist", "label", "sent"), columns, kinds, strict=True)})
 
 
+#: Folders that edges are dealt to at most, and tables of settled nodes that are kept side by side.
+_FOLDERS, _TABLES = 4096, 4
+
+
 def geodesic_labels(edges: DataFrame, seeds: DataFrame, parts: DataFrame | None = None) -> DataFrame:
     """Label each node with the seed nearest along edges: ``node, label, dist``; ties by label.
 
     ``seeds`` has ``node, label``. ``parts`` deals the nodes (``node, part``), best by where they are: paths are
     followed to their ends inside a part in one task, and offers cross to other parts between rounds,
-    until none is better. Only parts with new offers work, and a round writes what it changed. Without
-    ``parts`` nodes are dealt by hash. A node never reached has no row.
+    until none is better. Only parts with new offers work: a round reads their edges alone, which lie in folders by part, and
+    writes what it changed. What is settled is merged to a row a node every few rounds, so that neither tables nor plans pile
+    up. Without ``parts`` nodes are dealt by hash. A node never reached has no row.
     """
     ends = edges.select(F.col("a").cast("long"), F.col("b").cast("long"), F.col("w").cast("double"))
     if parts is None:
         nodes = ends.select(F.col("a").alias("node")).unionByName(ends.select(F.col("b").alias("node"))).unionByName(seeds.select("node"))
         parts = nodes.distinct().withColumn("part", F.pmod(F.xxhash64("node"), F.lit(64)))
     parts = checkpoint(parts.select(F.col("node").cast("long"), F.col("part").cast("long")))
+    # edges lie in folders by their part, so that a round reads those of its own parts alone
+    n_folders = max(1, min(_FOLDERS, parts.select("part").distinct().count() // 4))
+    folder = F.pmod(F.xxhash64("part"), F.lit(n_folders)).cast("int")
     of_a, of_b = (parts.select(F.col("node").alias(n), F.col("part").alias(p)) for n, p in (("a", "part"), ("b", "to")))
-    held = checkpoint(ends.join(of_a, "a").join(of_b, "b").select("part", "a", "b", "w", "to"))
+    placed = ends.join(of_a, "a").join(of_b, "b").select("part", "a", "b", "w", "to", folder.alias("folder"))
+    held, _ = stored(placed.repartition("folder"), by="folder")
     first = seeds.groupBy("node").agg(F.min("label").cast("long").alias("label"))
-    inbox = checkpoint(first.join(parts, "node").select("part", F.col("node").cast("long").alias("node"), "label", F.lit(0.0).alias("dist")))
-    settled: list[DataFrame] = []
+    inbox, inbox_path = stored(first.join(parts, "node").select("part", F.col("node").cast("long").alias("node"), "label", F.lit(0.0).alias("dist")))
+    spark = edges.sparkSession
+    settled: list[tuple[DataFrame, str]] = []
 
     def best(rows: list[DataFrame], name: str) -> DataFrame:
         every = reduce(DataFrame.unionByName, rows)
@@ -186,18 +196,27 @@ def geodesic_labels(edges: DataFrame, seeds: DataFrame, parts: DataFrame | None
 
     while not inbox.isEmpty():
         active = inbox.select(F.col("part").alias("at")).distinct()
+        folders = [r[0] for r in inbox.select(folder).distinct().collect()]
         state = inbox.withColumn("fresh", F.lit(True))
         if settled:
-            before = best([s.join(active, F.col("part") == F.col("at"), "left_semi") for s in settled], "own")
+            before = best([s.join(active, F.col("part") == F.col("at"), "left_semi") for s, _ in settled], "own")
             state = state.unionByName(before.select("part", "node", "own.label", "own.dist", F.lit(False).alias("fresh")))
-        working = held.join(active, F.col("part") == F.col("at"), "left_semi").groupBy("part")
-        found = checkpoint(
+        working = held.where(F.col("folder").isin(folders)).drop("folder").join(active, F.col("part") == F.col("at"), "left_semi").groupBy("part")
+        found, found_path = stored(
             working.cogroup(state.groupBy("part")).applyInArrow(_spread_inside, "part long, node long, dist double, label long, sent boolean")
         )
-        settled.append(found.where("not sent").select("part", "node", "dist", "label"))
+        settled.append((found.where("not sent").select("part", "node", "dist", "label"), found_path))
         offers = found.where("sent").groupBy("part", "node").agg(F.min(F.struct("dist", "label")).alias("offer"))
-        better = offers.join(best(settled, "own"), ["part", "node"], "left").where("own is null or offer < own")
-        inbox = checkpoint(better.select("part", "node", "offer.label", "offer.dist"))
+        better = offers.join(best([s for s, _ in settled], "own"), ["part", "node"], "left").where("own is null or offer < own")
+        old = inbox_path
+        inbox, inbox_path = stored(better.select("part", "node", "offer.label", "offer.dist"))
+        forget(spark, old)
+        if len(settled) > _TABLES:
+            # one row for each settled node again
+            whole, path = stored(best([s for s, _ in settled], "own").select("part", "node", "own.dist", "own.label"))
+            for _, passed in settled:
+                forget(spark, passed)
+            settled = [(whole, path)]
     if not settled:
         return inbox.select("node", "label", "dist")
-    return best(settled, "own").select("node", "own.label", "own.dist")
+    return best([s for s, _ in settled], "own").select("node", "own.label", "own.dist")

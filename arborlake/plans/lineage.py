@@ -24,14 +24,14 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def stored(df: DataFrame) -> tuple[DataFrame, str]:
-    """A table written to the shared folder and read again, and its path, for ``forget``.
+def stored(df: DataFrame, by: str | None = None) -> tuple[DataFrame, str]:
+    """A table written to the shared folder and read again, and its path, for ``forget``; in folders by a column's values, if asked.
 
     A written table has the size of its files, where ``DataFrame.checkpoint`` keeps the estimate of the plan
     before it: these multiply in loops of joins until the planner is busy with them alone.
     """
     path = f"{shared_folder(df.sparkSession)}/{uuid4().hex}.parquet"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 

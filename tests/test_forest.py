@@ -80,6 +80,32 @@ def test_geodesic_beats_straight_lines(spark):
     assert got[9] == (1, 7.0) and got[7] == (0, 7.0) and got[8] == (0, 8.0) and got[10] == (1, 6.0)
 
 
+@pytest.mark.parametrize("n_parts", [1, 40])
+def test_geodesic_over_many_parts_and_rounds(spark, n_parts):
+    """A long grid dealt in strips, more rounds than tables are kept, against shortest paths from all seeds."""
+    rng = np.random.default_rng(6)
+    wide, high = 80, 4
+    index = np.arange(wide * high).reshape(wide, high)
+    pairs = np.concatenate([np.column_stack((index[:-1].ravel(), index[1:].ravel())), np.column_stack((index[:, :-1].ravel(), index[:, 1:].ravel()))])
+    pairs = pairs[rng.random(len(pairs)) < 0.9]
+    w = rng.integers(1, 9, len(pairs)).astype(float)
+    far = {int(index[0, 0]): (0.0, 3), int(index[79, 3]): (0.0, 1), int(index[30, 2]): (0.0, 2), 9999: (0.0, 7)}
+    best = dict(far)
+    while True:
+        offers = [(b, best[a][0] + x, best[a][1]) for (p, q), x in zip(pairs.tolist(), w, strict=True) for a, b in ((p, q), (q, p)) if a in best]
+        better = [(b, d, k) for b, d, k in offers if (d, k) < best.get(b, (np.inf, 0))]
+        if not better:
+            break
+        for b, d, k in better:
+            best[b] = min(best.get(b, (np.inf, 0)), (d, k))
+    rows = [(a, b, x) for (p, q), x in zip(pairs.tolist(), w.tolist(), strict=True) for a, b in ((p, q), (q, p))]
+    edges = spark.createDataFrame(rows, "a long, b long, w double")
+    seeds = spark.createDataFrame([(n, k) for n, (_, k) in far.items()], "node long, label long")
+    parts = spark.createDataFrame([(int(n), int(n) // high * n_parts // wide) for n in [*index.ravel(), 9999]], "node long, part long")
+    got = {r.node: (r.dist, r.label) for r in graph.geodesic_labels(edges, seeds, parts).collect()}
+    assert got == best
+
+
 def test_components_and_clusters(spark):
     nodes = frame(spark, ["node"], {"node": range(12)})
     edges = frame(spark, ["a", "b"], {"a": [0, 1, 5, 9, 9], "b": [1, 2, 4, 8, 9]})
