@@ -29,10 +29,10 @@ _CLOUD_STEPS = (
         "pid": "pid",
         "tree_id": "tree_id",
         "role": "role",
-        "xi": "case role when 'stem' then sx + cast(floor(r * cos(th) + 3e-1) as bigint) when 'ground' then sx + (pid * 31) % 4000 - 2000 "
-        "else sx + cast(floor(cast((pid * 31) % 1500 as double) * cos(th) + 3e-1) as bigint) end",
-        "yi": "case role when 'stem' then sy + cast(floor(r * sin(th) + 3e-1) as bigint) when 'ground' then sy + (pid * 57) % 4000 - 2000 "
-        "else sy + cast(floor(cast((pid * 31) % 1500 as double) * sin(th) + 3e-1) as bigint) end",
+        "xi": "case role when 'stem' then sx + cast(floor(r * cos(th) + 0.3e0) as bigint) when 'ground' then sx + (pid * 31) % 4000 - 2000 "
+        "else sx + cast(floor(cast((pid * 31) % 1500 as double) * cos(th) + 0.3e0) as bigint) end",
+        "yi": "case role when 'stem' then sy + cast(floor(r * sin(th) + 0.3e0) as bigint) when 'ground' then sy + (pid * 57) % 4000 - 2000 "
+        "else sy + cast(floor(cast((pid * 31) % 1500 as double) * sin(th) + 0.3e0) as bigint) end",
         "hi": "case role when 'stem' then 600 + (pid * 7919) % 2000 when 'ground' then 0 else 3000 + (pid * 97) % 6000 end",
     },
     {
@@ -75,7 +75,7 @@ _STEM_STEPS = (
         "n_stem_layers": "n_layers",
         "dbh_arc": "case when tree_id % 13 = 12 then null else cast((tree_id * 37) % 100 as double) / 1e2 end",
         "dbh_rmse_cm": "cast((tree_id * 29) % 40 as double) / 1e1",
-        "dbh_vs_stack": "4e-1 + cast((tree_id * 17) % 21 as double) / 1e1",
+        "dbh_vs_stack": "0.4e0 + cast((tree_id * 17) % 21 as double) / 1e1",
         "height_m": "case when tree_id % 13 = 5 then null else 1e0 + cast((tree_id * 53) % 250 as double) / 1e1 end",
         "crown_diameter_m": "case when tree_id % 13 = 7 then null else 1e0 + cast((tree_id * 7) % 60 as double) / 1e1 end",
         "crown_base_m": "case when tree_id % 13 = 3 then null else cast((tree_id * 5) % 8 as double) / 2e0 end",
@@ -103,9 +103,9 @@ def _sql(table: str, steps: tuple[dict[str, str], ...]) -> str:
 CLOUD_SQL = _sql("lineitem", _CLOUD_STEPS)
 STEMS_SQL = _sql("supplier", _STEM_STEPS)
 #: A survey of the same trees: moved up to 1.2 m, every seventh missing, every eleventh twice.
-SURVEY_SQL = f"""(select tree_id as id, x + (tree_id % 5) * 3e-1 as x, y, dbh_cm + (tree_id % 3) * 5e-1 as dbh_cm, height_m from {STEMS_SQL}
+SURVEY_SQL = f"""(select tree_id as id, x + (tree_id % 5) * 0.3e0 as x, y, dbh_cm + (tree_id % 3) * 0.5e0 as dbh_cm, height_m from {STEMS_SQL}
  where tree_id % 7 <> 0 union all
- select tree_id + 1000000 as id, x + (tree_id % 5) * 3e-1 as x, y + 1e0 as y, dbh_cm, height_m from {STEMS_SQL} where tree_id % 7 <> 0 and tree_id % 11 = 0)"""
+ select tree_id + 1000000 as id, x + (tree_id % 5) * 0.3e0 as x, y + 1e0 as y, dbh_cm, height_m from {STEMS_SQL} where tree_id % 7 <> 0 and tree_id % 11 = 0)"""
 FOUND_SQL = f"(select tree_id as id, x, y, dbh_cm, height_m from {STEMS_SQL})"
 
 
@@ -122,8 +122,8 @@ def stems(spark: SparkSession, sf_dir: str) -> DataFrame:
 def found_and_surveyed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     trees = stems(spark, sf_dir)
     found = trees.selectExpr("tree_id as id", "x", "y", "dbh_cm", "height_m")
-    moved = trees.where("tree_id % 7 <> 0").selectExpr("tree_id as id", "x + (tree_id % 5) * 3e-1 as x", "y", "dbh_cm + (tree_id % 3) * 5e-1 as dbh_cm", "height_m")
+    moved = trees.where("tree_id % 7 <> 0").selectExpr("tree_id as id", "x + (tree_id % 5) * 0.3e0 as x", "y", "dbh_cm + (tree_id % 3) * 0.5e0 as dbh_cm", "height_m")
     twice = trees.where("tree_id % 7 <> 0 and tree_id % 11 = 0").selectExpr(
-        "tree_id + 1000000 as id", "x + (tree_id % 5) * 3e-1 as x", "y + 1e0 as y", "dbh_cm", "height_m"
+        "tree_id + 1000000 as id", "x + (tree_id % 5) * 0.3e0 as x", "y + 1e0 as y", "dbh_cm", "height_m"
     )
     return found, moved.unionByName(twice)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,9 @@ from pyspark.sql import functions as F
 
 from ..config import SurveyConfig
 from ..operators import descriptors, grid, growth, stand, stems, terrain, trees
+from ..sources.tables import file_identity
 from .lineage import checkpoint
+from .status import RunStatus
 
 
 @dataclass
@@ -36,21 +39,36 @@ def cached_terrain(spark: SparkSession, cloud: DataFrame, cfg: SurveyConfig, fol
     return spark.read.parquet(path)
 
 
-def run(spark: SparkSession, cloud: DataFrame, cfg: SurveyConfig | None = None, cache: str | None = None, identity: str = "", groups: int = 4, force: bool = False) -> Inventory:
-    """Inventory of a cloud (``pid, x, y, z``). Raises ``ValueError`` when no stem is found."""
+def run(
+    spark: SparkSession,
+    cloud: DataFrame,
+    cfg: SurveyConfig | None = None,
+    cache: str | None = None,
+    identity: str = "",
+    groups: int = 4,
+    force: bool = False,
+    step: Callable[[float, str], None] = lambda progress, message: None,
+) -> Inventory:
+    """Inventory of a cloud (``pid, x, y, z``). Raises ``ValueError`` when no stem is found. ``step`` is told how far the run is."""
     cfg = cfg or SurveyConfig()
+    step(0.02, "noise filter")
     points = checkpoint(grid.remove_isolated(cloud.select("pid", "x", "y", "z"), cfg.noise_voxel, cfg.noise_min_pts))
+    step(0.10, "terrain")
     ground = cached_terrain(spark, points, cfg, cache, identity, force)
     high = checkpoint(terrain.with_heights(points, ground, cfg))
+    step(0.35, "stems")
     seeds, _, _, members = stems.detect_stems(high.where("h is not null"), cfg)
     if seeds.isEmpty():
         raise ValueError("no stems found: check stem heights, diameters and point density")
+    step(0.50, "trees")
     own = members.groupBy("pid").agg(F.min("tree_id").alias("tree_id"))
     labelled = checkpoint(growth.segment_trees(high, high.join(own, "pid"), cfg))
+    step(0.70, "measures")
     table = trees.measure_trees(labelled.where("tree_id is not null"), seeds, cfg)
     scanner = grid.densest_cell(points).select(F.col("x").alias("__sx"), F.col("y").alias("__sy"))
     far = F.hypot(F.col("x") - F.col("__sx"), F.col("y") - F.col("__sy"))
     table = checkpoint(table.join(F.broadcast(scanner)).withColumn("dist_from_scan_centre_m", far).drop("__sx", "__sy"))
+    step(0.85, "descriptors and groups")
     features = checkpoint(descriptors.feature_table(labelled.where("tree_id is not null"), table))
     table = checkpoint(table.join(stand.structural_groups(features, table, groups), "tree_id", "left"))
     area = terrain.terrain_stats(ground, cfg.dtm_res).first()["valid_area_ha"]
@@ -83,8 +101,12 @@ def main(argv: list[str] | None = None) -> None:
     spark = SparkSession.builder.appName("arborlake").getOrCreate()
     register(spark)
     cloud = spark.read.format("las").option("path", args.las).load()
-    found = run(spark, cloud, SurveyConfig(las_path=args.las, out_dir=args.out), args.cache, args.las, args.groups, args.force)
-    write_outputs(found, args.out)
+    cfg = SurveyConfig(las_path=args.las, out_dir=args.out)
+    with RunStatus(spark, f"{args.out}/status") as status:
+        found = run(spark, cloud, cfg, args.cache, file_identity(spark, args.las), args.groups, args.force, status.step)
+        status.step(0.95, "outputs")
+        write_outputs(found, args.out)
+        status.done(f"{found.trees.count()} trees")
     found.summary.show(vertical=True)
 
 

@@ -38,6 +38,8 @@ def _r(names: str, digits: int = 6) -> str:
     return ", ".join(f"round({n}, {digits}) AS {n}" for n in names.split())
 
 
+# Thresholds in the SQL below that are settings of the published method stand as such in config.py. Numbers have
+# an exponent, without which DuckDB reads a decimal instead of a double.
 C, S = f"WITH c AS {fx.CLOUD_SQL}", f"WITH s AS {fx.STEMS_SQL}"
 VOX = "floor((x - x0) / {v}) AS vx, floor((y - y0) / {v}) AS vy, floor((z - z0) / {v}) AS vz"
 KEYED = C + ", o AS (SELECT min(x) AS x0, min(y) AS y0, min(z) AS z0 FROM c), k AS (SELECT c.*, " + VOX + " FROM c, o)"
@@ -54,32 +56,32 @@ def cloud_bounds_summary(spark, sf):
     return rounded(grid.bounds(fx.cloud(spark, sf)), keep=("x_min", "x_max", "y_min", "y_max", "z_min", "z_max"))
 
 
-@query(KEYED.format(v="5e-1") + " SELECT cast(vx AS BIGINT) AS vx, cast(vy AS BIGINT) AS vy, cast(vz AS BIGINT) AS vz, count(*) AS n FROM k GROUP BY ALL")
+@query(KEYED.format(v="0.5e0") + " SELECT cast(vx AS BIGINT) AS vx, cast(vy AS BIGINT) AS vy, cast(vz AS BIGINT) AS vz, count(*) AS n FROM k GROUP BY ALL")
 def voxel_counts(spark, sf):
     return grid.voxel_counts(fx.cloud(spark, sf), 0.5)
 
 
-@query(KEYED.format(v="5e-1") + " SELECT pid, x, y, z FROM (SELECT *, count(*) OVER (PARTITION BY vx, vy, vz) AS n FROM k) WHERE n >= 4")
+@query(KEYED.format(v="0.5e0") + " SELECT pid, x, y, z FROM (SELECT *, count(*) OVER (PARTITION BY vx, vy, vz) AS n FROM k) WHERE n >= 4")
 def noise_filter(spark, sf):
     return grid.remove_isolated(fx.cloud(spark, sf).select("pid", "x", "y", "z"))
 
 
-@query(KEYED.format(v="15e-2") + " SELECT min(pid) AS pid, arg_min(x, pid) AS x, arg_min(y, pid) AS y, arg_min(z, pid) AS z FROM k GROUP BY vx, vy, vz")
+@query(KEYED.format(v="0.15e0") + " SELECT min(pid) AS pid, arg_min(x, pid) AS x, arg_min(y, pid) AS y, arg_min(z, pid) AS z FROM k GROUP BY vx, vy, vz")
 def voxel_thin_first(spark, sf):
     return grid.thin(fx.cloud(spark, sf).select("pid", "x", "y", "z"), 0.15)
 
 
-@query(CELLS.format(v="5e-1") + " SELECT ix, iy, max(-z) AS v FROM k GROUP BY ALL")
+@query(CELLS.format(v="0.5e0") + " SELECT ix, iy, max(-z) AS v FROM k GROUP BY ALL")
 def cell_lowest_surface(spark, sf):
     return grid.cell_surface(fx.cloud(spark, sf).withColumn("z", -F.col("z")), 0.5, "max")
 
 
-@query(CELLS.format(v="25e-2") + " SELECT ix, iy, list_sort(list(z))[cast(floor(count(*) / 2) AS BIGINT) + 1] AS v FROM k GROUP BY ALL")
+@query(CELLS.format(v="0.25e0") + " SELECT ix, iy, list_sort(list(z))[cast(floor(count(*) / 2) AS BIGINT) + 1] AS v FROM k GROUP BY ALL")
 def cell_upper_median(spark, sf):
     return grid.cell_surface(fx.cloud(spark, sf), 0.25, "median")
 
 
-@query(CELLS.format(v="2e0") + " SELECT x0 + (ix + 5e-1) * 2 AS x, y0 + (iy + 5e-1) * 2 AS y, n FROM (SELECT ix, iy, count(*) AS n FROM k GROUP BY ALL ORDER BY n DESC, ix, iy LIMIT 1), o")
+@query(CELLS.format(v="2e0") + " SELECT x0 + (ix + 0.5e0) * 2 AS x, y0 + (iy + 0.5e0) * 2 AS y, n FROM (SELECT ix, iy, count(*) AS n FROM k GROUP BY ALL ORDER BY n DESC, ix, iy LIMIT 1), o")
 def scanner_cell(spark, sf):
     return grid.densest_cell(fx.cloud(spark, sf))
 
@@ -156,7 +158,7 @@ def raster_components(spark, sf):
     return named.withColumn("part", F.floor(F.col("part") / (1 << 31)) * 1000000 + F.pmod("part", F.lit(1 << 31)))
 
 
-LAYERS = C + """, l AS (SELECT c.*, cast(i AS INT) AS layer FROM c, range(0, 10) AS t(i) WHERE role = 'stem' AND h >= 6e-1 + i * 2e-1 AND h < 6e-1 + i * 2e-1 + 2e-1)"""
+LAYERS = C + """, l AS (SELECT c.*, cast(i AS INT) AS layer FROM c, range(0, 10) AS t(i) WHERE role = 'stem' AND h >= 0.6e0 + i * 0.2e0 AND h < 0.6e0 + i * 0.2e0 + 0.2e0)"""
 
 
 @query(LAYERS + " SELECT pid, layer FROM (SELECT pid, layer, count(*) OVER (PARTITION BY layer) AS n FROM l) WHERE n >= 12")
@@ -179,7 +181,7 @@ KASA = """, o AS (SELECT {k}, avg(x) AS mx, avg(y) AS my FROM {t} GROUP BY {k}),
  ab AS (SELECT *, (uq * vv - vq * uv) / 2 / nullif(uu * vv - uv * uv, 0) AS a, (vq * uu - uq * uv) / 2 / nullif(uu * vv - uv * uv, 0) AS b FROM z),
  circle AS (SELECT {k}, mx + a AS cx, my + b AS cy, sqrt(a * a + b * b + q / n) AS r, n FROM ab)"""
 CIRCLES = LAYERS + ", f AS (SELECT * FROM l QUALIFY count(*) OVER (PARTITION BY tree_id, layer) >= 4)" + KASA.format(k="tree_id, layer", t="f") + (
-    ", g AS (SELECT tree_id * 100 + layer AS circle_id, cast(layer AS INT) AS layer, cx, cy, r, n FROM circle WHERE r BETWEEN 2e-2 AND 75e-2)"
+    ", g AS (SELECT tree_id * 100 + layer AS circle_id, cast(layer AS INT) AS layer, cx, cy, r, n FROM circle WHERE r BETWEEN 0.02e0 AND 0.75e0)"
 )
 
 
@@ -196,7 +198,7 @@ def kasa_circle_per_tree_layer(spark, sf):
     return rounded(_circles(spark, sf))
 
 
-@query(f"""{C} SELECT tree_id, round(count(DISTINCT cast(floor((atan2(yi - cast(floor(tree_id / 1e1) AS BIGINT) * 4000 + 1e-1, xi - (tree_id % 10) * 4000 + 3e-1) + pi()) / (2 * pi()) * 36) AS BIGINT) % 36) / 36e0, 6) AS arc
+@query(f"""{C} SELECT tree_id, round(count(DISTINCT cast(floor((atan2(yi - cast(floor(tree_id / 1e1) AS BIGINT) * 4000 + 0.1e0, xi - (tree_id % 10) * 4000 + 0.3e0) + pi()) / (2 * pi()) * 36) AS BIGINT) % 36) / 36e0, 6) AS arc
  FROM c WHERE role = 'stem' GROUP BY tree_id""")
 def arc_coverage(spark, sf):
     """Directions in millimetres from an off-centre origin, away from the edges of bins."""
@@ -206,14 +208,14 @@ def arc_coverage(spark, sf):
 
 
 LINKS = """, links AS (SELECT a.circle_id AS a, b.circle_id AS b FROM g a JOIN g b ON b.layer = a.layer + 1
- AND (a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy) <= (12e-2 + 35e-2 * a.r) * (12e-2 + 35e-2 * a.r) AND a.r / b.r BETWEEN 1 / 18e-1 AND 18e-1)"""
+ AND (a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy) <= (0.12e0 + 0.35e0 * a.r) * (0.12e0 + 0.35e0 * a.r) AND a.r / b.r BETWEEN 1 / 1.8e0 AND 1.8e0)"""
 STACKS = LINKS + """, pairs2 AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
  stacks AS (WITH RECURSIVE r(a, b) AS (SELECT circle_id, circle_id FROM g UNION SELECT r.a, pairs2.b FROM r JOIN pairs2 ON r.b = pairs2.a) SELECT a AS node, min(b) AS root FROM r GROUP BY a)"""
-RMSE = ", gr AS (SELECT *, round(abs(r - 4e-2), 6) AS rmse, cast(n AS DOUBLE) AS arc, 6e-1 + layer * 2e-1 + 1e-1 AS h FROM g)"
+RMSE = ", gr AS (SELECT *, round(abs(r - 0.04e0), 6) AS rmse, cast(n AS DOUBLE) AS arc, 0.6e0 + layer * 0.2e0 + 0.1e0 AS h FROM g)"
 CHAIN = STACKS + RMSE + """, chain AS (SELECT root AS stack, layer, circle_id, cx, cy, r, rmse, arc, h FROM gr JOIN stacks ON node = circle_id
  QUALIFY row_number() OVER (PARTITION BY root, layer ORDER BY rmse, circle_id) = 1)"""
 INTERP = """, seg AS (SELECT *, lead(h) OVER w AS h2, {leads}, row_number() OVER w = 1 AS first FROM chain WINDOW w AS (PARTITION BY stack ORDER BY h)),
- here AS (SELECT *, CASE WHEN h >= 13e-1 OR h2 IS NULL THEN 0 ELSE (13e-1 - h) / (h2 - h) END AS s FROM seg WHERE (first AND h >= 13e-1) OR (h <= 13e-1 AND coalesce(h2, 1e9) > 13e-1)),
+ here AS (SELECT *, CASE WHEN h >= 1.3e0 OR h2 IS NULL THEN 0 ELSE (1.3e0 - h) / (h2 - h) END AS s FROM seg WHERE (first AND h >= 1.3e0) OR (h <= 1.3e0 AND coalesce(h2, 1e9) > 1.3e0)),
  i AS (SELECT stack, {values} FROM here)""".format(
     leads=", ".join(f"lead({c}) OVER w AS {c}2" for c in ("r", "cx", "cy")), values=", ".join(f"{c} + s * coalesce({c}2 - {c}, 0) AS {c}" for c in ("r", "cx", "cy"))
 )
@@ -259,17 +261,17 @@ def chain_interpolate_130(spark, sf):
     + CHAIN
     + INTERP
     + """, st AS (SELECT stack, count(*) AS n, covar_pop(cx, cx) + covar_pop(cy, cy) AS side, covar_pop(h, h) AS up FROM chain GROUP BY stack)
- SELECT reason, count(*) AS n FROM (SELECT CASE WHEN n < 4 THEN 'short' WHEN up < side THEN 'tilted' WHEN 2 * r NOT BETWEEN 4e-2 AND 15e-1 THEN 'size' ELSE 'ok' END AS reason FROM st JOIN i USING (stack)) GROUP BY reason"""
+ SELECT reason, count(*) AS n FROM (SELECT CASE WHEN n < 4 THEN 'short' WHEN up < side THEN 'tilted' WHEN 2 * r NOT BETWEEN 0.04e0 AND 1.5e0 THEN 'size' ELSE 'ok' END AS reason FROM st JOIN i USING (stack)) GROUP BY reason"""
 )
 def stack_acceptance_reasons(spark, sf):
     return stems.stack_table(_chain(spark, sf), CFG).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-NEAR = S + ", p AS (SELECT tree_id, x + (tree_id % 3) * 13e-1 AS x, y + (tree_id % 2) * 17e-1 AS y, n_layers FROM s), pairs AS (SELECT a.tree_id AS a, b.tree_id AS b, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS dist FROM p a JOIN p b ON a.tree_id < b.tree_id)"
+NEAR = S + ", p AS (SELECT tree_id, x + (tree_id % 3) * 1.3e0 AS x, y + (tree_id % 2) * 1.7e0 AS y, n_layers FROM s), pairs AS (SELECT a.tree_id AS a, b.tree_id AS b, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS dist FROM p a JOIN p b ON a.tree_id < b.tree_id)"
 
 
 def _moved_stems(spark, sf) -> DataFrame:
-    return fx.stems(spark, sf).selectExpr("tree_id", "x + (tree_id % 3) * 13e-1 as x", "y + (tree_id % 2) * 17e-1 as y", "n_layers")
+    return fx.stems(spark, sf).selectExpr("tree_id", "x + (tree_id % 3) * 1.3e0 as x", "y + (tree_id % 2) * 1.7e0 as y", "n_layers")
 
 
 @query(NEAR + " SELECT a, b, round(dist, 6) AS dist FROM pairs WHERE dist <= 3.2")
@@ -305,9 +307,9 @@ def _vegetation(spark, sf) -> DataFrame:
 @query(
     PLANTS
     + """, d2 AS (SELECT dx, dy FROM (VALUES (-1), (0), (1)) AS a(dx), (VALUES (-1), (0), (1)) AS b(dy)),
- l AS (SELECT band, pid, x, y, floor(x / 2e-2) + dx AS bx, floor(y / 2e-2) + dy AS b_y FROM p, d2),
- r AS (SELECT band, pid, x, y, floor(x / 2e-2) AS bx, floor(y / 2e-2) AS b_y FROM p),
- near AS (SELECT a.band, a.pid AS a, b.pid AS b FROM l AS a JOIN r AS b ON a.band = b.band AND a.bx = b.bx AND a.b_y = b.b_y WHERE sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 2e-2),
+ l AS (SELECT band, pid, x, y, floor(x / 0.02e0) + dx AS bx, floor(y / 0.02e0) + dy AS b_y FROM p, d2),
+ r AS (SELECT band, pid, x, y, floor(x / 0.02e0) AS bx, floor(y / 0.02e0) AS b_y FROM p),
+ near AS (SELECT a.band, a.pid AS a, b.pid AS b FROM l AS a JOIN r AS b ON a.band = b.band AND a.bx = b.bx AND a.b_y = b.b_y WHERE sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 0.02e0),
  core AS (SELECT band, a FROM near GROUP BY ALL HAVING count(*) >= 12),
  e AS (SELECT a, b FROM near WHERE a IN (SELECT a FROM core) AND b IN (SELECT a FROM core)),
  g AS (WITH RECURSIVE q(a, root) USING KEY (a) AS (SELECT a, a FROM core UNION
@@ -319,7 +321,7 @@ def dbscan_layer(spark, sf):
     return graph.density_clusters(_vegetation(spark, sf), 0.02, 12, keys=["band"])
 
 
-KNN = PLANTS + PAIRS.format(name="near", left="p", right="p", left_columns="pid", right_columns="pid", out="a.pid AS src, b.pid AS dst", r="4e-1") + """,
+KNN = PLANTS + PAIRS.format(name="near", left="p", right="p", left_columns="pid", right_columns="pid", out="a.pid AS src, b.pid AS dst", r="0.4e0") + """,
  knn AS (SELECT * FROM near WHERE src <> dst QUALIFY row_number() OVER (PARTITION BY src ORDER BY dist, dst) <= 10)"""
 
 
@@ -328,7 +330,7 @@ def knn_edges(spark, sf):
     return rounded(neighbours.nearest_k(_vegetation(spark, sf), 10, 0.4, "pid"))
 
 
-EDGES = KNN + """, d AS (SELECT src AS a, dst AS b, sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) + ((p.z - q.z) * 35e-2) * ((p.z - q.z) * 35e-2)) AS w
+EDGES = KNN + """, d AS (SELECT src AS a, dst AS b, sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) + ((p.z - q.z) * 0.35e0) * ((p.z - q.z) * 0.35e0)) AS w
  FROM knn JOIN p ON p.pid = src JOIN p AS q ON q.pid = dst), e AS (SELECT a, b, max(w) AS w FROM (SELECT a, b, w FROM d UNION ALL SELECT b, a, w FROM d) GROUP BY ALL)"""
 
 
@@ -337,10 +339,10 @@ def weighted_symmetric_edges(spark, sf):
     return rounded(graph.growth_graph(_vegetation(spark, sf), 10, 0.4, 0.35))
 
 
-SEEDS = PLANTS + """, v AS (SELECT *, floor(x / 15e-2) AS vx, floor(y / 15e-2) AS vy, floor(z / 15e-2) AS vz FROM p),
+SEEDS = PLANTS + """, v AS (SELECT *, floor(x / 0.15e0) AS vx, floor(y / 0.15e0) AS vy, floor(z / 0.15e0) AS vz FROM p),
  nodes AS (SELECT min(pid) AS nid, arg_min(x, pid) AS x, arg_min(y, pid) AS y, arg_min(z, pid) AS z FROM v GROUP BY vx, vy, vz),
- sp AS (SELECT pid, tree_id, x, y, z FROM p WHERE h < 14e-1)""" + PAIRS.format(
-    name="near", left="sp", right="nodes", left_columns="pid, tree_id", right_columns="nid", out="pid, tree_id, nid", r="26e-2"
+ sp AS (SELECT pid, tree_id, x, y, z FROM p WHERE h < 1.4e0)""" + PAIRS.format(
+    name="near", left="sp", right="nodes", left_columns="pid, tree_id", right_columns="nid", out="pid, tree_id, nid", r="0.26e0"
 ) + """, one AS (SELECT tree_id, nid FROM near QUALIFY row_number() OVER (PARTITION BY pid ORDER BY dist, nid) = 1)"""
 
 
@@ -357,8 +359,8 @@ def seed_nodes(spark, sf):
 
 @query(
     PLANTS
-    + ", lab AS (SELECT pid AS nid, tree_id, x, y, z FROM p WHERE h BETWEEN 1e0 AND 12e-1)"
-    + PAIRS.format(name="near", left="p", right="lab", left_columns="pid", right_columns="nid, tree_id", out="pid, nid, tree_id", r="45e-2")
+    + ", lab AS (SELECT pid AS nid, tree_id, x, y, z FROM p WHERE h BETWEEN 1e0 AND 1.2e0)"
+    + PAIRS.format(name="near", left="p", right="lab", left_columns="pid", right_columns="nid, tree_id", out="pid, nid, tree_id", r="0.45e0")
     + """, one AS (SELECT pid, nid, tree_id FROM near QUALIFY row_number() OVER (PARTITION BY pid ORDER BY dist, nid) = 1)
  SELECT p.pid, one.nid, one.tree_id FROM p LEFT JOIN one USING (pid)"""
 )
@@ -399,16 +401,16 @@ def geodesic_labels(spark, sf):
 # trees --------------------------------------------------------------------------------------------
 
 
-@query(f"""{C} SELECT tree_id, count(*) AS n_points, CASE WHEN count(*) >= 20 THEN round(quantile_cont(h, 995e-3), 6) END AS height_m,
+@query(f"""{C} SELECT tree_id, count(*) AS n_points, CASE WHEN count(*) >= 20 THEN round(quantile_cont(h, 0.995e0), 6) END AS height_m,
  CASE WHEN count(*) >= 20 THEN max(h) END AS height_max_m FROM c WHERE role <> 'ground' GROUP BY tree_id""")
 def tree_height_percentile(spark, sf):
     return rounded(trees.heights(fx.cloud(spark, sf).where("role <> 'ground'")), keep=("height_max_m",))
 
 
 @query(
-    KEYED.format(v="5e-1")
+    KEYED.format(v="0.5e0")
     + """, f AS (SELECT * FROM k QUALIFY count(*) OVER (PARTITION BY vx, vy, vz) >= 4)
- SELECT tree_id, count(*) AS n_points, CASE WHEN count(*) >= 20 THEN round(quantile_cont(h, 995e-3), 6) END AS height_m, CASE WHEN count(*) >= 20 THEN max(h) END AS height_max_m FROM f GROUP BY tree_id"""
+ SELECT tree_id, count(*) AS n_points, CASE WHEN count(*) >= 20 THEN round(quantile_cont(h, 0.995e0), 6) END AS height_m, CASE WHEN count(*) >= 20 THEN max(h) END AS height_max_m FROM f GROUP BY tree_id"""
 )
 def filtered_tree_heights(spark, sf):
     """The flagship: after isolated returns are dropped, how many points and what height has each tree?"""
@@ -423,14 +425,14 @@ def tree_counts_by_label(spark, sf):
 
 def _axes(spark, sf) -> DataFrame:
     """Trees with a fixed axis, three in five by four in five upward."""
-    return fx.stems(spark, sf).selectExpr("tree_id", "x as mid_x", "y as mid_y", "2e0 as mid_z", "6e-1 as axis_x", "0e0 as axis_y", "8e-1 as axis_z", "dbh_cm / 1e2 as stack_diameter")
+    return fx.stems(spark, sf).selectExpr("tree_id", "x as mid_x", "y as mid_y", "2e0 as mid_z", "0.6e0 as axis_x", "0e0 as axis_y", "0.8e0 as axis_z", "dbh_cm / 1e2 as stack_diameter")
 
 
 @query(
     C
-    + f""", s AS {fx.STEMS_SQL}, n AS (SELECT c.pid, c.tree_id, pos, c.x - s.x AS dx, c.y - s.y AS dy, c.z - 2e0 AS dz, greatest(25e-2, 25e-1 * dbh_cm / 1e2) AS lim
- FROM c JOIN s USING (tree_id), (VALUES (0, 13e-1), (1, 15e-1), (2, 1e0), (3, 17e-1)) AS hs(pos, hz) WHERE c.role = 'stem' AND abs(c.h - hz) <= 6e-2 + 1e-9),
- uv AS (SELECT pid, tree_id, pos, -dy AS u, 8e-1 * dx - 6e-1 * dz AS v, lim FROM n)
+    + f""", s AS {fx.STEMS_SQL}, n AS (SELECT c.pid, c.tree_id, pos, c.x - s.x AS dx, c.y - s.y AS dy, c.z - 2e0 AS dz, greatest(0.25e0, 2.5e0 * dbh_cm / 1e2) AS lim
+ FROM c JOIN s USING (tree_id), (VALUES (0, 1.3e0), (1, 1.5e0), (2, 1e0), (3, 1.7e0)) AS hs(pos, hz) WHERE c.role = 'stem' AND abs(c.h - hz) <= 0.06e0 + 1e-9),
+ uv AS (SELECT pid, tree_id, pos, -dy AS u, 0.8e0 * dx - 0.6e0 * dz AS v, lim FROM n)
  SELECT pid, tree_id, pos, round(u, 6) AS u, round(v, 6) AS v FROM uv WHERE sqrt(u * u + v * v) < lim * 8"""
 )
 def slice_plane_projection(spark, sf):
@@ -439,10 +441,10 @@ def slice_plane_projection(spark, sf):
     return rounded(rows.where(near).select("pid", "tree_id", "pos", "u", "v"))
 
 
-CROWN = C + f""", s AS {fx.STEMS_SQL}, q AS (SELECT c.*, sqrt((c.x - s.x) * (c.x - s.x) + (c.y - s.y) * (c.y - s.y)) AS rad, greatest(75e-2, 4 * dbh_cm / 100) AS out FROM c JOIN s USING (tree_id) WHERE role <> 'ground'),
- b AS (SELECT tree_id, floor((h - 1) / 5e-1) AS part, count(*) AS n, quantile_cont(rad, 9e-1) AS p90, any_value(out) AS out FROM q WHERE h >= 1 GROUP BY ALL),
- base AS (SELECT tree_id, 1 + 5e-1 * min(part) AS crown_base_m FROM b JOIN (SELECT tree_id, max(h) AS top FROM q GROUP BY ALL) USING (tree_id) WHERE n >= 20 AND p90 > out AND 1 + 5e-1 * part < top GROUP BY tree_id),
- w AS (SELECT tree_id, CASE WHEN count(*) >= 30 THEN 2 * quantile_cont(rad, 95e-2) END AS crown_diameter_m FROM q LEFT JOIN base USING (tree_id) WHERE base.crown_base_m IS NULL OR h >= base.crown_base_m GROUP BY tree_id)"""
+CROWN = C + f""", s AS {fx.STEMS_SQL}, q AS (SELECT c.*, sqrt((c.x - s.x) * (c.x - s.x) + (c.y - s.y) * (c.y - s.y)) AS rad, greatest(0.75e0, 4 * dbh_cm / 100) AS out FROM c JOIN s USING (tree_id) WHERE role <> 'ground'),
+ b AS (SELECT tree_id, floor((h - 1) / 0.5e0) AS part, count(*) AS n, quantile_cont(rad, 0.9e0) AS p90, any_value(out) AS out FROM q WHERE h >= 1 GROUP BY ALL),
+ base AS (SELECT tree_id, 1 + 0.5e0 * min(part) AS crown_base_m FROM b JOIN (SELECT tree_id, max(h) AS top FROM q GROUP BY ALL) USING (tree_id) WHERE n >= 20 AND p90 > out AND 1 + 0.5e0 * part < top GROUP BY tree_id),
+ w AS (SELECT tree_id, CASE WHEN count(*) >= 30 THEN 2 * quantile_cont(rad, 0.95e0) END AS crown_diameter_m FROM q LEFT JOIN base USING (tree_id) WHERE base.crown_base_m IS NULL OR h >= base.crown_base_m GROUP BY tree_id)"""
 
 
 @query(CROWN + f" SELECT s.tree_id, base.crown_base_m, round(w.crown_diameter_m, 6) AS crown_diameter_m FROM s LEFT JOIN base USING (tree_id) LEFT JOIN w USING (tree_id)")
@@ -476,8 +478,8 @@ def crown_hull_volume(spark, sf):
     return trees.crown_hulls(points, base)
 
 
-QUALITY = """CASE WHEN dbh_source = 'axis_fit' AND height_m >= 2 AND dbh_arc >= 6e-1 AND dbh_rmse_cm <= 2 AND n_stem_layers >= 6 AND dbh_vs_stack BETWEEN 1 / 16e-1 AND 16e-1 THEN 'good'
- WHEN dbh_source = 'axis_fit' AND height_m >= 2 AND dbh_arc >= 35e-2 AND dbh_rmse_cm <= 3 AND dbh_vs_stack BETWEEN 1 / 22e-1 AND 22e-1 THEN 'fair' ELSE 'poor' END"""
+QUALITY = """CASE WHEN dbh_source = 'axis_fit' AND height_m >= 2 AND dbh_arc >= 0.6e0 AND dbh_rmse_cm <= 2 AND n_stem_layers >= 6 AND dbh_vs_stack BETWEEN 1 / 1.6e0 AND 1.6e0 THEN 'good'
+ WHEN dbh_source = 'axis_fit' AND height_m >= 2 AND dbh_arc >= 0.35e0 AND dbh_rmse_cm <= 3 AND dbh_vs_stack BETWEEN 1 / 2.2e0 AND 2.2e0 THEN 'fair' ELSE 'poor' END"""
 FULL = S + f""", t AS (SELECT *, {QUALITY} AS quality, pi() * (dbh_cm / 200) * (dbh_cm / 200) AS basal_area_m2, height_m / (dbh_cm / 100) AS h_d_ratio,
  sqrt((x - 10) * (x - 10) + (y - 10) * (y - 10)) AS dist_from_scan_centre_m FROM s)"""
 
@@ -492,7 +494,7 @@ def quality_flags(spark, sf):
     return _measured(spark, sf).select("tree_id", "quality")
 
 
-@query(FULL + f" SELECT tree_id, {_r('basal_area_m2 h_d_ratio dist_from_scan_centre_m')}, round(degrees(acos(least(1, abs(8e-1)))), 6) AS stem_lean_deg FROM t")
+@query(FULL + f" SELECT tree_id, {_r('basal_area_m2 h_d_ratio dist_from_scan_centre_m')}, round(degrees(acos(least(1, abs(0.8e0)))), 6) AS stem_lean_deg FROM t")
 def derived_tree_columns(spark, sf):
     lean = lean_degrees(F.lit(0.8)).alias("stem_lean_deg")
     return rounded(_measured(spark, sf).select("tree_id", "basal_area_m2", "h_d_ratio", "dist_from_scan_centre_m", lean))
@@ -502,7 +504,7 @@ def derived_tree_columns(spark, sf):
 def ransac_dbh(spark, sf):
     points = fx.cloud(spark, sf).where("role = 'stem'").select("tree_id", "pid", "x", "y", "z", "h")
     seeds = fx.stems(spark, sf).selectExpr(
-        "tree_id", "dbh_cm / 1e2 as stack_diameter", "1e-2 as stack_rmse", "1e0 as stack_arc", "0e0 as axis_x", "0e0 as axis_y", "1e0 as axis_z", "x as mid_x", "y as mid_y", "13e-1 as mid_z"
+        "tree_id", "dbh_cm / 1e2 as stack_diameter", "0.01e0 as stack_rmse", "1e0 as stack_arc", "0e0 as axis_x", "0e0 as axis_y", "1e0 as axis_z", "x as mid_x", "y as mid_y", "1.3e0 as mid_z"
     )
     return trees.breast_height_diameters(points, seeds, CFG)
 
@@ -539,7 +541,7 @@ _BINS = range(descriptors.BINS)
 @query(
     REL
     + """, a AS (SELECT tree_id, count(*) AS n_all, greatest(max(rad), 1e-6) AS r_all FROM p GROUP BY tree_id),
- b AS (SELECT tree_id, bin, count(*) / any_value(n_all) AS dens, CASE WHEN count(*) >= 5 THEN quantile_cont(rad, 9e-1) / any_value(r_all) ELSE 0 END AS radius FROM p JOIN a USING (tree_id) GROUP BY tree_id, bin),
+ b AS (SELECT tree_id, bin, count(*) / any_value(n_all) AS dens, CASE WHEN count(*) >= 5 THEN quantile_cont(rad, 0.9e0) / any_value(r_all) ELSE 0 END AS radius FROM p JOIN a USING (tree_id) GROUP BY tree_id, bin),
  w AS (SELECT tree_id, """
     + ", ".join(f"coalesce(max({v}) FILTER (bin = {i}), 0) AS {v}_{i}" for v in ("dens", "radius") for i in _BINS)
     + " FROM b GROUP BY tree_id), r AS (SELECT *, ["
@@ -570,8 +572,8 @@ def pca_shape(spark, sf):
 @query(
     FULL
     + """ SELECT tree_id, height_m, dbh_cm, round(h_d_ratio, 6) AS h_d_ratio, round(crown_base_m / height_m, 6) AS crown_base_rel, round(1 - crown_base_m / height_m, 6) AS crown_length_rel,
- round(crown_diameter_m / height_m, 6) AS crown_diam_rel, round(crown_diameter_m / greatest(dbh_cm / 100, 1e-3), 6) AS crown_diam_dbh, crown_area_m2, crown_volume_m3,
- round(crown_volume_m3 / (pi() * (crown_diameter_m / 2) * (crown_diameter_m / 2) * (CASE WHEN height_m - crown_base_m < 1e-3 THEN 1e-3 ELSE height_m - crown_base_m END)), 6) AS crown_fill FROM t"""
+ round(crown_diameter_m / height_m, 6) AS crown_diam_rel, round(crown_diameter_m / greatest(dbh_cm / 100, 0.001e0), 6) AS crown_diam_dbh, crown_area_m2, crown_volume_m3,
+ round(crown_volume_m3 / (pi() * (crown_diameter_m / 2) * (crown_diameter_m / 2) * (CASE WHEN height_m - crown_base_m < 0.001e0 THEN 0.001e0 ELSE height_m - crown_base_m END)), 6) AS crown_fill FROM t"""
 )
 def crown_ratios(spark, sf):
     return rounded(descriptors.crown_ratios(_measured(spark, sf)), keep=("height_m", "dbh_cm", "crown_area_m2", "crown_volume_m3"))
@@ -681,6 +683,29 @@ def match_assignment(spark, sf):
     return rounded(validate.match_trees(*fx.found_and_surveyed(spark, sf), 2.0))
 
 
+#: Pairs of trees a metre apart and a survey shifted by 0.9 m and more: the nearest survey tree of the second is the best of the first.
+CHAINS = f"""WITH s AS {fx.STEMS_SQL}, f AS (SELECT tree_id AS id, (tree_id // 2) * 1e2 + (tree_id % 2) AS x, 0e0 AS y FROM s),
+ r AS (SELECT tree_id AS id, (tree_id // 2) * 1e2 + (tree_id % 2) * 0.9e0 + 0.9e0 + ((tree_id // 2) % 4) * 0.02e0 AS x, 0e0 AS y FROM s)"""
+
+
+@query(
+    CHAINS
+    + """, c AS (SELECT f.id AS pred_id, r.id AS ref_id, f.id // 2 AS g, abs(f.x - r.x) AS dist FROM f JOIN r ON f.id // 2 = r.id // 2 AND abs(f.x - r.x) <= 2),
+ one AS (SELECT g, [{p: pred_id, r: ref_id, d: dist}] AS m, 1 AS n, dist AS total FROM c),
+ two AS (SELECT a.g, [{p: a.pred_id, r: a.ref_id, d: a.dist}, {p: b.pred_id, r: b.ref_id, d: b.dist}] AS m, 2 AS n, a.dist + b.dist AS total
+         FROM c AS a JOIN c AS b ON a.g = b.g AND a.pred_id < b.pred_id AND a.ref_id <> b.ref_id),
+ best AS (SELECT g, arg_min(m, (-n, total)) AS m FROM (SELECT * FROM one UNION ALL SELECT * FROM two) GROUP BY g)
+ SELECT u.p AS pred_id, u.r AS ref_id, round(u.d, 6) AS match_dist_m FROM (SELECT unnest(m) AS u FROM best)"""
+)
+def match_assignment_chains(spark, sf):
+    """Where taking each tree's nearest would leave its neighbour a worse one."""
+    trees_ = fx.stems(spark, sf)
+    place = "floor(tree_id / 2) * 1e2 + (tree_id % 2)"
+    found = trees_.selectExpr("tree_id as id", f"{place} as x", "0e0 as y")
+    surveyed = trees_.selectExpr("tree_id as id", f"{place} * 1e0 - (tree_id % 2) * 0.1e0 + 0.9e0 + (floor(tree_id / 2) % 4) * 0.02e0 as x", "0e0 as y")
+    return rounded(validate.match_trees(found, surveyed, 2.0))
+
+
 PAIRED = V + ", m AS (SELECT pred_id, arg_min(ref_id, dist) AS ref_id, min(dist) AS match_dist_m FROM cand WHERE dist <= 2 GROUP BY pred_id)"
 
 
@@ -807,21 +832,21 @@ def json_rows(spark, sf):
     return tables.json_rows(fx.stems(spark, sf).select("tree_id", "dbh_source", "n_layers"))
 
 
-@query(FULL + " SELECT tree_id, x, y, round(greatest(5e0, least(45e0, dbh_cm)) * 55e-2, 6) AS marker, cast(structural_group AS VARCHAR) AS colour FROM t WHERE structural_group IS NOT NULL")
+@query(FULL + " SELECT tree_id, x, y, round(greatest(5e0, least(45e0, dbh_cm)) * 0.55e0, 6) AS marker, cast(structural_group AS VARCHAR) AS colour FROM t WHERE structural_group IS NOT NULL")
 def stem_map(spark, sf):
     return rounded(views.stem_map(_measured(spark, sf), "structural_group"))
 
 
 @query(
     C
-    + f""", s AS {fx.STEMS_SQL}, n AS (SELECT c.pid, c.tree_id, c.x - s.x AS dx, c.y - s.y AS dy, c.z - 2e0 AS dz, greatest(25e-2, 25e-1 * dbh_cm / 1e2) AS lim
- FROM c JOIN s USING (tree_id) WHERE c.role = 'stem' AND abs(c.h - CASE WHEN n_layers > 7 THEN 15e-1 ELSE 13e-1 END) <= 6e-2 + 1e-9),
- uv AS (SELECT pid, tree_id, -dy AS u, 8e-1 * dx - 6e-1 * dz AS v, lim FROM n)
+    + f""", s AS {fx.STEMS_SQL}, n AS (SELECT c.pid, c.tree_id, c.x - s.x AS dx, c.y - s.y AS dy, c.z - 2e0 AS dz, greatest(0.25e0, 2.5e0 * dbh_cm / 1e2) AS lim
+ FROM c JOIN s USING (tree_id) WHERE c.role = 'stem' AND abs(c.h - CASE WHEN n_layers > 7 THEN 1.5e0 ELSE 1.3e0 END) <= 0.06e0 + 1e-9),
+ uv AS (SELECT pid, tree_id, -dy AS u, 0.8e0 * dx - 0.6e0 * dz AS v, lim FROM n)
  SELECT pid, tree_id, round(u, 6) AS u, round(v, 6) AS v, sqrt(u * u + v * v) < lim AS near FROM uv"""
 )
 def diameter_slices(spark, sf):
     """The slices that diameters come from, at a height of their own where a tree has one."""
-    used = fx.stems(spark, sf).selectExpr("tree_id", "case when n_layers > 7 then 15e-1 end as dbh_height_used")
+    used = fx.stems(spark, sf).selectExpr("tree_id", "case when n_layers > 7 then 1.5e0 end as dbh_height_used")
     points = fx.cloud(spark, sf).where("role = 'stem'")
     return rounded(trees.diameter_slices(points, _axes(spark, sf).join(used, "tree_id"), 1.3, 0.12 + 2e-9))
 
