@@ -1,23 +1,26 @@
 """LAS point clouds as a Spark data source: ``spark.read.format("las")`` and ``df.write.format("las")``.
 
 Records have a fixed length, so a file is read as ranges of records, one task each, and each task
-yields Arrow batches. Compressed files (LAZ) are refused. Paths must be readable by the executors'
-file system.
+reads its bytes alone and yields Arrow batches. Writing takes Arrow batches too. Compressed files (LAZ) are refused. Paths are local or
+URIs of any file system that Arrow knows; a folder that is written must be one that all executors and the driver share.
 """
 
 from __future__ import annotations
 
 import os
+import shutil
 import struct
+import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
-from pathlib import Path
 from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyarrow import fs
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import DoubleType, FloatType, StructType
 
 #: Fixed by the LAS specification: bytes of a record of each point format.
@@ -45,9 +48,17 @@ class Header:
     crs: str | None
 
 
+def file_system(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a URI, or the local one, and the path in it."""
+    if "://" in path or path.startswith("file:"):
+        return fs.FileSystem.from_uri(path if "://" in path else f"file://{path.removeprefix('file:')}")
+    return fs.LocalFileSystem(), os.path.abspath(path)
+
+
 def read_header(path: str) -> Header:
     """The public header block and what the variable records say of extra dimensions and the CRS."""
-    with open(path, "rb") as f:
+    system, place = file_system(path)
+    with system.open_input_file(place) as f:
         raw = f.read(375)
         if raw[:4] != b"LASF":
             raise ValueError(f"{path} is not a LAS file")
@@ -75,11 +86,12 @@ def read_header(path: str) -> Header:
 
 
 def las_files(path: str) -> list[str]:
-    """A file, or the LAS files of a folder, by name."""
-    p = Path(path.removeprefix("file://"))
-    if p.is_dir():
-        return sorted(str(f) for f in p.iterdir() if f.suffix.lower() in (".las", ".laz"))
-    return [str(p)]
+    """A file, or the LAS files of a folder, by name; URIs stay URIs."""
+    system, place = file_system(path)
+    if system.get_file_info(place).type != fs.FileType.Directory:
+        return [path]
+    names = sorted(i.base_name for i in system.get_file_info(fs.FileSelector(place)) if i.type == fs.FileType.File)
+    return [f"{path.rstrip('/')}/{n}" for n in names if n.lower().endswith((".las", ".laz"))]
 
 
 class HeaderSource(DataSource):
@@ -119,7 +131,10 @@ class PointRange(InputPartition):
 
 
 class PointSource(DataSource):
-    """Points of LAS files: ``pid`` (place in the files, in order of name), ``x, y, z``."""
+    """Points of LAS files: ``pid`` (place in the files, in order of name), ``x, y, z``.
+
+    Options: ``path``; ``points``, how many a task reads; ``scale`` of what is written, one number or three with commas.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -132,7 +147,8 @@ class PointSource(DataSource):
         return PointReader(self.options["path"], int(self.options.get("points", 4_000_000)))
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
-        return PointWriter(self.options["path"], schema, overwrite, float(self.options.get("scale", 0.001)))
+        scales = [float(v) for v in self.options.get("scale", "0.001").split(",")]
+        return PointWriter(self.options["path"], schema, overwrite, tuple(scales * (3 // len(scales))))
 
 
 class PointReader(DataSourceReader):
@@ -150,9 +166,13 @@ class PointReader(DataSourceReader):
     def read(self, partition: PointRange) -> Iterator[pa.RecordBatch]:
         h = partition.header
         record = np.dtype({"names": ["x", "y", "z"], "formats": ["<i4"] * 3, "offsets": [0, 4, 8], "itemsize": h.record_length})
+        if partition.first == partition.last:
+            return
+        system, place = file_system(h.path)
+        file = system.open_input_file(place)
         for a in range(partition.first, partition.last, BATCH):
             n = min(BATCH, partition.last - a)
-            rows = np.fromfile(h.path, record, n, offset=h.data_offset + a * h.record_length)
+            rows = np.frombuffer(file.read_at(n * h.record_length, h.data_offset + a * h.record_length), record)
             xyz = [rows[c] * s + o for c, s, o in zip("xyz", h.scales, h.offsets)]
             pid = np.arange(partition.pid + a - partition.first, partition.pid + a - partition.first + n)
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in (pid, *xyz)], names=["pid", "x", "y", "z"])
@@ -163,58 +183,55 @@ class Written(WriterCommitMessage):
     path: str
 
 
-class PointWriter(DataSourceWriter):
+class PointWriter(DataSourceArrowWriter):
     """LAS 1.4 files of point format 6, one per task, with every other column as an extra dimension.
 
-    Whole numbers are written as unsigned 32-bit, other numbers as 32-bit floats. A task's file
-    gets its name when the job commits.
+    Whole numbers are written as unsigned 32-bit, other numbers as 32-bit floats. A task spools its records, since the
+    header that comes before them counts them, and then writes one file in the folder, which gets its name when the job commits.
     """
 
-    def __init__(self, path: str, schema: StructType, overwrite: bool, scale: float):
-        self.folder, self.overwrite, self.scale = path.removeprefix("file://"), overwrite, scale
+    def __init__(self, path: str, schema: StructType, overwrite: bool, scales: tuple[float, ...]):
+        self.folder, self.overwrite, self.scales = path.rstrip("/"), overwrite, np.array(scales)
         fields = [f for f in schema.fields if f.name not in ("x", "y", "z")]
         self.extra = [(f.name, isinstance(f.dataType, (DoubleType, FloatType))) for f in fields]
-        self.names = [f.name for f in schema.fields]
 
-    def write(self, iterator: Iterator) -> Written:
-        os.makedirs(self.folder, exist_ok=True)
-        temporary = f"{self.folder}/_{uuid4().hex}.part"
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        system, folder = file_system(self.folder)
+        system.create_dir(folder)
         layout = [("x", "<i4"), ("y", "<i4"), ("z", "<i4"), ("rest", "V18"), *[(f"e{i}", "<f4" if real else "<u4") for i, (_, real) in enumerate(self.extra)]]
         low, high, offset, count = np.full(3, np.inf), np.full(3, -np.inf), None, 0
-        with open(temporary, "wb") as f:
-            f.write(b"\0" * self._data_offset())
-            for rows in self._chunks(iterator):
-                xyz = np.array([[r[a] for a in "xyz"] for r in rows], float)
+        with tempfile.TemporaryFile() as spool:
+            for batch in iterator:
+                if not batch.num_rows:
+                    continue
+                xyz = np.column_stack([batch.column(a).to_numpy(zero_copy_only=False).astype(float) for a in "xyz"])
                 offset = np.floor(xyz.min(0)) if offset is None else offset
-                out = np.zeros(len(rows), layout)
+                out = np.zeros(len(xyz), layout)
+                whole = np.rint((xyz - offset) / self.scales)
+                if not (np.abs(whole) < 1 << 31).all():
+                    raise ValueError(f"coordinates of one task span more than 32 bits at scales {self.scales.tolist()}")
                 for k, a in enumerate("xyz"):
-                    out[a] = np.rint((xyz[:, k] - offset[k]) / self.scale)
+                    out[a] = whole[:, k]
                 for i, (name, real) in enumerate(self.extra):
-                    values = [r[name] for r in rows]
-                    out[f"e{i}"] = [(np.nan if v is None else v) if real else self._whole(name, v) for v in values]
-                f.write(out.tobytes())
-                stored = np.column_stack([out[a] for a in "xyz"]) * self.scale + offset
-                low, high, count = np.minimum(low, stored.min(0)), np.maximum(high, stored.max(0)), count + len(rows)
-            f.seek(0)
-            f.write(self._head(count, np.zeros(3) if offset is None else offset, low, high, np.dtype(layout).itemsize))
+                    out[f"e{i}"] = batch.column(name).to_numpy(zero_copy_only=False) if real else self._whole(name, batch.column(name))
+                spool.write(out.tobytes())
+                stored = whole * self.scales + offset
+                low, high, count = np.minimum(low, stored.min(0)), np.maximum(high, stored.max(0)), count + len(xyz)
+            spool.seek(0)
+            temporary = f"{folder}/_{uuid4().hex}.part"
+            with system.open_output_stream(temporary) as f:
+                f.write(self._head(count, np.zeros(3) if offset is None else offset, low, high, np.dtype(layout).itemsize))
+                shutil.copyfileobj(spool, f, 1 << 24)
         return Written(temporary)
 
     @staticmethod
-    def _whole(name: str, value: int | None) -> int:
-        if value is None or not 0 <= value < 1 << 32:
-            raise ValueError(f"{name} holds {value}; a LAS extra dimension holds whole numbers from 0 to 2**32 - 1")
-        return int(value)
-
-    @staticmethod
-    def _chunks(iterator: Iterator, size: int = 100_000) -> Iterator[list]:
-        rows: list = []
-        for row in iterator:
-            rows.append(row)
-            if len(rows) == size:
-                yield rows
-                rows = []
-        if rows:
-            yield rows
+    def _whole(name: str, column: pa.Array) -> np.ndarray:
+        values = column.cast(pa.int64())
+        ends = pc.min_max(values).as_py()
+        for value in (None if values.null_count else 0, ends["min"], ends["max"]):
+            if value is None or not 0 <= value < 1 << 32:
+                raise ValueError(f"{name} holds {value}; a LAS extra dimension holds whole numbers from 0 to 2**32 - 1")
+        return values.to_numpy()
 
     def _data_offset(self) -> int:
         return 375 + (54 + 192 * len(self.extra) if self.extra else 0)
@@ -227,7 +244,7 @@ class PointWriter(DataSourceWriter):
         struct.pack_into("<BH", head, 104, 6, record)
         low, high = (np.where(np.isfinite(v), v, 0.0) for v in (low, high))
         ends = [v for pair in zip(high, low) for v in pair]
-        struct.pack_into("<12d", head, 131, *[self.scale] * 3, *offset, *ends)
+        struct.pack_into("<12d", head, 131, *self.scales, *offset, *ends)
         struct.pack_into("<Q", head, 247, count)
         if self.extra:
             struct.pack_into("<16sHH", head, 377, b"LASF_Spec", 4, 192 * len(self.extra))
@@ -239,16 +256,18 @@ class PointWriter(DataSourceWriter):
 
     def commit(self, messages: list[Written | None]) -> None:
         done = [m for m in messages if m is not None]
+        system, folder = file_system(self.folder)
         if self.overwrite:
             for f in las_files(self.folder):
-                os.remove(f)
+                system.delete_file(file_system(f)[1])
         for i, m in enumerate(done):
-            os.replace(m.path, f"{self.folder}/part-{i:05d}-{uuid4().hex[:8]}.las")
+            system.move(m.path, f"{folder}/part-{i:05d}-{uuid4().hex[:8]}.las")
 
     def abort(self, messages: list[Written | None]) -> None:
+        system, _ = file_system(self.folder)
         for m in messages:
-            if m is not None and os.path.exists(m.path):
-                os.remove(m.path)
+            if m is not None and system.get_file_info(m.path).type == fs.FileType.File:
+                system.delete_file(m.path)
 
 
 def register(spark: SparkSession) -> None:

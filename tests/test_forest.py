@@ -195,6 +195,35 @@ def test_las_round_trip(spark, tmp_path):
     assert (head.version, head.point_format, head.point_count, head.extra_dims) == ("1.4", 6, 3, ["tree_id", "height_norm"])
 
 
+def test_las_by_uri_in_many_tasks(spark, tmp_path):
+    """Written by several tasks to a URI with scales of its own, read in ranges that cut batches, and headers that count."""
+    las.register(spark)
+    n = 20_000
+    df = spark.range(n).selectExpr("(id % 977) / 100D as x", "-(id % 31) / 8D as y", "id / 1000D as z", "id as tree_id", "cast(if(id % 5 = 0, null, id / 7) as float) as height_norm")
+    uri = f"file://{tmp_path}/cloud"
+    for _ in range(2):
+        df.repartition(3).write.format("las").mode("overwrite").option("path", uri).option("scale", "0.01,0.125,0.001").save()
+    heads = spark.read.format("las_header").option("path", uri).load().collect()
+    assert len(heads) == 3 and sum(h.point_count for h in heads) == n and heads[0].scales == [0.01, 0.125, 0.001]
+    assert min(h.mins[2] for h in heads) == 0 and abs(max(h.maxs[2] for h in heads) - (n - 1) / 1000) < 1e-9
+    back = spark.read.format("las").option("path", uri).option("points", "777").load()
+    assert back.count() == back.select("pid").distinct().count() == n
+    spots = lambda d: sorted((round(r.x, 2), round(r.y, 3), round(r.z, 3)) for r in d.select("x", "y", "z").collect())
+    assert spots(back) == spots(df)
+
+
+def test_las_refuses_what_it_cannot_hold(spark, tmp_path):
+    las.register(spark)
+    for bad in ("-1L", "null", "4294967296L"):
+        df = spark.range(3).selectExpr("0D as x", "0D as y", "0D as z", f"cast({bad} as bigint) as tree_id")
+        with pytest.raises(Exception, match="extra dimension holds whole numbers"):
+            df.write.format("las").mode("append").option("path", f"{tmp_path}/bad").save()
+    wide = spark.range(2).selectExpr("id * 1e9 as x", "0D as y", "0D as z").coalesce(1)
+    with pytest.raises(Exception, match="more than 32 bits"):
+        wide.write.format("las").mode("append").option("path", f"{tmp_path}/bad").save()
+    assert not [f for f in (tmp_path / "bad").iterdir() if f.suffix == ".las"]
+
+
 def test_laz_is_refused(spark, tmp_path):
     raw = bytearray(375)
     raw[:4], raw[24:26], raw[104] = b"LASF", bytes((1, 2)), 0x83
