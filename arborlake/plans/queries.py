@@ -267,6 +267,24 @@ def stack_acceptance_reasons(spark, sf):
     return stems.stack_table(_chain(spark, sf), CFG).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Stacks of two to eight circles on straight axes that lean by up to 1.2 m a metre, with radii up to 0.9 m.
+STRAIGHT = S + """, l AS (SELECT tree_id AS stack, cast(i AS INT) AS layer, 0.7e0 + i * 0.2e0 AS h, x, y, (tree_id % 5) * 0.3e0 AS lean,
+ 0.005e0 + (tree_id % 11) * 0.09e0 AS r FROM s, range(0, 9) AS t(i) WHERE i < 2 + tree_id % 7)"""
+
+
+@query(
+    STRAIGHT
+    + """ SELECT stack, cast(count(*) AS INT) AS n_layers, round(1 / sqrt(1 + any_value(lean) * any_value(lean)), 6) AS axis_z,
+ CASE WHEN count(*) < 4 THEN 'short' WHEN 1 / sqrt(1 + any_value(lean) * any_value(lean)) < 0.8e0 THEN 'tilted'
+      WHEN 2 * any_value(r) NOT BETWEEN 0.04e0 AND 1.5e0 THEN 'size' ELSE 'ok' END AS reason FROM l GROUP BY stack"""
+)
+def stack_rejections(spark, sf):
+    """Each reason for which a stack isn't a stem; the axis of circles in line is known."""
+    rows = fx.stems(spark, sf).selectExpr("tree_id as stack", "explode(sequence(0, cast(1 + tree_id % 7 as int))) as layer", "x", "y", "(tree_id % 5) * 0.3e0 as lean", "0.005e0 + (tree_id % 11) * 0.09e0 as r")
+    chain = rows.selectExpr("stack", "layer", "0.7e0 + layer * 0.2e0 as h", "x + lean * (0.7e0 + layer * 0.2e0) as cx", "y as cy", "r", "0.01e0 as rmse", "1e0 as arc")
+    return rounded(stems.stack_table(chain, CFG).select("stack", "n_layers", "axis_z", "reason"))
+
+
 NEAR = S + ", p AS (SELECT tree_id, x + (tree_id % 3) * 1.3e0 AS x, y + (tree_id % 2) * 1.7e0 AS y, n_layers FROM s), pairs AS (SELECT a.tree_id AS a, b.tree_id AS b, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS dist FROM p a JOIN p b ON a.tree_id < b.tree_id)"
 
 
