@@ -114,10 +114,11 @@ def largest_part(cells: DataFrame) -> DataFrame:
 
 
 def build_terrain(ground: DataFrame, cloud: DataFrame, cfg: SurveyConfig) -> DataFrame:
-    """``ix, iy, dtm, valid``: upper-median ground height per cell, without spikes, filled and smoothed.
+    """``ix, iy, dtm, valid, observed, spike``: upper-median ground height per cell, without spikes, filled and smoothed.
 
     A cell is valid (1, else 0) near observed cells, where enough of the cells around were observed,
-    and in the largest connected part. The grid starts one cell before the cloud's bounds.
+    and in the largest connected part. ``observed`` cells had ground points; of those, ``spike`` cells were rejected. The grid starts
+    one cell before the cloud's bounds.
     """
     low = cloud.agg(F.min("x").alias("__lx"), F.min("y").alias("__ly"))
     ix, iy = (F.floor((F.col(a) - F.col(f"__l{a}") + cfg.dtm_res) / cfg.dtm_res) for a in "xy")
@@ -125,7 +126,7 @@ def build_terrain(ground: DataFrame, cloud: DataFrame, cfg: SurveyConfig) -> Dat
     seen = checkpoint(upper_medians(placed, ["ix", "iy"], "z"))
     r = cloud.agg(F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
     if r[0] is None:
-        return cloud.sparkSession.createDataFrame([], "ix long, iy long, dtm double, valid double")
+        return cloud.sparkSession.createDataFrame([], "ix long, iy long, dtm double, valid double, observed boolean, spike boolean")
     frame = (0, int(np.ceil(r[0] / cfg.dtm_res)) + 2, 0, int(np.ceil(r[1] / cfg.dtm_res)) + 2)
     kept = without_spikes(seen, cfg)
 
@@ -141,7 +142,10 @@ def build_terrain(ground: DataFrame, cloud: DataFrame, cfg: SurveyConfig) -> Dat
     dense = moving_mean(table, "seen", window).where(F.col("mean") >= cfg.dtm_min_obs_density)
     near = table.where(F.col("far") <= cfg.dtm_max_fill_dist).join(dense, ["ix", "iy"], "left_semi").select("ix", "iy")
     valid = largest_part(checkpoint(near)).withColumn("valid", F.lit(1.0))
-    return table.join(valid, ["ix", "iy"], "left").select("ix", "iy", "dtm", F.coalesce("valid", F.lit(0.0)).alias("valid"))
+    observed = seen.select("ix", "iy", F.lit(True).alias("observed"))
+    every = table.join(valid, ["ix", "iy"], "left").join(observed, ["ix", "iy"], "left")
+    observed = F.coalesce("observed", F.lit(False))
+    return every.select("ix", "iy", "dtm", F.coalesce("valid", F.lit(0.0)).alias("valid"), observed.alias("observed"), (observed & (F.col("seen") == 0)).alias("spike"))
 
 
 def with_heights(cloud: DataFrame, terrain: DataFrame, cfg: SurveyConfig) -> DataFrame:
@@ -152,9 +156,16 @@ def with_heights(cloud: DataFrame, terrain: DataFrame, cfg: SurveyConfig) -> Dat
 
 
 def terrain_stats(terrain: DataFrame, res: float) -> DataFrame:
-    """One row: valid area and the range of valid heights."""
-    good = terrain.where("valid = 1")
-    return good.agg((F.count(F.lit(1)) * res * res / 1e4).alias("valid_area_ha"), F.min("dtm").alias("z_min"), F.max("dtm").alias("z_max"))
+    """One row: cells and the share of them that were observed, rejected spikes, valid area and the range of valid heights."""
+    good = F.col("valid") == 1
+    return terrain.agg(
+        F.count(F.lit(1)).alias("n_cells"),
+        F.avg(F.col("observed").cast("double")).alias("observed_share"),
+        F.count_if("spike").alias("n_spikes"),
+        (F.count_if(good) * res * res / 1e4).alias("valid_area_ha"),
+        F.min(F.when(good, F.col("dtm"))).alias("z_min"),
+        F.max(F.when(good, F.col("dtm"))).alias("z_max"),
+    )
 
 
 def terrain_of(cloud: DataFrame, cfg: SurveyConfig) -> DataFrame:

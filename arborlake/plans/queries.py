@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -917,6 +918,22 @@ def raster_nearest_fill(spark, sf):
     return rounded(raster.nearest_fill(cells, raster.frame_of(cells, 9)), keep=("v",))
 
 
+@query(
+    CELLS.format(v="1e0")
+    + """, m AS MATERIALIZED (SELECT ix, iy, max(z) AS v FROM k GROUP BY ALL), e AS (SELECT min(ix) AS x0, max(ix) AS x1, min(iy) AS y0, max(iy) AS y1 FROM m),
+ g AS (SELECT ix, unnest(range(y0, y1 + 1)) AS iy FROM (SELECT unnest(range(x0, x1 + 1)) AS ix, y0, y1 FROM e)),
+ d AS (SELECT g.ix, g.iy, v, (m.ix - g.ix) * (m.ix - g.ix) + (m.iy - g.iy) * (m.iy - g.iy) AS far, abs(m.iy - g.iy) AS dy, m.iy AS ky, m.ix AS kx FROM g, m),
+ f AS MATERIALIZED (SELECT ix, iy, arg_min(v, (far, dy, ky, kx)) AS v FROM d GROUP BY ix, iy),
+ near AS (SELECT m.ix, m.iy, m.v, greatest(x0, least(x1, m.ix + a.d)) AS nx, greatest(y0, least(y1, m.iy + b.d)) AS ny
+          FROM m, e, (VALUES (-1), (0), (1)) AS a(d), (VALUES (-1), (0), (1)) AS b(d))
+ SELECT near.ix, near.iy, near.v FROM near JOIN f ON f.ix = nx AND f.iy = ny GROUP BY near.ix, near.iy, near.v HAVING near.v <= median(f.v) + 1"""
+)
+def raster_without_spikes(spark, sf):
+    """The spike filter of the terrain, one pass over 3 x 3 cells of 1 m."""
+    cells = graph.checkpoint(grid.cell_surface(fx.cloud(spark, sf), 1.0, "max"))
+    return terrain.without_spikes(cells, replace(CFG, dtm_res=1.0, dtm_despike_window=3.0, dtm_despike=1.0, dtm_despike_passes=1))
+
+
 # terrain and the whole inventory ----------------------------------------------------------------------
 
 

@@ -103,6 +103,9 @@ def test_cloth_and_terrain_do_not_depend_on_tiles(spark):
     model = got["whole"][1]
     assert len(model) == (model["ix"].max() + 1) * (model["iy"].max() + 1) and model["ix"].max() > 270
     assert model["dtm"].notna().all()
+    told = terrain.terrain_stats(spark.createDataFrame(model), 0.25).first()
+    assert told.n_cells == len(model) and abs(told.observed_share - model["observed"].mean()) < 1e-12 and 0.05 < told.observed_share < 0.5
+    assert told.n_spikes == model["spike"].sum() and told.valid_area_ha > 0.01
 
 
 def test_cloth_comes_to_rest_in_the_same_turn(spark):
