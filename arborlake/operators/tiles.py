@@ -31,33 +31,35 @@ class Tiles:
 
     def place(self, at: np.ndarray, halo: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Point, tile and whether it is the tile's own, for each tile that a point belongs to or is near."""
+        axis, cut, low, high = (np.array(v) for v in (self.axis, self.cut, self.low, self.high))
         points, tiles, owned = [], [], []
-        todo = [(0, np.arange(len(at)), np.ones(len(at), bool))]
-        while todo:
-            node, rows, own = todo.pop()
-            if not len(rows):
-                continue
-            axis = self.axis[node]
-            if axis < 0:
-                points.append(rows)
-                tiles.append(np.full(len(rows), node))
-                owned.append(own)
-                continue
-            x, cut = at[rows, axis], self.cut[node]
-            above = x >= cut
-            for child, near, inside in ((self.low[node], ~(x >= cut + halo), ~above), (self.high[node], x >= cut - halo, above)):
-                todo.append((child, rows[near], own[near] & inside[near]))
+        rows, node, own = np.arange(len(at)), np.zeros(len(at), np.int64), np.ones(len(at), bool)
+        # all points go down the tree level by level; near a cut they go both ways
+        while len(rows):
+            leaf = axis[node] < 0
+            points.append(rows[leaf])
+            tiles.append(node[leaf])
+            owned.append(own[leaf])
+            rows, node, own = rows[~leaf], node[~leaf], own[~leaf]
+            x, at_cut = at[rows, axis[node]], cut[node]
+            above = x >= at_cut
+            down, up = ~(x >= at_cut + halo), x >= at_cut - halo
+            own = np.concatenate(((own & ~above)[down], (own & above)[up]))
+            node = np.concatenate((low[node[down]], high[node[up]]))
+            rows = np.concatenate((rows[down], rows[up]))
         if not points:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
         return np.concatenate(points), np.concatenate(tiles), np.concatenate(owned)
 
 
-def cut_tiles(points: DataFrame, axes: Sequence[str], halo: float, rows: int = 50_000, sample: int = 1 << 17) -> Tiles:
+def cut_tiles(points: DataFrame, axes: Sequence[str], halo: float, rows: int = 50_000, most: int = 1 << 21) -> Tiles:
     """Tiles of about ``rows`` points each, no narrower than four halos; ``points`` is read twice and should be stored.
 
-    ``sample`` bounds the points that come to the driver; with more than a sixteenth of that many tiles, tiles grow instead.
+    Some 16 points for each tile come to the driver, 131,072 at least and ``most`` at most; with more than a sixteenth of
+    ``most`` tiles, tiles grow instead.
     """
     total = points.count()
+    sample = min(most, max(1 << 17, 16 * total // rows))
     every = max(1, -(-total // sample))
     taken = points.select(*axes).where(F.pmod(F.xxhash64(*points.columns), F.lit(every)) == 0).limit(2 * sample).toArrow()
     at = np.column_stack([taken[a].to_numpy().astype(np.float64) for a in axes]) if taken.num_rows else np.zeros((0, len(axes)))
