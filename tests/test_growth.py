@@ -4,7 +4,7 @@ import heapq
 from functools import partial
 
 import numpy as np
-from arborlake.operators import graph, neighbours, tiles
+from arborlake.operators import graph, neighbours, terrain, tiles
 from arborlake.plans.queries import QUERIES
 
 from .conftest import SF
@@ -42,3 +42,34 @@ def test_geodesic_query_joins_no_pairs(spark, monkeypatch):
 
     monkeypatch.setattr(neighbours, "neighbour_join", refuse)
     assert QUERIES["geodesic_labels"](spark, SF).count() > 0
+
+
+def test_cell_parts_over_tiles(spark):
+    """Parts that wind through many tiles, each named by its least cell."""
+    rng = np.random.default_rng(5)
+    cells = {(int(x), int(y)) for x, y in rng.integers(-20, 30, (1700, 2))}
+    plain, left = {}, set(cells)
+    while left:
+        least = min(left)
+        stack, part = [least], {least}
+        while stack:
+            x, y = stack.pop()
+            for c in ((x + 1, y), (x - 1, y), (x, y + 1), (x, y - 1)):
+                if c in left and c not in part:
+                    part.add(c)
+                    stack.append(c)
+        plain |= dict.fromkeys(part, least[0] * (1 << 31) + least[1])
+        left -= part
+    frame = spark.createDataFrame(sorted(cells), "ix long, iy long")
+    for tile in (4, 512):
+        assert {(r["ix"], r["iy"]): r["part"] for r in terrain.cell_parts(frame, tile).collect()} == plain
+    assert terrain.largest_part(terrain.cell_parts(frame.limit(0))).count() == 0
+
+
+def test_cells_need_no_rounds_over_all(spark, monkeypatch):
+    def refuse(*_, **__):
+        raise AssertionError("rounds over all cells")
+
+    monkeypatch.setattr(graph, "components", refuse)
+    monkeypatch.setattr(terrain, "components", refuse, raising=False)
+    assert QUERIES["raster_components"](spark, SF).count() > 0
