@@ -5,6 +5,7 @@ from functools import partial
 
 import numpy as np
 from arborlake.operators import graph, neighbours, terrain, tiles
+from arborlake.plans import fixtures, lineage, queries
 from arborlake.plans.queries import QUERIES
 
 from .conftest import SF
@@ -73,3 +74,12 @@ def test_cells_need_no_rounds_over_all(spark, monkeypatch):
     monkeypatch.setattr(graph, "components", refuse)
     monkeypatch.setattr(terrain, "components", refuse, raising=False)
     assert QUERIES["raster_components"](spark, SF).count() > 0
+
+
+def test_terrain_reads_the_cloud_once(spark, monkeypatch):
+    cloud, made = fixtures.cloud(spark, SF), []
+    monkeypatch.setattr(queries.graph, "checkpoint", lambda df: made.append(df.columns) or lineage.checkpoint(df))
+    monkeypatch.setattr(queries.terrain, "ground_points", lambda points, cfg: points)
+    monkeypatch.setattr(queries.terrain, "build_terrain", lambda ground, points, cfg: points)
+    assert QUERIES["terrain_model"](spark, SF).count() == cloud.count()
+    assert made == [["pid", "x", "y", "z"]]
