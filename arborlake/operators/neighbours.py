@@ -77,6 +77,34 @@ def nearest_k(
     return found.select("src", "dst", "dist", *(["w"] if scale else []))
 
 
+def nearest_k_both_ways(
+    df: DataFrame, k: int, radius: float, id_col: str, axes: Sequence[str] = ("x", "y", "z"), scale: Sequence[float] | None = None
+) -> DataFrame:
+    """``a, b, w``, once each way, for all ``a`` of whose ``nearest_k`` ``b`` is one, or the other way round; ``w`` as there.
+
+    A tile sees two radii around itself, so that it knows the nearest of all points which may have its own among theirs: it
+    tells all edges of its own points, and edges are never shuffled.
+    """
+    slim = checkpoint(df.select(F.col(id_col).cast("long").alias("id"), *axes))
+    halo = _halo(radius)
+    tiles = cut_tiles(slim, axes, 2 * halo)
+    factors = np.array(scale or [1.0] * len(axes))
+
+    def search(tile: pa.Table) -> pa.Table:
+        at, ids, own = coordinates(tile, axes), tile["id"].to_numpy(), tile["own"].to_numpy()
+        points, of, _ = tiles.place(at, halo)
+        mine = np.sort(points[of == tile["tile"][0].as_py()])
+        i, j, _ = near.nearest(at[mine], ids[mine], at, ids, k, radius, same=True)
+        i = mine[i]
+        a, b = np.concatenate((i, j)), np.concatenate((j, i))
+        pairs = np.unique((a * len(at) + b)[own[a]])
+        a, b = pairs // len(at), pairs % len(at)
+        step = (at[a] - at[b]) * factors
+        return pa.table({"a": ids[a], "b": ids[b], "w": np.sqrt(sum(step[:, x] * step[:, x] for x in range(len(axes))))})
+
+    return dealt(slim, tiles, 2 * halo).groupBy("tile").applyInArrow(search, "a long, b long, w double")
+
+
 def nearest_one(
     left: DataFrame, right: DataFrame, radius: float, left_id: str, right_id: str, carry: Sequence[str] = (), axes: Sequence[str] = ("x", "y", "z")
 ) -> DataFrame:

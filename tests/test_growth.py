@@ -83,3 +83,16 @@ def test_terrain_reads_the_cloud_once(spark, monkeypatch):
     monkeypatch.setattr(queries.terrain, "build_terrain", lambda ground, points, cfg: points)
     assert QUERIES["terrain_model"](spark, SF).count() == cloud.count()
     assert made == [["pid", "x", "y", "z"]]
+
+
+def test_edges_both_ways_come_from_tiles(spark, monkeypatch):
+    """The same edges as the neighbours of each point and their reverse, and no table of edges stored or dealt again."""
+    rng = np.random.default_rng(8)
+    at = np.concatenate([np.floor(rng.random((1500, 3)) * [90, 30, 6]) / 10, np.floor(rng.random((300, 3)) * [90, 3, 1])  / 10])
+    points = spark.createDataFrame([(int(i), *map(float, p)) for i, p in zip(rng.permutation(len(at)), at, strict=True)], "pid long, x double, y double, z double")
+    plain = {(r["src"], r["dst"]): r["w"] for r in neighbours.nearest_k(points, 4, 0.25, "pid", scale=(1.0, 1.0, 0.35)).collect()}
+    plain |= {(b, a): w for (a, b), w in plain.items()}
+    monkeypatch.setattr(graph, "checkpoint", None)
+    monkeypatch.setattr(neighbours, "cut_tiles", partial(tiles.cut_tiles, rows=200))
+    found = graph.growth_graph(points, 4, 0.25, 0.35).collect()
+    assert len(found) == len(plain) and {(r["a"], r["b"]): r["w"] for r in found} == plain
