@@ -4,6 +4,7 @@ import heapq
 from functools import partial
 
 import numpy as np
+from arborlake.kernels import near
 from arborlake.operators import graph, neighbours, terrain, tiles
 from arborlake.plans import fixtures, lineage, queries
 from arborlake.plans.queries import QUERIES
@@ -96,3 +97,11 @@ def test_edges_both_ways_come_from_tiles(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "cut_tiles", partial(tiles.cut_tiles, rows=200))
     found = graph.growth_graph(points, 4, 0.25, 0.35).collect()
     assert len(found) == len(plain) and {(r["a"], r["b"]): r["w"] for r in found} == plain
+
+
+def test_order_of_neighbours_with_ties():
+    rng = np.random.default_rng(2)
+    i, d, ids = np.sort(rng.integers(5, 200, 9000)), rng.integers(0, 40, 9000) / 100, rng.integers(0, 1 << 40, 9000)
+    d[::7] += 1e-13
+    np.testing.assert_array_equal(near.in_order(i, d, ids, 0.4), np.lexsort((ids, d, i)))
+    assert len(near.in_order(i[:0], d[:0], ids[:0], 0.4)) == 0
