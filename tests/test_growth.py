@@ -105,3 +105,14 @@ def test_order_of_neighbours_with_ties():
     d[::7] += 1e-13
     np.testing.assert_array_equal(near.in_order(i, d, ids, 0.4), np.lexsort((ids, d, i)))
     assert len(near.in_order(i[:0], d[:0], ids[:0], 0.4)) == 0
+
+
+def _plan(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_segmentation_numbers_the_cloud_once(spark, monkeypatch):
+    given = []
+    monkeypatch.setattr(queries.growth, "segment_trees", lambda points, seeds, cfg: given.extend((points, seeds)) or seeds)
+    QUERIES["tree_segmentation"](spark, SF)
+    assert len(given) == 2 and not any("Window" in _plan(df) for df in given)
