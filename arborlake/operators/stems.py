@@ -45,8 +45,8 @@ def arc_coverage(points: DataFrame, keys: Sequence[str], dx: Column, dy: Column,
 def layer_circles(cloud: DataFrame, cfg: SurveyConfig) -> tuple[DataFrame, DataFrame]:
     """Circles of the dense clusters of each layer, ``circle_id, layer, h, cx, cy, r, rmse, arc``, and their points, ``circle_id, pid``."""
     sliced = layers(cloud, cfg.stem_slice_lo, cfg.stem_slice_hi, cfg.stem_layer_thick, cfg.stem_layer_step)
-    keyed = sliced.select("pid", "x", "y", "z", "layer", "layer_mid")
-    thinned = _thin_layers(keyed, cfg.stem_voxel * 2)
+    keyed = checkpoint(sliced.select("pid", "x", "y", "z", "layer", "layer_mid"))
+    thinned = checkpoint(_thin_layers(keyed, cfg.stem_voxel * 2))
     clusters = density_clusters(thinned, cfg.stem_dbscan_eps, cfg.stem_dbscan_min_pts, keys=["layer"]).where("cluster is not null")
     grouped = thinned.join(clusters.select("pid", "layer", "cluster"), ["pid", "layer"])
     full = grouped.groupBy("layer", "cluster").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= cfg.stem_dbscan_min_pts)

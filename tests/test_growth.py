@@ -4,8 +4,10 @@ import heapq
 from functools import partial
 
 import numpy as np
+import pytest
+
 from arborlake.kernels import near
-from arborlake.operators import graph, neighbours, terrain, tiles
+from arborlake.operators import graph, neighbours, stems, terrain, tiles
 from arborlake.plans import fixtures, lineage, queries
 from arborlake.plans.queries import QUERIES
 
@@ -116,3 +118,16 @@ def test_segmentation_numbers_the_cloud_once(spark, monkeypatch):
     monkeypatch.setattr(queries.growth, "segment_trees", lambda points, seeds, cfg: given.extend((points, seeds)) or seeds)
     QUERIES["tree_segmentation"](spark, SF)
     assert len(given) == 2 and not any("Window" in _plan(df) for df in given)
+
+
+def test_stem_layers_are_thinned_once(spark, monkeypatch):
+    class Seen(Exception):
+        pass
+
+    def seen(points, *_, **__):
+        raise Seen("Aggregate" in _plan(points))
+
+    monkeypatch.setattr(stems, "density_clusters", seen)
+    with pytest.raises(Seen) as told:
+        QUERIES["stem_detection"](spark, SF)
+    assert told.value.args == (False,)
