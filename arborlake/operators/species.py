@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark import inheritable_thread_target
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import checkpoint
+from .descriptors import medians
 from .views import stratified_folds
 
 
@@ -22,47 +23,64 @@ DEEPEST = 30
 
 @dataclass
 class SpeciesModel:
-    """Out-of-fold predictions (``tree_id, species, predicted, fold``), importances (``rank, name, weight``) and the forest fitted on all."""
+    """Forests on one stored table: ``predicted`` out of fold (``tree_id, species, predicted, fold``), ``importance`` (``rank, name,
+    weight``) and the ``model`` fitted on all. Each is fitted when first asked for: no fold is needed to tell what weighs, and the
+    forest on all tells no tree out of fold.
+    """
 
-    predicted: DataFrame
-    importance: DataFrame
-    model: RandomForestClassificationModel
+    dealt: DataFrame
+    names: list[str]
+    species: list[str]
+    forest: RandomForestClassifier
+
+    @cached_property
+    def model(self) -> RandomForestClassificationModel:
+        return self.forest.fit(self.dealt)
+
+    @cached_property
+    def predicted(self) -> DataFrame:
+        """The folds are fitted side by side, since each fit alone has long stretches of small jobs."""
+        dealt, spark = self.dealt, self.dealt.sparkSession
+        used = [r["fold"] for r in dealt.select("fold").distinct().orderBy("fold").collect()]
+        if len(used) < 2:
+            return dealt.select("tree_id", "species", F.lit(None).cast("string").alias("predicted"), "fold").limit(0)
+
+        def fit(k: int) -> RandomForestClassificationModel:
+            return self.forest.fit(dealt.where(F.col("fold") != k))
+
+        with ThreadPoolExecutor(len(used)) as pool:
+            models = list(pool.map(inheritable_thread_target(spark)(fit), used))
+        names_of = F.array(*[F.lit(x) for x in self.species])
+        told = [
+            m.transform(dealt.where(F.col("fold") == k)).select("tree_id", "species", F.get(names_of, F.col("prediction").cast("int")).alias("predicted"), "fold")
+            for k, m in zip(used, models, strict=True)
+        ]
+        return reduce(DataFrame.unionByName, told)
+
+    @cached_property
+    def importance(self) -> DataFrame:
+        """Heaviest first, equal ones by name."""
+        heaviest = sorted(zip(self.names, self.model.featureImportances.toArray().tolist(), strict=True), key=lambda x: (-x[1], x[0]))
+        return self.dealt.sparkSession.createDataFrame([(i + 1, n, w) for i, (n, w) in enumerate(heaviest)], "rank int, name string, weight double")
 
 
 def species_model(features: DataFrame, labels: DataFrame, n_trees: int = 500, folds: int = 5, seed: int = 42) -> SpeciesModel:
     """Fit on ``features`` (``tree_id``, descriptors) and ``labels`` (``tree_id, species``).
 
-    Missing values take the median; species weigh alike. The folds and the whole are fitted side by side on one stored
-    table, since each fit alone has long stretches of small jobs. Importances come heaviest first, equal ones by name.
+    Missing values take the median; species weigh alike.
     """
-    spark = features.sparkSession
     names = [c for c in features.columns if c != "tree_id"]
     joined = checkpoint(features.join(labels.select("tree_id", "species").where("species is not null"), "tree_id"))
-    medians = joined.agg(*[F.coalesce(F.median(c), F.lit(0.0)).alias(c) for c in names]).first().asDict()
     weights = joined.groupBy("species").agg((1.0 / F.count(F.lit(1))).alias("weight"))
-    ready = joined.na.fill(medians).join(F.broadcast(weights), "species")
+    ready = joined.na.fill(medians(joined, names)).join(F.broadcast(weights), "species")
     ready = VectorAssembler(inputCols=names, outputCol="features").transform(ready)
     index = StringIndexer(inputCol="species", outputCol="label", stringOrderType="alphabetAsc").fit(ready)
     dealt = stratified_folds(index.transform(ready), "label", [F.xxhash64(F.lit(seed), "tree_id"), "tree_id"], folds)
-    dealt = checkpoint(dealt.select("tree_id", "species", "label", "weight", "fold", "features"))
+    # dealing by label leaves a file for each species; the fits have as many tasks as the table has files
+    tasks = features.sparkSession.sparkContext.defaultParallelism
+    dealt = checkpoint(dealt.select("tree_id", "species", "label", "weight", "fold", "features").repartition(tasks, "tree_id"))
     forest = RandomForestClassifier(numTrees=n_trees, minInstancesPerNode=2, maxDepth=DEEPEST, maxMemoryInMB=1024, weightCol="weight", seed=seed)
-    used = [r["fold"] for r in dealt.select("fold").distinct().orderBy("fold").collect()]
-    parts = [None, *(used if len(used) > 1 else [])]
-
-    def fit(k: int | None) -> RandomForestClassificationModel:
-        return forest.fit(dealt if k is None else dealt.where(F.col("fold") != k))
-
-    with ThreadPoolExecutor(len(parts)) as pool:
-        models = dict(zip(parts, pool.map(inheritable_thread_target(spark)(fit), parts), strict=True))
-    names_of = F.array(*[F.lit(x) for x in index.labels])
-    told = [
-        models[k].transform(dealt.where(F.col("fold") == k)).select("tree_id", "species", F.get(names_of, F.col("prediction").cast("int")).alias("predicted"), "fold")
-        for k in parts[1:]
-    ]
-    predicted = reduce(DataFrame.unionByName, told) if told else dealt.select("tree_id", "species", F.lit(None).cast("string").alias("predicted"), "fold").limit(0)
-    heaviest = sorted(zip(names, models[None].featureImportances.toArray().tolist(), strict=True), key=lambda x: (-x[1], x[0]))
-    importance = spark.createDataFrame([(i + 1, n, w) for i, (n, w) in enumerate(heaviest)], "rank int, name string, weight double")
-    return SpeciesModel(predicted, importance, models[None])
+    return SpeciesModel(dealt, names, list(index.labels), forest)
 
 
 def confusion(predicted: DataFrame) -> DataFrame:

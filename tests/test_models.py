@@ -7,7 +7,10 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from arborlake.operators import kmeans, species, stand
+from arborlake.operators import descriptors, kmeans, species, stand
+from arborlake.plans.queries import QUERIES
+
+from .conftest import SF
 
 
 @pytest.fixture(scope="module")
@@ -81,6 +84,29 @@ def test_species(spark):
     assert found.model.getNumTrees == 40
 
 
+def test_forests_are_fitted_when_asked_for_by_many_tasks(spark, monkeypatch):
+    """What weighs takes one forest and the predictions one a fold; two species don't mean two tasks."""
+    features = spark.createDataFrame([(i, float(i % 2), float(i)) for i in range(80)], "tree_id long, a double, b double")
+    labels = spark.createDataFrame([(i, f"s{i % 2}") for i in range(80)], "tree_id long, species string")
+    fits = []
+    whole = species.RandomForestClassifier.fit
+    monkeypatch.setattr(species.RandomForestClassifier, "fit", lambda self, *a: fits.append(1) or whole(self, *a))
+    found = species.species_model(features, labels, n_trees=5)
+    assert not fits and sum(len(p) > 0 for p in found.dealt.rdd.glom().collect()) == spark.sparkContext.defaultParallelism
+    assert found.importance.count() == 2 and len(fits) == 1
+    assert found.predicted.count() == 80 and len(fits) == 6
+
+
+def test_descriptors_read_the_cloud_once(spark):
+    plan = QUERIES["tree_feature_table"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 1
+
+
+def test_medians(spark):
+    df = spark.createDataFrame([(1.0, None, 3), (2.0, None, None), (7.0, None, 4)], "a double, b double, c long")
+    assert descriptors.medians(df, ["a", "b", "c"]) == {"a": 2.0, "b": 0.0, "c": 3.5}
+
+
 def test_class_report(spark):
     rows = [("a", "a"), ("a", "b"), ("b", "b"), ("c", "a"), ("a", "d")]
     found = {r.species: (r.precision, r.recall, round(r.f1, 6), r.support) for r in species.class_report(spark.createDataFrame(rows, "species string, predicted string")).collect()}
