@@ -19,7 +19,7 @@ def _vectors(batch: pa.RecordBatch) -> np.ndarray:
 
 def _squares(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     """Squared distances, (start, row, centre)."""
-    return ((x[None, :, None] - centres[:, None]) ** 2).sum(3)
+    return np.stack([((x[:, None] - c[None]) ** 2).sum(2) for c in centres])
 
 
 def _chances(ids: np.ndarray, starts: int, turn: int, seed: int) -> np.ndarray:
@@ -66,7 +66,7 @@ def _summer(centres: np.ndarray) -> Callable[[Batches], Batches]:
             for s in range(starts):
                 n[s] += np.bincount(own[s], minlength=k)
                 cost[s] += np.bincount(own[s], far[s].min(1), k)
-                np.add.at(sums[s], own[s], x)
+                sums[s] += np.stack([np.bincount(own[s], v, k) for v in x.T], 1)
         names = ["start", "centre", "n", "cost", "sums"]
         columns = [np.repeat(np.arange(starts), k), np.tile(np.arange(k), starts), n.ravel(), cost.ravel(), sums.reshape(-1, d).tolist()]
         kinds = (pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.list_(pa.float64()))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..kernels.hull import hull_2d, polygon
 from ..plans.lineage import checkpoint
+from .descriptors import medians
 from .kmeans import best_centres, nearest_centre
 
 
@@ -95,8 +96,7 @@ def structural_groups(features: DataFrame, trees: DataFrame, k: int = 4, seed: i
     fine = features.join(trees.where("quality <> 'poor'").select("tree_id"), "tree_id", "left_semi").drop("n_points")
     names = [c for c in fine.columns if c != "tree_id"]
     fine = checkpoint(fine)
-    medians = fine.agg(*[F.coalesce(F.median(c), F.lit(0.0)).alias(c) for c in names]).first().asDict()
-    filled = fine.na.fill(medians).coalesce(min(8, fine.sparkSession.sparkContext.defaultParallelism))
+    filled = fine.na.fill(medians(fine, names)).coalesce(min(8, fine.sparkSession.sparkContext.defaultParallelism))
     if filled.count() < k:
         return trees.select("tree_id", F.lit(None).cast("int").alias("structural_group"))
     vectors = VectorAssembler(inputCols=names, outputCol="raw").transform(filled)

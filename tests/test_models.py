@@ -1,5 +1,7 @@
 """Groups and species: many starts side by side, folds side by side, importances and reports as frames."""
 
+import tracemalloc
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -107,6 +109,17 @@ def test_medians(spark):
     assert descriptors.medians(df, ["a", "b", "c"]) == {"a": 2.0, "b": 0.0, "c": 3.5}
 
 
+def test_distances_of_a_batch_are_made_start_by_start():
+    rng = np.random.default_rng(2)
+    x, centres = rng.normal(size=(10_000, 25)), rng.normal(size=(20, 4, 25))
+    tracemalloc.start()
+    far = kmeans._squares(x, centres)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20
+    assert np.array_equal(far, ((x[None, :, None] - centres[:, None]) ** 2).sum(3))
+
+
 def test_class_report(spark):
     rows = [("a", "a"), ("a", "b"), ("b", "b"), ("c", "a"), ("a", "d")]
     found = {r.species: (r.precision, r.recall, round(r.f1, 6), r.support) for r in species.class_report(spark.createDataFrame(rows, "species string, predicted string")).collect()}
