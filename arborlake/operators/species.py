@@ -79,7 +79,10 @@ def species_model(features: DataFrame, labels: DataFrame, n_trees: int = 500, fo
     # dealing by label leaves a file for each species; the fits have as many tasks as the table has files
     tasks = features.sparkSession.sparkContext.defaultParallelism
     dealt = checkpoint(dealt.select("tree_id", "species", "label", "weight", "fold", "features").repartition(tasks, "tree_id"))
-    forest = RandomForestClassifier(numTrees=n_trees, minInstancesPerNode=2, maxDepth=DEEPEST, maxMemoryInMB=1024, weightCol="weight", seed=seed)
+    # tasks keep the node of each row, else every round walks all rows down all trees again, those in finished leaves too
+    forest = RandomForestClassifier(
+        numTrees=n_trees, minInstancesPerNode=2, maxDepth=DEEPEST, maxMemoryInMB=1024, weightCol="weight", seed=seed, cacheNodeIds=True
+    )
     return SpeciesModel(dealt, names, list(index.labels), forest)
 
 

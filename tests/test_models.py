@@ -99,6 +99,17 @@ def test_forests_are_fitted_when_asked_for_by_many_tasks(spark, monkeypatch):
     assert found.predicted.count() == 80 and len(fits) == 6
 
 
+def test_forests_keep_the_node_of_each_row(spark):
+    """Rounds don't walk all rows down all trees again; the forest is the one that is grown by walking."""
+    rng = np.random.default_rng(3)
+    rows = pd.DataFrame({"tree_id": np.arange(200), "a": rng.normal(0, 1, 200), "b": rng.normal(0, 1, 200)})
+    labels = spark.createDataFrame([(i, f"s{int(a > 0)}") for i, a in enumerate(rows["a"] + rng.normal(0, 1, 200))], "tree_id long, species string")
+    found = species.species_model(spark.createDataFrame(rows), labels, n_trees=5)
+    assert found.forest.getCacheNodeIds()
+    walked = found.forest.copy().setCacheNodeIds(False).fit(found.dealt)
+    assert walked.toDebugString.split("\n", 1)[1] == found.model.toDebugString.split("\n", 1)[1]
+
+
 def test_descriptors_read_the_cloud_once(spark):
     plan = QUERIES["tree_feature_table"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Window [") == 1
