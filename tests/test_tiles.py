@@ -122,3 +122,28 @@ def test_cells_far_apart():
     at = np.array([[0.0, 0, 0], [1e7, 1e7, 1e7], [1e7, 1e7, 1e7 + 0.005], [-1e7, 5, 5]])
     pairs = {(int(i), int(j)) for i, j, _ in ((a, b, c) for x in near.Cells(at, 0.01).pairs(at) for a, b, c in zip(*x, strict=True))}
     assert pairs == {(0, 0), (1, 1), (2, 2), (3, 3), (1, 2), (2, 1)}
+
+
+def test_density_finds_pairs_once(monkeypatch):
+    """Pairs are searched once where few are kept, and step by step where they are more: with the same clusters."""
+    rng = np.random.default_rng(8)
+    at, group, ids = rng.uniform(0, 3, (600, 2)), rng.integers(0, 2, 600), rng.permutation(600)
+    rows = np.flatnonzero(rng.uniform(size=600) < 0.7)
+    searches, whole = [], near.Cells.pairs
+    monkeypatch.setattr(near.Cells, "pairs", lambda self, *a, **k: searches.append(1) or whole(self, *a, **k))
+    core, name, touching, touched = near.density_clusters(at, group, ids, 0.15, 4, rows)
+    assert len(searches) == 1
+    monkeypatch.setattr(near, "KEPT", 100)
+    again = near.density_clusters(at, group, ids, 0.15, 4, rows)
+    assert len(searches) == 4 and all(np.array_equal(a, b) for a, b in zip((core, name, touching, touched), again, strict=True))
+    linked = (np.linalg.norm(at[:, None] - at[None], axis=2) <= 0.15) & (group[:, None] == group[None])
+    assert (core == (linked.sum(1) >= 4)).all() and 0 < core.sum() < 600
+    a, b = np.nonzero(linked & core[:, None] & core[None])
+    order = np.argsort(ids)
+    place = np.argsort(order)
+    named = ids[order[near.components(600, place[a], place[b])[place]]]
+    assert (name == named[core]).all()
+    told = {(i, n) for i in rows if not core[i] for n in named[linked[i] & core]}
+    assert told == set(zip(touching.tolist(), touched.tolist(), strict=True)) and len(touching) == len(told) > 0
+    empty = near.density_clusters(at[:0], group[:0], ids[:0], 0.15, 4, rows[:0])
+    assert [len(x) for x in empty] == [0, 0, 0, 0]
